@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import importable
 from .hashing import Powers, mix, prefix_sums
 
 CHUNK_CHARS = 1 << 19
@@ -274,4 +275,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", column: str = "
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "").to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bpe.counts(texts))], names=[*keep, column])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(count, schema)
+    return importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).mapInArrow(count, schema)

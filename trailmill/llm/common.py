@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """The frame; from now on its session's Python workers find this package where the driver has it."""
+    known = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(filter(None, [known.get("PYTHONPATH"), root]))
+    return df
+
+
 def shared(df: DataFrame) -> DataFrame:
     """The frame computed once and kept in the shared checkpoint folder.
 

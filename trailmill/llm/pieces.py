@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import CHUNK_CHARS, SpanTable, cut_chars
+from .common import importable
 
 BLANK = "▁"
 PAIRS = 2_000_000
@@ -232,7 +233,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids")
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "").to_pylist()
             yield _with_ids([*batch.columns[:-1]], codec.ids_of(texts), [f.name for f in schema.fields])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return importable(docs).select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
 
 
 def _with_ids(columns: list, ids: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
@@ -254,7 +255,7 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", column: str = "text")
             texts = [codec.decode([] if not x.is_valid else x.values.to_numpy()) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[f.name for f in schema.fields])
 
-    return frame.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{ids}`")).mapInArrow(run, schema)
+    return importable(frame).select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{ids}`")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -279,4 +280,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     decoded.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], names=[f.name for f in schema.fields])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return importable(docs).select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`")).mapInArrow(run, schema)

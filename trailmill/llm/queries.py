@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, pieces
+from . import byte_bpe, chat, jaccard, passages, pieces, sharding
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,12 +31,83 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, tokenizer_path(PIECE_BPE))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_copies(docs, jaccard.Likeness(words=4, part=85, whole=100))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards_by_bytes(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    out = chat.format_conversations(messages, content="text")
+    read = out.select("conv_id", "n_turns", F.length("formatted").cast("long").alias("formatted_chars"), chat.parse_turns(F.col("formatted")).alias("turns"), chat.masked_text().alias("loss"))
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(each, ""), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP7_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), safe AS (
+  SELECT *, length(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '</s>', '<\/s>'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+    + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length('<|turn|><|says|><|end|>') AS size
+  FROM said
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(length(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant')), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM safe GROUP BY conv_id
+""".replace("\\", "\")
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return passages.remove_repeated_passages(docs, width=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: One row a window; DuckDB has no cheaper way to say it.
+OP9_SQL = """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+), places AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13
+), windows AS (
+  SELECT doc_id, i, hash(array_to_string(w[i:i+12], ' ')) AS h, hash('b' || array_to_string(w[i:i+12], ' ')) AS g FROM places
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h, g) AS first FROM windows) WHERE doc_id > first
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(13) r(k)
+), each_word AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), marked AS (
+  SELECT e.doc_id, e.word, e.i, g.i IS NOT NULL AS off FROM each_word e LEFT JOIN gone g USING (doc_id, i)
+), summed AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (off) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT off) AS kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
+        "op6_sharding": op6_sharding,
+        "op7_chat_formatting": op7_chat_formatting,
+        "op9_repeated_passages": op9_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_formatting": OP7_SQL, "op9_repeated_passages": OP9_SQL}
