@@ -66,7 +66,7 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(size)::BIGINT AS formatted_chars
 FROM safe GROUP BY conv_id
-""".replace("\\", "\")
+"""
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: One row a window; DuckDB has no cheaper way to say it.
-OP9_SQL = """
+OP9_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents
 ), places AS (
   SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13
 ), windows AS (
