@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, jaccard, passages, pieces, sharding
+from . import byte_bpe, chat, impact, jaccard, neighbours, packing, passages, pieces, quality, sharding
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,30 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, tokenizer_path(PIECE_BPE))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x : floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.near_copies(docs, jaccard.Likeness(words=4, part=85, whole=100))
@@ -69,6 +93,10 @@ FROM safe GROUP BY conv_id
 """
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(BYTE_BPE), capacity=1024, end_id=2)
+
+
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return passages.remove_repeated_passages(docs, width=13).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -98,16 +126,24 @@ FROM documents d LEFT JOIN summed s USING (doc_id)
 """
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_quality": op3_quality,
+        "op4_exact_top_k": op4_exact_top_k,
         "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_sharding": op6_sharding,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_packing": op8_packing,
         "op9_repeated_passages": op9_repeated_passages,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_formatting": OP7_SQL, "op9_repeated_passages": OP9_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op9_repeated_passages": OP9_SQL}
