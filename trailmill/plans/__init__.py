@@ -1 +1 @@
-
+from . import sequence_queries, session_queries  # noqa: F401
