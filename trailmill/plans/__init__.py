@@ -1 +1 @@
-from . import sequence_queries, session_queries  # noqa: F401
+from . import catalog_queries, sequence_queries, session_queries  # noqa: F401
