@@ -10,8 +10,9 @@ hashes of a block of documents, so of each distinct window only its smallest
 document goes on (all others of the block are repeated, whatever the rest of the
 corpus says: a passage in a third of all documents sends one window a block).
 What goes on is packed by hash range, some 8 bytes a window. One reducer a range
-finds the smallest document of each window and names the places of all others.
-The places of a document meet its text again in one join on the document.
+finds the smallest document of each window and names the places of all others,
+packed by groups of documents. There all places of a document merge into runs,
+which meet its text again in one join on the document.
 
 Two windows count as the same if their 64-bit hashes agree (of which range and
 packed bytes keep at least 60 bits): among 10**8 distinct windows, a false match
@@ -35,11 +36,13 @@ from pyspark.sql import types as T
 from .common import bucket_count, importable, text_bytes
 from .hashing import windows, word_hashes
 
-BLOCK_BYTES = 16 << 20
-RANGE_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
+RANGE_BYTES = 12 << 20
+PART_BYTES = 96 << 20
 KEY, TAG, FOUND = "__passage_doc", "__passage_tag", "__passage_found"
-_SENT = "bucket int, doc long, tag long, data binary"
-_FOUND = f"{KEY} long, {TAG} long, data binary"
+_SENT = "bucket int, part int, data binary"
+_NAMED = "part int, data binary"
+_FOUND = f"{KEY} long, {TAG} long, {FOUND} binary"
 
 
 def _runs(places: np.ndarray) -> np.ndarray:
@@ -50,16 +53,6 @@ def _runs(places: np.ndarray) -> np.ndarray:
     return np.stack([places[first], np.diff(np.append(first, len(places)))], 1).astype(np.int32).ravel()
 
 
-def _per_document(doc: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(document number, its places ascending) of entries in any order."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
-    if len(doc):
-        for d, p in zip(doc[np.concatenate([[0], cuts])].tolist(), np.split(place, cuts), strict=True):
-            yield d, p
-
-
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The lowest `width` bytes of each value, byte plane by byte plane."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
@@ -93,7 +86,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return _from_planes(data[at + 4 * docs :], n, 7, np.uint64), place, ids, tags, ends
 
 
-def _send_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], width: int, buckets: int) -> pa.RecordBatch | None:
+def _send_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], width: int, buckets: int, parts: int) -> pa.RecordBatch | None:
     order = np.argsort(ids, kind="stable")
     ids, tags, texts = ids[order], tags[order], [texts[i] for i in order]
     value, text, place = windows(*word_hashes(texts), width)
@@ -105,9 +98,8 @@ def _send_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], width: in
     owner = ids[text[sort]][np.maximum.accumulate(np.where(fresh, np.arange(len(sort)), 0))]
     repeated = np.zeros(len(sort), bool)
     repeated[sort] = ids[text[sort]] != owner
-    out: list[tuple[int, int | None, int | None, bytes]] = []
-    for d, p in _per_document(text[repeated], place[repeated]):
-        out.append((int(ids[d] % buckets), int(ids[d]), int(tags[d]), _runs(p).tobytes()))
+    again = np.flatnonzero(repeated)
+    out: list[tuple[int, int | None, bytes]] = [(p % buckets, p, data) for p, data in _pack_places(ids[text[again]], tags[text[again]], place[again], parts)]
     value, text, place = value[~repeated], text[~repeated], place[~repeated]
     bucket = ((value >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint32)
     rest = (value * np.uint64(buckets)) >> np.uint64(8)
@@ -121,11 +113,11 @@ def _send_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], width: in
         sizes = np.maximum.reduceat(local, first) + 1
         start = np.cumsum(sizes) - sizes
         laid = local + np.repeat(start, np.diff(np.append(first, len(own))))
-        out.append((b, None, None, _pack(rest[own], laid, ids[used], tags[used], start + sizes)))
-    return pa.RecordBatch.from_pydict(dict(zip(("bucket", "doc", "tag", "data"), map(list, zip(*out, strict=True)), strict=True)), pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())]))
+        out.append((b, None, _pack(rest[own], laid, ids[used], tags[used], start + sizes)))
+    return pa.RecordBatch.from_pydict(dict(zip(("bucket", "part", "data"), map(list, zip(*out, strict=True)), strict=True)), pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("data", pa.binary())]))
 
 
-def _send(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], width: int, buckets: int, parts: int) -> Iterator[pa.RecordBatch]:
     ids: list[np.ndarray] = []
     tags: list[np.ndarray] = []
     texts: list[bytes] = []
@@ -142,21 +134,35 @@ def _send(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterat
             held += int(sizes[at:to].sum())
             at = to
             if held >= BLOCK_BYTES * 0.9:
-                if (out := _send_block(np.concatenate(ids), np.concatenate(tags), texts, width, buckets)) is not None:
+                if (out := _send_block(np.concatenate(ids), np.concatenate(tags), texts, width, buckets, parts)) is not None:
                     yield out
                 ids, tags, texts, held = [], [], [], 0
-    if texts and (out := _send_block(np.concatenate(ids), np.concatenate(tags), texts, width, buckets)) is not None:
+    if texts and (out := _send_block(np.concatenate(ids), np.concatenate(tags), texts, width, buckets, parts)) is not None:
         yield out
 
 
-def _reduce(group: pa.Table) -> pa.Table:
+def _pack_places(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Places by group of documents: 20 bytes each."""
+    part = doc % parts
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[p] : cuts[p + 1]]
+        data = doc[own].astype(np.int64).tobytes() + tag[own].astype(np.int64).tobytes() + place[own].astype(np.int32).tobytes()
+        out.append((p, zstandard.ZstdCompressor(level=1).compress(data)))
+    return out
+
+
+def _reduce(group: pa.Table, parts: int) -> pa.Table:
     """Of the windows of one hash range: the places of all whose smallest document is another."""
-    out: list[tuple[int, int, bytes]] = []
+    out: list[tuple[int, bytes]] = []
     rests, docs, places, ids, tags = [], [], [], [], []
     seen = 0
-    for doc, tag, data in zip(*(group.column(c).to_pylist() for c in ("doc", "tag", "data")), strict=True):
-        if doc is not None:
-            out.append((doc, tag, data))
+    for part, data in zip(group.column("part").to_pylist(), group.column("data"), strict=True):
+        data = data.as_buffer().to_pybytes()
+        if part is not None:
+            out.append((part, data))
             continue
         rest, laid, own_ids, own_tags, ends = _unpack(data)
         slot = np.searchsorted(ends, laid, side="right")
@@ -166,25 +172,37 @@ def _reduce(group: pa.Table) -> pa.Table:
         ids.append(own_ids)
         tags.append(own_tags)
         seen += len(own_ids)
-    if rests:
-        rest, doc, place = np.concatenate(rests), np.concatenate(docs), np.concatenate(places)
-        rests.clear(), docs.clear(), places.clear()
+    rest, doc, place = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (rests, docs, places))
+    rests.clear(), docs.clear(), places.clear()
+    order = np.argsort(rest)
+    first = np.flatnonzero(np.diff(rest[order]) != 0) + 1
+    count = np.diff(np.concatenate([[0], first, [len(rest)]]))
+    order = order[np.repeat(count > 1, count)]  # the rest stand in one place only
+    count = count[count > 1]
+    if len(order):
         id_of, tag_of = np.concatenate(ids), np.concatenate(tags)
-        order = np.argsort(rest)
-        rest = rest[order]
-        first = np.flatnonzero(np.diff(rest, prepend=rest[0] ^ np.uint64(1)) != 0)
-        count = np.diff(np.append(first, len(rest)))
-        many = np.repeat(count > 1, count)  # the rest stand in one document only
-        order = order[many]
-        count = count[count > 1]
-        if len(order):
-            own = id_of[doc[order]]
-            smallest = np.minimum.reduceat(own, np.cumsum(count) - count)
-            again = order[own != np.repeat(smallest, count)]
-            for d, p in _per_document(doc[again], place[again]):
-                out.append((int(id_of[d]), int(tag_of[d]), _runs(p).tobytes()))
-    columns = list(map(list, zip(*out, strict=True))) if out else [[], [], []]
-    return pa.table({KEY: pa.array(columns[0], pa.int64()), TAG: pa.array(columns[1], pa.int64()), "data": pa.array(columns[2], pa.binary())})
+        own = id_of[doc[order]]
+        smallest = np.minimum.reduceat(own, np.cumsum(count) - count)
+        again = np.sort(order[own != np.repeat(smallest, count)])
+        out += _pack_places(id_of[doc[again]], tag_of[doc[again]], place[again], parts)
+    return pa.table({"part": pa.array([x[0] for x in out], pa.int32()), "data": pa.array([x[1] for x in out], pa.binary())})
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    """All repeated places of a group of documents as runs, one row a document and text."""
+    doc, tag, place = [], [], []
+    for data in group.column("data").to_pylist():
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        n = len(raw) // 20
+        doc.append(np.frombuffer(raw, np.int64, n))
+        tag.append(np.frombuffer(raw, np.int64, n, 8 * n))
+        place.append(np.frombuffer(raw, np.int32, n, 16 * n))
+    doc, tag, place = np.concatenate(doc), np.concatenate(tag), np.concatenate(place)
+    order = np.lexsort((place, tag, doc))
+    doc, tag, place = doc[order], tag[order], place[order]
+    fresh = np.flatnonzero((np.diff(doc, prepend=doc[0] - 1) != 0) | (np.diff(tag, prepend=tag[0] - 1) != 0))
+    runs = [_runs(np.unique(p)).tobytes() for p in np.split(place, fresh[1:])]
+    return pa.table({KEY: pa.array(doc[fresh]), TAG: pa.array(tag[fresh]), FOUND: pa.array(runs, pa.binary())})
 
 
 def repeated_windows(docs: DataFrame, width: int = 13, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,11 +211,12 @@ def repeated_windows(docs: DataFrame, width: int = 13, id_column: str = "doc_id"
     One text of a repeated id can differ from the next; the tag (32 bits of the
     text's hash) tells them apart.
     """
-    buckets = bucket_count(text_bytes(docs, text), RANGE_BYTES)
+    total = text_bytes(docs, text)
+    buckets, parts = bucket_count(total, RANGE_BYTES), bucket_count(total, PART_BYTES)
     keyed = importable(docs).where(F.col(f"`{id_column}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id_column}`").cast("long").alias("doc"), _tag(text).alias("tag"), F.col(f"`{text}`").alias("text"))
-    sent = keyed.mapInArrow(lambda batches: _send(batches, width, buckets), _SENT)
-    found = sent.groupBy("bucket").applyInArrow(_reduce, _FOUND)
-    return found.groupBy(KEY, TAG).agg(F.collect_list("data").alias(FOUND))
+    sent = keyed.mapInArrow(lambda batches: _send(batches, width, buckets, parts), _SENT)
+    named = sent.groupBy("bucket").applyInArrow(lambda group: _reduce(group, parts), _NAMED)
+    return named.groupBy("part").applyInArrow(lambda group: _merge(group.select(["data"])), _FOUND)
 
 
 def _tag(text: str):
@@ -235,10 +254,9 @@ def remove_repeated_passages(docs: DataFrame, width: int = 13, id_column: str =
                 lost = 0
                 if found.is_valid:
                     edges = np.zeros(len(words) + 1, np.int32)
-                    for data in found.values.to_pylist():
-                        run = np.frombuffer(data, np.int32).reshape(-1, 2)
-                        np.add.at(edges, run[:, 0], 1)
-                        np.add.at(edges, run[:, 0] + run[:, 1] + (width - 1), -1)
+                    run = np.frombuffer(found.as_py(), np.int32).reshape(-1, 2)
+                    np.add.at(edges, run[:, 0], 1)
+                    np.add.at(edges, run[:, 0] + run[:, 1] + (width - 1), -1)
                     off = np.cumsum(edges[:-1]) > 0
                     lost = int(off.sum())
                     pairs = _runs(np.flatnonzero(off)).reshape(-1, 2).tolist()
