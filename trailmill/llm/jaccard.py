@@ -13,7 +13,7 @@ signatures over nothing out: it has a common signature over something with every
 partner. Without this, all small parts of a band would meet under one signature.
 
 Copies (equal sets) are one node. Signatures propose pairs of nodes; per group
-of equal signatures all pairs of up to four nodes and else stars around three
+of equal signatures all pairs of up to four nodes and else stars around two
 nodes, so that a group of thousands of near copies never makes its square. A
 lower bound on the difference (counts by domain cell) and then the sets
 themselves decide. Where a larger group is not yet one component after that,
@@ -39,7 +39,9 @@ from .hashing import mix, prefix_sums, windows, word_hashes
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 24 << 20
 SPARE = 2
-SKETCH = 128
+SKETCH = 256
+GROUP_BLOCK = 2048
+PAIR_ROWS = 256
 BROADCAST_ROWS = 1_000_000  # 16 MB at most
 _SIGNED = "bucket int, doc long, n long, fp long, sketch binary, data binary"
 _PAIRS = "a long, b long, members binary"
@@ -207,10 +209,12 @@ def _propose(group: pa.Table, like: Likeness) -> pa.Table:
         node = node[inside]
         count = count[large]
         start = np.cumsum(count) - count
-        for salt in (0x1, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-            rank = mix(fp[node].view(np.uint64) ^ np.uint64(salt))
-            least = np.minimum.reduceat(rank, start)
-            pivot = np.repeat(node[np.flatnonzero(rank == np.repeat(least, count))], count)
+        # The text that copies were made from shares a signature with each of them, so it is in most groups.
+        groups = np.bincount(node, minlength=len(fp))
+        chance = np.argsort(np.argsort(mix(fp.view(np.uint64))))
+        for rank in (groups * len(fp) + chance, chance):
+            most = np.maximum.reduceat(rank[node], start)
+            pivot = np.repeat(node[np.flatnonzero(rank[node] == np.repeat(most, count))], count)
             left.append(np.minimum(pivot, node))
             right.append(np.maximum(pivot, node))
         for own in np.split(node, start[1:]):
@@ -270,8 +274,12 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness
     return both.mapInArrow(lambda x: _decide(x, like), "a long, b long").distinct()
 
 
-def _across(members: DataFrame, known: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of members of one group that are in different components so far."""
+def _across(members: DataFrame, known: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs of members of one group that are in different components so far and may link.
+
+    Of each group the rows outside its largest component meet all its rows, in
+    blocks of bounded size; only pairs that pass the sketches leave a task.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,16 +288,45 @@ def _across(members: DataFrame, known: DataFrame, like: Likeness) -> DataFrame:
                 gid = [int(mix(np.array([np.bitwise_xor.reduce(mix(x[:, 0].view(np.uint64)))]))[0]) for x in lists]
                 flat = np.concatenate(lists)
                 group = np.repeat(np.array(gid, np.uint64).view(np.int64), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["g", "fp", "n"])
-
-    rows = members.mapInArrow(spread, "g long, fp long, n long").distinct()
-    placed = shared(rows.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("g", "fp", "n", F.coalesce("root", "fp").alias("c")))
-    split = placed.groupBy("g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g")
-    open_rows = placed.join(split, "g")
-    major = open_rows.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("top"))
-    minor = open_rows.join(major, "g").where("c <> top").select("g", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    pairs = minor.join(open_rows, "g").where((F.col("cx") != F.col("c")) & like.sizes_fit(F.col("nx"), F.col("n")))
-    return pairs.select(F.least("x", "fp").alias("a"), F.greatest("x", "fp").alias("b")).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(flat[:, 0])], names=["g", "fp"])
+
+    rows = members.mapInArrow(spread, "g long, fp long").distinct()
+    placed = shared(rows.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("g", "fp", F.coalesce("root", "fp").alias("c")))
+    split = placed.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    block = lambda fp: F.pmod(F.xxhash64(fp), F.col("blocks")).cast("int")
+    open_rows = placed.join(split, "g").select("g", "c", (F.col("c") != F.col("top")).alias("minor"), F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks"), "fp")
+    open_rows = open_rows.join(classes.select("fp", "n", "sketch"), "fp").withColumn("own", block("fp"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    row = F.struct("fp", "c", "n", "sketch")
+    left = open_rows.where("minor").withColumn("other", every).select("g", F.col("own").alias("i"), F.col("other").alias("j"), row.alias("x"), F.lit(None).alias("y"))
+    right = open_rows.withColumn("other", every).select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(None).alias("x"), row.alias("y"))
+    met = left.unionByName(right).groupBy("g", "i", "j").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).where("size(x) > 0").select("x", "y")
+    return met.mapInArrow(lambda batches: _may_link(batches, like), "a long, b long").distinct()
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows in different components that sizes and sketches allow to link; in: the outsiders and the members of a group's block."""
+    for batch in batches:
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(batch.num_rows):
+            x, y = (_columns(batch.column(i)[k].values) for i in (0, 1))
+            for at in range(0, len(x[0]), PAIR_ROWS):
+                fp, c, n, sketch = (v[at : at + PAIR_ROWS] for v in x)
+                i, j = np.nonzero((c[:, None] != y[1]) & like.sizes_fit(n[:, None], y[2]))
+                common = np.zeros(len(i), np.int64)
+                for to in range(0, len(i), 1 << 15):
+                    own = slice(to, to + (1 << 15))
+                    common[own] = (n[i[own]] + y[2][j[own]] - np.abs(sketch[i[own]] - y[3][j[own]]).sum(1)) // 2
+                keep = like.whole * common >= like.part * (n[i] + y[2][j] - common)
+                out_a.append(np.minimum(fp[i[keep]], y[0][j[keep]]))
+                out_b.append(np.maximum(fp[i[keep]], y[0][j[keep]]))
+        pair = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+
+def _columns(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    fp, c, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    return fp, c, n, np.frombuffer(b"".join(rows.field(3).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
 
 
 def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,7 +351,7 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "
     known = components(links)
     members = proposed.where("members IS NOT NULL").select("members")
     if members.limit(1).count():
-        more = shared(_across(members, known, like).join(tried, ["a", "b"], "left_anti"))
+        more = shared(_across(members, known, classes, like).join(tried, ["a", "b"], "left_anti"))
         if more.limit(1).count():
             known = components(links.unionAll(_links(keyed, classes, more, like)))
     placed = rows.select("doc", "n", "fp").join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc", "n", F.coalesce("root", "fp").alias("root"))
