@@ -1 +1 @@
-from . import catalog_queries, dataset_queries, graph_queries, sequence_queries, session_queries  # noqa: F401
+from . import action_queries, catalog_queries, dataset_queries, graph_queries, sequence_queries, session_queries  # noqa: F401
