@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, fidelity
 from ..operators import sessionize as S
-from .fixtures import CATALOG_SQL, EVENTS_SQL, catalog, provider_events, table
+from .fixtures import EVENTS_SQL, provider_events, table
 from .registry import register
 
 DWELL = 21_600_000
@@ -200,4 +200,3 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("join21_merge_scores", _scores, f"""WITH {STEPS_SQL}, t AS (SELECT side, session_id, {CODE} AS w, count(*) AS n, {PRIMARY} AS o FROM steps LEFT JOIN dom USING (action) GROUP BY ALL),
 p AS (SELECT r.session_id, CAST(r.o = s.o AS INTEGER) AS a, 1 - round(levenshtein(r.w, s.w) / greatest(r.n, s.n), 9) AS b FROM t r JOIN t s ON r.session_id = s.session_id AND r.side = 0 AND s.side = 1), l AS (SELECT session_id, n / 100 AS c FROM t WHERE side = 1)
 SELECT session_id, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / (CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER) + CAST(c IS NOT NULL AS INTEGER)), 6) AS mean, CAST(a IS NOT NULL AS INTEGER) + CAST(b IS NOT NULL AS INTEGER) + CAST(c IS NOT NULL AS INTEGER) AS n_scores FROM p FULL JOIN l USING (session_id)""")
-_ = CATALOG_SQL, catalog
