@@ -203,7 +203,7 @@ def centroid_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def hashed_text_vector(texts: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
-    """(key, v): word counts hashed into `size` places; stands where the reference asks a language model for a vector."""
+    """(key, v): word counts hashed into `size` places; stands in for a language model's vector."""
     words = texts.select(key, F.explode(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")).alias("w"))
     counts = words.groupBy(key, F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("i")).agg(F.count("*").cast("double").alias("c"))
     maps = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("m"))

@@ -50,7 +50,7 @@ def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("snk13_first_outcomes", _dump, "SELECT l_suppkey % 3 AS seed, l_orderkey AS example, min(l_partkey * 10 + l_linenumber) % 100 / 100 AS rr5 FROM lineitem GROUP BY ALL")
-register("agg39_feature_count", lambda s, d: table(s, d, "events").select("event_id", P.count_features()(F.when(F.col("event_id") % 3 == 0, '{"a":true,"b":[1,{"c":true}],"d":{"e":false}}').when(F.col("event_id") % 3 == 1, "[]").otherwise("{oops")).alias("n")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 4 ELSE 0 END AS n FROM events")
+register("agg39_feature_count", lambda s, d: table(s, d, "events").select("event_id", P.count_features()(F.when(F.col("event_id") % 3 == 0, '{"a":true,"b":[1,{"c":true}],"d":{"e":false}}').when(F.col("event_id") % 3 == 1, "[]").otherwise("{oops")).alias("n")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 4 ELSE 0 END::BIGINT AS n FROM events")
 register("env4_bounded_crawl", lambda s, d: graph.distances(edges(s, d), s.createDataFrame([("/products/p0",)], "node string"), most=2).select("node", "depth"), "WITH RECURSIVE " + GRAPH_SQL + ", walk(node, depth) AS (SELECT '/products/p0', 0 UNION SELECT ge.target, w.depth + 1 FROM walk w JOIN ge ON ge.source = w.node WHERE w.depth < 2) SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY node")
-register("src21_typed_variants", lambda s, d: table(s, d, "orders").select("o_orderkey", P.typed_variants(F.array(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, "1.50").otherwise("free").alias("price"), F.when(F.col("o_orderkey") % 3 == 0, True).alias("available")))).alias("v")).select("o_orderkey", F.col("v")[0]["price"].alias("price"), F.col("v")[0]["available"].alias("available")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1.5 END AS price, o_orderkey % 3 = 0 AS available FROM orders")
+register("src21_typed_variants", lambda s, d: table(s, d, "orders").select("o_orderkey", P.typed_variants(F.array(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.when(F.col("o_orderkey") % 2 == 0, "1.50").otherwise("free").alias("price"), F.when(F.col("o_orderkey") % 3 == 0, True).alias("available")))).alias("v")).select("o_orderkey", F.col("v")[0]["price"].alias("price"), F.col("v")[0]["available"].alias("available")), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 1.5 END::DOUBLE AS price, o_orderkey % 3 = 0 AS available FROM orders")
 register("src6_poll_dedup", lambda s, d: table(s, d, "pages").unionByName(table(s, d, "pages").where("page_id % 2 = 0")).select(F.coalesce(F.nullif("url", F.lit("")), F.col("page_id").cast("string")).alias("key"), "page_id").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("page_id"))).where("k = 1").select("key", "page_id"), "SELECT url AS key, min(page_id) AS page_id FROM pages GROUP BY url")

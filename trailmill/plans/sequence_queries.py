@@ -79,7 +79,7 @@ def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"), F.count_if(F.col("item") == F.col("negative")).alias("own"), F.max("rank").alias("most")).crossJoin(bad)
 
 
-register("smp8_negatives", _negatives, f"WITH {CLEAN_SQL} SELECT count(DISTINCT item) * 10 AS n, count(DISTINCT item) AS items, 0 AS own, 10 AS most, 0 AS clashes FROM m3")
+register("smp8_negatives", _negatives, f"WITH {CLEAN_SQL} SELECT count(DISTINCT item) * 10 AS n, count(DISTINCT item) AS items, 0::BIGINT AS own, 10 AS most, 0::BIGINT AS clashes FROM m3")
 register("join8_held_out", lambda s, d: halves(clean(s, d))[1].join(item_events(s, d).where("session % 3 = 0").select("session").distinct(), "session", "left_anti").select("session", "pos", "item"), f"WITH {CLEAN_SQL} SELECT session, pos, item FROM m3 WHERE session % 2 = 1 AND session NOT IN (SELECT session FROM items WHERE session % 3 = 0)")
 register("join9_paired_ids", lambda s, d: clean(s, d).select("session").distinct().join(item_events(s, d).where("store = 1").select("session").distinct(), "session", "left_semi"), f"WITH {CLEAN_SQL} SELECT DISTINCT session FROM m3 WHERE session IN (SELECT session FROM items WHERE store = 1)")
 register("set1_shared_items", lambda s, d: halves(clean(s, d))[0].select("item").intersect(halves(clean(s, d))[1].select("item")), f"WITH {CLEAN_SQL} SELECT item FROM m3 WHERE session % 2 = 0 INTERSECT SELECT item FROM m3 WHERE session % 2 = 1")
