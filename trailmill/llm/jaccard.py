@@ -13,12 +13,13 @@ signatures over nothing out: it has a common signature over something with every
 partner. Without this, all small parts of a band would meet under one signature.
 
 Copies (equal sets) are one node. Signatures propose pairs of nodes; per group
-of equal signatures all pairs of up to four nodes and else stars around two
-nodes, so that a group of thousands of near copies never makes its square. A
-lower bound on the difference (counts by domain cell) and then the sets
-themselves decide. Where a larger group is not yet one component after that,
-its pairs across components are decided in a second round, so no link between
-components is lost.
+of equal signatures a star around one node is decided first, then, across the
+components that this leaves, all pairs of groups of up to four nodes and a second
+star of larger ones, so that a group of thousands of near copies never makes its
+square. A lower bound on the difference (counts by domain cell) and then the
+sets themselves decide. Where a larger group is not yet one component after
+that, its pairs across components are decided in a last round, so no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ SKETCH = 256
 GROUP_BLOCK = 2048
 PAIR_ROWS = 256
 BROADCAST_ROWS = 1_000_000  # 16 MB at most
-_SIGNED = "bucket int, doc long, n long, fp long, sketch binary, data binary"
-_PAIRS = "a long, b long, members binary"
+_DESCRIBED = "doc long, n long, fp long, sketch binary"
+_SIGNED = "bucket int, data binary"
+_PAIRS = "a long, b long, first boolean, members binary"
 
 
 @dataclass(frozen=True)
@@ -144,16 +146,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.R
             at = to
 
 
-def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "doc", "n", "fp", "sketch", "data"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+def _describe(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Id, size, hash and sketch of each text's set; the hash of an empty set is null."""
     for block, texts in _blocks(batches, BLOCK_BYTES):
         value, n = shingle_sets(texts, like.words)
         fp = set_hashes(value, n).view(np.int64)
-        sketch = sketches(value, n)
+        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(fp, mask=n == 0), pa.array([x.tobytes() for x in sketches(value, n)], pa.binary())], names=["doc", "n", "fp", "sketch"])
+
+
+def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The signatures of each block's sets by range, 4 bytes each behind their sets' hashes and sizes."""
+    for _, texts in _blocks(batches, BLOCK_BYTES):
+        value, n = shingle_sets(texts, like.words)
+        fp = set_hashes(value, n).view(np.int64)
         rows = len(texts)
-        own = [pa.nulls(rows, pa.int32()), block.column(0), pa.array(n), pa.array(fp, mask=n == 0), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.nulls(rows, pa.binary())]
-        yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(own, kinds, strict=True)], names=names)
         # Copies inside a block sign once.
         _, first = np.unique(fp, return_index=True)
         single = np.zeros(rows, bool)
@@ -172,7 +178,7 @@ def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> It
             head = np.array([len(used), len(take)], np.int64).tobytes()
             out.append((b, head + fp[used].tobytes() + n[used].astype(np.int32).tobytes() + many.astype(np.int32).tobytes() + rest[take].tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.nulls(len(out), k) for k in kinds[1:5]), pa.array([x[1] for x in out], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "data"])
 
 
 def _propose(group: pa.Table, like: Likeness) -> pa.Table:
@@ -195,13 +201,14 @@ def _propose(group: pa.Table, like: Likeness) -> pa.Table:
     sig, node = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0)
     count = np.diff(np.append(start, len(sig)))
-    left, right = [], []
+    left: tuple[list, list] = ([], [])
+    right: tuple[list, list] = ([], [])
     for m in (2, 3, 4):
         rows = node[start[count == m][:, None] + np.arange(m)]
         for i in range(m):
             for j in range(i + 1, m):
-                left.append(rows[:, i])
-                right.append(rows[:, j])
+                left[i > 0].append(rows[:, i])
+                right[i > 0].append(rows[:, j])
     large = count > 4
     members: dict[bytes, None] = {}
     if large.any():
@@ -212,19 +219,24 @@ def _propose(group: pa.Table, like: Likeness) -> pa.Table:
         # The text that copies were made from shares a signature with each of them, so it is in most groups.
         groups = np.bincount(node, minlength=len(fp))
         chance = np.argsort(np.argsort(mix(fp.view(np.uint64))))
-        for rank in (groups * len(fp) + chance, chance):
+        for later, rank in enumerate((groups * len(fp) + chance, chance)):
             most = np.maximum.reduceat(rank[node], start)
             pivot = np.repeat(node[np.flatnonzero(rank[node] == np.repeat(most, count))], count)
-            left.append(np.minimum(pivot, node))
-            right.append(np.maximum(pivot, node))
+            left[later].append(np.minimum(pivot, node))
+            right[later].append(np.maximum(pivot, node))
         for own in np.split(node, start[1:]):
             members[own.astype(np.int32).tobytes()] = None
-    a, b = np.concatenate(left), np.concatenate(right)
-    use = (a != b) & like.sizes_fit(size[a], size[b])
-    pair = np.unique((a[use].astype(np.uint64) << np.uint64(32)) | b[use].astype(np.uint64))
-    a, b = fp[(pair >> np.uint64(32)).astype(np.int64)], fp[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    pairs = []
+    for a, b in zip(left, right, strict=True):
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        use = (a != b) & like.sizes_fit(size[a], size[b])
+        pair = np.unique((a[use].astype(np.uint64) << np.uint64(32)) | b[use].astype(np.uint64))
+        pairs.append((fp[(pair >> np.uint64(32)).astype(np.int64)], fp[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    first = np.arange(len(a)) < len(pairs[0][0])
     lists = [np.stack([fp[o], size[o]], 1).tobytes() for o in (np.frombuffer(x, np.int32) for x in members)]
-    return pa.table({"a": pa.array([*np.minimum(a, b).tolist(), *[None] * len(lists)], pa.int64()), "b": pa.array([*np.maximum(a, b).tolist(), *[None] * len(lists)], pa.int64()), "members": pa.array([*[None] * len(a), *lists], pa.binary())})
+    none = [None] * len(lists)
+    return pa.table({"a": pa.array([*np.minimum(a, b).tolist(), *none], pa.int64()), "b": pa.array([*np.maximum(a, b).tolist(), *none], pa.int64()), "first": pa.array([*first.tolist(), *none], pa.bool_()), "members": pa.array([*[None] * len(a), *lists], pa.binary())})
 
 
 def _near_enough(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -274,6 +286,13 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness
     return both.mapInArrow(lambda x: _decide(x, like), "a long, b long").distinct()
 
 
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components so far."""
+    root = lambda c: known.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
+
+
 def _across(members: DataFrame, known: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """Pairs of members of one group that are in different components so far and may link.
 
@@ -342,16 +361,21 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "
     """
     keyed = importable(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     buckets = bucket_count(text_bytes(keyed), RANGE_BYTES)
-    signed = shared(keyed.mapInArrow(lambda x: _sign(x, like, buckets), _SIGNED))
-    rows = signed.where("bucket IS NULL").select("doc", "n", "fp", "sketch")
+    rows = shared(keyed.mapInArrow(lambda x: _describe(x, like), _DESCRIBED))
     classes = shared(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc").alias("rep")))
-    proposed = shared(signed.where("bucket IS NOT NULL").select("bucket", "data").groupBy("bucket").applyInArrow(lambda x: _propose(x, like), _PAIRS))
-    tried = proposed.where("a IS NOT NULL").select("a", "b").distinct()
-    links = shared(_links(keyed, classes, tried, like))
+    signed = keyed.mapInArrow(lambda x: _sign(x, like, buckets), _SIGNED)
+    proposed = shared(signed.groupBy("bucket").applyInArrow(lambda x: _propose(x.select(["data"]), like), _PAIRS))
+    # Stars first: what they connect needs no other pair.
+    stars = proposed.where("first").select("a", "b").distinct()
+    links = shared(_links(keyed, classes, stars, like))
     known = components(links)
     members = proposed.where("members IS NOT NULL").select("members")
+    others = shared(_apart(proposed.where("NOT first").select("a", "b").distinct(), known).join(stars, ["a", "b"], "left_anti"))
+    if others.limit(1).count():
+        links = shared(links.unionAll(_links(keyed, classes, others, like)))
+        known = components(links)
     if members.limit(1).count():
-        more = shared(_across(members, known, classes, like).join(tried, ["a", "b"], "left_anti"))
+        more = shared(_across(members, known, classes, like).join(stars.unionAll(others), ["a", "b"], "left_anti"))
         if more.limit(1).count():
             known = components(links.unionAll(_links(keyed, classes, more, like)))
     placed = rows.select("doc", "n", "fp").join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc", "n", F.coalesce("root", "fp").alias("root"))
