@@ -22,25 +22,37 @@ LASSO = 0.002
 STEPS = 400
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a text by name; all are 0 for null and empty texts, none is null."""
+def _bind(values: dict[str, Column], then) -> Column:
+    """`then` of the values, each computed once however often it is used; where the optimizer puts the result does not matter."""
+    one = F.array(F.struct(*[c.alias(n) for n, c in values.items()]))
+    return F.element_at(F.transform(one, lambda s: then({n: s[n] for n in values})), 1)
+
+
+def statistics(text: Column, then) -> Column:
+    """`then` of the statistics of a text by name; all are 0 for null and empty texts, none is null."""
     text = F.coalesce(text, F.lit(""))
-    chars = F.length(text)
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
+
+    def shares(v: dict[str, Column]) -> Column:
+        t, chars, n_words = v["text"], v["chars"], v["n_words"]
+        kept = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
+        without = lambda some: F.length(F.translate(t, some, ""))
+        stats = {
+            "log_chars": F.log1p(chars.cast("double")),
+            "upper": over(chars - kept(r"[A-ZÀ-ÖØ-Þ]+"), chars),
+            "marks": over(chars - kept(r"[^\p{L}\p{N}\s.,;:'\"()?-]+"), chars),
+            "stops": over(chars - without(".,;:?"), chars),
+            "digits": over(chars - without("0123456789"), chars),
+            "lines": over(chars - without("\n"), n_words),
+            "word_length": over(chars, n_words),
+            "distinct": over(v["n_distinct"], n_words),
+            "distinct_root": over(v["n_distinct"], F.sqrt(n_words)),
+        }
+        return _bind(stats, then)
+
     words = F.split(F.trim(F.regexp_replace(text, r"[\x09-\x0D]", " ")), " +")
-    n_words = F.size(words)
-    over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    kept = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
-    return {
-        "log_chars": F.log1p(chars.cast("double")),
-        "upper": over(chars - kept(r"[A-ZÀ-ÖØ-Þ]+"), chars),
-        "marks": over(chars - kept(r"[^\p{L}\p{N}\s.,;:'\"()?-]+"), chars),
-        "stops": over(chars - F.length(F.translate(text, ".,;:?", "")), chars),
-        "digits": over(chars - F.length(F.translate(text, "0123456789", "")), chars),
-        "lines": over(chars - F.length(F.translate(text, "\n", "")), n_words),
-        "word_length": over(chars, n_words),
-        "distinct": over(F.size(F.array_distinct(words)), n_words),
-        "distinct_root": over(F.size(F.array_distinct(words)), F.sqrt(n_words)),
-    }
+    count = lambda v: _bind({"text": v["text"], "chars": F.length(v["text"]), "n_words": F.size(v["words"]), "n_distinct": F.size(F.array_distinct(v["words"]))}, shares)
+    return _bind({"text": text, "words": words}, count)
 
 
 NAMES = tuple(["log_chars", "upper", "marks", "stops", "digits", "lines", "word_length", "distinct", "distinct_root"])
@@ -165,14 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__label"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(most)  # `most` rows: safe to broadcast
-    stats = statistics(F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`")).join(F.broadcast(chosen), "__id").select("__id", "__label", *[stats[n].cast("double").alias(n) for n in NAMES]).limit(2 * most)
+    stats = statistics(F.col(f"`{text}`"), lambda v: F.struct(*[v[n].alias(n) for n in NAMES]))
+    rows = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`")).join(F.broadcast(chosen), "__id").select("__id", "__label", stats.alias("s")).limit(2 * most).select("__id", "__label", "s.*")
     data = np.array([tuple(r) for r in sorted(rows.collect(), key=tuple)], float).reshape(-1, 2 + len(NAMES))
     return fit_rules(data[:, 2:], data[:, 1])
 
 
 def with_score(docs: DataFrame, model: RuleEnsemble, text: str = "text", column: str = "score") -> DataFrame:
     """The frame with the model's score of each whole text; a column named like `column` is replaced. Null and empty texts are scored as empty."""
-    stats = statistics(F.col(f"`{text}`"))
-    own = {f"__stat_{n}": stats[n].cast("double") for n in NAMES}
-    return docs.withColumns(own).withColumn(column, model.score({n: F.col(f"__stat_{n}") for n in NAMES})).drop(*own)
+    # A column that can't be null needs no second evaluation to test for it in a filter.
+    return docs.withColumn(column, F.coalesce(statistics(F.col(f"`{text}`"), model.score), F.lit(0.0)))
