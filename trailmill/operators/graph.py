@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, dot
 
 
-def distances(edges: DataFrame, start: DataFrame, most: int = 64) -> DataFrame:
-    """(source, node, depth): shortest paths from the start nodes along (source, target) edges, up to `most` steps.
+def _cut(df: DataFrame) -> DataFrame:
+    """The frame computed once, kept in spark.checkpoint.dir; where none is set, by the executors."""
+    context = df.sparkSession.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if folder and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
+    return df.localCheckpoint() if context._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+
+
+def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(source, node, depth): shortest paths from the start nodes along (source, target) edges, up to `most` steps if it is given.
 
-    A frontier join a step; only new nodes go on.
+    A frontier join a step; only new nodes go on, until there are none. Lineage
+    is cut each step, so that long paths don't make long plans.
     """
-    seen = start.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("depth"))
+    seen = _cut(start.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("depth")))
     frontier = seen
-    e = edges.select("source", "target").distinct().select(F.col("source").alias("node"), "target")
-    for depth in range(1, most + 1):
-        step = frontier.select("source", "node").join(e, "node").select("source", F.col("target").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)).cache()
-        if step.limit(1).count() == 0:
+    e = _cut(edges.select("source", "target").distinct().select(F.col("source").alias("node"), "target"))
+    for depth in range(1, most + 1) if most is not None else count(1):
+        step = frontier.select("source", "node").join(e, "node").select("source", F.col("target").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        step = _cut(step)
+        if step.isEmpty():
             break
         seen, frontier = seen.unionByName(step), step
+        if depth % 8 == 0:
+            seen = _cut(seen)
     return seen
 
 

@@ -45,7 +45,7 @@ ge AS (SELECT DISTINCT source, target FROM steps WHERE target IS NOT NULL AND so
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
-    rows = emitted(spark, sf_dir).where("page <> '' AND session_id % 40 = 0")
+    rows = emitted(spark, sf_dir).where("page <> ''")
     nxt = F.lead("page").over(Window.partitionBy("session_id").orderBy("ord"))
     return rows.select(F.col("page").alias("source"), nxt.alias("target")).where("target IS NOT NULL AND source <> target").distinct()
 
