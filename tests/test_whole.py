@@ -80,3 +80,14 @@ def test_distances_beyond_64_steps(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(70)], "source long, target long")
     start = spark.createDataFrame([(0,)], "node long")
     assert {r.node: r.depth for r in graph.distances(path, start).collect()} == {i: i for i in range(71)}
+
+
+def test_target_reward_takes_whole_texts(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    a, b = "x" * 100 + "a run that both texts share", "y" * 130 + "a run that both texts share"
+    texts = [(0, a, b), (1, a, a), (2, "z" * 90, "z" * 200), (3, "short", "sort"), (4, "", "")]
+    spark.createDataFrame([(i, k, "user", t) for i, *p in texts for k, t in enumerate(p)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r.reward for r in registry.queries()["rwd1_target_reward"](spark, str(tmp_path)).collect()}
+    share = lambda x, y: 2 * SequenceMatcher(None, x, y, False).find_longest_match().size / len(x + y) if x + y else 1.0
+    assert got == pytest.approx({i: 0.6 * share(x, y) + 0.1 * (i % 2 == 0) + 0.3 * (x == y) for i, x, y in texts})

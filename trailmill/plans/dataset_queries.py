@@ -89,7 +89,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("str_token_f1", lambda s, d: R.token_f1(_pairs(s, d), "conv_id", "a", "b"), r"""WITH p AS (SELECT x.conv_id, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1),
 w AS (SELECT conv_id, 0 AS s, unnest(regexp_split_to_array(lower(a), '\s+')) AS w FROM p UNION ALL SELECT conv_id, 1, unnest(regexp_split_to_array(lower(b), '\s+')) FROM p), c AS (SELECT conv_id, w, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y FROM w WHERE w <> '' GROUP BY ALL)
 SELECT conv_id, round(2 * sum(least(x, y)) / (sum(x) + sum(y)), 9) AS f1 FROM c GROUP BY conv_id""")
-register("rwd1_target_reward", lambda s, d: _pairs(s, d).select("conv_id", F.round(R.target_reward(R.similar_share(F.substring("a", 1, 80), F.substring("b", 1, 80)), F.col("conv_id") % 2 == 0, F.col("a") == F.col("b")), 9).alias("reward")))
+register("rwd1_target_reward", lambda s, d: _pairs(s, d).select("conv_id", F.round(R.target_reward(R.similar_share(F.col("a"), F.col("b")), F.col("conv_id") % 2 == 0, F.col("a") == F.col("b")), 9).alias("reward")))
 register("rwd3_composite_reward", lambda s, d: table(s, d, "events").select("event_id", F.round(R.composite_reward(F.col("event_id") % 11 != 0, F.col("event_id") % 3 != 0, F.col("value") / 1000, F.col("event_id") % 2 == 0), 6).alias("reward")), "SELECT event_id, round(CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 0.1 WHEN event_id % 2 = 0 THEN 0.1::DOUBLE + 0.3::DOUBLE + 0.6::DOUBLE * (value / 1000) ELSE 1 END, 6) AS reward FROM events")
 
 
