@@ -91,3 +91,7 @@ def test_target_reward_takes_whole_texts(spark, tmp_path):
     got = {r.conv_id: r.reward for r in registry.queries()["rwd1_target_reward"](spark, str(tmp_path)).collect()}
     share = lambda x, y: 2 * SequenceMatcher(None, x, y, False).find_longest_match().size / len(x + y) if x + y else 1.0
     assert got == pytest.approx({i: 0.6 * share(x, y) + 0.1 * (i % 2 == 0) + 0.3 * (x == y) for i, x, y in texts})
+
+
+def test_holm_over_all_parts(spark, con):
+    assert rows(registry.queries()["sta5_holm"](spark, DATA)) == unfiltered(con, "sta5_holm", " WHERE p_partkey <= 200")

@@ -94,7 +94,7 @@ register("rwd3_composite_reward", lambda s, d: table(s, d, "events").select("eve
 
 
 def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_type").alias("family"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_partkey") % 37 / 400).alias("p"))
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("family"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_partkey") % 37 / 400).alias("p"))
 
 
 register("sta5_holm", lambda s, d: R.holm(_ps(s, d), "p", "family").withColumn("adjusted", F.round("adjusted", 9)).withColumn("p", F.round("p", 9)), """WITH q AS (SELECT p_type AS family, p_partkey::VARCHAR AS name, p_partkey % 37 / 400 AS p FROM part WHERE p_partkey <= 200),
