@@ -95,3 +95,15 @@ def test_target_reward_takes_whole_texts(spark, tmp_path):
 
 def test_holm_over_all_parts(spark, con):
     assert rows(registry.queries()["sta5_holm"](spark, DATA)) == unfiltered(con, "sta5_holm", " WHERE p_partkey <= 200")
+
+
+def test_price_order_of_all_sessions(spark, con):
+    assert rows(registry.queries()["srt3_price_nulls_last"](spark, DATA)) == unfiltered(con, "srt3_price_nulls_last", " WHERE session_id % 20 = 0")
+
+
+def test_tokens_of_all_languages(spark):
+    import re
+
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: len({w for w in re.findall("[a-z0-9]+", r.text.lower()) if len(w) >= 3 and w not in ("the", "and")}) for r in texts}
+    assert {r.doc_id: r.n for r in registry.queries()["fn_tokens"](spark, DATA).collect()} == want

@@ -28,7 +28,7 @@ register("fn_links", lambda s, d: table(s, d, "pages").select("page_id", F.array
 register("flt16_admissible_links", lambda s, d: table(s, d, "pages").select("page_id", F.explode(X.links(F.col("html"))).alias("link")).where(X.admissible_link(F.col("link"), ["example.org"])).groupBy("page_id").agg(F.count("*").alias("n")), r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages), p AS (SELECT page_id, lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h, regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM l)
 SELECT page_id, count(*) AS n FROM p WHERE s IN ('', 'http', 'https') AND h IN ('', 'example.org') AND NOT regexp_matches(p, '^/(cdn|assets|static)/|\.(png|jpe?g|gif|svg|css|js|ico|webp|pdf)$|:') GROUP BY page_id""")
 register("flt16_resolve_link", lambda s, d: table(s, d, "pages").select("page_id", X.resolve_link()(F.col("url"), F.lit("../x?y=1")).alias("u")))
-register("fn_tokens", lambda s, d: table(s, d, "documents").where("lang = 'en'").select("doc_id", F.size(X.tokens(F.col("text"), ["the", "and"])).alias("n")), "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w : length(w) >= 3 AND w NOT IN ('the', 'and')))::INTEGER AS n FROM documents WHERE lang = 'en'")
+register("fn_tokens", lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"), ["the", "and"])).alias("n")), "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w : length(w) >= 3 AND w NOT IN ('the', 'and')))::INTEGER AS n FROM documents WHERE lang = 'en'")
 ANSWER = "CASE event_id % 4 WHEN 0 THEN '{\"action\":\"' || event_type || '\",\"target\":\"t\"}' WHEN 1 THEN '{\"action\":{\"action\":\"' || event_type || '\",\"target\":\"u\"}}' WHEN 2 THEN '{broken' ELSE '{\"action\":\"x\"}' END"
 register("prj20_generated_action", lambda s, d: table(s, d, "events").selectExpr("event_id", f"{ANSWER} AS t").select("event_id", X.generated_action(F.col("t")).alias("r"), X.has_exact_keys(F.col("t"), ["action"]).alias("only_action")).select("event_id", "r.action", "r.target", "only_action"), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 3 THEN 'x' END AS action, CASE event_id % 4 WHEN 0 THEN 't' WHEN 1 THEN 'u' END AS target, event_id % 4 IN (1, 3) AS only_action FROM events")
 register("prj21_store_of", lambda s, d: table(s, d, "events").select("event_id", X.store_of(F.when(F.col("event_id") % 3 == 0, "9").otherwise(""), F.lit("none"), F.concat(F.lit("shop-"), F.col("user_id").cast("string"))).alias("store")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '9' ELSE user_id::VARCHAR END AS store FROM events")
