@@ -107,3 +107,20 @@ def test_tokens_of_all_languages(spark):
     texts = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
     want = {r.doc_id: len({w for w in re.findall("[a-z0-9]+", r.text.lower()) if len(w) >= 3 and w not in ("the", "and")}) for r in texts}
     assert {r.doc_id: r.n for r in registry.queries()["fn_tokens"](spark, DATA).collect()} == want
+
+
+def test_recommendations_for_all_products(spark, con):
+    assert rows(registry.queries()["top3_recommendations"](spark, DATA)) == unfiltered(con, "top3_recommendations", " WHERE product_id % 40 = 1")
+
+
+def test_recommendations_of_repeated_and_missing_tags(spark):
+    from trailmill.operators import catalog
+
+    given = [("a", 1, "t", ["X", "y"]), ("b", 2, "t", ["x", "X", "q"]), ("c", 3, None, ["Y"]), ("d", 4, "u", []), ("e", 5, "t", None), ("f", 6, "u", ["y", "x"]), ("g", 7, "t", ["x", "Y"])]
+    products = spark.createDataFrame(given, "product_handle string, place int, product_type string, tags array<string>")
+    want = []
+    for h, _, kind, tags in given:
+        own = {x.lower() for x in tags or []}
+        best = sorted((-1000 * (kind is not None and k == kind) - sum(x.lower() in own for x in g), p, n) for n, p, k, g in given if n != h and g is not None)
+        want += [(h, i + 1, n, -s) for i, (s, _, n) in enumerate([x for x in best if x[0] < 0][:2])]
+    assert sorted(map(tuple, catalog.recommendations(products, products, 2).collect())) == sorted(want)

@@ -108,12 +108,25 @@ def predictive(results: DataFrame, limit: int = 10, each: bool = False) -> DataF
 
 
 def recommendations(catalog: DataFrame, target: DataFrame, k: int = 4) -> DataFrame:
-    """For each target the k other products of highest similarity: 1000 for its type, and one for each tag that it shares; ties by place."""
-    t = target.select(F.col("product_handle").alias("target"), F.col("product_type").alias("__type"), F.transform("tags", F.lower).alias("__tags"))
-    both = catalog.join(F.broadcast(t), F.col("product_handle") != F.col("target"))  # targets are a stated few
-    score = F.when(F.col("product_type") == F.col("__type"), 1000).otherwise(0) + F.size(F.filter("tags", lambda x: F.array_contains(F.col("__tags"), F.lower(x))))
-    w = Window.partitionBy("target").orderBy(F.desc("score"), "place")
-    return both.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("target", "rank", "product_handle", "score")
+    """For each target the k other products of highest similarity: 1000 for its type, and one for each tag that it shares; ties by place.
+
+    Products of equal type and tags score alike, so scores are taken between such
+    kinds that have a type or tag in common; of a kind the first k + 1 products
+    are enough, one of them being the target at most. Handles are unique.
+    """
+    tags = F.array_sort(F.transform("tags", F.lower))
+    c = catalog.select("product_handle", "place", "product_type", tags.alias("__ctags")).withColumn("__ckind", F.to_json(F.struct("product_type", "__ctags")))
+    t = target.select(F.col("product_handle").alias("target"), F.col("product_type").alias("__type"), tags.alias("__tags")).withColumn("__kind", F.to_json(F.struct("__type", "__tags")))
+    of = lambda kind, own: F.explode(F.array_union(F.array(F.concat(F.lit("type:"), F.col(kind))), F.coalesce(F.transform(own, lambda x: F.concat(F.lit("tag:"), x)), F.array().cast("array<string>")))).alias("__token")
+    ckinds, kinds = c.select("__ckind", "product_type", "__ctags").distinct(), t.select("__kind", "__type", "__tags").distinct()
+    near = kinds.select("__kind", of("__type", "__tags")).join(ckinds.select("__ckind", of("product_type", "__ctags")), "__token").select("__kind", "__ckind").distinct()
+    score = F.when(F.col("product_type") == F.col("__type"), 1000).otherwise(0) + F.size(F.filter("__ctags", lambda x: F.array_contains(F.col("__tags"), x)))
+    scored = near.join(kinds, "__kind").join(ckinds, "__ckind").select("__kind", "__ckind", score.alias("score")).where("score > 0")
+    first = c.withColumn("__n", F.row_number().over(Window.partitionBy("__ckind").orderBy("place"))).where(F.col("__n") <= k + 1).select("__ckind", "product_handle", "place")
+    order = (F.desc("score"), "place")
+    best = scored.join(first, "__ckind").withColumn("__n", F.row_number().over(Window.partitionBy("__kind").orderBy(*order))).where(F.col("__n") <= k + 1)
+    both = t.select("target", "__kind").join(best, "__kind").where("product_handle <> target")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*order))).where(F.col("rank") <= k).select("target", "rank", "product_handle", "score")
 
 
 def collection_products(collections: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ for _key, _col in (("TITLE", "product_title"), ("PRICE", "price"), ("VENDOR", "v
 register("pag1_cursor_page", lambda s, d: C.page(C.sort_products(placed(s, d), "PRICE"), first=7, after="Y3Vyc29yOjQ=").select("product_handle", "index", "cursor"), f"WITH {PLACED_SQL}, r AS (SELECT product_handle, (row_number() OVER (ORDER BY price, place) - 1)::INTEGER AS index FROM pl) SELECT product_handle, index, base64(('cursor:' || index)::BLOB) AS cursor FROM r WHERE index BETWEEN 5 AND 11")
 register("pag1_last_page", lambda s, d: C.page(C.sort_products(placed(s, d), "PRICE"), last=3, before="Y3Vyc29yOjEw").select("product_handle", "index"), f"WITH {PLACED_SQL}, r AS (SELECT product_handle, (row_number() OVER (ORDER BY price, place) - 1)::INTEGER AS index FROM pl) SELECT product_handle, index FROM r WHERE index BETWEEN 7 AND 9")
 register("pag2_predictive", lambda s, d: C.predictive(C.sort_products(placed(s, d), "PRICE").withColumn("kind_order", F.col("place") % 3), 4, each=True).select("kind_order", "product_handle"), f"WITH {PLACED_SQL} SELECT kind_order, product_handle FROM (SELECT place % 3 AS kind_order, product_handle, row_number() OVER (PARTITION BY place % 3 ORDER BY price, place) AS k FROM pl) WHERE k <= 4")
-register("top3_recommendations", lambda s, d: C.recommendations(placed(s, d), placed(s, d).where("product_id % 40 = 1")), f"""WITH {PLACED_SQL}, t AS (SELECT product_handle AS target, product_type AS tt, list_transform(tags, lambda x : lower(x)) AS ttags FROM pl WHERE product_id % 40 = 1),
+register("top3_recommendations", lambda s, d: C.recommendations(placed(s, d), placed(s, d)), f"""WITH {PLACED_SQL}, t AS (SELECT product_handle AS target, product_type AS tt, list_transform(tags, lambda x : lower(x)) AS ttags FROM pl WHERE product_id % 40 = 1),
 s AS (SELECT target, product_handle, place, CASE WHEN product_type = tt THEN 1000 ELSE 0 END + len(list_filter(tags, lambda x : list_contains(ttags, lower(x)))) AS score FROM pl JOIN t ON product_handle <> target)
 SELECT target, rank, product_handle, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, place)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 4""")
 
