@@ -107,7 +107,7 @@ b AS (SELECT r AS replicate, sum(t * w) / sum(c * w) AS value FROM w GROUP BY r)
 
 def _boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = provider_events(spark, sf_dir).groupBy("session_id").agg(F.sum(F.coalesce("price", F.lit(0.0))).alias("t"), F.count("*").alias("c"))
-    return R.bootstrap(st, "session_id", "t", "c", 20)
+    return R.bootstrap(st, "session_id", "t", "c", 10_000)
 
 
 register("sta1_3_bootstrap", lambda s, d: _boot(s, d).select(F.col("replicate").cast("long").alias("replicate"), F.round("value", 6).alias("value")), f"WITH {BOOT_SQL} SELECT replicate, round(value, 6) AS value FROM b")
@@ -116,7 +116,7 @@ register("sta4_interval", lambda s, d: R.interval(_boot(s, d)), f"WITH {BOOT_SQL
 
 def _permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = provider_events(spark, sf_dir).groupBy("session_id").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    return R.permutation_p(e, "session_id", "a", "b", 50).select(F.round("difference", 6).alias("difference"), F.round("p", 9).alias("p"))
+    return R.permutation_p(e, "session_id", "a", "b", 10_000).select(F.round("difference", 6).alias("difference"), F.round("p", 9).alias("p"))
 
 
 register("sta2_permutation", _permutation, f"""WITH {EVENTS_SQL}, e AS (SELECT session_id, count(*) FILTER (side = 0) - count(*) FILTER (side = 1) AS d FROM ev GROUP BY session_id), b AS (SELECT avg(d) AS m FROM e),
