@@ -24,12 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import importable
-from .hashing import Powers, mix, prefix_sums
+from .hashing import mix, prefix_sums
 
 CHUNK_CHARS = 1 << 19
-CACHE_TOKENS = 1_000_000
+CACHE_SPANS, CACHE_CHARS = 400_000, 16 << 20
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
-CHAR_POWERS = Powers(0xC2B2AE3D27D4EB4F | 1)
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
 
 
@@ -41,11 +40,13 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
-def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points; it depends on the span's content alone."""
-    up, down = CHAR_POWERS.to(len(points) + 1)
-    sums = prefix_sums(mix(points.astype(np.uint64)) * down[: len(points)])
-    return mix(((sums[ends] - sums[starts]) * up[starts]) ^ ((ends - starts).astype(np.uint64) << np.uint64(44)))
+def span_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A value of each span of code points that spans of equal content share; others may, so it only proposes equal ones."""
+    place = np.arange(len(points), dtype=np.uint64)
+    sums = prefix_sums(mix(points.astype(np.uint64)) * (np.uint64(2) * place + np.uint64(1)))
+    plain = prefix_sums(mix(points.astype(np.uint64)))
+    moved = (sums[ends] - sums[starts]) - (plain[ends] - plain[starts]) * (np.uint64(2) * starts.astype(np.uint64))
+    return mix(moved ^ ((ends - starts).astype(np.uint64) << np.uint64(44)))
 
 
 def cut_chars(text: str, most: int) -> Iterator[str]:
@@ -63,43 +64,55 @@ def cut_chars(text: str, most: int) -> Iterator[str]:
 
 
 class SpanTable:
-    """Encodings of distinct spans by hash, kept in flat arrays; refilled from `encode` when a span is new.
+    """Encodings of distinct spans by their text, kept in flat arrays; refilled from `encode` when a span is new.
 
-    `fixed` spans stay; of the others at most `most` are held, then they are dropped and met anew.
+    `fixed` spans stay; the others are held up to bounds of number and characters, then they are dropped and met anew.
     """
 
-    def __init__(self, most: int = CACHE_TOKENS):
-        self.most = most
-        self.index: dict[int, int] = {}
+    def __init__(self, most: int = CACHE_SPANS, chars: int = CACHE_CHARS):
+        self.most, self.chars = most, chars
+        self.known: dict[str, int] = {}
+        self.new: dict[str, int] = {}
+        self.held = 0
         self.begins = array("q", [0])
         self.ids = array("I")
         self.fixed = self.fixed_ids = 0
 
     def fix(self, spans: list[str], ids: list[list[int]]) -> None:
-        points = np.frombuffer("".join(spans).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum([len(s) for s in spans])
-        for h, own in zip(span_hashes(points, ends - [len(s) for s in spans], ends).tolist(), ids, strict=True):
-            self.add(h, own)
-        self.fixed, self.fixed_ids = len(self.index), len(self.ids)
-
-    def add(self, key: int, ids: list[int]) -> int:
-        row = self.index[key] = len(self.begins) - 1
+        for span, own in zip(spans, ids, strict=True):
+            self.known[span] = self._append(own)
+        self.fixed, self.fixed_ids = len(self.begins) - 1, len(self.ids)
+
+    def _append(self, ids: list[int]) -> int:
         self.ids.extend(ids)
         self.begins.append(len(self.ids))
-        return row
+        return len(self.begins) - 2
+
+    def row(self, span: str, encode) -> int:
+        out = self.known.get(span)
+        if out is None and (out := self.new.get(span)) is None:
+            out = self.new[span] = self._append(encode(span))
+            self.held += len(span)
+        return out
 
     def look_up(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """The row and the number of ids of each span."""
-        if len(self.index) - self.fixed > self.most:
-            self.index = {k: v for k, v in self.index.items() if v < self.fixed}
+        """The row and the number of ids of each span; the spans follow each other without gaps.
+
+        Spans of equal key are compared character by character with the first
+        of them; those that differ are looked up by themselves.
+        """
+        if len(self.new) > self.most or self.held > self.chars:
+            self.new, self.held = {}, 0
             del self.begins[self.fixed + 1 :], self.ids[self.fixed_ids :]
-        distinct, first, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        keys, get = distinct.tolist(), self.index.get
-        rows = [get(h, -1) for h in keys]
-        new = [i for i, r in enumerate(rows) if r < 0]
-        for i, a, b in zip(new, starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
-            rows[i] = self.add(keys[i], encode(text[a:b]))
-        rows = np.array(rows, np.int64)[inverse]
+        _, first, inverse = np.unique(span_keys(points, starts, ends), return_index=True, return_inverse=True)
+        size = ends - starts
+        other = size != size[first][inverse]
+        shift = np.where(other, 0, starts[first][inverse] - starts)
+        place = np.arange(starts[0], ends[-1]) + np.repeat(shift, size)
+        other |= np.logical_or.reduceat(points[place] != points[starts[0] : ends[-1]], starts - starts[0])
+        rows = np.array([self.row(text[a:b], encode) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)], np.int64)[inverse]
+        for i in np.flatnonzero(other).tolist():
+            rows[i] = self.row(text[starts[i] : ends[i]], encode)
         begins = np.frombuffer(self.begins, np.int64)
         return rows, begins[rows + 1] - begins[rows]
 
@@ -112,7 +125,7 @@ class SpanTable:
 class ByteBpe:
     """Exact ids and counts of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: np.ndarray | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -124,22 +137,24 @@ class ByteBpe:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         self.table = SpanTable()
-        strings, ids = self.whole_tokens()
-        self.table.fix(strings, [[i] for i in ids])
+        strings = self.text_strings()
+        self.proven = self.prove(strings) if proven is None else proven
+        self.table.fix([strings[i] for i in self.proven.tolist()], [[i] for i in self.proven.tolist()])
 
-    def whole_tokens(self) -> tuple[list[str], list[int]]:
-        """The vocabulary strings that are text by themselves and that the merges alone turn into their own one token."""
+    def text_strings(self) -> dict[int, str]:
+        """The vocabulary strings that are text by themselves, by id."""
         back = {c: b for b, c in enumerate(self.alphabet)}
-        strings, ids = [], []
+        out = {}
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
-            proof = self.model.tokenize(token)
-            if len(proof) == 1 and proof[0].id == i:
-                try:
-                    strings.append(bytes(back[c] for c in token).decode("utf-8"))
-                    ids.append(i)
-                except (KeyError, UnicodeDecodeError):
-                    continue
-        return strings, ids
+            try:
+                out[i] = bytes(back[c] for c in token).decode("utf-8")
+            except (KeyError, UnicodeDecodeError):
+                continue
+        return out
+
+    def prove(self, strings: dict[int, str]) -> np.ndarray:
+        """The ids of those strings that the merges alone turn into their own one token."""
+        return np.array([i for i, s in strings.items() if self.merge(s) == [i]], np.int32)
 
     def merge(self, pretoken: str) -> list[int]:
         """The ids of one pre-token by the model's merges."""
@@ -250,10 +265,10 @@ class ByteBpe:
 _LOADED: dict[str, ByteBpe] = {}
 
 
-def loaded(path: str) -> ByteBpe:
-    """The tokenizer of this process."""
+def loaded(path: str, proven: np.ndarray | None = None) -> ByteBpe:
+    """The tokenizer of this process; what another one has proven of the same file is not proved again."""
     if path not in _LOADED:
-        _LOADED[path] = ByteBpe(path)
+        _LOADED[path] = ByteBpe(path, proven)
     return _LOADED[path]
 
 
@@ -261,16 +276,20 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", column: str = "
     """The frame with the number of tokens of each whole text in `column`.
 
     path: a byte-level BPE .json of the tokenizers library, the same path on all
-    machines. Null and empty texts count 0. A column of the frame that is named
-    like `column` is replaced; all others stay. One narrow stage, no shuffle:
-    each task holds one Arrow batch and a bounded cache.
+    machines. The driver proves the whole tokens once; tasks get the proven ids.
+    Null and empty texts count 0; repeated rows and ids are counted row by row. A
+    text of any length is read in pieces cut at blanks, one without blanks as
+    one pre-token. A column of the frame that is named like `column` is replaced;
+    all others stay. An empty table gives an empty one. One narrow stage, no
+    shuffle: each task holds one Arrow batch and a bounded cache.
     """
+    proven = loaded(path).proven
     fields = [f for f in docs.schema.fields if f.name not in (text, column)]
     keep = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField(column, T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, proven)
         for batch in batches:
             texts = pc.fill_null(batch.column(batch.num_columns - 1), "").to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bpe.counts(texts))], names=[*keep, column])

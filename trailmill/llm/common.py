@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,23 +25,42 @@ def importable(df: DataFrame) -> DataFrame:
     return df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir or has set as its checkpoint folder; one machine alone may use its warehouse."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        known = context._jsc.sc().getCheckpointDir()
+        if not known.isEmpty():
+            return known.get()
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+    return folder
+
+
 def shared(df: DataFrame) -> DataFrame:
-    """The frame computed once and kept in the shared checkpoint folder.
+    """The frame computed once, written to the shared folder as Parquet and read again.
 
-    A lost executor costs the tasks that it ran, never what was already
-    written. The folder is the cluster's; only where none is set (tests on one
-    machine) a temporary one is used.
+    A lost executor costs the tasks that it ran, never what was already written;
+    lineage ends at the written table. `release` deletes it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="trailmill-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/trailmill-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trailmill_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Deletes the written tables of frames that came from `shared`; nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_trailmill_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:

@@ -2,24 +2,31 @@
 
 Sets whose similarity reaches the threshold have sizes in the same or in
 neighbouring bands. In one band instance two such sets differ in at most k
-elements. The feature domain (64-bit hashes) is cut into n1 parts of three cells
-each; of n1 >= (k+1)/2 parts at least one has one difference at most, so at
-least two of its three cells are equal. A signature is a part with one cell left
-out: the hash of all elements in the other two. Linked sets share one.
-
-`SPARE` more parts than needed are cut, so linked sets agree in that many more
-parts. A set in which no more than `SPARE` parts have two empty cells can leave
-signatures over nothing out: it has a common signature over something with every
-partner. Without this, all small parts of a band would meet under one signature.
-
-Copies (equal sets) are one node. Signatures propose pairs of nodes; per group
-of equal signatures a star around one node is decided first, then, across the
-components that this leaves, all pairs of groups of up to four nodes and a second
-star of larger ones, so that a group of thousands of near copies never makes its
-square. A lower bound on the difference (counts by domain cell) and then the
-sets themselves decide. Where a larger group is not yet one component after
-that, its pairs across components are decided in a last round, so no link
-between components is lost.
+elements. The feature domain (64-bit hashes) is cut into parts of three cells
+each; of (k+1)/2 parts at least one has one difference at most, so at least two
+of its three cells are equal. A signature is a part with one cell left out: the
+hash of all elements in the other two. Linked sets share one.
+
+No signature is over nothing, or all sets with an empty place there would meet.
+A set is thin in a partition if more than `spare` parts (cut beyond those needed)
+have two empty cells; it signs what is not empty and then again in a next
+partition of the domain, until it is not thin. Of two linked sets one stops first;
+in that partition both sign, and in one of the parts where they agree the one
+that is not thin has no empty signature, so neither has the other.
+
+Copies (equal sets) are one node. Links are decided on whole sets in three steps:
+
+1. every node with the one node that it shares most signatures with;
+2. the other pairs of small groups and of the stars of large ones, as far as
+   their nodes are not in one component by then;
+3. large groups that are still in several components: the groups of one largest
+   component are taken together, and the nodes outside it meet all their nodes.
+
+Pairs do not carry sets. A text (compressed) goes once to the group of its pivot,
+or to a block of a component, where a task holds one pivot or block and lets the
+others stream past. In steps 2 and 3 a sketch (a checksum of each of n/2 to n
+cells of the domain; those that differ are at most the elements that differ) is
+asked first.
 """
 
 from __future__ import annotations
@@ -30,23 +37,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, importable, shared, text_bytes
+from .common import bucket_count, importable, release, shared
 from .components import components
 from .hashing import mix, prefix_sums, windows, word_hashes
 
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 24 << 20
-SPARE = 2
-SKETCH = 256
-GROUP_BLOCK = 2048
-PAIR_ROWS = 256
+BLOCK_BYTES = 4 << 20
+BUCKET_SIGNATURES = 3 << 20
+SPARE_SHARE = 8  # one spare part for so many
+BLOCK_ELEMENTS = 1 << 20
 BROADCAST_ROWS = 1_000_000  # 16 MB at most
-_DESCRIBED = "doc long, n long, fp long, sketch binary"
+HUB_SHARE = 1024  # a pivot with more than this share of all pairs is split; there are fewer than so many
+_DESCRIBED = "doc long, n long, fp long, signs long"
 _SIGNED = "bucket int, data binary"
-_PAIRS = "a long, b long, first boolean, members binary"
+_PAIRS = "a long, b long, w int, members binary"
+_KEPT = "fp long, n long, sketch binary, size int, z binary"
+_LINKS = "a long, b long"
 
 
 @dataclass(frozen=True)
@@ -68,6 +77,9 @@ class Likeness:
         """The most elements in which two linked sets of up to `most` elements differ."""
         return 2 * most * (self.whole - self.part) // (self.whole + self.part)
 
+    def enough(self, common, na, nb):
+        return self.whole * common >= self.part * (na + nb - common)
+
     def sizes_fit(self, a, b):
         return (a * self.whole >= b * self.part) & (b * self.whole >= a * self.part)
 
@@ -89,49 +101,94 @@ def set_hashes(value: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[ends - n]) ^ mix(n.astype(np.uint64)))
 
 
-def signatures(value: np.ndarray, n: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of all signatures of the sets."""
+def _parts(n: np.ndarray, like: Likeness) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(instance, parts, spare parts, prefix) of each set in both of its band instances; none where no other set can link.
+
+    Where the smallest sets of an instance have fewer than three elements a part
+    (thresholds far below 0.8), a prefix of single elements stands for the parts.
+    """
     bands = like.bands(int(n.max(initial=1)))
     own = np.searchsorted(bands, n, side="right") - 1
-    sums = prefix_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D)))
-    owner = np.repeat(np.arange(len(n)), n)
-    found, owners = [], []
+    out = []
     for instance in (own, own + 1):
         k = like.differences(bands[instance + 1] - 1)
-        parts = np.where((k > 0) & (n > 0), (k + 2) // 2 + SPARE, 0)
-        cells = 3 * parts
-        base = np.cumsum(cells) - cells
-        total = int(cells.sum())
-        if total == 0:
-            continue
-        inside = parts[owner] > 0
-        cell = base[owner] + (((value >> np.uint64(32)) * cells.astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
-        # Elements of sets that have no parts here stand between the others; they count for no cell.
-        counts = np.bincount(cell[inside], minlength=total)
-        kept = np.flatnonzero(inside)
-        edge = np.concatenate([[0], np.cumsum(counts)])
-        part_sums = prefix_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D))[kept]) if len(kept) < len(value) else sums
-        cell_sums = (part_sums[edge[1:]] - part_sums[edge[:-1]]).reshape(-1, 3)
-        counts = counts.reshape(-1, 3)
-        of = np.repeat(np.arange(len(n)), parts)
-        rank = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        salt = mix((instance[of].astype(np.uint64) << np.uint64(40)) + (rank.astype(np.uint64) << np.uint64(2)))
-        left = counts.sum(1, keepdims=True) - counts
-        thin = np.bincount(of, weights=(left == 0).any(1), minlength=len(n)) <= SPARE
-        use = (left > 0) | ~thin[of][:, None]
-        sig = mix((cell_sums.sum(1, keepdims=True, dtype=np.uint64) - cell_sums) ^ (salt[:, None] + np.arange(3, dtype=np.uint64)))
-        found.append(sig[use])
-        owners.append(np.broadcast_to(of[:, None], use.shape)[use])
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        needed = (k + 2) // 2
+        spare = needed // SPARE_SHARE
+        any_links = (k > 0) & (n > 0) & (n * like.whole >= bands[instance] * like.part)
+        smallest = np.maximum(bands[np.maximum(instance - 1, 0)], -(-bands[instance] * like.part // like.whole))
+        whole = smallest >= 3 * (needed + spare)
+        out.append((instance, np.where(any_links & whole, needed + spare, 0), spare, np.where(any_links & ~whole, np.minimum(k + 1, n), 0)))
+    return out
+
+
+def _sign_in(value: np.ndarray, n: np.ndarray, instance: np.ndarray, parts: np.ndarray, spare: np.ndarray, partition: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, thin) in one partition of the domain; every set has parts, its values ascend."""
+    owner = np.repeat(np.arange(len(n)), n)
+    cells = 3 * parts
+    base = np.cumsum(cells) - cells
+    cell = base[owner] + (((value >> np.uint64(32)) * cells.astype(np.uint64)[owner]) >> np.uint64(32)).astype(np.int64)
+    counts = np.bincount(cell, minlength=int(cells.sum()))
+    edge = np.concatenate([[0], np.cumsum(counts)])
+    sums = prefix_sums(mix(value ^ np.uint64(0x5851F42D4C957F2D)))
+    cell_sums = (sums[edge[1:]] - sums[edge[:-1]]).reshape(-1, 3)
+    counts = counts.reshape(-1, 3)
+    of = np.repeat(np.arange(len(n)), parts)
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    salt = mix((instance[of].astype(np.uint64) << np.uint64(40)) + (rank.astype(np.uint64) << np.uint64(2)) + (np.uint64(partition) << np.uint64(56)))
+    left = counts.sum(1, keepdims=True) - counts
+    thin = np.bincount(of, weights=(left == 0).any(1), minlength=len(n)) > spare
+    sig = mix((cell_sums.sum(1, keepdims=True, dtype=np.uint64) - cell_sums) ^ (salt[:, None] + np.arange(3, dtype=np.uint64)))
+    use = left > 0
+    return sig[use], np.broadcast_to(of[:, None], use.shape)[use], thin
+
+
+def signatures(value: np.ndarray, n: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set number) of all signatures of the sets, whose values ascend."""
+    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for instance, parts, spare, prefix in _parts(n, like):
+        if prefix.any():
+            of = np.repeat(np.arange(len(n)), prefix)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix) + (np.cumsum(n) - n)[of]
+            found.append(mix(value[place] ^ mix(instance[of].astype(np.uint64))))
+            owners.append(of)
+        which = np.flatnonzero(parts > 0)
+        partition = 0
+        while len(which):
+            at, size = value[np.repeat(parts > 0, n)] if partition == 0 else at, n[which]
+            sig, of, thin = _sign_in(at, size, instance[which], parts[which], spare[which], partition)
+            found.append(sig)
+            owners.append(which[of])
+            # The thin ones once more, with their elements elsewhere in the domain.
+            at = mix(at[np.repeat(thin, size)] + np.uint64(0xA0761D6478BD642F))
+            which = which[thin]
+            at = at[np.lexsort((at, np.repeat(np.arange(len(which)), n[which])))]
+            partition += 1
     return np.concatenate(found), np.concatenate(owners)
 
 
-def sketches(value: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Elements of each set by cell of the domain; the sum of differences never exceeds the sets' difference."""
+def level(n: np.ndarray) -> np.ndarray:
+    """Binary logarithm of the cells of a sketch: half as many cells as elements, or up to twice that."""
+    return np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64)
+
+
+def sketches(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """One checksum byte for each cell of the domain, of each set."""
+    cells = np.left_shift(1, level(n))
+    base = np.cumsum(cells) - cells
     owner = np.repeat(np.arange(len(n)), n)
-    cell = owner * SKETCH + (value >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(n) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
+    cell = base[owner] + (value >> (np.uint64(64) - level(n).astype(np.uint64)[owner])).astype(np.int64) if len(value) else owner
+    cell = np.where(cells[owner] == 1, base[owner], cell)
+    sums = np.bincount(cell, weights=(mix(value) & np.uint64(255)).astype(float), minlength=int(cells.sum())).astype(np.int64).astype(np.uint8)
+    return np.split(sums, base[1:])
+
+
+def least_differences(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """For each row (sketches of one level) the cells in which it differs from `one`, at the coarser level of both."""
+    while rows.shape[1] > len(one):
+        rows = rows[:, 0::2] + rows[:, 1::2]
+    while len(one) > rows.shape[1]:
+        one = one[0::2] + one[1::2]
+    return (rows != one).sum(1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -147,11 +204,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.R
 
 
 def _describe(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Id, size, hash and sketch of each text's set; the hash of an empty set is null."""
+    """Id, size, hash of each text's set (null if empty) and about how many signatures it has."""
     for block, texts in _blocks(batches, BLOCK_BYTES):
         value, n = shingle_sets(texts, like.words)
         fp = set_hashes(value, n).view(np.int64)
-        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(fp, mask=n == 0), pa.array([x.tobytes() for x in sketches(value, n)], pa.binary())], names=["doc", "n", "fp", "sketch"])
+        signs = sum(3 * parts + prefix for _, parts, _, prefix in _parts(n, like))
+        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(fp, mask=n == 0), pa.array(signs)], names=["doc", "n", "fp", "signs"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -159,10 +217,9 @@ def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> It
     for _, texts in _blocks(batches, BLOCK_BYTES):
         value, n = shingle_sets(texts, like.words)
         fp = set_hashes(value, n).view(np.int64)
-        rows = len(texts)
         # Copies inside a block sign once.
         _, first = np.unique(fp, return_index=True)
-        single = np.zeros(rows, bool)
+        single = np.zeros(len(texts), bool)
         single[first] = True
         single &= n > 0
         sig, of = signatures(value[np.repeat(single, n)], n[single], like)
@@ -182,108 +239,149 @@ def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> It
 
 
 def _propose(group: pa.Table, like: Likeness) -> pa.Table:
-    """Pairs of one range of signatures that may link, and the members of its larger groups."""
+    """Pairs (a, b, shared signatures) of one range of signatures that may link, and the members of its larger groups."""
     fps, sizes, nodes, sigs = [], [], [], []
     seen = 0
-    for data in group.column("data").to_pylist():
+    for data in group.column("data"):
+        data = data.as_buffer()
         d, m = np.frombuffer(data, np.int64, 2).tolist()
         fps.append(np.frombuffer(data, np.int64, d, 16))
         sizes.append(np.frombuffer(data, np.int32, d, 16 + 8 * d))
-        nodes.append((np.repeat(np.arange(d), np.frombuffer(data, np.int32, d, 16 + 12 * d)) + seen).astype(np.int32))
+        nodes.append((np.repeat(np.arange(d, dtype=np.int32), np.frombuffer(data, np.int32, d, 16 + 12 * d)) + np.int32(seen)))
         sigs.append(np.frombuffer(data, np.uint32, m, 16 + 16 * d))
         seen += d
     fp, first, inverse = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)  # copies of other blocks fall together
     size = np.concatenate(sizes)[first].astype(np.int64)
-    key = (np.concatenate(sigs).astype(np.uint64) << np.uint64(32)) | inverse[np.concatenate(nodes)].astype(np.uint64)
+    key = np.concatenate(sigs).astype(np.uint64)
+    key <<= np.uint64(32)
+    key |= inverse[np.concatenate(nodes)].astype(np.uint64)
     sigs.clear(), nodes.clear()
     key.sort()
     key = key[np.diff(key, prepend=key[0] ^ np.uint64(1)) != 0]
-    sig, node = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    start = np.flatnonzero(np.diff(sig, prepend=sig[0] ^ np.uint64(1)) != 0)
+    sig, node = (key >> np.uint64(32)).astype(np.uint32), (key & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    del key
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     count = np.diff(np.append(start, len(sig)))
-    left: tuple[list, list] = ([], [])
-    right: tuple[list, list] = ([], [])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in (2, 3, 4):
         rows = node[start[count == m][:, None] + np.arange(m)]
         for i in range(m):
             for j in range(i + 1, m):
-                left[i > 0].append(rows[:, i])
-                right[i > 0].append(rows[:, j])
+                left.append(rows[:, i])
+                right.append(rows[:, j])
     large = count > 4
     members: dict[bytes, None] = {}
     if large.any():
-        inside = np.repeat(large, count)
-        node = node[inside]
+        node = node[np.repeat(large, count)]
         count = count[large]
         start = np.cumsum(count) - count
         # The text that copies were made from shares a signature with each of them, so it is in most groups.
         groups = np.bincount(node, minlength=len(fp))
-        chance = np.argsort(np.argsort(mix(fp.view(np.uint64))))
-        for later, rank in enumerate((groups * len(fp) + chance, chance)):
-            most = np.maximum.reduceat(rank[node], start)
-            pivot = np.repeat(node[np.flatnonzero(rank[node] == np.repeat(most, count))], count)
-            left[later].append(np.minimum(pivot, node))
-            right[later].append(np.maximum(pivot, node))
+        rank = groups * len(fp) + np.argsort(np.argsort(mix(fp.view(np.uint64))))
+        pivot = np.repeat(node[np.flatnonzero(rank[node] == np.repeat(np.maximum.reduceat(rank[node], start), count))], count)
+        left.append(np.minimum(pivot, node))
+        right.append(np.maximum(pivot, node))
         for own in np.split(node, start[1:]):
-            members[own.astype(np.int32).tobytes()] = None
-    pairs = []
-    for a, b in zip(left, right, strict=True):
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        use = (a != b) & like.sizes_fit(size[a], size[b])
-        pair = np.unique((a[use].astype(np.uint64) << np.uint64(32)) | b[use].astype(np.uint64))
-        pairs.append((fp[(pair >> np.uint64(32)).astype(np.int64)], fp[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]))
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    first = np.arange(len(a)) < len(pairs[0][0])
-    lists = [np.stack([fp[o], size[o]], 1).tobytes() for o in (np.frombuffer(x, np.int32) for x in members)]
-    none = [None] * len(lists)
-    return pa.table({"a": pa.array([*np.minimum(a, b).tolist(), *none], pa.int64()), "b": pa.array([*np.maximum(a, b).tolist(), *none], pa.int64()), "first": pa.array([*first.tolist(), *none], pa.bool_()), "members": pa.array([*[None] * len(a), *lists], pa.binary())})
-
-
-def _near_enough(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, na, nb) whose sketches allow the threshold; in: a, b, na, nb, sa, sb."""
-    for batch in batches:
-        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for i in (4, 5))
-        least = np.abs(sa - sb).sum(1)
-        common = (na + nb - least) // 2
-        keep = like.whole * common >= like.part * (na + nb - common)
-        yield batch.select([0, 1, 2, 3]).filter(pa.array(keep))
+            members[own.tobytes()] = None
+    a, b = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+    use = (a != b) & like.sizes_fit(size[a], size[b])
+    pair, w = np.unique((a[use].astype(np.uint64) << np.uint64(32)) | b[use].astype(np.uint64), return_counts=True)
+    a, b = fp[(pair >> np.uint64(32)).astype(np.int64)], fp[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+    lists = pa.array([fp[np.frombuffer(x, np.int32)].tobytes() for x in members], pa.binary())
+    columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w.astype(np.int32))]
+    return pa.table({n: pa.concat_arrays([c, pa.nulls(len(lists), c.type)]) for n, c in zip("abw", columns, strict=True)} | {"members": pa.concat_arrays([pa.nulls(len(a), pa.binary()), lists])})
+
+
+def _keep(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """What deciding needs of each text: its set's hash, size and sketch, and the text compressed."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for _, texts in _blocks(batches, BLOCK_BYTES):
+        value, n = shingle_sets(texts, like.words)
+        fp = set_hashes(value, n).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array(n), pa.array([x.tobytes() for x in sketches(value, n)], pa.binary()), pa.array([len(t) for t in texts], pa.int32()), pa.array([pack.compress(t) for t in texts], pa.binary())], names=["fp", "n", "sketch", "size", "z"])
 
 
-def _decide(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that link; in: a, b and both sets."""
+def _sets(z: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    return shingle_sets([unpack.decompress(x) for x in z.to_pylist()], words)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded bytes of text; the column before the last has the sizes."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            keep.append(like.whole * common >= like.part * (len(both) - common))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs of classes that link, decided on their whole sets."""
-    a = classes.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = classes.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    near = shared(near.mapInArrow(lambda x: _near_enough(x, like), "a long, b long, na long, nb long").select("a", "b"))
-    wanted = near.select(F.col("a").alias("fp")).unionAll(near.select(F.col("b").alias("fp"))).distinct().join(classes.select("fp", "rep"), "fp").select("rep").distinct()
-    wanted = shared(wanted)
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _blocks(batches, BLOCK_BYTES):
-            value, n = shingle_sets(texts, like.words)
-            fp = set_hashes(value, n).view(np.int64)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(fp), pa.array([value[e - c : e].tobytes() for e, c in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], names=["fp", "s"])
-
-    chosen = docs.join(wanted, docs["doc"].eqNullSafe(wanted["rep"]), "left_semi").select("text").mapInArrow(sets, "fp long, s binary")
-    with_a = near.join(chosen.select(F.col("fp").alias("a"), F.col("s").alias("x")), "a")
-    both = with_a.join(chosen.select(F.col("fp").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(lambda x: _decide(x, like), "a long, b long").distinct()
+        upto = np.cumsum(batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def common_of(pivot: np.ndarray, value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Elements that each of the sets (none empty) has in common with the pivot; all ascend."""
+    hit = pivot[np.minimum(np.searchsorted(pivot, value), len(pivot) - 1)] == value
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum(n) - n)
+
+
+def _by_texts(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Pairs that link; in: pivot, salt, kind (0: the pivot itself, first), node, n, size, text, by pivot and salt."""
+    at, pivot = None, np.zeros(0, np.uint64)
+    for batch in _slices(batches):
+        value, n = _sets(batch.column(6), like.words)
+        ends = np.cumsum(n)
+        b, salt, kind, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(salt) != 0)) + 1
+        out = []
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+            while i < j and kind[i] == 0:
+                at, pivot = (b[i], salt[i]), value[ends[i] - n[i] : ends[i]]
+                i += 1
+            if i < j and at == (b[i], salt[i]):
+                common = common_of(pivot, value[ends[i] - n[i] : ends[j - 1]], n[i:j])
+                out.append(np.flatnonzero(like.enough(common, n[i:j], len(pivot))) + i)
+        keep = np.concatenate(out) if out else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def _by_sketches(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches allow a link; in: as for texts, with sketches."""
+    at, pivot, size = None, np.zeros(1, np.uint8), 0
+    for batch in _slices(batches):
+        b, salt, kind, node, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(salt) != 0)) + 1
+        out = []
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(b)], strict=True):
+            while i < j and kind[i] == 0:
+                at, pivot, size = (b[i], salt[i]), np.frombuffer(batch.column(6)[i].as_buffer(), np.uint8), int(n[i])
+                i += 1
+            if i < j and at == (b[i], salt[i]):
+                kinds = level(n[i:j])
+                for k in np.unique(kinds).tolist():
+                    own = np.flatnonzero(kinds == k) + i
+                    rows = np.frombuffer(b"".join(batch.column(6).take(pa.array(own)).to_pylist()), np.uint8).reshape(len(own), -1)
+                    common = (n[own] + size - least_differences(rows, pivot)) // 2
+                    out.append(own[like.enough(common, n[own], size)])
+        keep = np.concatenate(out) if out else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(b[keep])], names=["a", "b"])
+
+
+def _stream(pairs: DataFrame, kept: DataFrame, column: str, judge) -> DataFrame:
+    """The pairs (a node, b its pivot) that the judge lets pass: each pivot once, its nodes streaming past it.
+
+    `pairs` is a kept table. A pivot of very many pairs is split into salts; its
+    row is then sent once for each.
+    """
+    total = pairs.count()
+    many = pairs.groupBy("b").agg(F.count("*").alias("k")).where(F.col("k") * HUB_SHARE > total)
+    split = F.broadcast(many.select("b", F.ceil(F.col("k") * HUB_SHARE / max(total, 1)).cast("int").alias("salts")))  # fewer than HUB_SHARE rows
+    size = F.octet_length("sketch") if column == "sketch" else F.col("size")
+    payload = kept.select("fp", "n", size.cast("int").alias("size"), F.col(column).alias("data"))
+    asked = pairs.join(split, "b", "left").select("b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.col("a").alias("fp"))
+    nodes = asked.join(payload, "fp").select("b", "salt", F.lit(1).alias("kind"), "fp", "n", "size", "data")
+    pivots = pairs.select("b").distinct().join(split, "b", "left").select(F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    pivots = pivots.join(payload, "fp").select(F.col("fp").alias("b"), "salt", F.lit(0).alias("kind"), "fp", "n", "size", "data")
+    rows = pivots.unionAll(nodes).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+    return rows.mapInArrow(judge, _LINKS).distinct()
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -293,59 +391,101 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).select("a", "b")
 
 
-def _across(members: DataFrame, known: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of members of one group that are in different components so far and may link.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, node) of lists of members; a group is named by a hash of its members, so equal groups of different signatures are one."""
+    for batch in batches:
+        lists = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+        if lists:
+            gid = np.array([int(np.bitwise_xor.reduce(mix(x.view(np.uint64)))) for x in lists], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(gid).view(np.int64), [len(x) for x in lists])), pa.array(np.concatenate(lists))], names=["g", "fp"])
 
-    Of each group the rows outside its largest component meet all its rows, in
-    blocks of bounded size; only pairs that pass the sketches leave a task.
-    """
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in batch.column(0).to_pylist()]
-            if lists:
-                gid = [int(mix(np.array([np.bitwise_xor.reduce(mix(x[:, 0].view(np.uint64)))]))[0]) for x in lists]
-                flat = np.concatenate(lists)
-                group = np.repeat(np.array(gid, np.uint64).view(np.int64), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(flat[:, 0])], names=["g", "fp"])
+def _across(members: DataFrame, known: DataFrame, kept: DataFrame, like: Likeness) -> DataFrame:
+    """Links between nodes of one group that are in different components so far.
 
-    rows = members.mapInArrow(spread, "g long, fp long").distinct()
+    The groups with one largest component are merged. Their nodes are dealt into
+    blocks of bounded size, each sent once; the nodes outside the component
+    stream past every block.
+    """
+    rows = members.mapInArrow(_groups, "g long, fp long").distinct()
     placed = shared(rows.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("g", "fp", F.coalesce("root", "fp").alias("c")))
-    split = placed.groupBy("g", "c").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.sum("k").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    block = lambda fp: F.pmod(F.xxhash64(fp), F.col("blocks")).cast("int")
-    open_rows = placed.join(split, "g").select("g", "c", (F.col("c") != F.col("top")).alias("minor"), F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks"), "fp")
-    open_rows = open_rows.join(classes.select("fp", "n", "sketch"), "fp").withColumn("own", block("fp"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    row = F.struct("fp", "c", "n", "sketch")
-    left = open_rows.where("minor").withColumn("other", every).select("g", F.col("own").alias("i"), F.col("other").alias("j"), row.alias("x"), F.lit(None).alias("y"))
-    right = open_rows.withColumn("other", every).select("g", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(None).alias("x"), row.alias("y"))
-    met = left.unionByName(right).groupBy("g", "i", "j").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y")).where("size(x) > 0").select("x", "y")
-    return met.mapInArrow(lambda batches: _may_link(batches, like), "a long, b long").distinct()
-
-
-def _may_link(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows in different components that sizes and sketches allow to link; in: the outsiders and the members of a group's block."""
-    for batch in batches:
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(batch.num_rows):
-            x, y = (_columns(batch.column(i)[k].values) for i in (0, 1))
-            for at in range(0, len(x[0]), PAIR_ROWS):
-                fp, c, n, sketch = (v[at : at + PAIR_ROWS] for v in x)
-                i, j = np.nonzero((c[:, None] != y[1]) & like.sizes_fit(n[:, None], y[2]))
-                common = np.zeros(len(i), np.int64)
-                for to in range(0, len(i), 1 << 15):
-                    own = slice(to, to + (1 << 15))
-                    common[own] = (n[i[own]] + y[2][j[own]] - np.abs(sketch[i[own]] - y[3][j[own]]).sum(1)) // 2
-                keep = like.whole * common >= like.part * (n[i] + y[2][j] - common)
-                out_a.append(np.minimum(fp[i[keep]], y[0][j[keep]]))
-                out_b.append(np.maximum(fp[i[keep]], y[0][j[keep]]))
-        pair = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
-
-
-def _columns(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    fp, c, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    return fp, c, n, np.frombuffer(b"".join(rows.field(3).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+    parts = placed.groupBy("g", "c").agg(F.count("*").alias("k"))
+    open_groups = parts.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("g", "top")
+    nodes = shared(placed.join(open_groups, "g").select("top", "fp", "c").distinct().join(kept.select("fp", "n"), "fp"))
+    blocks = nodes.groupBy("top").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    dealt = nodes.select("top", "fp", "c").join(blocks, "top")
+    own = dealt.select("top", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "c", "fp")
+    outside = dealt.where("c <> top").select("top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "c", "fp")
+    sent = own.unionAll(outside).join(kept, "fp").select("top", "block", "kind", "c", "fp", "n", "sketch", "size", "z")
+    met = sent.repartition("top", "block").sortWithinPartitions("top", "block", "kind")
+    out = shared(met.mapInArrow(lambda batches: _outsiders(batches, like), _LINKS).distinct())
+    release(placed, nodes)
+    return out
+
+
+class _Block:
+    """Nodes of one block: their sketches by level, and their sets."""
+
+    def __init__(self, like: Likeness):
+        self.like = like
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.ready = False
+
+    def add(self, c, fp, n, sketch, value) -> None:
+        self.rows.append((c, fp, n, sketch, value))
+        self.ready = False
+
+    def _prepare(self) -> None:
+        self.c, self.fp, self.n = (np.concatenate([r[k] for r in self.rows]) for k in range(3))
+        self.value = np.concatenate([r[4] for r in self.rows])
+        self.ends = np.cumsum(self.n)
+        raw = [x for r in self.rows for x in r[3]]
+        kinds = level(self.n)
+        self.levels = [(own, np.frombuffer(b"".join([raw[i] for i in own.tolist()]), np.uint8).reshape(len(own), -1)) for k in np.unique(kinds).tolist() if len(own := np.flatnonzero(kinds == k))]
+        self.ready = True
+
+    def links(self, c: int, n: int, sketch: np.ndarray, value: np.ndarray) -> list[int]:
+        """Nodes that link with the one given, one for each component but its own."""
+        if not self.ready:
+            self._prepare()
+        like, may = self.like, []
+        for own, rows in self.levels:
+            use = (self.c[own] != c) & like.sizes_fit(self.n[own], n)
+            if use.any():
+                own, apart = own[use], least_differences(rows[use], sketch)
+                keep = like.enough((self.n[own] + n - apart) // 2, self.n[own], n)
+                may.append(np.stack([apart[keep] / self.n[own][keep], own[keep]], 1))
+        out, done = [], set()
+        for i in np.concatenate(may)[np.argsort(np.concatenate(may)[:, 0], kind="stable"), 1].astype(np.int64).tolist() if may else []:
+            if self.c[i] not in done:
+                common = int(common_of(self.value[self.ends[i] - self.n[i] : self.ends[i]], value, np.array([n]))[0])
+                if like.enough(common, int(self.n[i]), n):
+                    done.add(self.c[i])
+                    out.append(int(self.fp[i]))
+        return out
+
+
+def _outsiders(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
+    """Links of the outsiders (kind 1) with the nodes of their block (kind 0, first)."""
+    at, block = None, _Block(like)
+    for batch in _slices(batches):
+        value, n = _sets(batch.column(8), like.words)
+        ends = np.cumsum(n)
+        top, number, kind, c, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        sketch = batch.column(6).to_pylist()
+        cuts = np.flatnonzero((np.diff(top) != 0) | (np.diff(number) != 0) | (np.diff(kind) != 0)) + 1
+        left, right = [], []
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(top)], strict=True):
+            if at != (top[i], number[i]):
+                at, block = (top[i], number[i]), _Block(like)
+            if kind[i] == 0:
+                block.add(c[i:j], fp[i:j], n[i:j], sketch[i:j], value[ends[i] - n[i] : ends[j - 1]])
+            elif block.rows:
+                for k in range(i, j):
+                    for other in block.links(c[k], int(n[k]), np.frombuffer(sketch[k], np.uint8), value[ends[k] - n[k] : ends[k]]):
+                        left.append(int(fp[k]))
+                        right.append(other)
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
 def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -356,28 +496,45 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "
     linked with nothing. Two texts link when their Jaccard similarity is at least
     part/whole. Equal sets are linked. Ids should be unique; rows with one id and
     different texts are told apart by their sets. A row without an id takes the
-    smallest id of its component, if it has any. Sets are told apart by 64-bit
-    hashes; all decisions on pairs are taken on whole sets of such hashes.
+    smallest id of its component, if it has any. Other columns are dropped. Sets
+    are told apart by 64-bit hashes; all decisions on pairs are taken on whole
+    sets of such hashes. An empty table gives an empty one.
     """
     keyed = importable(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    buckets = bucket_count(text_bytes(keyed), RANGE_BYTES)
     rows = shared(keyed.mapInArrow(lambda x: _describe(x, like), _DESCRIBED))
-    classes = shared(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc").alias("rep")))
+    buckets = bucket_count(rows.agg(F.sum("signs")).first()[0] or 0, BUCKET_SIGNATURES)
+    classes = shared(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("rep")))
     signed = keyed.mapInArrow(lambda x: _sign(x, like, buckets), _SIGNED)
     proposed = shared(signed.groupBy("bucket").applyInArrow(lambda x: _propose(x.select(["data"]), like), _PAIRS))
-    # Stars first: what they connect needs no other pair.
-    stars = proposed.where("first").select("a", "b").distinct()
-    links = shared(_links(keyed, classes, stars, like))
-    known = components(links)
+    pairs = shared(proposed.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("w").alias("w")))
     members = proposed.where("members IS NOT NULL").select("members")
-    others = shared(_apart(proposed.where("NOT first").select("a", "b").distinct(), known).join(stars, ["a", "b"], "left_anti"))
-    if others.limit(1).count():
-        links = shared(links.unionAll(_links(keyed, classes, others, like)))
-        known = components(links)
+
+    wanted = shared(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct().join(classes, "fp").select("rep").distinct())
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    kept = shared(keyed.join(chosen, keyed["doc"].eqNullSafe(chosen["rep"]), "left_semi").select("text").mapInArrow(lambda x: _keep(x, like), _KEPT).where("n > 0"))
+    release(wanted)
+
+    toward = pairs.select("a", "b", "w").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    best = shared(toward.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b")))
+    links = shared(_stream(best, kept, "z", lambda x: _by_texts(x, like)))
+    known = components(links)
+
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    others = shared(_apart(pairs.select("a", "b"), known).join(tried, ["a", "b"], "left_anti"))
+    likely = shared(_stream(others, kept, "sketch", lambda x: _by_sketches(x, like)))
+    more = shared(_stream(likely, kept, "z", lambda x: _by_texts(x, like)))
+    release(best, others, likely)
+    if more.limit(1).count():
+        release(known)
+        known = components(links.unionAll(more))
     if members.limit(1).count():
-        more = shared(_across(members, known, classes, like).join(stars.unionAll(others), ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            known = components(links.unionAll(_links(keyed, classes, more, like)))
+        across = _across(members, known, kept, like)
+        if across.limit(1).count():
+            release(known)
+            known = components(links.unionAll(more).unionAll(across))
+        release(across)
+    release(links, more, kept, pairs, proposed)
+
     placed = rows.select("doc", "n", "fp").join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc", "n", F.coalesce("root", "fp").alias("root"))
-    least = classes.select("fp", "rep").join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("least"))
+    least = classes.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("least"))
     return placed.join(least, "root", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))

@@ -221,8 +221,10 @@ def loaded(path: str) -> PieceCodec:
 def encode(docs: DataFrame, path: str, text: str = "text", column: str = "ids") -> DataFrame:
     """The frame without its text and with the ids of each whole text (null: empty), begin and end included, as array<int>.
 
-    path: a SentencePiece model file that all machines have. A column named like
-    `column` is replaced. One narrow stage without a shuffle.
+    path: a SentencePiece model file that all machines have. Repeated rows are
+    encoded each; a very long text is read in pieces cut at blanks. A column
+    named like `column` is replaced, an empty table stays empty. One narrow stage
+    without a shuffle.
     """
     keep = [f for f in docs.schema.fields if f.name not in (text, column)]
     schema = T.StructType([*keep, T.StructField(column, T.ArrayType(T.IntegerType(), False))])
@@ -244,7 +246,7 @@ def _with_ids(columns: list, ids: list[np.ndarray], names: list[str]) -> pa.Reco
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", column: str = "text") -> DataFrame:
-    """The frame without its ids and with the text that they decode to; null ids give an empty text."""
+    """The frame without its ids and with the text that they decode to; null ids give an empty text, ids outside the vocabulary raise as in the library."""
     keep = [f for f in frame.schema.fields if f.name not in (ids, column)]
     schema = T.StructType([*keep, T.StructField(column, T.StringType())])
 
@@ -262,7 +264,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Encoding and decoding in one pass: `n_tokens`, and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded text.
 
     The same codec as in `encode` and `decode`; the ids never leave the task.
-    Clashing column names are replaced.
+    Null texts are empty; repeated rows are done each; clashing column names are
+    replaced; an empty table stays empty.
     """
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     keep = [f for f in docs.schema.fields if f.name not in (text, *(f.name for f in new))]
