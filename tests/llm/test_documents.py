@@ -1,6 +1,5 @@
 """Operators 3, 5, 6, 7, 9 and the pipeline against plain versions."""
 
-import hashlib
 import random
 import zlib
 
@@ -252,4 +251,55 @@ def test_pipeline(spark, tmp_path):
         assert r.text == (text if gone else kept[r.doc_id]) and (not gone or r.n_chars == len(text))
     last = C.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in last} == want
-    assert hashlib.sha256(b"").hexdigest()
+    spans = {}
+    for r in last:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in spans.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) <= 1024
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null texts, one id with two texts, clashing column names, an empty table."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as C
+
+    text = " ".join(f"word{i}" for i in range(30))
+    other = " ".join(f"else{i}" for i in range(30))
+    rows = [(None, text), (1, text), (1, text), (2, text + " more"), (2, other), (3, None), (4, ""), (5, other), (5, other)]
+    kind = "doc_id long, text string, n_chars long, component_id long, kept_text string, text_hash string"
+    docs = spark.createDataFrame([(i, t, len(t or ""), 9, "x", "h") for i, t in rows], kind)
+    got = C.near_copy_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got.collect()) == [(0, text), (1, text), (2, other), (3, ""), (4, "")]
+    for name, stage in C.STAGES[1:]:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        assert stage(spark, docs, "").count() > 0, name
+
+
+def thue_morse(n, a, b):
+    s = [0]
+    while len(s) < n:
+        s += [1 - x for x in s]
+    return "".join((a, b)[x] for x in s), "".join((b, a)[x] for x in s)
+
+
+def test_texts_of_two_letters_are_told_apart(spark):
+    """Pairs that a polynomial modulo a power of two takes for equal, as words and as windows."""
+    words = [t for n in (512, 1024, 2048, 8192) for t in thue_morse(n, "q", "e")]
+    hashes, _ = hashing.word_hashes([w.encode() for w in words])
+    assert len(set(hashes.tolist())) == len(words)
+    rows = [(i, f"{w} " + " ".join(f"v{k}" for k in range(14))) for i, w in enumerate(words)]
+    rows += [(100 + i, " ".join(w)) for i, w in enumerate(thue_morse(2048, "q", "e"))]
+    got = passages.remove_repeated_passages(frame(spark, rows), 13)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got.collect()} == removed(rows, 13)
+    whole, _, _ = hashing.windows(*hashing.word_hashes([" ".join(w).encode() for w in thue_morse(1024, "q", "e")]), 1024)
+    assert len(set(whole.tolist())) == 2
+
+
+def test_no_group_of_unrelated_sets():
+    r = np.random.default_rng(1)
+    for like in (jaccard.Likeness(4, 85, 100), jaccard.Likeness(5, 80, 100)):
+        for size in (4, 5, 6, 7, 8, 10, 14, 30):
+            value = np.sort(r.integers(0, 2**64 - 1, (20_000, size), dtype=np.uint64), 1).ravel()
+            sig, _ = jaccard.signatures(value, np.full(20_000, size), like)
+            assert len(sig) <= 2 * size * 20_000 and np.unique(sig, return_counts=True)[1].max(initial=0) <= 3

@@ -30,7 +30,9 @@ def test_byte_bpe_ids_are_the_library_s():
 
 def test_whole_tokens_are_proved():
     bpe = byte_bpe.loaded(BYTE)
-    strings, ids = bpe.whole_tokens()
+    known = bpe.text_strings()
+    ids = bpe.proven.tolist()
+    strings = [known[i] for i in ids]
     pick = random.Random(1).sample(range(len(strings)), 300)
     assert all(bpe.tokenizer.encode(strings[i], add_special_tokens=False).ids == [ids[i]] for i in pick if bpe.split(strings[i])[0][1] == (0, len(strings[i])))
 
@@ -132,3 +134,14 @@ def test_plan_uses_every_piece_once():
 def test_patterns_fill_exactly():
     rows = packing.patterns(np.array([1, 2, 3, 5]), 6)
     assert {tuple(sorted(x for x in row if x)) for row in rows.tolist()} == {(1, 5), (3, 3), (1, 2, 3), (2, 2, 2)}
+
+
+def test_texts_of_two_letters():
+    """Pairs of texts whose polynomial hashes modulo a power of two agree, both orders in one batch."""
+    from test_documents import thue_morse
+
+    texts = [t for n in (512, 1024, 2048, 8192) for t in thue_morse(n, "q", "e")]
+    for own in (texts, texts[::-1], [f"{t} x {t}" for t in texts]):
+        assert byte_bpe.loaded(BYTE).counts(own).tolist() == [len(byte_bpe.loaded(BYTE).tokenizer.encode(t, add_special_tokens=False).ids) for t in own]
+        codec = pieces.loaded(PIECE)
+        assert [x.tolist() for x in codec.ids_of(own)] == [codec.library.encode(t, add_bos=True, add_eos=True) for t in own]

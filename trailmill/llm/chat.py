@@ -60,7 +60,7 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
     """One row a conversation: `formatted`, `loss_spans` (start and length in code points), `attachments`, `n_turns`, `expanded_tokens`.
 
     content is an array of parts (see PART), or a string, which stands for one
-    text part. Messages are ordered by turn; equal turns by role, then content,
+    text part. Messages are ordered by turn; equal turns by role, then text,
     so repeated rows are repeated turns. Null roles and contents are empty. The
     loss mask covers the content of the roles in `learn`. attachments has one
     entry a placeholder, in their order: its turn (from 0), type, reference and
@@ -74,9 +74,10 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
         "conv", "turn", "role",
         F.array_join(F.transform("parts", visit_string), "").alias("content"),
         F.transform(F.filter("parts", lambda p: p["type"].isin(*PLACEHOLDER)), lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), visit_tokens(p).alias("tokens"))).alias("attached"),
+        F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "").alias("said"),
     )
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS))
-    ordered = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "content")
+    ordered = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "said", "content")
     # The pieces hold their content once; lengths and places are added to them here.
     placed = pieces.withColumns({"head": head, "size": F.length(head) + F.length("content") + len(END)}).withColumns({"number": F.row_number().over(ordered), "upto": F.sum(F.col("size").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, 0))})
     row = F.struct("number", F.concat("head", "content", F.lit(END)).alias("piece"), F.col("role").isin(*learn).alias("learn"), (F.col("upto") - F.length("content") - len(END)).alias("start"), F.length("content").cast("long").alias("length"), "attached")

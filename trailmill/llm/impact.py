@@ -1,14 +1,16 @@
 """Operator 4: exact top-k by inner product on an impact-ordered, score-at-a-time index.
 
-A block of vectors of whole numbers is turned into postings (row, dimension,
-impact), ordered by descending absolute impact and cut into segments. Segments
-are processed in that order for all queries of a task, each adding its postings'
-products to the partial scores. What a row has still to get is at most the
-query's norm times the norm of the row's postings that are still to come, and
-at most the query's absolute sum times the next impact. A query stops as soon as
-these bounds prove that few rows can be among its k best; those are rescored
-exactly. A query without such a proof runs through all segments, after which its
-scores are exact. There is no other way to stop.
+A block of vectors of whole numbers is turned into postings (row, value) in
+segments, one for each dimension and level of impact (absolute value, quantised
+into LEVELS steps). A query takes the segments by descending impact, that is its
+own weight times the segment's level, and adds their products to the rows'
+scores. For every row it also keeps what is left of the row's square and of its
+own square: what a row has still to get is at most the product of both roots
+(Cauchy and Schwarz), and at most the sum over the dimensions of the query's
+weight times the next level. A query stops when these bounds prove that the rows
+which can be among its k best cost less to score whole than the postings that are
+left to read; those rows are then scored exactly. There is no other way to stop:
+a query without such a proof reads all its segments.
 """
 
 from __future__ import annotations
@@ -19,101 +21,111 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of, search_blocks, valid_vectors
 
-#: Shares of the squared impact that is left after each segment but the last.
-LEFT = (0.45, 0.15, 0.03)
-FEW = 64
-BATCH = 256
+LEVELS = 16
+END = 2.0**63  # scores are cut off there
+FIRST_LOOK, LOOKS = 0.25, 24  # share of the postings before the first look for a proof, and looks in all
 
 
 class ImpactIndex:
-    """Postings of a block of integer vectors in segments of descending impact."""
+    """Postings of a block of integer vectors in segments of a dimension and a level of impact."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors = ids, vectors.astype(np.int64)
         n, d = vectors.shape
-        impact = np.abs(vectors).ravel()
-        order = np.argsort(-impact, kind="stable")
-        square = impact[order].astype(float) ** 2
-        left = square.sum() - np.cumsum(square)
-        total = square.sum()
-        ends = [int(np.searchsorted(-left, -share * total)) + 1 for share in LEFT]
-        # A segment never splits an impact, so segments are ranges of quantised impacts.
-        ends = [int(np.searchsorted(-impact[order], -impact[order[min(e, len(order)) - 1]], side="right")) if len(order) else 0 for e in ends]
-        edges = np.unique([0, *ends, int((impact > 0).sum())])
-        self.segments = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.next = [float(impact[order[b]]) if b < len(order) else 0.0 for b in edges[1:]]
-        self.rest = []
-        remaining = (vectors.astype(float) ** 2).sum(1)
-        for s in self.segments:
-            remaining = np.maximum(0, remaining - np.bincount(s // d, impact[s].astype(float) ** 2, n))
-            self.rest.append(np.sqrt(remaining))
-        self.rest = [r * (1 + 1e-9) for r in self.rest]
+        impact = np.abs(self.vectors.astype(float))
+        top = float(impact.max(initial=0)) or 1.0
+        step = np.minimum((impact / top * LEVELS).astype(np.int64), LEVELS - 1)
+        segment = (np.arange(d)[None, :] * LEVELS + step).ravel()
+        real = np.flatnonzero(impact.ravel() > 0)
+        order = real[np.argsort(segment[real], kind="stable")]
+        self.rows, self.values = (order // d).astype(np.int32), self.vectors.ravel()[order].astype(float)
+        self.edges = np.searchsorted(segment[order], np.arange(d * LEVELS + 1))
+        filled = self.edges[1:] > self.edges[:-1]
+        self.highest = np.zeros(d * LEVELS)
+        self.highest[filled] = np.maximum.reduceat(np.abs(self.values), self.edges[:-1][filled]) if len(order) else 0
+        self.square = (impact**2).sum(1)
+        # Sums of products in floating point are off by less than this share of the norms' product.
+        self.error = 4 * d * np.finfo(float).eps
+        self.read = self.postings = self.stopped = self.asked = 0
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def members(self, name: int, q: np.ndarray, k: int) -> np.ndarray:
+        """Places of rows that hold the k best for a query, its own row apart."""
         n, d = self.vectors.shape
-        most = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * d
-        if most >= 2**52:
-            return self._plain(query_ids, queries, k)
-        kind = np.float32 if most < 2**23 else np.float64  # in either, sums of whole numbers up to `most` are exact
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for at in range(0, len(queries), BATCH):
-            ask, names = queries[at : at + BATCH], query_ids[at : at + BATCH]
-            norm, total = np.sqrt((ask.astype(float) ** 2).sum(1)), np.abs(ask).sum(1).astype(float)
-            score = np.zeros((len(ask), n), kind)
-            active = np.arange(len(ask))
-            for segment, rest, following in zip(self.segments, self.rest, self.next, strict=True):
-                dense = np.zeros(n * d, kind)
-                dense[segment] = self.vectors.ravel()[segment]
-                score[active] += ask[active].astype(kind) @ dense.reshape(n, d).T
-                if following == 0 or n <= FEW + k:
-                    continue
-                done = []
-                for i in active.tolist():
-                    bound = np.minimum(norm[i] * rest, total[i] * following)
-                    low = score[i] - bound
-                    own = np.searchsorted(self.ids, names[i])
-                    if own < n and self.ids[own] == names[i]:
-                        low[own] = -np.inf
-                    proof = np.partition(low, n - k)[n - k]
-                    members = np.flatnonzero(score[i] + bound >= proof)
-                    if len(members) <= FEW + k:
-                        out.append((i + at, members, self.vectors[members] @ ask[i]))
-                        done.append(i)
-                active = np.setdiff1d(active, done)
-                if len(active) == 0:
-                    break
-            out += [(i + at, np.arange(n), score[i].astype(np.int64)) for i in active.tolist()]
-        return self._best(out, query_ids, k)
+        weight = np.abs(q.astype(float))
+        impact = np.repeat(weight, LEVELS) * self.highest
+        order = np.argsort(-impact, kind="stable")
+        order = order[impact[order] > 0]
+        size = np.diff(self.edges)[order]
+        total = int(size.sum())
+        look = max(1, total // LOOKS)
+        score, left, asked_left = np.zeros(n), self.square.copy(), np.full(n, float((weight**2).sum()))
+        norms = np.sqrt(self.square * float((weight**2).sum()))
+        own = np.flatnonzero(self.ids == name)
+        done, following = 0, FIRST_LOOK * total
+        self.asked += 1
+        self.postings += total
+        # The next level of each dimension, for the sum bound: segments of a dimension come highest level first.
+        ahead = impact.reshape(d, LEVELS).max(1, initial=0)
+        for place, s in enumerate(order.tolist()):
+            if done >= following:
+                bound = np.minimum(np.sqrt((np.maximum(left, 0) + self.error * self.square) * (np.maximum(asked_left, 0) + self.error * float((weight**2).sum()))), ahead.sum()) + self.error * norms
+                found = self._possible(score, bound, own, k)
+                if len(found) * d <= total - done:
+                    self.stopped += 1
+                    self.read += done
+                    return found
+                following = done + look
+            rows, values = self.rows[self.edges[s] : self.edges[s + 1]], self.values[self.edges[s] : self.edges[s + 1]]
+            j = s // LEVELS
+            score[rows] += q[j] * values
+            left[rows] -= values * values
+            asked_left[rows] -= weight[j] ** 2
+            done += int(size[place])
+            lower = impact[j * LEVELS : s]
+            ahead[j] = lower.max(initial=0)
+        self.read += total
+        return self._possible(score, self.error * norms, own, k)
 
-    def _plain(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For components too large for exact floating sums: products of Python integers, cut off at the ends of 64 bits."""
-        big = self.vectors.astype(object)
+    @staticmethod
+    def _possible(score: np.ndarray, bound: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        low = np.clip(score - bound, -END, END)
+        low[own] = -np.inf
+        proof = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+        out = np.clip(score + bound, -END, END) >= proof
+        out[own] = False
+        return np.flatnonzero(out)
+
+    def exact(self, places: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Scores of rows as whole numbers, cut off at the ends of 64 bits."""
+        rows = self.vectors[places]
+        if float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0)) * rows.shape[1] < 2**62:
+            return rows @ q
         top = 2**63 - 1
-        rows = [(i, np.arange(len(big)), np.array([max(-top, min(top, int(x))) for x in big @ q.astype(object)], np.int64)) for i, q in enumerate(queries)]
-        return self._best(rows, query_ids, k)
+        return np.array([max(-top, min(top, int(x))) for x in rows.astype(object) @ q.astype(object)], np.int64)
 
-    def _best(self, rows: list[tuple[int, np.ndarray, np.ndarray]], query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found: list[list[np.ndarray]] = [[], [], []]
-        for i, members, score in rows:
-            ids = self.ids[members]
-            other = ids != query_ids[i]
-            ids, score = ids[other], score[other]
-            best = best_of(score, ids, k)
-            found[0].append(np.full(len(best), query_ids[i]))
-            found[1].append(ids[best])
+        for name, q in zip(query_ids.tolist(), queries.astype(np.int64), strict=True):
+            places = self.members(name, q, k)
+            score = self.exact(places, q)
+            best = best_of(score, self.ids[places], k)
+            found[0].append(np.full(len(best), name))
+            found[1].append(self.ids[places][best])
             found[2].append(score[best])
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in found)
 
 
 def exact_top_k(table: DataFrame, queries: Column, k: int = 5, scale: int = 256, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `queries` holds, the k rows of highest inner product of floor(scale * x).
 
-    Exact; ties go to the smaller id; a query's own row is no candidate; fewer
-    candidates give fewer rows. Rows without id, with a null or empty vector or
-    with null or non-finite components take no part; vectors of different length
-    are not compared; of rows with one id the smallest vector counts. Scores
-    beyond 64 bits are cut off there. An empty table gives an empty one.
+    Exact; ties go to the smaller id; rows of the query's id are no candidates;
+    fewer candidates give fewer rows. Rows without id, with a null or empty
+    vector or with null or non-finite components take no part; vectors of
+    different length are not compared. Every row of a repeated id is a candidate
+    (so an id can come up twice), and queries of one id are ranked together.
+    Scores beyond 64 bits are cut off there. An empty table gives an empty one.
     """
-    rows = valid_vectors(table, id_column, vector, zero=True).select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-    asked = valid_vectors(table.where(queries), id_column, vector, zero=True).select("id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("v"))
-    return search_blocks(rows, asked, k, "long", lambda ids, vectors, query_ids, ask: ImpactIndex(ids, vectors).search(query_ids, ask, k))
+    whole = F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("long").cast("double")).alias("v")
+    rows = valid_vectors(table, id_column, vector, zero=True).select("id", whole)
+    asked = valid_vectors(table.where(queries), id_column, vector, zero=True).select("id", whole)
+    return search_blocks(rows, asked, k, "long", ImpactIndex)

@@ -51,7 +51,7 @@ SPARE_SHARE = 8  # one spare part for so many
 BLOCK_ELEMENTS = 1 << 20
 BROADCAST_ROWS = 1_000_000  # 16 MB at most
 HUB_SHARE = 1024  # a pivot with more than this share of all pairs is split; there are fewer than so many
-_DESCRIBED = "doc long, n long, fp long, signs long"
+_DESCRIBED = "doc long, text_hash long, n long, fp long, signs long"
 _SIGNED = "bucket int, data binary"
 _PAIRS = "a long, b long, w int, members binary"
 _KEPT = "fp long, n long, sketch binary, size int, z binary"
@@ -209,7 +209,7 @@ def _describe(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.
         value, n = shingle_sets(texts, like.words)
         fp = set_hashes(value, n).view(np.int64)
         signs = sum(3 * parts + prefix for _, parts, _, prefix in _parts(n, like))
-        yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), pa.array(fp, mask=n == 0), pa.array(signs)], names=["doc", "n", "fp", "signs"])
+        yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(n), pa.array(fp, mask=n == 0), pa.array(signs)], names=["doc", "text_hash", "n", "fp", "signs"])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -488,7 +488,7 @@ def _outsiders(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
-def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "doc_id", text: str = "text", details: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id that links reach.
 
     A text's set is its distinct word n-grams, A-Z as a-z; with fewer words its
@@ -496,15 +496,16 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "
     linked with nothing. Two texts link when their Jaccard similarity is at least
     part/whole. Equal sets are linked. Ids should be unique; rows with one id and
     different texts are told apart by their sets. A row without an id takes the
-    smallest id of its component, if it has any. Other columns are dropped. Sets
-    are told apart by 64-bit hashes; all decisions on pairs are taken on whole
+    smallest id of its component, if it has any. Other columns are dropped. With
+    `details`, text_hash (xxhash64 of the text) and component (a name that no
+    other component has, null for empty sets) come along. Sets are told apart by 64-bit hashes; all decisions on pairs are taken on whole
     sets of such hashes. An empty table gives an empty one.
     """
-    keyed = importable(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    keyed = importable(docs).select(F.col(f"`{id_column}`").cast("long").alias("doc"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("text"))
     rows = shared(keyed.mapInArrow(lambda x: _describe(x, like), _DESCRIBED))
     buckets = bucket_count(rows.agg(F.sum("signs")).first()[0] or 0, BUCKET_SIGNATURES)
     classes = shared(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc").alias("rep")))
-    signed = keyed.mapInArrow(lambda x: _sign(x, like, buckets), _SIGNED)
+    signed = keyed.select("text").mapInArrow(lambda x: _sign(x, like, buckets), _SIGNED)
     proposed = shared(signed.groupBy("bucket").applyInArrow(lambda x: _propose(x.select(["data"]), like), _PAIRS))
     pairs = shared(proposed.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("w").alias("w")))
     members = proposed.where("members IS NOT NULL").select("members")
@@ -535,6 +536,7 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "
         release(across)
     release(links, more, kept, pairs, proposed)
 
-    placed = rows.select("doc", "n", "fp").join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc", "n", F.coalesce("root", "fp").alias("root"))
+    more = ["text_hash"] if details else []
+    placed = rows.select("doc", "n", "fp", *more).join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc", "n", *more, F.coalesce("root", "fp").alias("root"))
     least = classes.join(known.select(F.col("node").alias("fp"), "root"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("least"))
-    return placed.join(least, "root", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
+    return placed.join(least, "root", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"), *more, *([F.col("root").alias("component")] if details else []))

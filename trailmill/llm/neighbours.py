@@ -4,11 +4,12 @@ A largest inner product is a smallest distance once each vector x has one more
 coordinate sqrt(M*M - |x|^2), M being the largest norm of all, and a query a zero
 there. All vectors are projected to DIM dimensions by Gaussian (2-stable)
 directions, the same for every block, and a kd-tree is built over the projected
-points. A query takes the tree's leaves in the order of their projected distance
-and verifies their points on the whole vectors. A pair's squared projected
-distance over its squared distance is chi-square distributed with DIM degrees of
-freedom, so the search stops when a point as near as the k-th best so far would
-have come up already with probability SURE.
+points. A query gets the points one after the other by projected distance: leaves
+are opened by the distance of their boxes, and a point comes up when no unopened
+leaf can hold a nearer one. What comes up is verified on the whole vectors. A
+pair's squared projected distance over its squared distance is chi-square
+distributed with DIM degrees of freedom, so the search stops when a point as near
+as the k-th best so far would have come up already with probability SURE.
 
 Every row is in the index of its block; the directions depend on the dimension
 alone, nothing is fitted.
@@ -24,14 +25,17 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of, search_blocks, valid_vectors
 
-DIM, LEAF, SURE, SEED = 8, 64, 0.97, 20
-STEP_LEAVES = 4
-BATCH = 128
-SPARE = 12
+DIM, LEAF, SURE, SEED = 28, 128, 0.9, 20
+STEP = 64
+
+
+_DIRECTIONS: dict[int, np.ndarray] = {}
 
 
 def directions(size: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((size, DIM))
+    if size not in _DIRECTIONS:
+        _DIRECTIONS[size] = np.random.default_rng(SEED).standard_normal((size, DIM))
+    return _DIRECTIONS[size]
 
 
 def chi_square_cdf(x: np.ndarray) -> np.ndarray:
@@ -64,74 +68,79 @@ class ProjectionTree:
         start = np.searchsorted(inverse[order], np.arange(len(first)))
         # Of equal vectors the k + 1 smallest ids can be among a query's k best, itself excluded.
         self.own = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(start, np.append(start[1:], len(ids)), strict=True)]
-        self.vectors = vectors[first]
-        extra = np.sqrt(np.maximum(0, radius**2 - (self.vectors**2).sum(1)))
-        points = np.hstack([self.vectors, extra[:, None]]) @ directions(vectors.shape[1] + 1)
+        vectors = vectors[first]
+        extra = np.sqrt(np.maximum(0, radius**2 - (vectors**2).sum(1)))
+        points = np.hstack([vectors, extra[:, None]]) @ directions(vectors.shape[1] + 1)
         leaves = kd_leaves(points)
         self.low = np.stack([points[x].min(0) for x in leaves])
         self.high = np.stack([points[x].max(0) for x in leaves])
-        width = max(map(len, leaves))
-        self.leaves = np.stack([np.pad(x, (0, width - len(x)), constant_values=-1) for x in leaves])
+        laid = np.concatenate(leaves)  # leaf by leaf
+        self.own = [self.own[i] for i in laid.tolist()]
+        self.vectors, self.points = vectors[laid], points[laid]
+        self.edges = np.cumsum([0, *map(len, leaves)])
         self.radius = radius
-
-    def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query the places of the vectors that come out best, k and some spare."""
-        most = k + SPARE
-        asked = np.hstack([queries, np.zeros((len(queries), 1))]) @ directions(queries.shape[1] + 1)
-        gap = np.maximum(0, np.maximum(self.low[None] - asked[:, None], asked[:, None] - self.high[None]))
-        near = (gap**2).sum(2)
-        order = np.argsort(near, axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
-        size = (queries**2).sum(1)
-        whole, ask = self.vectors.astype(np.float32), queries.astype(np.float32)
-        best = np.full((len(queries), most), -1)
-        score = np.full((len(queries), most), -np.inf, np.float32)
-        active = np.arange(len(queries))
-        for at in range(0, order.shape[1], STEP_LEAVES):
-            places = self.leaves[order[active, at : at + STEP_LEAVES]].reshape(len(active), -1)
-            now = np.einsum("aij,aj->ai", whole[places], ask[active])
-            now[places < 0] = -np.inf
-            both = np.hstack([score[active], now])
-            names = np.hstack([best[active], places])
-            top = np.argpartition(-both, most - 1, axis=1)[:, :most]
-            score[active], best[active] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
-            if at + STEP_LEAVES >= order.shape[1]:
-                break
-            kth = -np.partition(-score[active], k, axis=1)[:, k].astype(float)  # the query itself may be one
-            far = np.maximum(self.radius**2 + size[active] - 2 * kth, 1e-12)
-            active = active[~(chi_square_cdf(near[active, at + STEP_LEAVES] / far) >= SURE)]
-            if len(active) == 0:
-                break
-        return [b[np.isfinite(s)] for b, s in zip(best, score, strict=True)]
+        self.verified = self.possible = 0
+
+    def candidates(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k + 1 best vectors that come up before the search stops (the query itself may be one)."""
+        asked = np.append(q, 0.0) @ directions(len(q) + 1)
+        gap = np.maximum(0, np.maximum(self.low - asked, asked - self.high))
+        box = (gap**2).sum(1)
+        leaves = np.argsort(box, kind="stable")
+        box = np.append(box[leaves], np.inf)
+        size, opened = float((q**2).sum()), 0
+        near, place = np.zeros(0), np.zeros(0, np.int64)  # points of opened leaves that have not come up, by distance
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        self.possible += len(self.vectors)
+        while True:
+            while opened < len(leaves) and (len(near) < STEP or near[STEP - 1] > box[opened]):
+                own = np.arange(self.edges[leaves[opened]], self.edges[leaves[opened] + 1])
+                near, place = np.append(near, ((self.points[own] - asked) ** 2).sum(1)), np.append(place, own)
+                order = np.argsort(near, kind="stable")
+                near, place = near[order], place[order]
+                opened += 1
+            take, near, place = place[:STEP], near[STEP:], place[STEP:]
+            self.verified += len(take)
+            best, score = np.append(best, take), np.append(score, (self.vectors[take] * q).sum(1))
+            if len(score) > k + 1:
+                top = np.argpartition(-score, k)[: k + 1]
+                best, score = best[top], score[top]
+            if len(near) == 0 and opened == len(leaves):
+                return best, score
+            if len(score) > k:
+                far = max(self.radius**2 + size - 2 * float(score.min()), 1e-12)
+                if chi_square_cdf(np.array([min(near[0] if len(near) else np.inf, box[opened]) / far]))[0] >= SURE:
+                    return best, score
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found: list[list[np.ndarray]] = [[], [], []]
-        for at in range(0, len(queries), BATCH):
-            for name, q, places in zip(query_ids[at : at + BATCH], queries[at : at + BATCH], self.candidates(queries[at : at + BATCH], k), strict=True):
-                own = [self.own[p] for p in places.tolist()]
-                ids = np.concatenate(own) if own else np.zeros(0, np.int64)
-                exact = (self.vectors[places] * q).sum(1)  # row by row in one order: equal vectors, equal scores
-                score = np.repeat(exact, [len(x) for x in own])
-                ids, score = ids[ids != name], score[ids != name]
-                best = best_of(score, ids, k)
-                found[0].append(np.full(len(best), name))
-                found[1].append(ids[best])
-                found[2].append(score[best])
+        for name, q in zip(query_ids.tolist(), queries, strict=True):
+            places, exact = self.candidates(q, k)
+            own = [self.own[p] for p in places.tolist()]
+            ids = np.concatenate(own) if own else np.zeros(0, np.int64)
+            score = np.repeat(exact, [len(x) for x in own])
+            ids, score = ids[ids != name], score[ids != name]
+            best = best_of(score, ids, k)
+            found[0].append(np.full(len(best), name))
+            found[1].append(ids[best])
+            found[2].append(score[best])
         return tuple(np.concatenate(x) if x else np.zeros(0) for x in found)
 
 
 def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `queries` holds, k rows of large inner product, largest first.
 
-    Approximate: a true neighbour is found with probability of about SURE. The
-    scores are exact in double precision; ties go to the smaller id; a query's
-    own row is no candidate; fewer candidates give fewer rows. Rows without id
-    or whose vector is null, empty, zero or holds null or non-finite components
-    take no part; vectors of different length are not compared; of rows with one
-    id the smallest vector counts. An empty table gives an empty one.
+    Approximate: the k-th neighbour is found with probability of about SURE,
+    nearer ones with more. The scores are exact in double precision; ties go to
+    the smaller id; rows of the query's id are no candidates; fewer candidates
+    give fewer rows. Rows without id or whose vector is null, empty, zero or holds
+    null or non-finite components take no part; vectors of different length are
+    not compared. Every row of a repeated id is a candidate (of those with equal
+    vectors too), and queries of one id are ranked together. An empty table gives
+    an empty one.
     """
     rows = valid_vectors(table, id_column, vector, zero=False)
     asked = valid_vectors(table.where(queries), id_column, vector, zero=False)
     radius = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m")).first()["m"] or 0.0
     radius = math.sqrt(radius) * (1 + 1e-9)
-    return search_blocks(rows, asked, k, "double", lambda ids, vectors, query_ids, ask: ProjectionTree(ids, vectors, radius, k).search(query_ids, ask, k))
+    return search_blocks(rows, asked, k, "double", lambda ids, vectors: ProjectionTree(ids, vectors, radius, k))

@@ -9,13 +9,15 @@ plan is a table of intervals: the documents of one length, numbered from 0, go
 interval by interval to the places that the patterns have for that length.
 
 The histogram has one entry a length, the plan at most three a pattern; both are
-bounded by the capacity, whatever the number of documents. Numbering the
-documents of a length is done in salts, so a length that a third of all
-documents share is no one task's.
+bounded by the capacity (1,024: under 90,000 patterns, 9 MB), whatever the number
+of documents, and are all that the driver sees. The documents of a length are
+numbered in salts of bounded size, so a length that a third of all documents
+share is no one task's; the salts' first numbers are a running sum in Spark.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import loaded
 from .common import importable, shared
 
-SALTS = 64
+SALT_ROWS = 100_000
 ROUNDS = 400
-MOST_PATTERNS = 400_000  # beyond it, patterns of two lengths only
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -43,11 +44,10 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     two = two[has[capacity - two]]
     two = two[two > 0]
     out.append(np.stack([capacity - two, two, np.zeros_like(two)], 1))
-    if len(lengths) ** 2 // 12 <= MOST_PATTERNS:
-        for c in lengths[3 * lengths <= capacity].tolist():
-            b = lengths[(lengths >= c) & (c + 2 * lengths <= capacity)]
-            b = b[has[capacity - c - b]]
-            out.append(np.stack([capacity - c - b, b, np.full_like(b, c)], 1))
+    for c in lengths[3 * lengths <= capacity].tolist():
+        b = lengths[(lengths >= c) & (c + 2 * lengths <= capacity)]
+        b = b[has[capacity - c - b]]
+        out.append(np.stack([capacity - c - b, b, np.full_like(b, c)], 1))
     return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
 
 
@@ -158,9 +158,10 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each document's token pieces; a null text has the end id only."""
+    proven = loaded(path).proven
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, proven)
         for batch in batches:
             column = pc.fill_null(batch.column(1), "")
             rows: list[list[int]] = [[], [], [], []]
@@ -188,19 +189,17 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     table is read twice, so it should be a kept one. An empty table stays empty;
     a piece without a length or over the capacity raises.
     """
-    salted = importable(pieces).withColumn("__salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int"))
-    counted = salted.groupBy("length", "__salt").count().collect()  # capacity times SALTS rows at most
-    histogram: dict[int, int] = defaultdict(int)
-    before = []
-    for r in sorted(counted, key=lambda r: (r["length"] or 0, r["__salt"])):
-        before.append((r["length"], r["__salt"], histogram[r["length"]]))
-        histogram[r["length"]] += r["count"]
+    salts = max(1, math.ceil(importable(pieces).count() / SALT_ROWS))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
+    counted = shared(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")))
+    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     if not histogram:
         return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     keys, numbers, sequences, offsets = places(plan(histogram, capacity), capacity)
-    starts = pieces.sparkSession.createDataFrame(before, "length long, __salt int, __before long")
+    upto = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)  # one row a salt
+    starts = counted.select("length", "__salt", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("length", "__salt").orderBy("id", "piece")
-    numbered = salted.withColumn("__number", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["length", "__salt"]).withColumn("__number", F.col("__number") + F.col("__before"))
+    numbered = salted.withColumn("__number", F.row_number().over(inside) - 1).join(starts, ["length", "__salt"]).withColumn("__number", F.col("__number") + F.col("__before"))
     fields = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
     names = [f.name for f in fields]
 

@@ -14,10 +14,12 @@ finds the smallest document of each window and names the places of all others,
 packed by groups of documents. There all places of a document merge into runs,
 which meet its text again in one join on the document.
 
-Two windows count as the same if their 64-bit hashes agree (of which range and
-packed bytes keep at least 60 bits): among 10**8 distinct windows, a false match
-anywhere has a chance of about 0.5 %, and ranges grow with the corpus, so the
-expected number of false matches grows in proportion to it.
+Two windows count as the same if their values agree. Word hashes have 61 bits
+here, windows are polynomials over them modulo 2**61 - 1, and range and packed
+bytes keep 60 bits at least. Two given windows that differ agree with a chance of
+about 2**-57 (14 terms, and one bit lost); 10**8 distinct windows make 5 * 10**15
+pairs, so a false match anywhere has a chance of a few per cent at that size,
+concerns one window then, and grows with the square of the distinct windows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bucket_count, importable, text_bytes
-from .hashing import windows, word_hashes
+from .hashing import mix, windows, word_hashes
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
@@ -143,7 +145,7 @@ def _send(batches: Iterator[pa.RecordBatch], width: int, buckets: int, parts: in
 
 def _pack_places(doc: np.ndarray, tag: np.ndarray, place: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
     """Places by group of documents: 20 bytes each."""
-    part = doc % parts
+    part = (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
     out = []

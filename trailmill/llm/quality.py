@@ -173,17 +173,19 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     They are the ones of smallest hash of their id, so the sample does not depend
     on the order of rows. Rows without label, with another label than 0 or 1 or
-    without a document don't count; an id that is labelled twice counts once.
+    without a document don't count; an id that is labelled twice counts once (as 1
+    if the labels differ), and so does a document that stands there twice (with the
+    smallest of its statistics).
     """
     usable = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(id_column))).groupBy(F.col(id_column).alias("__id")).agg(F.max(label).alias("__label"))
     chosen = usable.orderBy(F.xxhash64("__id"), "__id").limit(most)  # `most` rows: safe to broadcast
     stats = statistics(F.col(f"`{text}`"), lambda v: F.struct(*[v[n].alias(n) for n in NAMES]))
-    rows = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`")).join(F.broadcast(chosen), "__id").select("__id", "__label", stats.alias("s")).limit(2 * most).select("__id", "__label", "s.*")
+    rows = docs.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`")).join(F.broadcast(chosen), "__id").select("__id", "__label", stats.alias("s")).groupBy("__id").agg(F.first("__label").alias("__label"), F.min("s").alias("s")).select("__id", "__label", "s.*")
     data = np.array([tuple(r) for r in sorted(rows.collect(), key=tuple)], float).reshape(-1, 2 + len(NAMES))
     return fit_rules(data[:, 2:], data[:, 1])
 
 
 def with_score(docs: DataFrame, model: RuleEnsemble, text: str = "text", column: str = "score") -> DataFrame:
-    """The frame with the model's score of each whole text; a column named like `column` is replaced. Null and empty texts are scored as empty."""
+    """The frame with the model's score of each whole text; a column named like `column` is replaced. Null and empty texts are scored as empty, repeated rows each, equal texts alike; a very long text is one row's work. An empty table stays empty."""
     # A column that can't be null needs no second evaluation to test for it in a filter.
     return docs.withColumn(column, F.coalesce(statistics(F.col(f"`{text}`"), model.score), F.lit(0.0)))

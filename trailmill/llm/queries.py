@@ -66,7 +66,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    added = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     out = chat.format_conversations(messages, content="text")
     read = out.select("conv_id", "n_turns", F.length("formatted").cast("long").alias("formatted_chars"), chat.parse_turns(F.col("formatted")).alias("turns"), chat.masked_text().alias("loss"))

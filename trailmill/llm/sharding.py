@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared
 
 LAW = "bytes"
+RANGE_ROWS = 2_000_000
 
 
 def byte_size(text: str = "text", overhead: int = 16) -> Column:
@@ -33,8 +36,8 @@ def shards_by_bytes(docs: DataFrame, shards: int = 40, id_column: str = "doc_id"
     one. grown_shard belongs to the law `key` and is null. No other column stays.
     """
     spark = docs.sparkSession
-    # Whatever the caller's partitions are, the ranges are as many as the session shuffles into.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the session shuffles into, and more where they would hold over RANGE_ROWS rows.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / RANGE_ROWS))
     order = [F.col("id").asc_nulls_first(), F.col("text_crc32"), F.col("size"), F.col("tie")]
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), byte_size(text, overhead).alias("size"), F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_crc32"), F.monotonically_increasing_id().alias("tie"))
     ranged = shared(narrow.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
