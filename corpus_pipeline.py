@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmill.llm import jaccard, packing, passages, quality
-from trailmill.llm.common import shared, table
+from trailmill.llm.common import release, shared, table
 from trailmill.llm.queries import BYTE_BPE, tokenizer_path
 
 LEAST_SCORE = 0.3
@@ -21,22 +21,34 @@ SEQUENCE_TOKENS = 1024
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the classifier, fitted on the labels, does not reject."""
+    """The documents that the classifier, fitted on the labels, does not reject; each row by its own text, empty and null ones too."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.with_score(docs, model, column="__score").where(F.col("__score") >= LEAST_SCORE).select(docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies; rows without an id stay."""
-    found = jaccard.near_copies(docs.select("doc_id", "text"), NEAR)
-    dropped = shared(found.where("doc_id <> component_id").select("doc_id").distinct())
-    if dropped.count() <= jaccard.BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: the one of smallest id (of one id, of smallest text hash).
+
+    Rows are told apart by id and text, so one of two texts of an id can go and
+    the other stay. Rows that repeat an id and its text stay once; rows without an
+    id, and texts without words, all stay.
+    """
+    found = shared(jaccard.near_copies(docs.select("doc_id", "text"), NEAR, details=True).where("doc_id IS NOT NULL AND component IS NOT NULL").select("doc_id", "text_hash", "component"))
+    winners = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("w")).select("w.*")
+    dropped = shared(found.join(winners, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash").distinct())
+    repeated = shared(found.groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash"))
+    small = lambda keys: F.broadcast(keys) if keys.count() <= jaccard.BROADCAST_ROWS else keys
+    key = ["doc_id", "__text_hash"]
+    keys = lambda df: small(df).withColumnRenamed("text_hash", "__text_hash")
+    kept = docs.withColumn("__text_hash", F.xxhash64("text")).join(keys(dropped), key, "left_anti")
+    if repeated.limit(1).count():
+        kept = kept.join(keys(repeated), key, "left_anti").unionAll(kept.join(keys(repeated), key, "left_semi").dropDuplicates(["doc_id", "text"]))
+    release(found)
+    return kept.select(docs.columns)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages that stand in an earlier one; texts that lose nothing stay as they are."""
+    """The documents without passages that stand in an earlier one; texts that lose nothing stay as they are. Rows of one id lose nothing to each other."""
     found = passages.remove_repeated_passages(docs, PASSAGE_WORDS)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
@@ -45,7 +57,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all token pieces of the documents in sequences."""
+    """The places of all token pieces of the documents in sequences; a null or empty text is one piece of the end id, repeated rows are packed each."""
     return packing.pack_documents(docs, tokenizer_path(BYTE_BPE), SEQUENCE_TOKENS)
 
 
