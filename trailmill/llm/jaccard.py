@@ -213,7 +213,8 @@ def _describe(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.
 
 
 def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The signatures of each block's sets by range, 4 bytes each behind their sets' hashes and sizes."""
+    """The signatures of each block's sets by range, 4 bytes each behind their sets' hashes; sizes and counts by byte plane, compressed."""
+    pack = zstandard.ZstdCompressor(level=1)
     for _, texts in _blocks(batches, BLOCK_BYTES):
         value, n = shingle_sets(texts, like.words)
         fp = set_hashes(value, n).view(np.int64)
@@ -232,8 +233,9 @@ def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> It
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             take = order[cuts[b] : cuts[b + 1]]
             used, many = np.unique(of[take], return_counts=True)
-            head = np.array([len(used), len(take)], np.int64).tobytes()
-            out.append((b, head + fp[used].tobytes() + n[used].astype(np.int32).tobytes() + many.astype(np.int32).tobytes() + rest[take].tobytes()))
+            small = pack.compress(n[used].astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes() + many.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes())
+            head = np.array([len(used), len(take), len(small)], np.int64).tobytes()
+            out.append((b, head + small + fp[used].tobytes() + rest[take].tobytes()))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "data"])
 
@@ -244,11 +246,13 @@ def _propose(group: pa.Table, like: Likeness) -> pa.Table:
     seen = 0
     for data in group.column("data"):
         data = data.as_buffer()
-        d, m = np.frombuffer(data, np.int64, 2).tolist()
-        fps.append(np.frombuffer(data, np.int64, d, 16))
-        sizes.append(np.frombuffer(data, np.int32, d, 16 + 8 * d))
-        nodes.append((np.repeat(np.arange(d, dtype=np.int32), np.frombuffer(data, np.int32, d, 16 + 12 * d)) + np.int32(seen)))
-        sigs.append(np.frombuffer(data, np.uint32, m, 16 + 16 * d))
+        d, m, packed = np.frombuffer(data, np.int64, 3).tolist()
+        small = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[24 : 24 + packed]), np.uint8).reshape(2, 4, d)
+        size, many = (np.ascontiguousarray(x.T).view(np.int32).ravel() for x in small)
+        fps.append(np.frombuffer(data, np.int64, d, 24 + packed))
+        sizes.append(size)
+        nodes.append(np.repeat(np.arange(d, dtype=np.int32), many) + np.int32(seen))
+        sigs.append(np.frombuffer(data, np.uint32, m, 24 + packed + 8 * d))
         seen += d
     fp, first, inverse = np.unique(np.concatenate(fps), return_index=True, return_inverse=True)  # copies of other blocks fall together
     size = np.concatenate(sizes)[first].astype(np.int64)
@@ -365,6 +369,11 @@ def _by_sketches(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
+def _small(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows, broadcast to `kept` if that table, which they are not longer than, is small; beyond that the join shuffles."""
+    return F.broadcast(rows) if kept.count() <= BROADCAST_ROWS else rows
+
+
 def _stream(pairs: DataFrame, kept: DataFrame, column: str, judge) -> DataFrame:
     """The pairs (a node, b its pivot) that the judge lets pass: each pivot once, its nodes streaming past it.
 
@@ -377,7 +386,7 @@ def _stream(pairs: DataFrame, kept: DataFrame, column: str, judge) -> DataFrame:
     size = F.octet_length("sketch") if column == "sketch" else F.col("size")
     payload = kept.select("fp", "n", size.cast("int").alias("size"), F.col(column).alias("data"))
     asked = pairs.join(split, "b", "left").select("b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), F.col("a").alias("fp"))
-    nodes = asked.join(payload, "fp").select("b", "salt", F.lit(1).alias("kind"), "fp", "n", "size", "data")
+    nodes = payload.join(_small(asked, pairs), "fp").select("b", "salt", F.lit(1).alias("kind"), "fp", "n", "size", "data")
     pivots = pairs.select("b").distinct().join(split, "b", "left").select(F.col("b").alias("fp"), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
     pivots = pivots.join(payload, "fp").select(F.col("fp").alias("b"), "salt", F.lit(0).alias("kind"), "fp", "n", "size", "data")
     rows = pivots.unionAll(nodes).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
@@ -416,10 +425,11 @@ def _across(members: DataFrame, known: DataFrame, kept: DataFrame, like: Likenes
     dealt = nodes.select("top", "fp", "c").join(blocks, "top")
     own = dealt.select("top", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "c", "fp")
     outside = dealt.where("c <> top").select("top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "c", "fp")
-    sent = own.unionAll(outside).join(kept, "fp").select("top", "block", "kind", "c", "fp", "n", "sketch", "size", "z")
+    dealt = shared(own.unionAll(outside))
+    sent = kept.join(_small(dealt, dealt), "fp").select("top", "block", "kind", "c", "fp", "n", "sketch", "size", "z")
     met = sent.repartition("top", "block").sortWithinPartitions("top", "block", "kind")
     out = shared(met.mapInArrow(lambda batches: _outsiders(batches, like), _LINKS).distinct())
-    release(placed, nodes)
+    release(placed, nodes, dealt)
     return out
 
 

@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket_count, importable, text_bytes
+from .common import bucket_count, importable, shared, text_bytes
 from .hashing import mix, windows, word_hashes
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
 PART_BYTES = 96 << 20
+BROADCAST_BYTES = 32 << 20  # runs of repeated windows that are sent to the texts; more of them meet the texts in a shuffle
 KEY, TAG, FOUND = "__passage_doc", "__passage_tag", "__passage_found"
 _SENT = "bucket int, part int, data binary"
 _NAMED = "part int, data binary"
@@ -274,5 +275,7 @@ def remove_repeated_passages(docs: DataFrame, width: int = 13, id_column: str =
 
     found = repeated_windows(docs, width, id_column, text)
     left = docs.withColumns({KEY: F.col(f"`{id_column}`").cast("long"), TAG: F.when(F.col(f"`{text}`").isNotNull(), _tag(text))})
-    joined = left.join(found, [KEY, TAG], "left")
+    found = shared(found)
+    size = found.agg(F.sum(F.octet_length(FOUND) + 64)).first()[0] or 0
+    joined = left.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, [KEY, TAG], "left")
     return joined.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("binary").alias("__passage_text"), FOUND).mapInArrow(cut_out, schema)
