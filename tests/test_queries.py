@@ -10,7 +10,6 @@ import trailmill.plans  # noqa: E402, F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"gra5_distances", "gra5_env5_graph_metrics", "gra7_tree_statistics", "smp1_greedy_coverage"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, con, name):
     df = registry.queries()[name](spark, DATA)
     columns = sorted(df.columns)

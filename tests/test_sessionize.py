@@ -67,6 +67,7 @@ def test_persona_split(spark):
     rows = [(1, 0, 0, ""), (1, 1, 1, "x"), (1, 2, 2, ""), (1, 3, 3, "y"), (2, 0, 0, "")]
     df = spark.createDataFrame(rows, "session_id long, seq long, ts_ms long, persona string")
     got = {(r.session_id, r.seq): r.session_part for r in S.split_by_persona(df).collect()}
-    assert got[(1, 0)] == got[(1, 2)] == "1::px::0"
-    assert got[(1, 3)] == "1::py::1"
+    assert got[(1, 0)] == "1::p::0"
+    assert got[(1, 1)] == got[(1, 2)] == "1::px::1"
+    assert got[(1, 3)] == "1::py::2"
     assert got[(2, 0)] == "2"

@@ -163,7 +163,15 @@ def semantic_ids(html: Column) -> Column:
 
 
 def click_text(elements: Column) -> Column:
-    return F.regexp_extract(elements, r'text="([^"]*)"', 1)
+    """The text of what was clicked, from an elements chain, without blanks around it."""
+    return F.trim(F.regexp_extract(elements, r'text="([^"]*)"', 1))
+
+
+def index_list(spec: Column) -> Column:
+    """The numbers of a list like 0,1,10-15, ranges with both ends, in the order given and once each; blanks are skipped."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+    ends = lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int"))
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: F.when(F.element_at(ends(p), -1) >= ends(p)[0], F.sequence(ends(p)[0], F.element_at(ends(p), -1))).otherwise(F.array().cast("array<int>")))))
 
 
 def tokens(text: Column, stop: list[str], least: int = 3) -> Column:

@@ -20,8 +20,8 @@ def clean_catalog(raw: DataFrame) -> DataFrame:
 
 
 def price_edges(catalog: DataFrame, bins: int = BINS) -> DataFrame:
-    """(product_type, edges): equal-width bins of each type's prices; one bin of half a unit each way where all prices are equal."""
-    span = catalog.where("price IS NOT NULL").groupBy("product_type").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    """(product_type, edges): equal-width bins of each type's prices; one bin of half a unit each way where all prices are equal. Blank types have none."""
+    span = catalog.where("price IS NOT NULL AND trim(product_type) <> ''").groupBy("product_type").agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
     steps = F.sequence(F.lit(0), F.lit(bins))
     edges = F.when(F.col("lo") == F.col("hi"), F.array(F.col("lo") - 0.5, F.col("hi") + 0.5)).otherwise(F.transform(steps, lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins))
     return span.select("product_type", edges.alias("edges"))
@@ -159,12 +159,31 @@ def catalog_statistics(catalog: DataFrame) -> DataFrame:
     return sizes.crossJoin(prices)  # one row each
 
 
-def encoded_variants(options: DataFrame) -> DataFrame:
-    """(product, code): which combinations of up to two option values exist, v1_ and ranges or single values of the second in each of the first."""
-    w = Window.partitionBy("product", "first").orderBy("second")
-    runs = options.distinct().withColumn("__i", F.col("second") - F.row_number().over(w))
-    spans = runs.groupBy("product", "first", "__i").agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    part = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
-    seconds = spans.groupBy("product", "first").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", part.alias("t")))), lambda x: x["t"]), " ").alias("t"))
-    firsts = seconds.groupBy("product").agg(F.array_sort(F.collect_list(F.struct("first", "t"))).alias("r"))
-    return firsts.select("product", F.concat(F.lit("v1_"), F.array_join(F.transform("r", lambda x: F.concat(x["first"].cast("string"), F.lit(":"), x["t"])), ","), F.lit(",")).alias("code"))
+def encoded_variants(variants: DataFrame) -> DataFrame:
+    """(product, code): the combinations of option values that exist, from (product, places) rows, places being one index an option.
+
+    v1_ and the combinations in order: of one option, values with blanks between;
+    of more, values with colons between and a comma less than options behind each.
+    Products without a combination get an empty code. One product's variants meet
+    in one row.
+    """
+    own = variants.groupBy("product").agg(F.array_sort(F.collect_set(F.when(F.size("places") > 0, F.col("places")))).alias("c"))
+    options = F.size(F.col("c")[0])
+    joined = F.transform("c", lambda p: F.array_join(p.cast("array<string>"), ":"))
+    end = F.repeat(F.lit(","), options - 1)
+    many = F.concat(F.lit("v1_"), F.array_join(F.transform(joined, lambda t: F.concat(t, end)), ""))
+    code = F.when(F.size("c") == 0, "").when(options == 1, F.concat(F.lit("v1_"), F.array_join(joined, " "))).otherwise(many)
+    return own.select("product", code.alias("code"))
+
+
+def select_variant(variants: Column, chosen: Column) -> Column:
+    """Of an array of variants (options: map of name to value, available) the first with all chosen options; nothing chosen, or none such: the first that can be sold, else the first."""
+    fits = F.filter(variants, lambda v: F.forall(F.map_entries(chosen), lambda e: F.element_at(v["options"], e["key"]).eqNullSafe(e["value"])))
+    sold = F.filter(variants, lambda v: v["available"])
+    asked = F.coalesce(F.size(chosen) > 0, F.lit(False))
+    return F.when(asked & (F.size(fits) > 0), F.get(fits, F.lit(0))).when(F.size(sold) > 0, F.get(sold, F.lit(0))).otherwise(F.get(variants, F.lit(0)))
+
+
+def metafield(fields: Column, namespace: str, key: str) -> Column:
+    """The value of the first metafield of a namespace and key in an array of (namespace, key, value), else null."""
+    return F.get(F.filter(fields, lambda f: (f["namespace"] == namespace) & (f["key"] == key)), F.lit(0))["value"]

@@ -11,12 +11,15 @@ from ..functions.scalars import cosine, dot
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The frame computed once, kept in spark.checkpoint.dir; where none is set, by the executors."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
-    if folder and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return df.localCheckpoint() if context._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    """The frame computed once and kept in spark.checkpoint.dir; on one machine without that setting, under its warehouse."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return df.checkpoint()
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
@@ -57,26 +60,55 @@ def merge_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(a), "source", "left").join(F.broadcast(b), "target", "left").select(F.coalesce("__s", "source").alias("source"), F.coalesce("__t", "target").alias("target")).where("source <> target").distinct()
 
 
-def page_category(url: Column) -> Column:
-    path = F.regexp_extract(url, r"^(?:[a-z]+://[^/]*)?([^?#]*)", 1)
-    return F.when(path.isin("", "/"), "home").when(path.startswith("/cart"), "cart").when(path.startswith("/search"), "search").when(path.startswith("/collections"), "collection").when(path.startswith("/products"), "product").when(path.startswith("/policies"), "policy").otherwise("explore")
+#: State nodes by the action that leads to them; other states are explored.
+STATE_CATEGORIES = {"cart_drawer": "open_cart", "search_overlay": "search", "predictive_panel": "search", "filter_panel_open": "filter", "sort_menu_open": "filter"}
 
 
-def edge_categories(edges: DataFrame, target: str = "target") -> DataFrame:
-    return edges.groupBy(page_category(F.col(target)).alias("category")).agg(F.count("*").alias("n"))
+def page_category(path: Column) -> Column:
+    """The action that leads to a page, by its canonical path; whole path segments count, but any path that starts with /search is a search."""
+    under = lambda p: (path == p) | path.startswith(p + "/")
+    return (
+        F.when(path == "/", "goto_home")
+        .when(under("/cart"), "goto_cart")
+        .when(path.startswith("/search"), "search")
+        .when(under("/collections"), "goto_collection")
+        .when(under("/products"), "goto_product")
+        .when(under("/policies"), "goto_policy")
+        .otherwise("explore")
+    )
 
 
-def tree_statistics(nodes: DataFrame) -> DataFrame:
-    """(tree, n_nodes, n_leaves, depth) of (tree, node, parent) rows: roots have no parent; depth counts nodes on the longest path."""
-    level = nodes.where("parent IS NULL").select("tree", "node", F.lit(1).alias("depth")).cache()
-    every, children = level, nodes.where("parent IS NOT NULL").select("tree", F.col("parent"), F.col("node").alias("child"))
-    while True:
-        level = level.join(children, (level["tree"] == children["tree"]) & (level["node"] == children["parent"])).select(level["tree"], F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")).cache()
-        if level.limit(1).count() == 0:
-            break
-        every = every.unionByName(level)
-    inner = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct().withColumn("__p", F.lit(1))
-    return every.join(inner, ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("__p").isNull()).alias("n_leaves"), F.max("depth").alias("depth"))
+def edge_categories(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(category, n): edges by the action that leads to their target. Nodes are (node, kind, state_name); edges to unknown nodes don't count."""
+    state = F.lit("explore")
+    for name, category in STATE_CATEGORIES.items():
+        state = F.when(F.col("state_name") == name, category).otherwise(state)
+    category = F.when(F.col("kind") == "state", state).otherwise(page_category(F.col("node")))
+    return edges.join(nodes.select("node", "kind", "state_name"), edges["target"] == nodes["node"]).groupBy(category.alias("category")).agg(F.count("*").alias("n"))
+
+
+#: Roles that add no step to the semantic depth.
+UNSEEN_ROLES = ("none", "presentation", "generic", "Section", "StaticText", "InlineTextBox", "LineBreak", "LabelText", "ListMarker", "IframePresentational")
+
+
+def tree_statistics(nodes: DataFrame, unseen: tuple[str, ...] = UNSEEN_ROLES) -> DataFrame:
+    """(tree, n_nodes, n_leaves, depth, semantic_depth) of (tree, node, parent, role) rows; roots have no parent.
+
+    Depths count the edges of the longest path from a root; the semantic one only
+    those to a node whose role is named and seen. What no root reaches does not
+    count; a node that is reached again (a cycle) is passed over. A join a level,
+    kept in the shared folder.
+    """
+    counts = F.coalesce((F.col("role") != "") & ~F.col("role").isin(*unseen), F.lit(False)).cast("int")
+    children = _cut(nodes.where("parent IS NOT NULL AND parent <> node").select("tree", F.col("parent").alias("node"), F.col("node").alias("child"), counts.alias("step")))
+    level = _cut(nodes.where("parent IS NULL").select("tree", "node", F.lit(0).alias("depth"), F.lit(0).alias("semantic_depth")).distinct())
+    every = level
+    while not level.isEmpty():
+        level = level.join(children, ["tree", "node"]).groupBy("tree", F.col("child").alias("node")).agg((F.max("depth") + 1).alias("depth"), F.max(F.col("semantic_depth") + F.col("step")).alias("semantic_depth"))
+        level = _cut(level.join(every, ["tree", "node"], "left_anti"))
+        every = _cut(every.unionByName(level))
+    inner = children.select("tree", "node").distinct().withColumn("__p", F.lit(1))
+    return every.join(inner, ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("__p").isNull()).alias("n_leaves"), F.max("depth").alias("depth"), F.max("semantic_depth").alias("semantic_depth"))
 
 
 def role_counts(nodes: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
@@ -106,8 +138,19 @@ def nearest_in_group(synth: DataFrame, real: DataFrame, key: str) -> DataFrame:
     return best.groupBy(key).agg(F.round(F.avg("m"), 6).alias("similarity"), F.count("*").alias("n"))
 
 
-def retrieve(memory: DataFrame, query: list[float], now: float, n: int, decay: float = 0.995) -> DataFrame:
-    """The n pieces of highest cosine + recency + importance, weighted by kind. Rows are (id, v, age_hours, importance, weight)."""
+def retrieve(memory: DataFrame, query: list[float], now: float, n: int, recent: dict[str, float] | None = None) -> DataFrame:
+    """(id, part, rank, score): first all recent pieces of the kinds in `recent` (kind -> greatest age), by time; then the n best.
+
+    A piece's score is (dot product with the query + e**(its time - now) +
+    importance) * weight; equal scores go by id. A recent piece can come twice.
+    Rows are (id, kind, v, at, importance, weight).
+    """
     q = F.array(*[F.lit(float(x)) for x in query])
-    score = (cosine(F.col("v"), q) + F.pow(F.lit(decay), F.lit(now) - F.col("at_hours")) + F.col("importance")) * F.col("weight")
-    return memory.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= n).select("id", "rank", "score")
+    score = (dot(F.col("v"), q) + F.exp(F.col("at") - F.lit(now)) + F.col("importance")) * F.col("weight")
+    best = memory.select("id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+    ranked = best.select("id", F.lit("ranked").alias("part"), F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), "score")  # n rows
+    fresh = F.lit(False)
+    for kind, age in (recent or {}).items():
+        fresh = fresh | ((F.col("kind") == kind) & (F.col("at") >= now - age))
+    first = memory.where(fresh).select("id", F.lit("recent").alias("part"), F.row_number().over(Window.orderBy("at", "id")).alias("rank"), F.lit(None).cast("double").alias("score"))  # a few steps back
+    return first.unionAll(ranked)

@@ -63,8 +63,9 @@ def paired_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataF
 
 
 def token_f1(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """F1 of the multisets of words of two texts, in lower case; two empty texts agree."""
-    words = lambda c, n: pairs.select(key, F.explode(F.filter(F.split(F.lower(F.col(c)), r"\s+"), lambda w: w != "")).alias("w")).groupBy(key, "w").agg(F.count("*").alias(n))
+    """F1 of the multisets of words (letters, numbers and _) of two texts, case folded; two texts without words agree, one alone gives 0."""
+    folded = lambda c: F.replace(F.replace(F.lower(F.col(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    words = lambda c, n: pairs.select(key, F.explode(F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")).groupBy(key, "w").agg(F.count("*").alias(n))
     both = words(a, "x").join(words(b, "y"), [key, "w"], "full").na.fill(0, ["x", "y"])
     sums = both.groupBy(key).agg(F.sum(F.least("x", "y")).alias("c"), F.sum("x").alias("nx"), F.sum("y").alias("ny"))
     return pairs.select(key).join(sums, key, "left").select(key, F.round(F.when(F.col("c").isNull(), 1.0).otherwise(2 * F.col("c") / (F.col("nx") + F.col("ny"))), 9).alias("f1"))
@@ -87,10 +88,17 @@ def target_reward(similarity: Column, valid: Column, exact: Column) -> Column:
     return 0.6 * similarity + 0.1 * valid.cast("int") + 0.3 * exact.cast("int")
 
 
-def composite_reward(format_ok: Column, action_ok: Column, target: Column, has_target: Column, weights: tuple[float, float, float] = (0.1, 0.3, 0.6)) -> Column:
-    """Nothing without the format, only the format's share without the action; without a target the other weights share its part."""
-    f, a, t = weights
-    return F.when(~format_ok, 0.0).when(~action_ok, f).when(has_target, f + a + t * target).otherwise(F.lit((f + a) / (f + a)))
+def composite_reward(format_ok: Column, action_ok: Column, grounding: Column, similarity: Column, target: Column, has_target: Column, weights: tuple[float, float, float] = (0.05, 0.45, 0.5), inner: tuple[float, float] = (0.7, 0.3)) -> Column:
+    """Base, reasoning and target terms over their weights, for answers of the right format and action; all others get 0.
+
+    The reasoning term is the weighted mean of grounding and similarity. Without
+    a true target its term is left out of both sums, so every action can reach 1.
+    """
+    base, reason, aim = weights
+    reasoning = (inner[0] * grounding + inner[1] * similarity) / F.lit(inner[0] + inner[1])
+    plain = base + reason * reasoning
+    total = F.when(has_target, (plain + aim * target) / F.lit(base + reason + aim)).otherwise(plain / F.lit(base + reason))
+    return F.when(format_ok & action_ok, total).otherwise(F.lit(0.0))
 
 
 def holm(rows: DataFrame, p: str, *by: str) -> DataFrame:
@@ -155,29 +163,60 @@ def normal_tail(z: Column) -> Column:
     return tail(z)
 
 
-def greedy_coverage(candidates: DataFrame, per_outcome: int, most: int = 150_000) -> list[str]:
-    """Session ids: per outcome the ones that add most new products, one after the other, ties to the smaller id.
+#: The outcomes that a selection is split over, in this order.
+OUTCOMES = ("checkout", "cart_abandoned", "browse_only")
+
+
+def outcome_quotas(available: dict[str, int], n: int, outcomes: tuple[str, ...] = OUTCOMES) -> dict[str, int]:
+    """n split evenly, the remainder to the first outcomes; what an outcome lacks goes to those that have spare sessions, in order."""
+    base, rest = divmod(n, len(outcomes))
+    want = {o: base + (i < rest) for i, o in enumerate(outcomes)}
+    quota = {o: min(w, available.get(o, 0)) for o, w in want.items()}
+    missing = n - sum(quota.values())
+    for o in outcomes:
+        more = min(missing, available.get(o, 0) - quota[o])
+        quota[o] += more
+        missing -= more
+    return quota
 
-    The candidates are summaries of a sample of at most `most` sessions; more raise.
+
+def select_sessions(candidates: DataFrame, n: int, least: int = 0, most: int = 1 << 30, outcomes: tuple[str, ...] = OUTCOMES, batch: int = 10_000) -> list[str]:
+    """Ids of n sessions, split over the outcomes, that cover many products: greedily the one that adds most, ties to the smaller id.
+
+    Candidates are (session_id, outcome, n_real, products); sessions with fewer
+    than `least` or more than `most` real actions are left out. One choice over
+    all outcomes; one whose quota is full is passed over. The driver holds `batch`
+    candidates of greatest gain at a time. A gain only falls, so a choice that
+    beats the last of them beats all others too; when none does, Spark names the
+    next batch by the gains of that moment.
     """
     import heapq
 
-    rows = candidates.select("session_id", "outcome", "products").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"over {most} candidates: sample them first")
+    real = candidates.where(F.col("n_real").between(least, most) & F.col("outcome").isin(*outcomes))
+    real = real.select(F.col("session_id").cast("string").alias("session_id"), "outcome", F.array_distinct("products").alias("products"))
+    left = outcome_quotas({r["outcome"]: r["n"] for r in real.groupBy("outcome").agg(F.count("*").alias("n")).collect()}, n, outcomes)
+    spark = candidates.sparkSession
     out: list[str] = []
     covered: set[str] = set()
-    for outcome in sorted({r["outcome"] for r in rows}):
-        heap = [(-len(r["products"]), str(r["session_id"]), set(r["products"])) for r in rows if r["outcome"] == outcome]
+    while any(left.values()):
+        state = spark.createDataFrame([(sorted(covered), out)], "covered array<string>, taken array<string>")
+        open_ = real.where(F.col("outcome").isin(*[o for o, k in left.items() if k])).crossJoin(F.broadcast(state)).where(~F.array_contains("taken", F.col("session_id")))  # one row
+        gain = F.size(F.array_except("products", "covered"))
+        rows = open_.select("session_id", "outcome", "products", gain.alias("gain")).orderBy(F.desc("gain"), "session_id").limit(batch).collect()
+        heap = [(-r["gain"], r["session_id"], r["outcome"], frozenset(r["products"])) for r in rows]
+        beyond = heap[-1][:2] if len(heap) == batch else None
         heapq.heapify(heap)
-        taken = 0
-        while heap and taken < per_outcome:
-            _, sid, products = heapq.heappop(heap)
-            gain = -len(products - covered)
-            if heap and (gain, sid) > heap[0][:2]:
-                heapq.heappush(heap, (gain, sid, products))
+        while heap and any(left.values()):
+            _, sid, outcome, products = heapq.heappop(heap)
+            if not left[outcome]:
+                continue
+            now = (-len(products - covered), sid)
+            if heap and now > heap[0][:2]:
+                heapq.heappush(heap, (*now, outcome, products))
                 continue
+            if beyond is not None and now > beyond:
+                break
             out.append(sid)
             covered |= products
-            taken += 1
+            left[outcome] -= 1
     return out

@@ -100,6 +100,26 @@ def score_ranking(labels: DataFrame, ranking: DataFrame, k: int) -> DataFrame:
     return hit.agg(F.count("*").alias("n"), F.round(F.avg(F.col("rank").isNotNull().cast("int")), 9).alias("hr"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 9).alias("mrr"))
 
 
+def popularity_range(train: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(hr_by_id, hr_min, hr_max, n_tied, n_slots): hit rate of the k most frequent items of `train` for the labels.
+
+    Items tied at the cut-off compete for the last slots: by id, and the least
+    and greatest rate that any choice of them gives. No label gives null rates.
+    """
+    ties = popularity_ties(train, k)
+    hits = labels.groupBy(F.col("label").alias("item")).agg(F.count("*").alias("h"))
+    items = train.groupBy("item").agg(F.count("*").alias("n")).join(F.broadcast(ties.select("cutoff", "tied", "open")), F.col("n") >= F.col("cutoff")).join(hits, "item", "left").na.fill(0, ["h"])  # one row of ties
+    slots = F.least("open", "tied")
+    tied = items.where("n = cutoff")
+    place = lambda *order: F.row_number().over(Window.partitionBy("cutoff").orderBy(*order)) <= slots
+    chosen = tied.select("h", *[place(*o).alias(c) for c, o in (("by_id", ["item"]), ("fewest", ["h", "item"]), ("most", [F.desc("h"), "item"]))])
+    sums = chosen.agg(*[F.coalesce(F.sum(F.when(F.col(c), F.col("h"))), F.lit(0)).alias(c) for c in ("by_id", "fewest", "most")])
+    sure = items.where("n > cutoff").agg(F.coalesce(F.sum("h"), F.lit(0)).alias("sure"))
+    one = sums.crossJoin(sure).crossJoin(labels.agg(F.count("*").alias("n"))).crossJoin(ties.select(F.col("tied").alias("n_tied"), F.col("open").cast("long").alias("n_slots")))  # one row each
+    rate = lambda c: F.round((F.col("sure") + F.col(c)) / F.nullif(F.col("n"), F.lit(0)), 9)
+    return one.select(rate("by_id").alias("hr_by_id"), rate("fewest").alias("hr_min"), rate("most").alias("hr_max"), "n_tied", "n_slots")
+
+
 def cooccurrence(rows: DataFrame) -> DataFrame:
     """(i, j, n): over all pairs of positions of a session with different items, both directions."""
     a = rows.select("session", F.col("pos").alias("p"), F.col("item").alias("i"))

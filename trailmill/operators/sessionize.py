@@ -172,12 +172,15 @@ def click_action(text: Column) -> Column:
 
 
 def split_by_persona(rows: DataFrame) -> DataFrame:
-    """Rows with `session_part`: a session is split where its last named persona changes; the id has a suffix if it was split."""
+    """Rows with `session_part`: a session is split at each row that names another persona than the last named one; the id has a suffix if it was split.
+
+    Rows before the first name are a part of their own, of no persona.
+    """
     w = Window.partitionBy("session_id").orderBy("ts_ms", "seq")
     carried = rows.withColumn("__p", F.last(F.when(F.col("persona") != "", F.col("persona")), True).over(w))
     before = F.lag("__p").over(w)
-    # A first name opens no new part; only a change of names does.
-    part = carried.withColumn("__c", F.coalesce((F.col("__p") != before).cast("int"), F.lit(0))).withColumn("__i", F.sum("__c").over(w))
+    opens = F.col("__p").isNotNull() & ~F.col("__p").eqNullSafe(before) & (F.row_number().over(w) > 1)
+    part = carried.withColumn("__c", opens.cast("int")).withColumn("__i", F.sum("__c").over(w))
     many = F.max("__i").over(Window.partitionBy("session_id"))
     named = F.max("__p").over(Window.partitionBy("session_id", "__i"))
     return part.withColumns({"__m": many, "__n": named}).withColumn("session_part", F.when(F.col("__m") > 0, F.concat(F.col("session_id").cast("string"), F.lit("::p"), F.coalesce("__n", F.lit("")), F.lit("::"), F.col("__i").cast("string"))).otherwise(F.col("session_id").cast("string"))).drop("__p", "__c", "__i", "__m", "__n")

@@ -57,7 +57,7 @@ for _key, _col in (("TITLE", "product_title"), ("PRICE", "price"), ("VENDOR", "v
 register("pag1_cursor_page", lambda s, d: C.page(C.sort_products(placed(s, d), "PRICE"), first=7, after="Y3Vyc29yOjQ=").select("product_handle", "index", "cursor"), f"WITH {PLACED_SQL}, r AS (SELECT product_handle, (row_number() OVER (ORDER BY price, place) - 1)::INTEGER AS index FROM pl) SELECT product_handle, index, base64(('cursor:' || index)::BLOB) AS cursor FROM r WHERE index BETWEEN 5 AND 11")
 register("pag1_last_page", lambda s, d: C.page(C.sort_products(placed(s, d), "PRICE"), last=3, before="Y3Vyc29yOjEw").select("product_handle", "index"), f"WITH {PLACED_SQL}, r AS (SELECT product_handle, (row_number() OVER (ORDER BY price, place) - 1)::INTEGER AS index FROM pl) SELECT product_handle, index FROM r WHERE index BETWEEN 7 AND 9")
 register("pag2_predictive", lambda s, d: C.predictive(C.sort_products(placed(s, d), "PRICE").withColumn("kind_order", F.col("place") % 3), 4, each=True).select("kind_order", "product_handle"), f"WITH {PLACED_SQL} SELECT kind_order, product_handle FROM (SELECT place % 3 AS kind_order, product_handle, row_number() OVER (PARTITION BY place % 3 ORDER BY price, place) AS k FROM pl) WHERE k <= 4")
-register("top3_recommendations", lambda s, d: C.recommendations(placed(s, d), placed(s, d)), f"""WITH {PLACED_SQL}, t AS (SELECT product_handle AS target, product_type AS tt, list_transform(tags, lambda x : lower(x)) AS ttags FROM pl WHERE product_id % 40 = 1),
+register("top3_recommendations", lambda s, d: C.recommendations(placed(s, d), placed(s, d)), f"""WITH {PLACED_SQL}, t AS (SELECT product_handle AS target, product_type AS tt, list_transform(tags, lambda x : lower(x)) AS ttags FROM pl),
 s AS (SELECT target, product_handle, place, CASE WHEN product_type = tt THEN 1000 ELSE 0 END + len(list_filter(tags, lambda x : list_contains(ttags, lower(x)))) AS score FROM pl JOIN t ON product_handle <> target)
 SELECT target, rank, product_handle, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, place)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 4""")
 
@@ -87,6 +87,10 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("agg32_price_range", _ranges, "SELECT l_partkey AS product_id, coalesce(min(round(l_extendedprice, 2)) FILTER (l_linenumber <> 1), 0) AS least, coalesce(max(round(l_extendedprice, 2)) FILTER (l_linenumber <> 1), 0) AS greatest FROM lineitem GROUP BY l_partkey")
-register("encoded_variants", lambda s, d: C.encoded_variants(table(s, d, "lineitem").select(F.col("l_orderkey").alias("product"), F.col("l_linenumber").alias("first"), (F.col("l_partkey") % 6).alias("second"))), """WITH o AS (SELECT DISTINCT l_orderkey AS product, l_linenumber AS first, l_partkey % 6 AS second FROM lineitem),
-r AS (SELECT *, second - row_number() OVER (PARTITION BY product, first ORDER BY second) AS i FROM o), sp AS (SELECT product, first, min(second) AS a, max(second) AS b FROM r GROUP BY product, first, i),
-s AS (SELECT product, first, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ' ' ORDER BY a) AS t FROM sp GROUP BY product, first) SELECT product, 'v1_' || string_agg(first || ':' || t, ',' ORDER BY first) || ',' AS code FROM s GROUP BY product""")
+PLACES = "CASE l_orderkey % 3 WHEN 0 THEN array(l_linenumber, CAST(l_partkey % 6 AS INT), CAST(l_suppkey % 3 AS INT)) WHEN 1 THEN array(CAST(l_partkey % 6 AS INT)) ELSE array(l_linenumber, CAST(l_partkey % 6 AS INT)) END"
+register("encoded_variants", lambda s, d: C.encoded_variants(table(s, d, "lineitem").selectExpr("l_orderkey AS product", f"{PLACES} AS places")), """WITH o AS (SELECT DISTINCT l_orderkey AS product, CASE WHEN l_orderkey % 3 = 1 THEN 0 ELSE l_linenumber END AS a, l_partkey % 6 AS b, CASE WHEN l_orderkey % 3 = 0 THEN l_suppkey % 3 ELSE 0 END AS c FROM lineitem)
+SELECT product, 'v1_' || CASE product % 3 WHEN 1 THEN string_agg(b::VARCHAR, ' ' ORDER BY b) WHEN 0 THEN string_agg(a || ':' || b || ':' || c || ',,', '' ORDER BY a, b, c) ELSE string_agg(a || ':' || b || ',', '' ORDER BY a, b) END AS code FROM o GROUP BY product""")
+_VARIANTS = "transform(sequence(0, 3), i -> named_struct('options', map('size', CAST((p_size + i) % 3 AS STRING)), 'available', (p_partkey + i) % 4 = 0, 'id', i))"
+register("fn_select_variant", lambda s, d: table(s, d, "part").selectExpr("p_partkey", f"{_VARIANTS} AS v", "CASE WHEN p_partkey % 5 = 0 THEN map() ELSE map('size', CAST(p_partkey % 4 AS STRING)) END AS o").select("p_partkey", C.select_variant(F.col("v"), F.col("o"))["id"].alias("chosen")), """WITH v AS (SELECT p_partkey, i, (p_size + i) % 3 AS size, (p_partkey + i) % 4 = 0 AS sold FROM part, range(4) r(i))
+SELECT p_partkey, coalesce(min(i) FILTER (p_partkey % 5 <> 0 AND size = p_partkey % 4), min(i) FILTER (sold), 0)::INTEGER AS chosen FROM v GROUP BY p_partkey""")
+register("fn_metafield", lambda s, d: table(s, d, "part").selectExpr("p_partkey", "array(named_struct('namespace', 'a', 'key', p_type, 'value', 'x'), named_struct('namespace', 'b', 'key', p_type, 'value', p_name)) AS f").select("p_partkey", C.metafield(F.col("f"), "b", "TYPE1").alias("value")), "SELECT p_partkey, CASE WHEN p_type = 'TYPE1' THEN p_name END AS value FROM part")

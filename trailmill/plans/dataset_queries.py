@@ -86,21 +86,22 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.where("turn = 0").select("conv_id", F.col("text").alias("a")).join(c.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id")
 
 
-register("str_token_f1", lambda s, d: R.token_f1(_pairs(s, d), "conv_id", "a", "b"), r"""WITH p AS (SELECT x.conv_id, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1),
-w AS (SELECT conv_id, 0 AS s, unnest(regexp_split_to_array(lower(a), '\s+')) AS w FROM p UNION ALL SELECT conv_id, 1, unnest(regexp_split_to_array(lower(b), '\s+')) FROM p), c AS (SELECT conv_id, w, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y FROM w WHERE w <> '' GROUP BY ALL)
-SELECT conv_id, round(2 * sum(least(x, y)) / (sum(x) + sum(y)), 9) AS f1 FROM c GROUP BY conv_id""")
+register("str_token_f1", lambda s, d: R.token_f1(_pairs(s, d), "conv_id", "a", "b"), r"""WITH p AS (SELECT x.conv_id, replace(replace(lower(x.text), 'ß', 'ss'), 'ς', 'σ') AS a, replace(replace(lower(y.text), 'ß', 'ss'), 'ς', 'σ') AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn = 0 AND y.turn = 1),
+w AS (SELECT conv_id, 0 AS s, unnest(regexp_extract_all(a, '[\p{L}\p{N}_]+')) AS w FROM p UNION ALL SELECT conv_id, 1, unnest(regexp_extract_all(b, '[\p{L}\p{N}_]+')) FROM p), c AS (SELECT conv_id, w, count(*) FILTER (s = 0) AS x, count(*) FILTER (s = 1) AS y FROM w GROUP BY ALL)
+SELECT p.conv_id, round(coalesce(2 * sum(least(x, y)) / (sum(x) + sum(y)), 1), 9) AS f1 FROM p LEFT JOIN c ON c.conv_id = p.conv_id GROUP BY p.conv_id""")
 register("rwd1_target_reward", lambda s, d: _pairs(s, d).select("conv_id", F.round(R.target_reward(R.similar_share(F.col("a"), F.col("b")), F.col("conv_id") % 2 == 0, F.col("a") == F.col("b")), 9).alias("reward")))
-register("rwd3_composite_reward", lambda s, d: table(s, d, "events").select("event_id", F.round(R.composite_reward(F.col("event_id") % 11 != 0, F.col("event_id") % 3 != 0, F.col("value") / 1000, F.col("event_id") % 2 == 0), 6).alias("reward")), "SELECT event_id, round(CASE WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 0.1 WHEN event_id % 2 = 0 THEN 0.1::DOUBLE + 0.3::DOUBLE + 0.6::DOUBLE * (value / 1000) ELSE 1 END, 6) AS reward FROM events")
+register("rwd3_composite_reward", lambda s, d: table(s, d, "events").select("event_id", F.round(R.composite_reward(F.col("event_id") % 11 != 0, F.col("event_id") % 3 != 0, F.col("event_id") % 5 / 4, F.col("event_id") % 8 / 8, F.col("event_id") % 16 / 16, F.col("event_id") % 2 == 0), 6).alias("reward")), """WITH c AS (SELECT event_id, 0.05 + 0.45 * (0.7 * (event_id % 5 / 4) + 0.3 * (event_id % 8 / 8)) AS plain, event_id % 16 / 16 AS target FROM events)
+SELECT event_id, round(CASE WHEN event_id % 11 = 0 OR event_id % 3 = 0 THEN 0 WHEN event_id % 2 = 0 THEN plain + 0.5 * target ELSE plain / 0.5 END, 6)::DOUBLE AS reward FROM c""")
 
 
 def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("family"), F.col("p_partkey").cast("string").alias("name"), (F.col("p_partkey") % 37 / 400).alias("p"))
 
 
-register("sta5_holm", lambda s, d: R.holm(_ps(s, d), "p", "family").withColumn("adjusted", F.round("adjusted", 9)).withColumn("p", F.round("p", 9)), """WITH q AS (SELECT p_type AS family, p_partkey::VARCHAR AS name, p_partkey % 37 / 400 AS p FROM part WHERE p_partkey <= 200),
+register("sta5_holm", lambda s, d: R.holm(_ps(s, d), "p", "family").withColumn("adjusted", F.round("adjusted", 9)).withColumn("p", F.round("p", 9)), """WITH q AS (SELECT p_type AS family, p_partkey::VARCHAR AS name, p_partkey % 37 / 400 AS p FROM part),
 h AS (SELECT *, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, name) + 1) AS h FROM q) SELECT family, name, round(p, 9) AS p, round(least(1.0, max(h) OVER (PARTITION BY family ORDER BY p, name ROWS UNBOUNDED PRECEDING)), 9) AS adjusted FROM h""")
 U = "(('0x' || substr(md5('42|' || r || '|' || session_id), 1, 8))::UBIGINT::DOUBLE / 4294967296)"
-BOOT_SQL = EVENTS_SQL + f""", st AS (SELECT session_id, sum(coalesce(price, 0)) AS t, count(*) AS c FROM ev GROUP BY session_id), u AS (SELECT *, {U} AS u FROM st, range(20) g(r)),
+BOOT_SQL = EVENTS_SQL + f""", st AS (SELECT session_id, sum(coalesce(price, 0)) AS t, count(*) AS c FROM ev GROUP BY session_id), u AS (SELECT *, {U} AS u FROM st, range(10000) g(r)),
 w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END AS w FROM u),
 b AS (SELECT r AS replicate, sum(t * w) / sum(c * w) AS value FROM w GROUP BY r)"""
 
@@ -120,13 +121,13 @@ def _permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("sta2_permutation", _permutation, f"""WITH {EVENTS_SQL}, e AS (SELECT session_id, count(*) FILTER (side = 0) - count(*) FILTER (side = 1) AS d FROM ev GROUP BY session_id), b AS (SELECT avg(d) AS m FROM e),
-x AS (SELECT r, avg(d * CASE WHEN ('0x' || substr(md5('42|' || r || '|' || session_id), 1, 8))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END) AS x FROM e, range(50) g(r) GROUP BY r) SELECT round(m, 6) AS difference, round((count(*) FILTER (abs(x) >= abs(m) - 1e-12) + 1) / (count(*) + 1), 9) AS p FROM x, b GROUP BY m""")
+x AS (SELECT r, avg(d * CASE WHEN ('0x' || substr(md5('42|' || r || '|' || session_id), 1, 8))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END) AS x FROM e, range(10000) g(r) GROUP BY r) SELECT round(m, 6) AS difference, round((count(*) FILTER (abs(x) >= abs(m) - 1e-12) + 1) / (count(*) + 1), 9) AS p FROM x, b GROUP BY m""")
 register("sta_normal_tail", lambda s, d: table(s, d, "region").select("r_regionkey", F.round(R.normal_tail(F.col("r_regionkey") * 0.7), 9).alias("p")))
 
 
 def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = features.session_summary(provider_events(spark, sf_dir)).select("session_id", "outcome", F.split("products", ",").alias("products"))
-    ids = R.greedy_coverage(s, 5)
+    found = features.session_summary(provider_events(spark, sf_dir)).select("session_id", "outcome", "n_real", F.split("products", ",").alias("products"))
+    ids = R.select_sessions(found, 40, least=2)
     return spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "session_id string, place int")
 
 

@@ -27,8 +27,11 @@ register("fn_html_text", lambda s, d: table(s, d, "pages").select("page_id", F.l
 register("fn_links", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.links(F.col("html")), " ").alias("links")), "SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
 register("flt16_admissible_links", lambda s, d: table(s, d, "pages").select("page_id", F.explode(X.links(F.col("html"))).alias("link")).where(X.admissible_link(F.col("link"), ["example.org"])).groupBy("page_id").agg(F.count("*").alias("n")), r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages), p AS (SELECT page_id, lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h, regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM l)
 SELECT page_id, count(*) AS n FROM p WHERE s IN ('', 'http', 'https') AND h IN ('', 'example.org') AND NOT regexp_matches(p, '^/(cdn|assets|static)/|\.(png|jpe?g|gif|svg|css|js|ico|webp|pdf)$|:') GROUP BY page_id""")
+register("fn_click_text", lambda s, d: table(s, d, "events").select("event_id", X.click_text(F.concat(F.lit('button:attr="1"text="  '), F.col("event_type"), F.lit(' ";div'))).alias("t")), "SELECT event_id, event_type AS t FROM events")
+register("fn_semantic_ids", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.semantic_ids(F.concat(F.lit("<a data-semantic-id='u"), F.col("page_id").cast("string"), F.lit("'></a>"), F.lit('<b data-semantic-id="x">'), F.col("html"))), "|").alias("ids")), "SELECT page_id, 'u' || page_id || '|x' AS ids FROM pages")
+register("fn_index_list", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.index_list(F.concat(F.lit("7, "), (F.col("p_partkey") % 5).cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit(",,3"))), " ").alias("t")), "WITH n AS (SELECT p_partkey, list_concat(list_concat([7], range(p_partkey % 5, p_size + 1)), [3]) AS l FROM part) SELECT p_partkey, array_to_string(list_transform(list_filter(l, lambda x, i : list_position(l, x) = i), lambda x : x::VARCHAR), ' ') AS t FROM n")
 register("flt16_resolve_link", lambda s, d: table(s, d, "pages").select("page_id", X.resolve_link()(F.col("url"), F.lit("../x?y=1")).alias("u")))
-register("fn_tokens", lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"), ["the", "and"])).alias("n")), "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w : length(w) >= 3 AND w NOT IN ('the', 'and')))::INTEGER AS n FROM documents WHERE lang = 'en'")
+register("fn_tokens", lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"), ["the", "and"])).alias("n")), "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w : length(w) >= 3 AND w NOT IN ('the', 'and')))::INTEGER AS n FROM documents")
 ANSWER = "CASE event_id % 4 WHEN 0 THEN '{\"action\":\"' || event_type || '\",\"target\":\"t\"}' WHEN 1 THEN '{\"action\":{\"action\":\"' || event_type || '\",\"target\":\"u\"}}' WHEN 2 THEN '{broken' ELSE '{\"action\":\"x\"}' END"
 register("prj20_generated_action", lambda s, d: table(s, d, "events").selectExpr("event_id", f"{ANSWER} AS t").select("event_id", X.generated_action(F.col("t")).alias("r"), X.has_exact_keys(F.col("t"), ["action"]).alias("only_action")).select("event_id", "r.action", "r.target", "only_action"), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 3 THEN 'x' END AS action, CASE event_id % 4 WHEN 0 THEN 't' WHEN 1 THEN 'u' END AS target, event_id % 4 IN (1, 3) AS only_action FROM events")
 register("prj21_store_of", lambda s, d: table(s, d, "events").select("event_id", X.store_of(F.when(F.col("event_id") % 3 == 0, "9").otherwise(""), F.lit("none"), F.concat(F.lit("shop-"), F.col("user_id").cast("string"))).alias("store")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '9' ELSE user_id::VARCHAR END AS store FROM events")
@@ -38,7 +41,7 @@ register("prj12_intent_text", lambda s, d: catalog(s, d).groupBy("vendor").agg(F
 register("math_cosine", lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(X.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("c")), "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS c FROM embeddings")
 
 # A graph from the emitted sessions: pages are nodes, consecutive pages edges.
-GRAPH_SQL = SESSIONS_SQL + """, steps AS (SELECT page AS source, lead(page) OVER (PARTITION BY session_id ORDER BY ord) AS target FROM rows_ WHERE page <> '' AND session_id % 40 = 0),
+GRAPH_SQL = SESSIONS_SQL + """, steps AS (SELECT page AS source, lead(page) OVER (PARTITION BY session_id ORDER BY ord) AS target FROM rows_ WHERE page <> ''),
 ge AS (SELECT DISTINCT source, target FROM steps WHERE target IS NOT NULL AND source <> target), gn AS (SELECT source AS node FROM ge UNION SELECT target FROM ge)"""
 
 
@@ -55,12 +58,25 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("source").alias("node")).union(e.select(F.col("target").alias("node"))).distinct()
 
 
-register("gra5_distances", lambda s, d: G.distances(edges(s, d), nodes(s, d)), "WITH RECURSIVE " + GRAPH_SQL + ", walk(source, node, depth) AS (SELECT node, node, 0 FROM gn UNION SELECT w.source, ge.target, w.depth + 1 FROM walk w JOIN ge ON ge.source = w.node WHERE w.depth < 12) SELECT source, node, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL")
-register("gra5_env5_graph_metrics", lambda s, d: G.graph_metrics(nodes(s, d), edges(s, d), "/products/p0", "/products/p3"), "WITH RECURSIVE " + GRAPH_SQL + """, walk(source, node, depth) AS (SELECT node, node, 0 FROM gn UNION SELECT w.source, ge.target, w.depth + 1 FROM walk w JOIN ge ON ge.source = w.node WHERE w.depth < 12), p AS (SELECT source, node, min(depth) AS depth FROM walk GROUP BY ALL)
+register("gra5_distances", lambda s, d: G.distances(edges(s, d), nodes(s, d)), "WITH RECURSIVE " + GRAPH_SQL + ", walk(source, node, depth) AS (SELECT node, node, 0 FROM gn UNION SELECT w.source, ge.target, w.depth + 1 FROM walk w JOIN ge ON ge.source = w.node WHERE w.depth < (SELECT count(*) FROM gn)) SELECT source, node, min(depth)::INTEGER AS depth FROM walk GROUP BY ALL")
+register("gra5_env5_graph_metrics", lambda s, d: G.graph_metrics(nodes(s, d), edges(s, d), "/products/p0", "/products/p3"), "WITH RECURSIVE " + GRAPH_SQL + """, walk(source, node, depth) AS (SELECT node, node, 0 FROM gn UNION SELECT w.source, ge.target, w.depth + 1 FROM walk w JOIN ge ON ge.source = w.node WHERE w.depth < (SELECT count(*) FROM gn)), p AS (SELECT source, node, min(depth) AS depth FROM walk GROUP BY ALL)
 SELECT 'n_nodes' AS name, count(*)::DOUBLE AS value FROM gn UNION ALL SELECT 'n_edges', count(*)::DOUBLE FROM ge UNION ALL SELECT 'dead_ends', count(*)::DOUBLE FROM gn WHERE node NOT IN (SELECT source FROM ge) UNION ALL SELECT 'diameter', max(depth)::DOUBLE FROM p
 UNION ALL SELECT 'to_goal', min(depth)::DOUBLE FROM p WHERE source = '/products/p0' AND node = '/products/p3' UNION ALL SELECT 'reachable', count(*) FILTER (source = '/products/p0') / (SELECT count(*) FROM gn) FROM p""")
 register("gra6_merge_aliases", lambda s, d: G.merge_aliases(edges(s, d), s.createDataFrame([("/products/p1", "/products/p0")], "alias string, canonical string")), f"WITH {GRAPH_SQL}, m AS (SELECT replace(source, '/products/p1', '/products/p0') AS source, replace(target, '/products/p1', '/products/p0') AS target FROM ge) SELECT DISTINCT source, target FROM m WHERE source <> target")
-register("env1_edge_categories", lambda s, d: G.edge_categories(edges(s, d)), f"WITH {GRAPH_SQL} SELECT CASE WHEN target LIKE '/products%' THEN 'product' WHEN target LIKE '/search%' THEN 'search' ELSE 'collection' END AS category, count(*) AS n FROM ge GROUP BY 1")
+#: Every third product is left for a state, every other collection is a page of its own.
+STATES = "element_at(array('cart_drawer', 'search_overlay', 'filter_panel_open', 'sort_menu_open', 'modal'), CAST(length(node) % 5 + 1 AS INT))"
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = edges(spark, sf_dir), nodes(spark, sf_dir)
+    known = n.selectExpr("node", "'page' AS kind", "CAST(NULL AS STRING) AS state_name")
+    states = n.selectExpr("concat('state:', node) AS node", "'state' AS kind", f"{STATES} AS state_name")
+    more = n.selectExpr("node AS source", "concat('state:', node) AS target").unionAll(n.selectExpr("node AS source", "'/nowhere' AS target"))
+    return G.edge_categories(e.unionAll(more), known.unionAll(states))
+
+
+register("env1_edge_categories", _categories, f"""WITH {GRAPH_SQL}, c AS (SELECT CASE WHEN target LIKE '/products/%' THEN 'goto_product' WHEN target LIKE '/search%' THEN 'search' WHEN target LIKE '/collections/%' THEN 'goto_collection' ELSE 'explore' END AS category FROM ge
+UNION ALL SELECT CASE length(node) % 5 WHEN 0 THEN 'open_cart' WHEN 1 THEN 'search' WHEN 2 THEN 'filter' WHEN 3 THEN 'filter' ELSE 'explore' END FROM gn) SELECT category, count(*) AS n FROM c GROUP BY 1""")
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +84,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TREE_SQL = "tr AS (SELECT p_partkey % 7 AS tree, p_partkey AS node, CASE WHEN p_partkey >= 14 THEN (p_partkey // 14) * 7 + p_partkey % 7 END AS parent, p_type AS role FROM part)"
-register("gra7_tree_statistics", lambda s, d: G.tree_statistics(tree(s, d)), f"WITH RECURSIVE {TREE_SQL}, w(tree, node, depth) AS (SELECT tree, node, 1 FROM tr WHERE parent IS NULL UNION ALL SELECT w.tree, tr.node, w.depth + 1 FROM w JOIN tr ON tr.tree = w.tree AND tr.parent = w.node) SELECT tree, count(*) AS n_nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM tr c WHERE c.tree = w.tree AND c.parent = w.node)) AS n_leaves, max(depth)::INTEGER AS depth FROM w GROUP BY tree")
+register("gra7_tree_statistics", lambda s, d: G.tree_statistics(tree(s, d), ("TYPE0", "TYPE1")), f"WITH RECURSIVE {TREE_SQL}, w(tree, node, depth, sd) AS (SELECT tree, node, 0, 0 FROM tr WHERE parent IS NULL UNION ALL SELECT w.tree, tr.node, w.depth + 1, w.sd + CASE WHEN tr.role IN ('TYPE0', 'TYPE1') THEN 0 ELSE 1 END FROM w JOIN tr ON tr.tree = w.tree AND tr.parent = w.node) SELECT tree, count(*) AS n_nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM tr c WHERE c.tree = w.tree AND c.parent = w.node)) AS n_leaves, max(depth)::INTEGER AS depth, max(sd)::INTEGER AS semantic_depth FROM w GROUP BY tree")
 register("agg34_35_role_counts", lambda s, d: G.role_counts(tree(s, d), {"a": ["TYPE0", "TYPE1"], "b": ["TYPE1"]}), f"WITH {TREE_SQL} SELECT tree, count(*) AS n, count(*) FILTER (role IN ('TYPE0', 'TYPE1')) AS a, count(*) FILTER (role = 'TYPE1') AS b FROM tr GROUP BY tree")
 register("env2_signatures", lambda s, d: tree(s, d).agg(F.countDistinct("tree", "role").alias("n")), f"WITH {TREE_SQL} SELECT count(*) AS n FROM (SELECT DISTINCT tree, role FROM tr)")
 register("env3_fingerprints", lambda s, d: G.fingerprints_differ(tree(s, d), tree(s, d).where("NOT (tree = 3 AND node % 5 = 0)")), f"WITH {TREE_SQL} SELECT tree, tree = 3 AS differs FROM tr GROUP BY tree")
@@ -83,11 +99,14 @@ register("vec2_3_nearest_in_group", lambda s, d: G.nearest_in_group(vectors(s, d
 
 
 def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = vectors(spark, sf_dir).select("id", "v", (F.col("id") % 24).cast("double").alias("at_hours"), (F.col("id") % 10 / 10).alias("importance"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.5).alias("weight"))
-    return G.retrieve(m, [1.0] + [0.0] * 63, 24.0, 10).withColumn("score", F.round("score", 6))
+    kind = F.element_at(F.array(F.lit("observation"), F.lit("action"), F.lit("plan")), (F.col("id") % 3 + 1).cast("int"))
+    m = vectors(spark, sf_dir).select("id", kind.alias("kind"), "v", (F.col("id") % 24).cast("double").alias("at"), (F.col("id") % 10 / 10).alias("importance"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.5).alias("weight"))
+    return G.retrieve(m, [1.0] + [0.0] * 63, 24.0, 10, {"observation": 3, "action": 5}).withColumn("score", F.round("score", 6))
 
 
-register("top2_memory_retrieval", _memory, "WITH s AS (SELECT vec_id AS id, round((embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) + pow(0.995, 24 - vec_id % 24) + (vec_id % 10) / 10) * CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0.5 END, 9) AS sc FROM embeddings) SELECT id, rank, round(sc, 6) AS score FROM (SELECT id, sc, row_number() OVER (ORDER BY sc DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 10")
+register("top2_memory_retrieval", _memory, """WITH s AS (SELECT vec_id AS id, vec_id % 3 AS kind, vec_id % 24 AS ts, round((embedding[1]::DOUBLE + exp(vec_id % 24 - 24) + (vec_id % 10) / 10) * CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0.5 END, 9) AS sc FROM embeddings)
+SELECT id, 'ranked' AS part, rank, round(sc, 6) AS score FROM (SELECT id, sc, row_number() OVER (ORDER BY sc DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 10
+UNION ALL SELECT id, 'recent', row_number() OVER (ORDER BY ts, id)::INTEGER, NULL FROM s WHERE (kind = 0 AND ts >= 21) OR (kind = 1 AND ts >= 19)""")
 
 
 # Tasks: vendors are the collections.

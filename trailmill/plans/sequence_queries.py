@@ -59,6 +59,10 @@ register("agg18_alignment", lambda s, d: Q.alignment(*halves(item_events(s, d)))
 SELECT store, count(*) FILTER (r) AS n_real, count(*) FILTER (s) AS n_synth, count(*) FILTER (r AND s) AS n_both, round(count(*) FILTER (r AND s) / count(*) FILTER (r), 9) AS covered_real, round(count(*) FILTER (r AND s) / count(*) FILTER (s), 9) AS covered_synth FROM f GROUP BY store""")
 register("agg19_popularity", lambda s, d: Q.popularity(clean(s, d), 20), f"WITH {CLEAN_SQL} SELECT item, n, CAST(row_number() OVER (ORDER BY n DESC, item) AS INTEGER) AS rank FROM (SELECT item, count(*) AS n FROM m3 GROUP BY item ORDER BY n DESC, item LIMIT 20)")
 register("top1_popularity_ties", lambda s, d: Q.popularity_ties(clean(s, d), 20), f"WITH {CLEAN_SQL}, c AS (SELECT item, count(*) AS n FROM m3 GROUP BY item), t AS (SELECT min(n) AS cutoff FROM (SELECT n FROM c ORDER BY n DESC, item LIMIT 20)) SELECT cutoff, count(*) FILTER (n > cutoff) AS sure, count(*) FILTER (n = cutoff) AS tied, 20 - count(*) FILTER (n > cutoff) AS open FROM c, t GROUP BY cutoff")
+register("top1_popularity_range", lambda s, d: Q.popularity_range(clean(s, d), Q.prefixes(clean(s, d)).select("label"), 20), f"""WITH {EX_SQL}, pc AS (SELECT item, count(*) AS n FROM m3 GROUP BY item), pt AS (SELECT min(n) AS cutoff FROM (SELECT n FROM pc ORDER BY n DESC, item LIMIT 20)),
+ph AS (SELECT pc.item, n, cutoff, (SELECT count(*) FROM ex WHERE ex.label = pc.item) AS h FROM pc, pt WHERE n >= cutoff), pk AS (SELECT 20 - count(*) FILTER (n > cutoff) AS slots, count(*) FILTER (n = cutoff) AS tied, coalesce(sum(h) FILTER (n > cutoff), 0) AS sure FROM ph),
+pr AS (SELECT h, row_number() OVER (ORDER BY item) AS a, row_number() OVER (ORDER BY h, item) AS b, row_number() OVER (ORDER BY h DESC, item) AS c FROM ph WHERE n = cutoff), pn AS (SELECT count(*) AS n FROM ex)
+SELECT round((any_value(sure) + coalesce(sum(h) FILTER (a <= slots), 0)) / any_value(pn.n), 9) AS hr_by_id, round((any_value(sure) + coalesce(sum(h) FILTER (b <= slots), 0)) / any_value(pn.n), 9) AS hr_min, round((any_value(sure) + coalesce(sum(h) FILTER (c <= slots), 0)) / any_value(pn.n), 9) AS hr_max, any_value(tied)::BIGINT AS n_tied, any_value(slots)::BIGINT AS n_slots FROM pr, pk, pn""")
 register("agg26_hr_mrr", lambda s, d: Q.score_ranking(Q.prefixes(clean(s, d)).select("label"), Q.popularity(clean(s, d), 20), 10), f"""WITH {EX_SQL}, r AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM m3 GROUP BY item)
 SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 9) AS hr, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 9) AS mrr FROM ex LEFT JOIN r ON r.item = ex.label""")
 register("gra1_cooccurrence", lambda s, d: Q.cooccurrence(clean(s, d)), f"WITH {CO_SQL} SELECT i, j, n FROM co")

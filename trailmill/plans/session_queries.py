@@ -107,7 +107,7 @@ def _personas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("win8_persona_split", _personas, f"""WITH {EVENTS_SQL}, p AS (SELECT *, CASE WHEN seq % 6 = 0 THEN 'u' || (seq % 4) END AS persona FROM ev),
 c AS (SELECT *, last_value(persona IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS q FROM p),
-g AS (SELECT *, coalesce(CAST(q <> lag(q) OVER (PARTITION BY session_id ORDER BY ts_ms, seq) AS INTEGER), 0) AS ch FROM c),
+g AS (SELECT *, CASE WHEN row_number() OVER o > 1 AND q IS DISTINCT FROM lag(q) OVER o THEN 1 ELSE 0 END AS ch FROM c WINDOW o AS (PARTITION BY session_id ORDER BY ts_ms, seq)),
 i AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY session_id ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part FROM g)
 SELECT session_id, seq, CASE WHEN max(part) OVER (PARTITION BY session_id) > 0 THEN session_id || '::p' || coalesce(max(q) OVER (PARTITION BY session_id, part), '') || '::' || part ELSE CAST(session_id AS VARCHAR) END AS session_part FROM i""")
 
