@@ -156,3 +156,17 @@ def store_sessions(rows: DataFrame, cap: int, store: str | None = None) -> DataF
     if cap <= 0:
         return chosen
     return chosen.join(F.broadcast(chosen.select("session_id").distinct().orderBy("session_id").limit(cap)), "session_id", "left_semi")
+
+
+def distinct_runs(paths: DataFrame, path: str, order: str) -> DataFrame:
+    """Rows with `resolved` (the path without empty and . segments, and without x/..), the first by `order` of each resolved path."""
+    plain = F.filter(F.split(F.col(path), "/"), lambda x: ~x.isin("", "."))
+    up = F.aggregate(plain, F.array().cast("array<string>"), lambda out, x: F.when((x == "..") & (F.size(out) > 0), F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(F.array_append(out, x)))
+    rows = paths.withColumn("resolved", F.concat(F.when(F.col(path).startswith("/"), "/").otherwise(""), F.array_join(up, "/")))
+    return rows.withColumn("__k", F.row_number().over(Window.partitionBy("resolved").orderBy(order))).where("__k = 1").drop("__k")
+
+
+def action_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The actions of a dataset of three tables (action, session, user) with their session's user and the user's persona; a user without a row has nulls."""
+    action, session, user = (spark.read.parquet(f"{folder}/{name}") for name in ("action", "session", "user"))
+    return require(action, ["session_id", "timestamp", "action"]).join(require(session, ["session_id", "user_id"]), "session_id").join(require(user, ["user_id"]), "user_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import EXTERNAL_FIELDS, RAW_FIELDS, require
@@ -14,11 +14,10 @@ def external(rows: DataFrame) -> DataFrame:
 
 
 def clickstream_csv(rows: DataFrame, raw_path: str, external_path: str) -> None:
-    """Both projections from one computation; nulls as blanks."""
-    kept = require(rows, RAW_FIELDS).select(RAW_FIELDS).cache()
+    """Both projections; nulls as blanks. The rows are read twice, so that nothing depends on what an executor holds."""
+    kept = require(rows, RAW_FIELDS).select(RAW_FIELDS)
     kept.na.fill("").write.mode("overwrite").option("header", True).csv(raw_path)
     external(kept).na.fill("").write.mode("overwrite").option("header", True).csv(external_path)
-    kept.unpersist()
 
 
 def anonymous_csv(rows: DataFrame, path: str) -> None:
@@ -53,6 +52,17 @@ def dataset(train: DataFrame, test: DataFrame, vocab: DataFrame, path: str) -> d
     return {"train": train.count(), "test": test.count(), "vocab": n}
 
 
+def manifest(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """(part, n, columns) of the tables of a written dataset; the sorted column names, with commas. It is written beside them."""
+    out = None
+    for part in parts:
+        df = spark.read.parquet(f"{path}/{part}")
+        one = df.agg(F.lit(part).alias("part"), F.count("*").alias("n"), F.lit(",".join(sorted(df.columns))).alias("columns"))
+        out = one if out is None else out.unionAll(one)
+    out.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return spark.read.schema(out.schema).json(f"{path}/manifest")
+
+
 def append_run(record: dict[str, str], df: DataFrame, path: str) -> None:
     """One more line in a registry of runs."""
     df.sparkSession.createDataFrame([record]).coalesce(1).write.mode("append").json(path)
