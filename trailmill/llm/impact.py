@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .vectors import best_of, search_blocks, valid_vectors
 
-LEVELS = 16
+LEVELS = 8
 END = 2.0**63  # scores are cut off there
-FIRST_LOOK, LOOKS = 0.25, 24  # share of the postings before the first look for a proof, and looks in all
+FIRST_LOOK, LOOKS = 0.4, 20  # share of the postings before the first look for a proof, and looks in all
 
 
 class ImpactIndex:

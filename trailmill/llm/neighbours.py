@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .vectors import best_of, search_blocks, valid_vectors
 
 DIM, LEAF, SURE, SEED = 28, 128, 0.9, 20
-STEP = 64
+STEP, FIRST_LEAVES = 64, 8
 
 
 _DIRECTIONS: dict[int, np.ndarray] = {}
@@ -44,6 +44,18 @@ def chi_square_cdf(x: np.ndarray) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / math.factorial(i) for i in range(DIM // 2))
 
 
+def _point(sure: float) -> float:
+    """Where the distribution function reaches `sure`, by halving."""
+    low, high = 0.0, 20.0 * DIM
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_cdf(np.array([middle]))[0] < sure else (low, middle)
+    return high
+
+
+ENOUGH = _point(SURE)
+
+
 def kd_leaves(points: np.ndarray) -> list[np.ndarray]:
     """The leaves of a kd-tree: places of points, halved at the median of the widest dimension."""
     out, work = [], [np.arange(len(points))]
@@ -78,6 +90,7 @@ class ProjectionTree:
         self.own = [self.own[i] for i in laid.tolist()]
         self.vectors, self.points = vectors[laid], points[laid]
         self.edges = np.cumsum([0, *map(len, leaves)])
+        self.norms = (self.points**2).sum(1)
         self.radius = radius
         self.verified = self.possible = 0
 
@@ -88,29 +101,33 @@ class ProjectionTree:
         box = (gap**2).sum(1)
         leaves = np.argsort(box, kind="stable")
         box = np.append(box[leaves], np.inf)
-        size, opened = float((q**2).sum()), 0
-        near, place = np.zeros(0), np.zeros(0, np.int64)  # points of opened leaves that have not come up, by distance
+        size, opened, chunk = float((q**2).sum()), 0, FIRST_LEAVES
+        step, length = max(STEP, len(self.vectors) // 64), float(asked @ asked)
+        near, place, at = np.zeros(0), np.zeros(0, np.int64), 0  # points of opened leaves by distance; those before `at` have come up
         best, score = np.zeros(0, np.int64), np.zeros(0)
         self.possible += len(self.vectors)
         while True:
-            while opened < len(leaves) and (len(near) < STEP or near[STEP - 1] > box[opened]):
-                own = np.arange(self.edges[leaves[opened]], self.edges[leaves[opened] + 1])
-                near, place = np.append(near, ((self.points[own] - asked) ** 2).sum(1)), np.append(place, own)
-                order = np.argsort(near, kind="stable")
-                near, place = near[order], place[order]
-                opened += 1
-            take, near, place = place[:STEP], near[STEP:], place[STEP:]
+            while opened < len(leaves) and (len(near) < at + step or near[at + step - 1] > box[opened]):
+                own = np.concatenate([np.arange(self.edges[x], self.edges[x + 1]) for x in leaves[opened : opened + chunk].tolist()])
+                near = np.concatenate([near[at:], np.maximum(self.norms[own] - 2 * (self.points[own] @ asked) + length, 0)])
+                order = np.argsort(near)
+                near, place, at = near[order], np.concatenate([place[at:], own])[order], 0
+                opened, chunk = opened + chunk, 2 * chunk
+                opened = min(opened, len(leaves))
+            take = place[at : at + step]
+            at += len(take)
             self.verified += len(take)
-            best, score = np.append(best, take), np.append(score, (self.vectors[take] * q).sum(1))
+            best, score = np.append(best, take), np.append(score, self.vectors[take] @ q)
             if len(score) > k + 1:
                 top = np.argpartition(-score, k)[: k + 1]
                 best, score = best[top], score[top]
-            if len(near) == 0 and opened == len(leaves):
-                return best, score
+            if at == len(near) and opened == len(leaves):
+                break
             if len(score) > k:
                 far = max(self.radius**2 + size - 2 * float(score.min()), 1e-12)
-                if chi_square_cdf(np.array([min(near[0] if len(near) else np.inf, box[opened]) / far]))[0] >= SURE:
-                    return best, score
+                if min(near[at] if at < len(near) else np.inf, box[opened]) >= far * ENOUGH:  # the distribution function is SURE there
+                    break
+        return best, (self.vectors[best] * q).sum(1)  # each in one order of summation, whatever came up with it
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found: list[list[np.ndarray]] = [[], [], []]
