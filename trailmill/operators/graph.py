@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cosine, dot
+from ..functions.scalars import dot
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -131,10 +134,36 @@ def coherence(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return sums.join(n, key).where("n > 1").select(key, "n", F.round(F.col("t") / (F.col("n") * (F.col("n") - 1)), 6).alias("coherence"))
 
 
-def nearest_in_group(synth: DataFrame, real: DataFrame, key: str) -> DataFrame:
-    """(key, similarity): mean over synthetic vectors of the greatest cosine with a real one of the same group."""
-    both = synth.select(key, "id", F.col("v").alias("a")).join(real.select(key, F.col("v").alias("b")), key)
-    best = both.groupBy(key, "id").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("m"))
+def nearest_in_group(synth: DataFrame, real: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """(key, similarity, n): mean over synthetic vectors of the greatest cosine with a real one of the same group.
+
+    Rows are (key, id, v). Both sides of a group are dealt into blocks of bounded
+    size, so a large group is many tasks; a task is one product of two matrices
+    of unit rows (a vector of zeros is similar to nothing: 0). One key for all
+    rows gives the nearest of the whole corpus.
+    """
+    size = synth.groupBy(key).agg(F.count("*").alias("ns")).join(real.groupBy(key).agg(F.count("*").alias("nr")), key)
+    blocks = size.select(key, F.ceil(F.col("ns") / block).cast("int").alias("bs"), F.ceil(F.col("nr") / block).cast("int").alias("br"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    v = F.col("v").cast("array<double>").alias("v")
+    left = synth.join(blocks, key).select(key, own("id", "bs").alias("i"), every("br").alias("j"), F.lit(True).alias("asks"), "id", v)
+    right = real.join(blocks, key).select(key, every("bs").alias("i"), own("v", "br").alias("j"), F.lit(False).alias("asks"), F.col("id").cast(synth.schema["id"].dataType).alias("id"), v)
+
+    def best_of_block(group: pa.Table) -> pa.Table:
+        asks = group.column("asks").combine_chunks()
+        rows, others = group.filter(asks), group.filter(pc.invert(asks))
+        if len(rows) == 0 or len(others) == 0:
+            return rows.select([key, "id"]).slice(0, 0).append_column("m", pa.array([], pa.float64()))
+        unit = []
+        for part in (rows, others):
+            x = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1)
+            norm = np.sqrt((x * x).sum(1, keepdims=True))
+            unit.append(np.divide(x, norm, out=np.zeros_like(x), where=norm > 0))
+        return rows.select([key, "id"]).append_column("m", pa.array((unit[0] @ unit[1].T).max(1)))
+
+    kinds = ", ".join(f"`{c}` {synth.schema[c].dataType.simpleString()}" for c in (key, "id"))
+    best = left.unionAll(right).groupBy(key, "i", "j").applyInArrow(best_of_block, f"{kinds}, m double").groupBy(key, "id").agg(F.max("m").alias("m"))
     return best.groupBy(key).agg(F.round(F.avg("m"), 6).alias("similarity"), F.count("*").alias("n"))
 
 
