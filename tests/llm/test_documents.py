@@ -303,3 +303,14 @@ def test_no_group_of_unrelated_sets():
             value = np.sort(r.integers(0, 2**64 - 1, (20_000, size), dtype=np.uint64), 1).ravel()
             sig, _ = jaccard.signatures(value, np.full(20_000, size), like)
             assert len(sig) <= 2 * size * 20_000 and np.unique(sig, return_counts=True)[1].max(initial=0) <= 3
+
+
+def test_windows_of_blocks_of_texts(monkeypatch):
+    texts = [b"", b"a b c d e", b"a b", b"X y  z a b c d e f", b"a b c d e" * 9, b""]
+    for lower, short in ((False, False), (True, True)):
+        whole = hashing.windows(*hashing.word_hashes(texts, lower), 3, short)
+        for most in (1, 12, 1 << 20):
+            monkeypatch.setattr(hashing, "CHUNK_BYTES", most)
+            for a, b in zip(hashing.text_windows(texts, 3, lower, short), whole, strict=True):
+                assert a.tolist() == b.tolist()
+    assert [len(x) for x in hashing.text_windows([], 3)] == [0, 0, 0]

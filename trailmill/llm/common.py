@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of an Arrow batch that a Python worker gets; Spark's own setting counts where it is not the default.
+BATCH_BYTES, BATCH_SETTING, BATCH_DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def importable(df: DataFrame) -> DataFrame:
-    """The frame; from now on its session's Python workers find this package where the driver has it."""
+    """The frame; from now on its session's Python workers find this package where the driver has it, and get batches of 8 MB at most."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) == BATCH_DEFAULT:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     known = df.sparkSession.sparkContext.environment
     root = str(Path(__file__).resolve().parents[2])
     if root not in known.get("PYTHONPATH", "").split(os.pathsep):

@@ -165,3 +165,19 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int, short: bool = Fa
     # One more term of 1 in front tells sequences of different lengths apart.
     value = mix(folded(times(total, down[at]) + up[length]))
     return value, text, at - begins[text]
+
+
+def text_windows(texts: list[bytes], width: int, lower: bool = False, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`windows` of whole texts, hashed about 1 MB of text at a time, so the working arrays do not grow with the block of texts."""
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    at = 0
+    while at < len(texts):
+        to, held = at + 1, len(texts[at])
+        while to < len(texts) and held + len(texts[to]) <= CHUNK_BYTES:
+            held += len(texts[to])
+            to += 1
+        value, text, place = windows(*word_hashes(texts[at:to], lower), width, short)
+        out.append((value, (text + at).astype(np.int32), place.astype(np.int32)))
+        at = to
+    value, text, place = (np.concatenate(x) for x in zip(*out, strict=True))
+    return value, text, place

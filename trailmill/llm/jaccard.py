@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, importable, release, shared
 from .components import components
-from .hashing import mix, prefix_sums, windows, word_hashes
+from .hashing import mix, prefix_sums, text_windows
 
 BLOCK_BYTES = 4 << 20
 BUCKET_SIGNATURES = 3 << 20
@@ -86,7 +86,7 @@ class Likeness:
 
 def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct n-gram hashes of each text (A-Z as a-z), one after the other, and their numbers."""
-    value, text, _ = windows(*word_hashes(texts, lower=True), words, short=True)
+    value, text, _ = text_windows(texts, words, lower=True, short=True)
     order = np.lexsort((value, text))
     value, text = value[order], text[order]
     fresh = np.ones(len(value), bool)

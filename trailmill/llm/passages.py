@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bucket_count, importable, shared, text_bytes
-from .hashing import mix, windows, word_hashes
+from .hashing import mix, text_windows
 
 BLOCK_BYTES = 8 << 20
 RANGE_BYTES = 12 << 20
@@ -92,7 +92,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def _send_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], width: int, buckets: int, parts: int) -> pa.RecordBatch | None:
     order = np.argsort(ids, kind="stable")
     ids, tags, texts = ids[order], tags[order], [texts[i] for i in order]
-    value, text, place = windows(*word_hashes(texts), width)
+    value, text, place = text_windows(texts, width)
     if len(value) == 0:
         return None
     sort = np.argsort(value, kind="stable")  # texts ascend by doc_id, so the first of equal windows is of the smallest
