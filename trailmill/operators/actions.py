@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .datasets import hash_places
+
 #: Parts of targets and descriptions that tell an action.
 ADD_TARGETS = ("add_to_cart", "add_to_bag", "add_item")
 CHECKOUT_TARGETS = ("buy_it_now", "buy_now", "checkout", "check_out")
@@ -164,8 +166,7 @@ def option_values(collections: DataFrame, products: DataFrame) -> DataFrame:
 
 def capped_examples(examples: DataFrame, most: int, seed: int, *key: str) -> DataFrame:
     """`most` examples by hash order, in their own order."""
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), 256)
-    return examples.withColumn("__k", F.row_number().over(Window.orderBy(order, *key))).where(F.col("__k") <= most).drop("__k")
+    return hash_places(examples, seed, *key, place="__k").where(F.col("__k") <= most).drop("__k")
 
 
 def cumulative_tiers(sampled: DataFrame, sizes: list[int]) -> DataFrame:

@@ -96,6 +96,19 @@ def hash_order(seed: int, *columns: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]), 256)
 
 
+def hash_places(keys: DataFrame, seed: int, *columns: str, place: str = "place") -> DataFrame:
+    """Keys numbered from 1 in hash order, without a task that sees all of them.
+
+    Keys of one head of the hash (three hex digits) are numbered by themselves,
+    after the totals of the heads before: 4,096 rows, whatever the table.
+    """
+    headed = keys.withColumn("__h", hash_order(seed, *columns)).withColumn("__head", F.substr("__h", F.lit(1), F.lit(3)))
+    upto = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows
+    before = headed.groupBy("__head").agg(F.count("*").alias("__n")).select("__head", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__head").orderBy("__h", *columns))
+    return headed.join(F.broadcast(before), "__head").withColumn(place, inside + F.col("__before")).drop("__h", "__head", "__before")
+
+
 def nested_sample(keys: DataFrame, group: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """k keys per group by hash order, so a smaller sample is part of a larger one."""
     w = Window.partitionBy(group).orderBy(hash_order(seed, key), key)
@@ -106,7 +119,7 @@ def cap_ratio(keys: DataFrame, flag: Column, ratio: float, seed: int = 42, key:
     """All unflagged keys and so many flagged ones by hash order that they are at most `ratio` of the whole."""
     other = keys.where(~flag).count()
     cap = int(ratio * other / (1 - ratio))
-    kept = keys.where(flag).withColumn("__k", F.row_number().over(Window.orderBy(hash_order(seed, key), key))).where(F.col("__k") <= cap).drop("__k")
+    kept = hash_places(keys.where(flag), seed, key, place="__k").where(F.col("__k") <= cap).drop("__k")
     return keys.where(~flag).unionByName(kept)
 
 
@@ -114,7 +127,7 @@ def split_groups(keys: DataFrame, share: float, seed: int = 42, key: str = "sess
     """Keys with `split`: round(share * n), one at least, by hash order are test; no key is in both."""
     n = keys.count()
     test = max(1, round(share * n)) if n else 0
-    return keys.withColumn("__k", F.row_number().over(Window.orderBy(hash_order(seed, key), key))).withColumn("split", F.when(F.col("__k") <= test, "test").otherwise("train")).drop("__k")
+    return hash_places(keys, seed, key, place="__k").withColumn("split", F.when(F.col("__k") <= test, "test").otherwise("train")).drop("__k")
 
 
 def leaks(train: DataFrame, test: DataFrame, key: str) -> DataFrame:

@@ -65,10 +65,10 @@ def counters(examples: DataFrame, rows: DataFrame) -> DataFrame:
 def distribution_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """(tv, overlap) of two tables of (key, n): total variation and weighted overlap; empty sides give 1 and 0."""
     both = a.select("key", F.col("n").alias("x")).join(b.select("key", F.col("n").alias("y")), "key", "full").na.fill(0, ["x", "y"])
-    whole = Window.partitionBy()
-    p = F.col("x") / F.nullif(F.sum("x").over(whole), F.lit(0))
-    q = F.col("y") / F.nullif(F.sum("y").over(whole), F.lit(0))
-    shares = both.select(p.alias("p"), q.alias("q"))
+    whole = a.agg(F.sum("n").alias("__x")).crossJoin(b.agg(F.sum("n").alias("__y")))
+    p = F.col("x") / F.nullif(F.col("__x"), F.lit(0))
+    q = F.col("y") / F.nullif(F.col("__y"), F.lit(0))
+    shares = both.crossJoin(F.broadcast(whole)).select(p.alias("p"), q.alias("q"))  # one row
     return shares.agg(F.round(F.coalesce(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, F.lit(1.0)), 9).alias("tv"), F.round(F.coalesce(F.sum(F.least("p", "q")) / F.sum(F.greatest("p", "q")), F.lit(0.0)), 9).alias("overlap"))
 
 
@@ -161,13 +161,19 @@ def negatives(items: DataFrame, pairs: DataFrame, k: int = 10, seed: int = 42) -
     """k items per item that it never occurs with, by hash order: its candidates are a rotation of the vocabulary, so no item meets all others.
 
     Of the vocabulary in hash order, the items after an item's own place are
-    tried; those that co-occur are skipped. k plus the most neighbours of any
-    item are tried, so k are found whenever so many exist.
+    tried; those that co-occur are skipped. Each item tries k more than it has
+    neighbours, so k are found whenever so many exist, and all tries together are
+    k an item and one a pair.
     """
-    placed = items.select("item", F.row_number().over(Window.orderBy(F.xxhash64("item", F.lit(seed)), "item")).alias("p"))
-    n = placed.count()
-    degree = pairs.groupBy("i").count().agg(F.max("count")).first()[0] or 0
-    tries = placed.select("item", F.explode(F.sequence(F.lit(1), F.lit(min(n - 1, k + degree)))).alias("step"), "p").withColumn("q", (F.col("p") + F.col("step") - 1) % n + 1)
+    headed = items.withColumn("__h", F.xxhash64("item", F.lit(seed))).withColumn("__head", F.shiftright("__h", 52))
+    upto = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows
+    before = headed.groupBy("__head").agg(F.count("*").alias("__n")).select("__head", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__head").orderBy("__h", "item"))
+    placed = headed.join(F.broadcast(before), "__head").select("item", (inside + F.col("__before")).alias("p"))
+    n = items.count()
+    degree = pairs.groupBy(F.col("i").alias("item")).agg(F.count("*").alias("__d"))
+    most = F.least(F.lit(n - 1), F.coalesce("__d", F.lit(0)) + k)
+    tries = placed.join(degree, "item", "left").where(most > 0).select("item", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("step"), "p").withColumn("q", (F.col("p") + F.col("step") - 1) % n + 1)
     cand = tries.join(placed.select(F.col("item").alias("negative"), F.col("p").alias("q")), "q").join(pairs.select(F.col("i").alias("item"), F.col("j").alias("negative")), ["item", "negative"], "left_anti")
     return cand.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("step"))).where(F.col("rank") <= k).select("item", "negative", "rank")
 
