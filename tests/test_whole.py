@@ -149,3 +149,26 @@ def test_resampling_of_10000_replicates(spark):
     x = (np.where(h % 2 == 0, 1, -1) @ d) / len(d)
     p = registry.queries()["sta2_permutation"](spark, data).first()
     assert (p.difference, p.p) == pytest.approx((d.mean(), ((abs(x) >= abs(d.mean()) - 1e-12).sum() + 1) / 10_001), abs=2e-6)
+
+
+def test_negatives_and_hash_places(spark):
+    from hashlib import sha256
+
+    from trailmill.operators import datasets, sequences
+
+    items = spark.range(40).withColumnRenamed("id", "item")
+    pairs = [(0, j) for j in range(1, 40)] + [(j, 0) for j in range(1, 40)] + [(1, j) for j in range(2, 35)]
+    met = set(pairs)
+    out = sequences.negatives(items, spark.createDataFrame(pairs, "i long, j long"), k=10).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r["item"], []).append(r["negative"])
+    for i in range(40):
+        free = {j for j in range(40) if j != i and (i, j) not in met}
+        got = by.get(i, [])
+        assert len(got) == len(set(got)) == min(10, len(free)) and set(got) <= free
+    assert sequences.negatives(items.where("item = 0"), spark.createDataFrame([], "i long, j long")).count() == 0
+
+    placed = {r["item"]: r["place"] for r in datasets.hash_places(items, 42, "item").collect()}
+    order = sorted(range(40), key=lambda i: sha256(f"42|{i}".encode()).hexdigest())
+    assert placed == {i: k for k, i in enumerate(order, 1)}
