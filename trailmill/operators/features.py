@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import sorted_places
 from .sessionize import CHECKOUT_EVENTS, session_outcome, semantic_action, truncate_raw_checkout
 
 VIEW_EVENTS = ("product_page_viewed", "page_viewed", "entity_clicked")
@@ -91,4 +92,4 @@ def last_detail(rows: DataFrame) -> DataFrame:
 
 def first_seen(events: DataFrame, column: str) -> DataFrame:
     """(value, place) of the distinct values in order of first appearance, from 1."""
-    return events.groupBy(column).agg(F.min("seq").alias("__f")).select(column, F.row_number().over(Window.orderBy("__f")).cast("long").alias("place"))
+    return sorted_places(events.groupBy(column).agg(F.min("seq").alias("__f")), "__f").select(column, "place")

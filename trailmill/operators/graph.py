@@ -11,18 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The frame computed once and kept in spark.checkpoint.dir; on one machine without that setting, under its warehouse."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint()
+from .ordering import cut
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
@@ -31,17 +20,17 @@ def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> Da
     A frontier join a step; only new nodes go on, until there are none. Lineage
     is cut each step, so that long paths don't make long plans.
     """
-    seen = _cut(start.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("depth")))
+    seen = cut(start.select("node").distinct().select(F.col("node").alias("source"), "node", F.lit(0).alias("depth")))
     frontier = seen
-    e = _cut(edges.select("source", "target").distinct().select(F.col("source").alias("node"), "target"))
+    e = cut(edges.select("source", "target").distinct().select(F.col("source").alias("node"), "target"))
     for depth in range(1, most + 1) if most is not None else count(1):
         step = frontier.select("source", "node").join(e, "node").select("source", F.col("target").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        step = _cut(step)
+        step = cut(step)
         if step.isEmpty():
             break
         seen, frontier = seen.unionByName(step), step
         if depth % 8 == 0:
-            seen = _cut(seen)
+            seen = cut(seen)
     return seen
 
 
@@ -103,13 +92,13 @@ def tree_statistics(nodes: DataFrame, unseen: tuple[str, ...] = UNSEEN_ROLES) ->
     kept in the shared folder.
     """
     counts = F.coalesce((F.col("role") != "") & ~F.col("role").isin(*unseen), F.lit(False)).cast("int")
-    children = _cut(nodes.where("parent IS NOT NULL AND parent <> node").select("tree", F.col("parent").alias("node"), F.col("node").alias("child"), counts.alias("step")))
-    level = _cut(nodes.where("parent IS NULL").select("tree", "node", F.lit(0).alias("depth"), F.lit(0).alias("semantic_depth")).distinct())
+    children = cut(nodes.where("parent IS NOT NULL AND parent <> node").select("tree", F.col("parent").alias("node"), F.col("node").alias("child"), counts.alias("step")))
+    level = cut(nodes.where("parent IS NULL").select("tree", "node", F.lit(0).alias("depth"), F.lit(0).alias("semantic_depth")).distinct())
     every = level
     while not level.isEmpty():
         level = level.join(children, ["tree", "node"]).groupBy("tree", F.col("child").alias("node")).agg((F.max("depth") + 1).alias("depth"), F.max(F.col("semantic_depth") + F.col("step")).alias("semantic_depth"))
-        level = _cut(level.join(every, ["tree", "node"], "left_anti"))
-        every = _cut(every.unionByName(level))
+        level = cut(level.join(every, ["tree", "node"], "left_anti"))
+        every = cut(every.unionByName(level))
     inner = children.select("tree", "node").distinct().withColumn("__p", F.lit(1))
     return every.join(inner, ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("__p").isNull()).alias("n_leaves"), F.max("depth").alias("depth"), F.max("semantic_depth").alias("semantic_depth"))
 

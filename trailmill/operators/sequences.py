@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import before_range, ranged, sorted_places
+
 
 def collapse_repeats(rows: DataFrame) -> DataFrame:
     """Rows whose item differs from the one before in the session."""
@@ -30,7 +32,7 @@ def renumber_positions(rows: DataFrame) -> DataFrame:
 def vocabulary(rows: DataFrame) -> DataFrame:
     """(item, id): ids from 1 in the order in which items are first seen, sessions ascending."""
     first = rows.groupBy("item").agg(F.min(F.struct("session", "pos")).alias("f"))
-    return first.select("item", F.row_number().over(Window.orderBy("f")).cast("long").alias("id"))
+    return sorted_places(first, "f", place="id").select("item", "id")
 
 
 def to_ids(rows: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -47,10 +49,22 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 
 def groups_of_prefixes(examples: DataFrame, order: str) -> DataFrame:
-    """Examples with `grp`: a new group starts where the length does not shrink by one."""
-    w = Window.orderBy(order)
-    fresh = F.coalesce((F.col("length") != F.lag("length").over(w) - 1).cast("int"), F.lit(1))
-    return examples.withColumn("__f", fresh).withColumn("grp", F.sum("__f").over(w)).drop("__f")
+    """Examples with `grp`, from 1: a new group starts where the length does not shrink by one.
+
+    Ranges of the order are numbered by themselves; a range's first row looks at
+    the last length of the range before, and its groups follow those before it.
+    The order must tell rows apart and hold no nulls.
+    """
+    rows = ranged(examples, order)
+    inside = Window.partitionBy("__part").orderBy(order)
+    ends = rows.groupBy("__part").agg(F.max_by(F.struct("length"), order).alias("__end"))
+    ends = ends.select("__part", F.lag("__end").over(Window.orderBy("__part"))["length"].alias("__prior"))  # one row a range
+    previous = F.when(F.row_number().over(inside) == 1, F.col("__prior")).otherwise(F.lag("length").over(inside))
+    fresh = F.coalesce((F.col("length") != previous - 1).cast("int"), F.lit(1))
+    flagged = rows.join(F.broadcast(ends), "__part").withColumn("__f", fresh)
+    before = before_range(flagged.groupBy("__part").agg(F.sum("__f").alias("__n")), "__n")
+    numbered = flagged.join(F.broadcast(before), "__part").withColumn("grp", F.sum("__f").over(inside) + F.col("__before"))
+    return numbered.drop("__part", "__prior", "__f", "__before")
 
 
 def counters(examples: DataFrame, rows: DataFrame) -> DataFrame:
@@ -154,7 +168,7 @@ def price_levels(catalog: DataFrame, levels: int = 99) -> DataFrame:
 
 def first_seen_codes(rows: DataFrame, column: str, order: str) -> DataFrame:
     """(value, code): codes from 1 in first-seen order."""
-    return rows.groupBy(column).agg(F.min(order).alias("__f")).select(column, F.row_number().over(Window.orderBy("__f", column)).cast("long").alias("code"))
+    return sorted_places(rows.groupBy(column).agg(F.min(order).alias("__f")), "__f", column, place="code").select(column, "code")
 
 
 def negatives(items: DataFrame, pairs: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:

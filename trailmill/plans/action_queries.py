@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import actions as A
@@ -10,6 +10,7 @@ from ..operators import catalog as C
 from ..operators import datasets as D
 from ..operators import fidelity
 from ..operators import scoring as R
+from ..operators.ordering import sorted_places
 from ..sources import readers
 from .catalog_queries import PLACED_SQL, placed
 from .dataset_queries import ACTIONS_SQL, BOOT_SQL, _actions, _boot
@@ -78,9 +79,9 @@ register("agg31_seed_statistics", lambda s, d: A.merge_seed_statistics(catalog(s
 SELECT count(*) AS n_seeds, round_even(median(n), 0)::BIGINT AS products, min(lo) FILTER (lo > 0) AS least, max(hi) FILTER (lo > 0) AS greatest, round(avg(m) FILTER (lo > 0), 6) AS mean_price FROM v""")
 register("agg36_rollup_over_nodes", lambda s, d: steps(s, d).groupBy("side", "action").agg(F.count("*").alias("n"), F.max("ord").alias("most"), F.countDistinct("session_id").alias("n_sessions")), f"WITH {STEPS_SQL} SELECT side, action, count(*) AS n, max(ord) AS most, count(DISTINCT session_id) AS n_sessions FROM steps GROUP BY ALL")
 register("agg37_latest_tallies", lambda s, d: table(s, d, "orders").groupBy(F.col("o_custkey").alias("session")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.count("*").alias("n"), F.max_by("o_orderstatus", "o_orderkey").alias("last")), "SELECT o_custkey AS session, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) AS n, arg_max(o_orderstatus, o_orderkey) AS last FROM orders GROUP BY o_custkey")
-register("srt1_stable_order", lambda s, d: provider_events(s, d).select("session_id", "seq", F.row_number().over(Window.orderBy("session_id", "ts_ms", "seq")).alias("place")), f"WITH {EVENTS_SQL} SELECT session_id, seq, row_number() OVER (ORDER BY session_id, ts_ms, seq)::INTEGER AS place FROM ev")
-register("srt2_text_order", lambda s, d: table(s, d, "pages").select("page_id", F.row_number().over(Window.orderBy("url", "page_id")).alias("place")), "SELECT page_id, row_number() OVER (ORDER BY url, page_id)::INTEGER AS place FROM pages")
-register("srt3_price_nulls_last", lambda s, d: provider_events(s, d).select("seq", F.row_number().over(Window.orderBy(F.asc_nulls_last("price"), "seq")).alias("place")), f"WITH {EVENTS_SQL} SELECT seq, row_number() OVER (ORDER BY price NULLS LAST, seq)::INTEGER AS place FROM ev")
+register("srt1_stable_order", lambda s, d: sorted_places(provider_events(s, d).select("session_id", "seq", "ts_ms"), "session_id", "ts_ms", "seq").drop("ts_ms"), f"WITH {EVENTS_SQL} SELECT session_id, seq, row_number() OVER (ORDER BY session_id, ts_ms, seq) AS place FROM ev")
+register("srt2_text_order", lambda s, d: sorted_places(table(s, d, "pages").select("page_id", "url"), "url", "page_id").drop("url"), "SELECT page_id, row_number() OVER (ORDER BY url, page_id) AS place FROM pages")
+register("srt3_price_nulls_last", lambda s, d: sorted_places(provider_events(s, d).select("seq", "price"), F.asc_nulls_last("price"), "seq").drop("price"), f"WITH {EVENTS_SQL} SELECT seq, row_number() OVER (ORDER BY price NULLS LAST, seq) AS place FROM ev")
 register("srt5_collection_sort", lambda s, d: C.sort_products(placed(s, d).groupBy(F.col("vendor").alias("product_title")).agg(F.min("place").alias("place")), "TITLE", True).select("product_title", "rank"), f"WITH {PLACED_SQL}, c AS (SELECT vendor AS product_title, min(place) AS place FROM pl GROUP BY vendor) SELECT product_title, row_number() OVER (ORDER BY product_title DESC, place DESC)::INTEGER AS rank FROM c")
 register("lim1_2_session_cap", lambda s, d: readers.store_sessions(item_events(s, d).withColumnsRenamed({"session": "session_id", "store": "store_id"}), 50, 1).select("session_id", "item"), "WITH i AS (SELECT l_orderkey AS session_id, l_partkey AS item FROM lineitem WHERE l_suppkey % 5 = 1) SELECT session_id, item FROM i WHERE session_id IN (SELECT DISTINCT session_id FROM i ORDER BY session_id LIMIT 50)")
 register("set6_option_values", lambda s, d: A.option_values(catalog(s, d).select(F.concat(F.lit("c"), (F.col("product_id") % 4).cast("string")).alias("collection"), "product_handle"), placed(s, d)), f"WITH {PLACED_SQL}, x AS (SELECT 'c' || (product_id % 4) AS collection, * FROM pl) SELECT DISTINCT collection, 'vendor' AS dimension, vendor AS value FROM x UNION SELECT collection, 'type', product_type FROM x UNION SELECT collection, 'tag', unnest(tags) FROM x")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequences as Q
+from ..operators.ordering import sorted_places
 from .fixtures import ITEMS_SQL, catalog, item_events
 from .registry import register
 from .session_queries import SESSIONS_SQL, emitted
@@ -87,7 +88,7 @@ register("smp8_negatives", _negatives, f"WITH {CLEAN_SQL} SELECT count(DISTINCT
 register("join8_held_out", lambda s, d: halves(clean(s, d))[1].join(item_events(s, d).where("session % 3 = 0").select("session").distinct(), "session", "left_anti").select("session", "pos", "item"), f"WITH {CLEAN_SQL} SELECT session, pos, item FROM m3 WHERE session % 2 = 1 AND session NOT IN (SELECT session FROM items WHERE session % 3 = 0)")
 register("join9_paired_ids", lambda s, d: clean(s, d).select("session").distinct().join(item_events(s, d).where("store = 1").select("session").distinct(), "session", "left_semi"), f"WITH {CLEAN_SQL} SELECT DISTINCT session FROM m3 WHERE session IN (SELECT session FROM items WHERE store = 1)")
 register("set1_shared_items", lambda s, d: halves(clean(s, d))[0].select("item").intersect(halves(clean(s, d))[1].select("item")), f"WITH {CLEAN_SQL} SELECT item FROM m3 WHERE session % 2 = 0 INTERSECT SELECT item FROM m3 WHERE session % 2 = 1")
-register("srt7_sessions_by_date", lambda s, d: item_events(s, d).groupBy("session").agg(F.min("day").alias("day")).withColumn("place", F.row_number().over(Window.orderBy("day", "session"))), f"WITH {ITEMS_SQL} SELECT session, min(day) AS day, CAST(row_number() OVER (ORDER BY min(day), session) AS INTEGER) AS place FROM items GROUP BY session")
+register("srt7_sessions_by_date", lambda s, d: sorted_places(item_events(s, d).groupBy("session").agg(F.min("day").alias("day")), "day", "session"), f"WITH {ITEMS_SQL} SELECT session, min(day) AS day, row_number() OVER (ORDER BY min(day), session) AS place FROM items GROUP BY session")
 
 
 def _handles(spark: SparkSession, sf_dir: str) -> DataFrame:
