@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, impact, jaccard, neighbours, packing, passages, pieces, quality, sharding
+from . import byte_bpe, chat, decontamination, divergence, impact, jaccard, neighbours, packing, passages, pieces, quality, resampling, sharding
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -130,6 +130,82 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), occurrences AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), counts AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM occurrences GROUP BY ALL
+), kept AS (
+  SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 30
+), langs AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), each_term AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS lang_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), totals AS (
+  SELECT lang, source, sum(n)::HUGEINT AS total FROM each_term GROUP BY ALL
+), shares AS (
+  SELECT e.lang, e.source, e.term, e.n, 1 + 1000000000 * (e.n + 5) // (t.total + 5 * l.v) AS p, 1 + 1000000000 * (e.lang_n + 5) // (l.total + 5 * l.v) AS q
+  FROM each_term e JOIN totals t USING (lang, source) JOIN langs l USING (lang)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), found AS (
+  SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sized AS (
+  SELECT item_id, w, least(10, len(w)) AS need FROM items WHERE len(w) > 0
+), item_places AS (
+  SELECT item_id, need, w, unnest(range(1, len(w) - need + 2)) AS i FROM sized
+), item_windows AS (
+  SELECT DISTINCT item_id, need, array_to_string(w[i:i + need - 1], ' ') AS said FROM item_places
+), doc_places AS (
+  SELECT r, need, w, unnest(range(1, len(w) - need + 2)) AS i FROM docs, (SELECT DISTINCT need FROM sized) WHERE len(w) >= need
+), hits AS (
+  SELECT p.r, p.i, p.need, x.item_id FROM (SELECT r, i, need, array_to_string(w[i:i + need - 1], ' ') AS said FROM doc_places) p JOIN item_windows x USING (need, said)
+), words AS (
+  SELECT r, count(DISTINCT i + k) AS n_hit FROM hits, range(10) t(k) WHERE k < need GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), orders=2, buckets=10_000, least_words=20, percent=25, seed=7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -142,8 +218,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_repeated_passages": op9_repeated_passages,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_source_divergence": op11_source_divergence,
+        "op12_decontamination": op12_decontamination,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op9_repeated_passages": OP9_SQL}
+    return {"op4_exact_top_k": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op9_repeated_passages": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_decontamination": OP12_SQL}
