@@ -126,31 +126,6 @@ def test_recommendations_of_repeated_and_missing_tags(spark):
     assert sorted(map(tuple, catalog.recommendations(products, products, 2).collect())) == sorted(want)
 
 
-def test_resampling_of_10000_replicates(spark):
-    import hashlib
-    from collections import defaultdict
-
-    import numpy as np
-    from trailmill.plans.fixtures import provider_events
-
-    data = "/root/testdata/sf0.001"
-    sums = defaultdict(lambda: [0.0, 0, 0])
-    for r in provider_events(spark, data).select("session_id", "price", "side").collect():
-        x = sums[r.session_id]
-        x[0], x[1], x[2] = x[0] + (r.price or 0), x[1] + 1, x[2] + (1 if r.side == 0 else -1)
-    t, c, d = np.array(list(sums.values())).T
-    h = np.array([[int(hashlib.md5(f"42|{k}|{s}".encode()).hexdigest()[:8], 16) for s in sums] for k in range(10_000)])
-    w = np.searchsorted([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], h / 2**32, side="right")
-    want = (w @ t) / (w @ c)
-    got = {r.replicate: r.value for r in registry.queries()["sta1_3_bootstrap"](spark, data).collect()}
-    assert [got[k] for k in range(10_000)] == pytest.approx(want, abs=2e-6) and len(got) == 10_000
-    i = registry.queries()["sta4_interval"](spark, data).first()
-    assert (i.low, i.high, i.n) == pytest.approx((*np.quantile(want, [0.025, 0.975]), 10_000), abs=2e-6)
-    x = (np.where(h % 2 == 0, 1, -1) @ d) / len(d)
-    p = registry.queries()["sta2_permutation"](spark, data).first()
-    assert (p.difference, p.p) == pytest.approx((d.mean(), ((abs(x) >= abs(d.mean()) - 1e-12).sum() + 1) / 10_001), abs=2e-6)
-
-
 def test_negatives_and_hash_places(spark):
     from hashlib import sha256
 

@@ -109,47 +109,11 @@ def holm(rows: DataFrame, p: str, *by: str) -> DataFrame:
     return raw.withColumn("adjusted", F.least(F.lit(1.0), F.max("__h").over(order))).drop("__h")
 
 
-def _dealt(keys: DataFrame, key: str) -> DataFrame:
-    """The few rows a key over all cores, before each becomes one row a replicate."""
-    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, key)
-
-
-def _weighted(stats: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Each row once a replicate, with the weight w of its key there."""
-    u = F.pmod(F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(key).cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("long"), F.lit(1 << 32)) / float(1 << 32)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    w = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        w = F.when(F.col("__u") < cuts[k], k).otherwise(w)
-    spread = _dealt(stats, key).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return spread.withColumn("__u", u).withColumn("w", w)
-
-
-def replicate_weights(keys: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, key, w): bootstrap multiplicities, Poisson(1) by the hash of seed, replicate and key, so any engine has the same."""
-    return _weighted(keys.select(key).distinct(), key, replicates, seed).select("replicate", key, "w")
-
-
-def bootstrap(stats: DataFrame, key: str, total: str, count: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, value): a ratio of sums over resampled keys; the metric needs sums only, so weights do for resampling."""
-    w = _weighted(stats.where(F.col(key).isNotNull()), key, replicates, seed)
-    return w.groupBy("replicate").agg((F.sum(F.col(total) * F.col("w")) / F.nullif(F.sum(F.col(count) * F.col("w")), F.lit(0))).alias("value"))
-
-
 def interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return replicates.agg(F.round(F.percentile("value", F.lit(a)), 6).alias("low"), F.round(F.percentile("value", F.lit(1 - a)), 6).alias("high"), F.count("value").alias("n"))
 
 
-def permutation_p(pairs: DataFrame, key: str, a: str, b: str, rounds: int, seed: int = 42) -> DataFrame:
-    """(difference, p): mean paired difference, and its two-sided add-one p-value under random swaps of the pair."""
-    flip = F.when(F.conv(F.substr(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    d = pairs.select(key, (F.col(a) - F.col(b)).alias("d"))
-    base = d.agg(F.avg("d").alias("difference"))
-    swapped = _dealt(d, key).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).groupBy("round").agg(F.avg(F.col("d") * flip).alias("x"))
-    return swapped.crossJoin(F.broadcast(base)).groupBy("difference").agg(((F.count_if(F.abs("x") >= F.abs("difference") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"))  # one row
-
-
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution."""
 

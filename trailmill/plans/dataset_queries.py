@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import datasets as D
 from ..operators import features
+from ..operators import inference as I
 from ..operators import scoring as R
 from .fixtures import EVENTS_SQL, ITEMS_SQL, item_events, provider_events, table
 from .registry import register
+from .session_queries import sides
 
 SHA = "sha256('42|' || {})"
 register("win13_sliding_windows", lambda s, d: D.sliding_windows(provider_events(s, d), "session_id", "seq", 6, 4), f"""WITH {EVENTS_SQL}, n AS (SELECT session_id, seq, count(*) OVER (PARTITION BY session_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY seq) - 1 AS i FROM ev),
@@ -100,28 +102,96 @@ def _ps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("sta5_holm", lambda s, d: R.holm(_ps(s, d), "p", "family").withColumn("adjusted", F.round("adjusted", 9)).withColumn("p", F.round("p", 9)), """WITH q AS (SELECT p_type AS family, p_partkey::VARCHAR AS name, p_partkey % 37 / 400 AS p FROM part),
 h AS (SELECT *, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, name) + 1) AS h FROM q) SELECT family, name, round(p, 9) AS p, round(least(1.0, max(h) OVER (PARTITION BY family ORDER BY p, name ROWS UNBOUNDED PRECEDING)), 9) AS adjusted FROM h""")
-U = "(('0x' || substr(md5('42|' || r || '|' || session_id), 1, 8))::UBIGINT::DOUBLE / 4294967296)"
-BOOT_SQL = EVENTS_SQL + f""", st AS (SELECT session_id, sum(coalesce(price, 0)) AS t, count(*) AS c FROM ev GROUP BY session_id), u AS (SELECT *, {U} AS u FROM st, range(10000) g(r)),
-w AS (SELECT *, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 ELSE 6 END AS w FROM u),
-b AS (SELECT r AS replicate, sum(t * w) / sum(c * w) AS value FROM w GROUP BY r)"""
+def _mix_sql(x: str, out: str) -> str:
+    """Steps of the finalizer as select items, the last one named `out`."""
+    times = "({0} * {1}::UBIGINT) % 4294967296::UBIGINT"
+    return f"{times.format(f'xor({x}, {x} >> 16)', 2246822507)} AS {out}_1, {times.format(f'xor({out}_1, {out}_1 >> 13)', 3266489909)} AS {out}_2, xor({out}_2, {out}_2 >> 16) AS {out}"
+
+
+def draws_sql(keys: str, key: str, seed: int, replicates: int = 10_000) -> str:
+    """CTEs up to `drawn`: the rows of `keys` in every replicate r, with the hash h of inference.hashes."""
+    half = lambda at: f"('0x' || substr(md5({key}::VARCHAR), {at}, 8))::UBIGINT"
+    return f"""reps AS (SELECT r, {_mix_sql("x", "e")} FROM (SELECT r, xor(r::UBIGINT, {seed}::UBIGINT) AS x FROM range({replicates}) g(r))),
+halves AS (SELECT *, {half(1)} AS ka, {half(9)} AS kb FROM {keys}),
+inner_ AS (SELECT *, {_mix_sql("x", "f")} FROM (SELECT h.*, r, xor(kb, e) AS x FROM halves h, reps)),
+drawn AS (SELECT * EXCLUDE (x2), {_mix_sql("x2", "h")} FROM (SELECT *, xor(ka, f) AS x2 FROM inner_))"""
+
+
+#: The cumulative Poisson probabilities over all 32-bit values.
+POISSON_SQL = " + ".join(f"(h >= {int(c * 4294967296)})::INTEGER" for c in I.POISSON)
+BOOT_SQL = EVENTS_SQL + f""", st AS (SELECT session_id, sum(round(coalesce(price, 0) * 100)::BIGINT)::BIGINT AS t, count(*) AS c FROM ev GROUP BY session_id), {draws_sql("st", "session_id", 42)},
+b AS (SELECT r AS replicate, ((20000 * sum(t * w)::BIGINT + sum(c * w)::BIGINT) // (2 * sum(c * w)::BIGINT)) / 1e6 AS value FROM (SELECT r, t, c, {POISSON_SQL} AS w FROM drawn) GROUP BY r)"""
 
 
 def _boot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    st = provider_events(spark, sf_dir).groupBy("session_id").agg(F.sum(F.coalesce("price", F.lit(0.0))).alias("t"), F.count("*").alias("c"))
-    return R.bootstrap(st, "session_id", "t", "c", 10_000)
+    """Mean prices of 10,000 resamples, in whole millionths: sums of whole cents, divided once."""
+    st = provider_events(spark, sf_dir).groupBy("session_id").agg(F.sum(F.round(F.coalesce("price", F.lit(0.0)) * 100).cast("long")).alias("t"), F.count("*").alias("c"))
+    drawn = I.bootstrap_ratio(st, "session_id", "t", "c", 10_000)
+    return drawn.select("replicate", F.expr("((20000 * CAST(total AS LONG) + CAST(count AS LONG)) div (2 * CAST(count AS LONG))) / 1e6D").alias("value"))
 
 
-register("sta1_3_bootstrap", lambda s, d: _boot(s, d).select(F.col("replicate").cast("long").alias("replicate"), F.round("value", 6).alias("value")), f"WITH {BOOT_SQL} SELECT replicate, round(value, 6) AS value FROM b")
+register("sta1_3_bootstrap", _boot, f"WITH {BOOT_SQL} SELECT replicate, value FROM b")
 register("sta4_interval", lambda s, d: R.interval(_boot(s, d)), f"WITH {BOOT_SQL} SELECT round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high, count(*) AS n FROM b")
 
 
 def _permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = provider_events(spark, sf_dir).groupBy("session_id").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    return R.permutation_p(e, "session_id", "a", "b", 10_000).select(F.round("difference", 6).alias("difference"), F.round("p", 9).alias("p"))
+    return I.permutation_p(e, "session_id", "a", "b", 10_000).select(F.round("difference", 6).alias("difference"), F.round("p", 9).alias("p"))
+
+
+register("sta2_permutation", _permutation, f"""WITH {EVENTS_SQL}, e AS (SELECT session_id, count(*) FILTER (side = 0) - count(*) FILTER (side = 1) AS d FROM ev GROUP BY session_id), {draws_sql("e", "session_id", 42)},
+x AS (SELECT r, sum(d * CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS x FROM drawn GROUP BY r), b AS (SELECT sum(d) AS total, avg(d) AS m FROM e)
+SELECT round(m, 6) AS difference, round((count(*) FILTER (abs(x) >= abs(total)) + 1) / (count(*) + 1), 9) AS p FROM x, b GROUP BY m""")
+
+
+def _methods(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame], dict[str, DataFrame]]:
+    """Sessions of even events as the real ones; of odd events, and of these without every third step, as two methods; prices as scores."""
+    real, synth = sides(spark, sf_dir)
+    thin = synth.where("ord % 3 <> 0 OR ord = 1")
+    e = provider_events(spark, sf_dir).groupBy("session_id", "side").agg(F.avg("price").alias("x"), F.count("price").alias("n"))
+    scores = lambda side, k: e.where(F.col("side") == side).select("session_id", F.when(F.col("n") > k, F.col("x") / 1000).alias("coherence"), F.when(F.col("session_id") % 5 != k, F.col("x") / 2000).alias("similarity"))
+    return real, {"odd events": synth, "thinned": thin}, {"real": scores(0, 1), "odd events": scores(1, 1), "thinned": scores(1, 2)}
+
+
+def _fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real, synths, scores = _methods(spark, sf_dir)
+    table_ = I.fidelity_table(real, synths, "odd events", scores, 10_000, 10_000)
+    return table_.select([F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in table_.dtypes])
+
+
+register("sta1_2_fidelity_table", _fidelity)
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits and reciprocal ranks of two methods under two conditions and three seeds, by hashes of the events."""
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(c).alias("condition"), F.lit(s).cast("long").alias("seed"), F.lit(7 * i + 3 * j + s).alias("salt"), F.lit(j).alias("j")) for i, m in enumerate(("narm", "rain")) for j, c in enumerate((I.BASELINE, "synth_to_real")) for s in range(3)])).alias("run")
+    e = provider_events(spark, sf_dir).select("session_id", "seq", runs).select("session_id", "seq", "run.*")
+    rank = F.conv(F.substr(F.md5(F.concat_ws("|", "salt", "seq")), F.lit(1), F.lit(6)), 16, 10).cast("long") % (20 + F.col("j")) + 1
+    return e.withColumn("rank", rank).select("method", "condition", "seed", F.col("session_id").alias("session"), F.col("seq").alias("example"), *[F.when(F.col("rank") <= k, 1.0).otherwise(0.0).alias(f"hit{k}") for k in (5, 10)], F.when(F.col("rank") <= 10, 1 / F.col("rank")).otherwise(0.0).alias("rr10"))
+
+
+METRICS = ["hit5", "hit10", "rr10"]
+
+
+def _contrasts(spark: SparkSession, sf_dir: str, again: bool = False, relative: float | None = None) -> DataFrame:
+    found = I.contrast_table(I.contrast_replicates(_predictions(spark, sf_dir), METRICS, replicates=10_000, resample_seeds=again), relative_margin=relative)
+    return found.select([F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
 
 
-register("sta2_permutation", _permutation, f"""WITH {EVENTS_SQL}, e AS (SELECT session_id, count(*) FILTER (side = 0) - count(*) FILTER (side = 1) AS d FROM ev GROUP BY session_id), b AS (SELECT avg(d) AS m FROM e),
-x AS (SELECT r, avg(d * CASE WHEN ('0x' || substr(md5('42|' || r || '|' || session_id), 1, 8))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END) AS x FROM e, range(10000) g(r) GROUP BY r) SELECT round(m, 6) AS difference, round((count(*) FILTER (abs(x) >= abs(m) - 1e-12) + 1) / (count(*) + 1), 9) AS p FROM x, b GROUP BY m""")
+register("sta3_4_9_contrast_table", _contrasts, f"""WITH {EVENTS_SQL}, runs AS (SELECT m.method, c.condition, s.seed, 7 * i + 3 * j + s.seed AS salt, j FROM (VALUES ('narm', 0), ('rain', 1)) m(method, i), (VALUES ('real_to_real', 0), ('synth_to_real', 1)) c(condition, j), range(3) s(seed)),
+ranks AS (SELECT session_id, method, condition, ('0x' || substr(md5(salt || '|' || seq), 1, 6))::BIGINT % (20 + j) + 1 AS rank FROM ev, runs),
+per AS (SELECT session_id, method, condition, sum((rank <= 5)::INTEGER) / 3 AS hit5, sum((rank <= 10)::INTEGER) / 3 AS hit10, sum(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END) / 3 AS rr10 FROM ranks GROUP BY ALL),
+sizes AS (SELECT session_id, count(*) AS n FROM ev GROUP BY session_id), {draws_sql("sizes", "session_id", 42)},
+weights AS (SELECT session_id, n, r, {POISSON_SQL} AS w FROM drawn UNION ALL SELECT session_id, n, -1, 1 FROM sizes),
+long AS (SELECT session_id, method, condition, metric, value FROM per UNPIVOT (value FOR metric IN (hit5, hit10, rr10))),
+arms AS (SELECT r, method, condition, metric, sum(value * w) / sum(n * w) AS mean FROM long JOIN weights USING (session_id) GROUP BY ALL),
+d AS (SELECT r, a.method, a.condition, a.metric, 100 * a.mean AS arm, 100 * b.mean AS base, 100 * (a.mean - b.mean) AS d FROM arms a JOIN arms b USING (r, method, metric) WHERE a.condition <> 'real_to_real' AND b.condition = 'real_to_real'),
+t AS (SELECT method, condition, metric, max(arm) FILTER (r < 0) AS arm, max(base) FILTER (r < 0) AS baseline, quantile_cont(d, 0.025) FILTER (r >= 0) AS ci_low, quantile_cont(d, 0.975) FILTER (r >= 0) AS ci_high, quantile_cont(d, 0.05) FILTER (r >= 0) AS lower_bound, stddev_samp(d) FILTER (r >= 0) AS se,
+  least(1.0, 2 * least(count(*) FILTER (r >= 0 AND d <= 0), count(*) FILTER (r >= 0 AND d >= 0)) / 10000) AS p FROM d GROUP BY ALL),
+h AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, method || '|' || metric || '|' || condition) + 1) AS h FROM t)
+SELECT method, condition, metric, round(arm, 6) AS arm, round(baseline, 6) AS baseline, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(lower_bound, 6) AS lower_bound, round(se, 6) AS se, round(p, 6) AS p, round(arm - baseline, 6) AS delta, round((arm - baseline) / baseline, 6) AS relative, 2.0::DOUBLE AS margin,
+  lower_bound > -2 AS non_inferior, ci_low > -2 AND ci_high < 2 AS equivalent, round(least(1.0, max(h) OVER (ORDER BY p, method || '|' || metric || '|' || condition ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h""")
+register("sta3_seed_resample", lambda s, d: _contrasts(s, d, True, 0.1))
 register("sta_normal_tail", lambda s, d: table(s, d, "region").select("r_regionkey", F.round(R.normal_tail(F.col("r_regionkey") * 0.7), 9).alias("p")))
 
 
