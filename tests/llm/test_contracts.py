@@ -34,8 +34,9 @@ def odd(tmp_path_factory):
     at = tmp_path_factory.mktemp("odd")
     texts = [None, "", " ", "a b", "same text of some words here now", "x" * 70_000, "tok " * 30_000, *[" ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=40)) for _ in range(40)]]
     ids = [None, *range(len(texts) - 3), 7, 7]
-    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "n_tokens": ["x"] * len(ids), "score": ["x"] * len(ids), "size": ["x"] * len(ids), "offset": ["x"] * len(ids)})
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "n_tokens": ["x"] * len(ids), "score": ["x"] * len(ids), "size": ["x"] * len(ids), "offset": ["x"] * len(ids), "lang": ["en", None] * (len(ids) // 2) + ["en"] * (len(ids) % 2), "source": [None, "s", "t"] * (len(ids) // 3) + ["s"] * (len(ids) % 3)})
     pq.write_table(docs, at / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1, 1, None, 3], pa.int64()), "text": ["alpha beta", "tok", None, " "], "n_words": ["x"] * 4}), at / "benchmark.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([1, 1, None, 900, 2], pa.int64()), "quality": pa.array([1, 0, 1, None, 0], pa.int32())}), at / "labels.parquet")
     pq.write_table(pa.table({"vec_id": pa.array([0, 0, None, 3, 4, 5, 100], pa.int64()), "embedding": pa.array([[1.0, 2.0], [1.0, 2.0], [1.0, 1.0], None, [], [float("nan"), 1.0], [0.5, 0.5]], pa.list_(pa.float32())), "score": ["x"] * 7}), at / "embeddings.parquet")
     pq.write_table(pa.table({"conv_id": pa.array([1, 1, None], pa.int64()), "turn": pa.array([0, 0, None], pa.int64()), "role": ["user", "user", None], "text": ["b\\", "a", None], "size": ["x"] * 3}), at / "conversations.parquet")
@@ -44,11 +45,11 @@ def odd(tmp_path_factory):
 
 def test_every_query_on_odd_and_on_empty_tables(spark, odd, tmp_path):
     docs = pq.read_table(f"{odd}/documents.parquet").num_rows
-    for name in ("documents", "labels", "embeddings", "conversations"):
+    for name in ("documents", "labels", "embeddings", "conversations", "benchmark"):
         pq.write_table(pq.read_table(f"{odd}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
     for name in queries.queries():
         got, none = run(spark, name, odd), run(spark, name, str(tmp_path))
-        if name.startswith(("op1_", "op2_", "op3_", "op5_", "op6_", "op9_")):
+        if name.startswith(("op1_", "op2_", "op3_", "op5_", "op6_", "op9_", "op12_", "op13_")):
             assert len(got) == docs, name
         assert [r["conv_id"] for r in none] == [-7] if name.startswith("op7_") else none == [], name
 
