@@ -89,12 +89,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
         return counted.select(F.col("id").alias(id_column), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
     places = shared(reduce(DataFrame.unionAll, of_length).select("hash", "item", "need", _around("words", "at").alias("theirs")))
     hashes = places.select("hash").distinct()
-    hashes = F.broadcast(hashes) if hashes.count() <= BROADCAST_HASHES else hashes
-    marks = _fingerprints(keyed.select(*KEY, word_list(F.col("text")).alias("words")), lengths, KEY)
-    anchors = shared(marks.join(hashes, "hash", "left_semi").distinct())
-
-    touched = keyed.join(anchors.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
-    ours = touched.select(*KEY, word_list(F.col("text")).alias("words")).join(anchors, KEY).select(*KEY, "hash", "at", _around("words", "at").alias("ours"))
+    worded = keyed.select(*KEY, word_list(F.col("text")).alias("words"))
+    if hashes.count() <= BROADCAST_HASHES:
+        # The words stay beside the fingerprints up to the join, in one task; what goes on has its few words around.
+        marks = _fingerprints(worded, lengths, [*KEY, "words"]).join(F.broadcast(hashes), "hash", "left_semi")
+        ours = marks.select(*KEY, "hash", "at", _around("words", "at").alias("ours"))
+    else:
+        anchors = shared(_fingerprints(worded, lengths, KEY).join(hashes, "hash", "left_semi").distinct())
+        touched = keyed.join(anchors.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+        ours = touched.select(*KEY, word_list(F.col("text")).alias("words")).join(anchors, KEY).select(*KEY, "hash", "at", _around("words", "at").alias("ours"))
     both = ours.join(F.broadcast(places) if places.count() <= BROADCAST_PLACES else places, "hash")
     same = lambda d: f"coalesce(get(ours.words, ours.before + {d}) = get(theirs.words, theirs.before + {d}), false)"
     ahead = F.expr("CASE " + " ".join(f"WHEN NOT {same(d)} THEN {d}" for d in range(WINDOW)) + f" ELSE {WINDOW} END")
