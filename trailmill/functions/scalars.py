@@ -78,28 +78,102 @@ def normal_handle(handle: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.lower(F.trim(handle)), r"[?#].*$", ""), F.lit("/"))
 
 
-def template_path(path: Column) -> Column:
-    """Paths of products, collections and pages with their names left out."""
-    return F.regexp_replace(path, r"^/(products|collections|pages|blogs)/[^/]+", r"/$1/<*>")
+#: Subtrees that are one page class, and what is no page: places of assets, endings of files.
+TEMPLATE_PREFIXES = ("/products/", "/collections/", "/policies/", "/blogs/", "/account/")
+PAGES_PREFIX = "/pages/"
+ASSET_PREFIXES = ("/fast-image/", "/cdn/")
+FILE_SUFFIXES = (".xml", ".json", ".txt", ".pdf", ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".ico")
 
 
-def admissible_link(url: Column, hosts: list[str]) -> Column:
-    """Whether a link leads to a page of one of the hosts: http or none, no asset, no colon in its path."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    path = url_path(url)
-    return scheme.isin("", "http", "https") & ((url_host(url) == "") | url_host(url).isin(*hosts)) & ~path.rlike(r"^/(cdn|assets|static)/|\.(png|jpe?g|gif|svg|css|js|ico|webp|pdf)$|:")
+def template_path(path: Column, collapse: Column | None = None) -> Column:
+    """The class of a page by its path, without query and fragment: everything below a template prefix is one class.
 
+    Pages keep their path, unless what follows /pages/ (no closing slashes) is in
+    the array `collapse`. An empty path is /.
+    """
 
-def resolve_link():
-    """A function of base and link columns: the absolute URL."""
+    def of(bare: Column) -> Column:
+        out = F.when(bare == "", "/")
+        for p in TEMPLATE_PREFIXES:
+            out = out.when(bare.startswith(p) & (F.length(bare) > len(p)), p + "<*>")
+        if collapse is not None:
+            rest = F.rtrim(F.substr(bare, F.lit(len(PAGES_PREFIX) + 1)), F.lit("/"))
+            out = out.when(bare.startswith(PAGES_PREFIX) & (rest != "") & F.coalesce(F.array_contains(collapse, rest), F.lit(False)), PAGES_PREFIX + "<*>")
+        return out.otherwise(bare)
 
-    @F.pandas_udf("string")
-    def joined(base: pd.Series, link: pd.Series) -> pd.Series:
-        from urllib.parse import urljoin
+    return let(F.regexp_replace(F.coalesce(path, F.lit("")), r"(?s)[?#].*$", ""), of)
+
+
+_URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def _url_parts(url: Column) -> list[Column]:
+    """Scheme in small letters, host with port, path, query and fragment; '' for what is not there."""
+    part = lambda k: F.regexp_extract(url, _URL, k)
+    return [F.lower(part(1)), *[part(k) for k in range(2, 6)]]
+
+
+def _without_dots(segments: Column) -> Column:
+    """Segments of a path with . and .. carried out; both at the end leave an empty one."""
+    one = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    done = F.aggregate(segments, F.array().cast("array<string>"), one)
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(done, F.array(F.lit("")))).otherwise(done)
+
+
+def let(value: Column, then) -> Column:
+    """`then` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def resolve_link(base: Column, link: Column) -> Column:
+    """The absolute URL of a link on the page `base`, by the rules of relative references; links of another scheme stay as they are."""
+    parts = lambda url: F.struct(*[c.alias(n) for n, c in zip("shpqf", _url_parts(url), strict=True)])
+
+    def path_of(b: Column, x: Column) -> Column:
+        """The link's path on the way from the base's folder; empty segments count at both ends only."""
+        folder = let(F.split(b["p"], "/"), lambda f: F.when(F.element_at(f, -1) != "", F.slice(f, F.lit(1), F.size(f) - 1)).otherwise(f))
+        inner = lambda j: F.filter(F.slice(j, F.lit(2), F.greatest(F.size(j) - 2, F.lit(0))), lambda y: y != "")
+        tidy = lambda j: F.when(F.size(j) > 2, F.concat(F.slice(j, F.lit(1), F.lit(1)), inner(j), F.slice(j, F.size(j), F.lit(1)))).otherwise(j)
+        joined = F.when(x["p"].startswith("/"), F.split(x["p"], "/")).otherwise(let(F.concat(folder, F.split(x["p"], "/")), tidy))
+        return let(F.array_join(let(joined, _without_dots), "/"), lambda t: F.when(t == "", "/").otherwise(t))
+
+    def joined(b: Column, x: Column) -> Column:
+        host = F.when(x["h"] != "", x["h"]).otherwise(b["h"])
+        path = F.when(x["h"] != "", x["p"]).when(x["p"] == "", b["p"]).otherwise(path_of(b, x))
+        query = F.when((x["h"] == "") & (x["p"] == "") & (x["q"] == ""), b["q"]).otherwise(x["q"])
+        rooted = lambda t: F.when((host != "") & (t != "") & ~t.startswith("/"), F.concat(F.lit("/"), t)).otherwise(t)
+        asked = let(query, lambda t: F.when(t != "", F.concat(F.lit("?"), t)).otherwise(""))
+        return F.concat(b["s"], F.when(b["s"] != "", ":").otherwise(""), F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""), let(path, rooted), asked, F.when(x["f"] != "", F.concat(F.lit("#"), x["f"])).otherwise(""))
 
-        return pd.Series([None if b is None or x is None else urljoin(b, x) for b, x in zip(base, link, strict=True)])
+    both = let(F.struct(parts(base).alias("b"), parts(link).alias("x")), lambda v: F.when((v["x"]["s"] != "") & (v["x"]["s"] != v["b"]["s"]), link).otherwise(joined(v["b"], v["x"])))
+    return F.when(base.isNull() | link.isNull(), F.lit(None).cast("string")).when(link == "", base).when(base == "", link).otherwise(both)
 
-    return joined
+
+def canonical_link(base: Column, link: Column, collapse: Column | None = None) -> Column:
+    """(canonical, url, path) of a link that leads to a page of the base's host, else null.
+
+    Only http and https, the same host and port, no asset, no file, no colon in the
+    path. canonical is the class of the page, url the page without query and
+    fragment.
+    """
+
+    def page(v: Column) -> Column:
+        path, low = v["path"], F.lower(v["path"])
+        ok = v["s"].isin("http", "https") & (v["h"] == v["own"]) & ~path.contains(":")
+        ok = functools.reduce(lambda a, x: a & ~path.startswith(x), ASSET_PREFIXES, ok)
+        ok = functools.reduce(lambda a, x: a & ~low.endswith(x), FILE_SUFFIXES, ok)
+        return F.when(ok, F.struct(template_path(path, collapse).alias("canonical"), F.concat(v["s"], F.lit("://"), v["h"], path).alias("url"), path.alias("path")))
+
+    def parted(full: Column) -> Column:
+        s, h, p, _, _ = _url_parts(full)
+        return let(F.struct(s.alias("s"), h.alias("h"), F.when(p == "", "/").otherwise(p).alias("path"), _url_parts(base)[1].alias("own")), page)
+
+    return F.when(F.trim(link) != "", let(resolve_link(base, F.trim(link)), parted))
+
+
+def admissible_link(base: Column, link: Column) -> Column:
+    """Whether a link leads to a page of the base's host."""
+    return canonical_link(base, link).isNotNull()
 
 
 def clock_ms(text: Column) -> Column:
@@ -158,8 +232,23 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))
 
 
+def unescaped():
+    """A function of an array of texts: their HTML character references as characters."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        from html import unescape
+
+        return texts.map(lambda some: None if some is None else [None if x is None else unescape(x) for x in some])
+
+    return run
+
+
 def semantic_ids(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'data-semantic-id=(["\'])(.*?)\1'), F.lit(2))
+    """The distinct semantic ids of a page, sorted: parser- or data- attributes in any case, unescaped, without blanks around; blank ones go."""
+    raw = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)(?:parser|data)-semantic-id\s*=\s*(['\"])(.*?)\1"), F.lit(2))
+    there = F.filter(raw, lambda x: F.regexp_like(x, F.lit(r"(?U)\S")))
+    return F.array_sort(F.array_distinct(F.transform(unescaped()(there), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))))
 
 
 def click_text(elements: Column) -> Column:

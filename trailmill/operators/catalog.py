@@ -6,9 +6,13 @@ and `place`, the position in the dataset, which ties and relevance depend on.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import sorted_places
+
 BINS = 5
 NO_TYPE = "<unknown>"
 
@@ -65,21 +69,45 @@ def relevance(title: Column, body: Column, query: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda s, t: s + 3 * occurrences(F.lower(title), t) + occurrences(F.lower(body), t))
 
 
-def search(catalog: DataFrame, query: str, body: Column) -> DataFrame:
-    """The rows that match all terms, with `score` and `rank` by descending score, then place."""
+def search(catalog: DataFrame, query: str, body: Column, key: str = "RELEVANCE", reverse: bool = False) -> DataFrame:
+    """The rows that match all terms, with `score` and `rank`: by falling relevance or, with PRICE, by rising price; then by place. reverse turns the whole order round.
+
+    Rows without a price come behind all others.
+    """
     q = F.lit(query)
     hit = catalog.where(matches_all(F.concat_ws(" ", "product_title", body), q)).withColumn("score", relevance(F.col("product_title"), body, q))
-    return hit.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "place")))
+    by = F.coalesce(F.col("price").cast("double"), F.lit(float("inf"))) if key == "PRICE" else -F.col("score")
+    order = [F.desc("__by"), F.desc("place")] if reverse else [F.asc("__by"), F.asc("place")]
+    return _ranked(hit.withColumn("__by", by), *order).drop("__by")
 
 
-SORT_KEYS = {"TITLE": "product_title", "VENDOR": "vendor", "PRODUCT_TYPE": "product_type", "PRICE": "price", "ID": "product_id", "BEST_SELLING": None, "RELEVANCE": None}
+def _ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """Rows with `rank` from 1, numbered range by range."""
+    return sorted_places(df, *order, place="rank").withColumn("rank", F.col("rank").cast("int"))
+
+
+#: Sort keys and their columns; texts compare as readers expect (letters before case), times as ISO texts.
+SORT_KEYS = {"TITLE": "product_title", "VENDOR": "vendor", "PRODUCT_TYPE": "product_type", "CREATED_AT": "created_at", "UPDATED_AT": "updated_at", "PRICE": "price", "ID": "product_id", "BEST_SELLING": None, "RELEVANCE": None}
 
 
 def sort_products(catalog: DataFrame, key: str, reverse: bool = False) -> DataFrame:
-    """Products with `rank` in the order of a sort key; ties and keyless orders by place; reverse turns the whole order round."""
-    cols = [c for c in (SORT_KEYS[key], "place") if c]
-    order = [F.desc_nulls_first(c) if reverse else F.asc_nulls_last(c) for c in cols]
-    return catalog.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """Products with `rank` in the order of a sort key; ties and keyless orders by place; reverse turns the whole order round.
+
+    price is the least one of a product's variants, and 0 where none has one; a
+    text that is missing counts as ''. Collections sort the same way by TITLE,
+    UPDATED_AT, ID and RELEVANCE.
+    """
+    column = SORT_KEYS[key]
+    if column is None:
+        by = F.lit(0)
+    elif column == "price":
+        by = F.coalesce(F.col(column).cast("double"), F.lit(0.0))
+    elif column == "product_id":
+        by = F.col(column)
+    else:
+        by = F.collate(F.coalesce(F.col(column).cast("string"), F.lit("")), "UNICODE")
+    order = [F.desc("__by"), F.desc("place")] if reverse else [F.asc("__by"), F.asc("place")]
+    return _ranked(catalog.withColumn("__by", by), *order).drop("__by")
 
 
 def page(ranked: DataFrame, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None) -> DataFrame:
@@ -99,33 +127,50 @@ def page(ranked: DataFrame, first: int | None = None, after: str | None = None,
     return out.withColumn("cursor", F.base64(F.concat(F.lit("cursor:"), F.col("index").cast("string")).cast("binary")))
 
 
-def predictive(results: DataFrame, limit: int = 10, each: bool = False) -> DataFrame:
-    """Results (kind_order, rank) capped at `limit` per kind, or in total in the order of kinds."""
-    limit = max(1, min(10, limit))
+PREDICTIVE_LIMIT = 10
+
+
+def predictive_limit(limit: float | None) -> int:
+    """A positive limit, rounded down; anything else is the default."""
+    if limit is None or not math.isfinite(limit) or limit <= 0:
+        return PREDICTIVE_LIMIT
+    return math.floor(limit)
+
+
+def predictive(results: DataFrame, limit: float | None = None, each: bool = False) -> DataFrame:
+    """Results (kind_order, rank) up to `limit` per kind, or in total in the order of kinds."""
+    most = predictive_limit(limit)
     if each:
-        return results.withColumn("__k", F.row_number().over(Window.partitionBy("kind_order").orderBy("rank"))).where(F.col("__k") <= limit).drop("__k")
-    return results.orderBy("kind_order", "rank").limit(limit)
+        return results.withColumn("__k", F.row_number().over(Window.partitionBy("kind_order").orderBy("rank"))).where(F.col("__k") <= most).drop("__k")
+    return results.orderBy("kind_order", "rank").limit(most)
 
 
 def recommendations(catalog: DataFrame, target: DataFrame, k: int = 4) -> DataFrame:
-    """For each target the k other products of highest similarity: 1000 for its type, and one for each tag that it shares; ties by place.
+    """For each target the k other products of highest similarity: 1000 for its type, unless that is blank, and one for each tag that it shares; ties by place.
 
-    Products of equal type and tags score alike, so scores are taken between such
-    kinds that have a type or tag in common; of a kind the first k + 1 products
-    are enough, one of them being the target at most. Handles are unique.
+    Products without anything in common have 0 and fill up by place. Products of
+    equal type and tags score alike, so scores are taken between such kinds that
+    have a type or tag in common; of a kind the first k + 1 products are enough,
+    one of them being the target at most. What fills up is among the first
+    2 * k + 1 of all. Handles are unique.
     """
-    tags = F.array_sort(F.transform("tags", F.lower))
-    c = catalog.select("product_handle", "place", "product_type", tags.alias("__ctags")).withColumn("__ckind", F.to_json(F.struct("product_type", "__ctags")))
-    t = target.select(F.col("product_handle").alias("target"), F.col("product_type").alias("__type"), tags.alias("__tags")).withColumn("__kind", F.to_json(F.struct("__type", "__tags")))
-    of = lambda kind, own: F.explode(F.array_union(F.array(F.concat(F.lit("type:"), F.col(kind))), F.coalesce(F.transform(own, lambda x: F.concat(F.lit("tag:"), x)), F.array().cast("array<string>")))).alias("__token")
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
+    kind = F.coalesce("product_type", F.lit(""))
+    c = catalog.select("product_handle", "place", kind.alias("product_type"), F.array_sort(tags).alias("__ctags")).withColumn("__ckind", F.to_json(F.struct("product_type", "__ctags")))
+    t = target.select(F.col("product_handle").alias("target"), kind.alias("__type"), F.array_sort(tags).alias("__tags")).withColumn("__kind", F.to_json(F.struct("__type", "__tags")))
+    of = lambda kind, own: F.explode(F.concat(F.when(F.col(kind) != "", F.array(F.concat(F.lit("type:"), F.col(kind)))).otherwise(F.array().cast("array<string>")), F.array_distinct(F.transform(own, lambda x: F.concat(F.lit("tag:"), x))))).alias("__token")
     ckinds, kinds = c.select("__ckind", "product_type", "__ctags").distinct(), t.select("__kind", "__type", "__tags").distinct()
     near = kinds.select("__kind", of("__type", "__tags")).join(ckinds.select("__ckind", of("product_type", "__ctags")), "__token").select("__kind", "__ckind").distinct()
-    score = F.when(F.col("product_type") == F.col("__type"), 1000).otherwise(0) + F.size(F.filter("__ctags", lambda x: F.array_contains(F.col("__tags"), x)))
+    score = F.when((F.col("product_type") == F.col("__type")) & (F.col("__type") != ""), 1000).otherwise(0) + F.size(F.filter("__ctags", lambda x: F.array_contains(F.col("__tags"), x)))
     scored = near.join(kinds, "__kind").join(ckinds, "__ckind").select("__kind", "__ckind", score.alias("score")).where("score > 0")
     first = c.withColumn("__n", F.row_number().over(Window.partitionBy("__ckind").orderBy("place"))).where(F.col("__n") <= k + 1).select("__ckind", "product_handle", "place")
     order = (F.desc("score"), "place")
     best = scored.join(first, "__ckind").withColumn("__n", F.row_number().over(Window.partitionBy("__kind").orderBy(*order))).where(F.col("__n") <= k + 1)
-    both = t.select("target", "__kind").join(best, "__kind").where("product_handle <> target")
+    likely = t.select("target", "__kind").join(best, "__kind").where("product_handle <> target").select("target", "product_handle", "place", "score")
+    front = c.orderBy("place").limit(2 * k + 1).select("product_handle", "place")
+    row = front.agg(F.array_sort(F.collect_list(F.struct("place", "product_handle"))).alias("__front"))  # one row of 2 * k + 1 places
+    rest = t.select("target").crossJoin(F.broadcast(row)).select("target", F.inline("__front")).where("product_handle <> target").select("target", "product_handle", "place", F.lit(0).alias("score"))
+    both = likely.unionByName(rest).groupBy("target", "product_handle").agg(F.max("place").alias("place"), F.max("score").alias("score"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*order))).where(F.col("rank") <= k).select("target", "rank", "product_handle", "score")
 
 
@@ -135,10 +180,16 @@ def collection_products(collections: DataFrame, catalog: DataFrame) -> DataFrame
     return listed.join(catalog.select("product_handle", "product_title"), "product_handle")
 
 
+def leading_number(text: Column) -> Column:
+    """The finite number that a text begins with, blanks before it aside; null if there is none."""
+    n = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    return F.when(F.abs(n) < float("inf"), n)
+
+
 def price_range(variants: Column) -> Column:
-    """Least and greatest price of an array of variants whose prices are texts; 0 where none is a number."""
-    prices = F.transform(variants, lambda v: F.try_to_number(v["price"], F.lit("999999999.99")).cast("double"))
-    return F.struct(F.coalesce(F.array_min(prices), F.lit(0.0)).alias("least"), F.coalesce(F.array_max(prices), F.lit(0.0)).alias("greatest"))
+    """Least and greatest price of an array of variants whose prices are texts, in whole cents; 0 where none begins with a number."""
+    prices = F.transform(variants, lambda v: leading_number(v["price"]))
+    return F.struct(F.round(F.coalesce(F.array_min(prices), F.lit(0.0)), 2).alias("least"), F.round(F.coalesce(F.array_max(prices), F.lit(0.0)), 2).alias("greatest"))
 
 
 def available(quantity: Column, declared: Column) -> Column:

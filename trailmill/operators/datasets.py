@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +55,15 @@ def clean_actions(rows: DataFrame) -> DataFrame:
     return rows.where(F.lower("action").isin(*CLEAN_ACTIONS))
 
 
+#: What marks an action as adding to the cart, in its target and in its description.
+ADD_TARGETS = ("add_to_cart", "add_to_bag", "add_item")
+ADD_PHRASES = ("add to cart", "add to bag", "add item")
+
+
 def is_add_to_cart(target: Column, description: Column) -> Column:
-    t, d = F.lower(F.coalesce(target, F.lit(""))), F.lower(F.coalesce(description, F.lit("")))
-    return t.rlike("add.?to.?cart|add_cart|addtocart") | d.contains("add to cart") | d.contains("add to bag")
+    """Whether an action adds to the cart: a signal in its target or a phrase in its description, in any case."""
+    t, d = (F.lower(F.coalesce(c.cast("string"), F.lit(""))) for c in (target, description))
+    return reduce(or_, [t.contains(x) for x in ADD_TARGETS] + [d.contains(x) for x in ADD_PHRASES])
 
 
 def truncate_before_add(rows: DataFrame, key: str, order: str, is_add: Column) -> DataFrame:

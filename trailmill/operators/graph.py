@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
+from operator import add, or_
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
-from .ordering import cut
+from .ordering import cut, sorted_places
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
@@ -34,14 +36,50 @@ def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> Da
     return seen
 
 
+WORDS = 16  # longs of a bitmap row: 1,024 sources
+
+
+def eccentricity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(diameter, pairs): the longest shortest path between two different nodes, and how many ordered pairs have one; null and 0 if none has.
+
+    All breadth-first searches run at once: a row is a node and a block of 1,024
+    sources, with a bit for each source that has reached it. A step ORs the new
+    bits along the edges, so the state is nodes * sources / 8 bytes and no pair of
+    nodes ever is a row.
+    """
+    bits = [f"b{k}" for k in range(WORDS)]
+    numbered = cut(sorted_places(nodes.select("node").distinct(), "node", place="n").select("node", (F.col("n") - 1).cast("long").alias("n")))
+    e = edges.select("source", "target").where("source <> target").distinct()
+    e = cut(e.join(numbered.select(F.col("node").alias("source"), F.col("n").alias("s")), "source").join(numbered.select(F.col("node").alias("target"), F.col("n").alias("t")), "target").select("s", "t"))
+    size = WORDS * 64
+    own = [F.when(F.expr(f"(n % {size}) div 64 = {k}"), F.expr("shiftleft(1L, CAST(n % 64 AS INT))")).otherwise(F.lit(0).cast("long")).alias(b) for k, b in enumerate(bits)]
+    seen = cut(numbered.select("n", F.expr(f"n div {size}").alias("block"), *own))
+    fresh, steps, pairs = seen, 0, 0
+    zero = F.lit(0).cast("long")
+    while True:
+        moved = fresh.join(e, fresh["n"] == e["s"]).groupBy(F.col("t").alias("n"), "block").agg(*[F.bit_or(b).alias(f"m{k}") for k, b in enumerate(bits)])
+        both = cut(seen.join(moved, ["n", "block"], "full").na.fill(0, [*bits, *[f"m{k}" for k in range(WORDS)]]))
+        new = [F.col(f"m{k}").bitwiseAND(F.bitwise_not(F.col(b))).alias(b) for k, b in enumerate(bits)]
+        fresh = both.select("n", "block", *new)
+        fresh = fresh.where(reduce(or_, [F.col(b) != zero for b in bits]))
+        found = fresh.agg(F.sum(reduce(add, [F.bit_count(b) for b in bits]).cast("long")).alias("c")).first()["c"]
+        if not found:
+            break
+        steps, pairs = steps + 1, pairs + found
+        seen = both.select("n", "block", *[F.col(b).bitwiseOR(F.col(f"m{k}")).alias(b) for k, b in enumerate(bits)])
+    spark = nodes.sparkSession
+    return spark.createDataFrame([(steps if pairs else None, pairs)], "diameter long, pairs long")
+
+
 def graph_metrics(nodes: DataFrame, edges: DataFrame, home: str, goal: str) -> DataFrame:
     """(name, value): sizes, mean degree, dead ends, longest shortest path, share reachable from home, steps from home to the goal."""
     e = edges.select("source", "target").distinct()
     out = e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("d"))
     degrees = nodes.join(out, "node", "left").agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("d"), F.lit(0)).alias("n_edges"), F.count_if(F.col("d").isNull()).alias("dead_ends"))
-    paths = distances(edges, nodes).where("depth > 0 OR source = node")
-    spread = paths.agg(F.max("depth").alias("diameter"), F.count_if(F.col("source") == home).alias("reached"), F.min(F.when((F.col("source") == home) & (F.col("node") == goal), F.col("depth"))).alias("to_goal"))
-    one = degrees.crossJoin(spread).select(*[F.col(c).cast("double").alias(c) for c in ("n_nodes", "n_edges", "dead_ends", "diameter", "to_goal")], (F.col("reached") / F.col("n_nodes")).alias("reachable"))  # one row each
+    from_home = distances(edges, nodes.where(F.col("node") == home))
+    near = from_home.agg(F.count("*").alias("reached"), F.min(F.when(F.col("node") == goal, F.col("depth"))).alias("to_goal"))
+    one = degrees.crossJoin(eccentricity(nodes, edges)).crossJoin(near)  # one row each
+    one = one.select(*[F.col(c).cast("double").alias(c) for c in ("n_nodes", "n_edges", "dead_ends", "diameter", "to_goal")], (F.col("reached") / F.col("n_nodes")).alias("reachable"))
     return one.unpivot([], one.columns, "name", "value")
 
 

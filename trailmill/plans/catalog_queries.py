@@ -12,10 +12,11 @@ from .session_queries import SESSIONS_SQL, emitted
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog(spark, sf_dir).withColumns({"place": F.col("product_id"), "tags": F.array(F.upper(F.split("vendor", "#")[0]), F.concat(F.lit("s"), (F.col("size") % 7).cast("string")), F.col("product_type"))})
+    day = lambda n: F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))
+    return catalog(spark, sf_dir).withColumns({"place": F.col("product_id"), "created_at": day(F.col("size")), "updated_at": F.when(F.col("size") % 5 != 0, day(F.col("product_id"))), "tags": F.array(F.upper(F.split("vendor", "#")[0]), F.concat(F.lit("s"), (F.col("size") % 7).cast("string")), F.col("product_type"))})
 
 
-PLACED_SQL = CATALOG_SQL + ", pl AS (SELECT *, product_id AS place, [upper(string_split(vendor, '#')[1]), 's' || (size % 7), product_type] AS tags FROM cat)"
+PLACED_SQL = CATALOG_SQL + ", pl AS (SELECT *, product_id AS place, '2024-01-' || lpad((size % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS created_at, CASE WHEN size % 5 <> 0 THEN '2024-01-' || lpad((product_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' ELSE '' END AS updated_at, [upper(string_split(vendor, '#')[1]), 's' || (size % 7), product_type] AS tags FROM cat)"
 EDGES_SQL = CATALOG_SQL + """, span AS (SELECT product_type, min(price) AS lo, max(price) AS hi FROM cat GROUP BY product_type), ed AS (SELECT product_type, CASE WHEN lo = hi THEN [lo - 0.5, hi + 0.5] ELSE list_transform(range(6), lambda i : lo + (hi - lo) * i / 5) END AS edges FROM span),
 binned AS (SELECT cat.*, least(len(list_filter(edges[2:], lambda e : e < price)) + 1, len(edges) - 1)::INTEGER AS bucket FROM cat JOIN ed USING (product_type))"""
 
@@ -50,16 +51,33 @@ def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("srt6_search_relevance", _search, f"""WITH {PLACED_SQL}, t AS (SELECT *, CASE place % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS ft, CASE WHEN place % 2 = 0 THEN 1 ELSE 0 END AS fb, CASE WHEN place % 2 = 0 THEN 2 ELSE 1 END AS bb FROM pl)
 SELECT product_handle, (3 * ft + fb + bb)::INTEGER AS score, row_number() OVER (ORDER BY 3 * ft + fb + bb DESC, place)::INTEGER AS rank FROM t WHERE ft + fb > 0""")
-for _key, _col in (("TITLE", "product_title"), ("PRICE", "price"), ("VENDOR", "vendor"), ("BEST_SELLING", None)):
+
+
+def _search_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priced = placed(spark, sf_dir).withColumn("price", F.when(F.col("place") % 4 != 0, F.floor("price")))
+    return C.search(priced, "brand", F.lit("a brand"), "PRICE", True).select("product_handle", "rank")
+
+
+register("srt6_search_price_reverse", _search_price, f"WITH {PLACED_SQL} SELECT product_handle, row_number() OVER (ORDER BY CASE WHEN place % 4 <> 0 THEN floor(price) ELSE 'infinity'::DOUBLE END DESC, place DESC)::INTEGER AS rank FROM pl")
+for _key, _col in (("TITLE", "product_title"), ("PRICE", "price"), ("VENDOR", "vendor"), ("PRODUCT_TYPE", "product_type"), ("CREATED_AT", "created_at"), ("UPDATED_AT", "updated_at"), ("ID", "product_id"), ("BEST_SELLING", None)):
     for _rev in (False, True):
         _o = ", ".join(f"{c} {'DESC NULLS FIRST' if _rev else 'ASC NULLS LAST'}" for c in (_col, "place") if c)
         register(f"srt4_{_key.lower()}{'_reverse' if _rev else ''}", lambda s, d, k=_key, r=_rev: C.sort_products(placed(s, d), k, r).select("product_handle", "rank"), f"WITH {PLACED_SQL} SELECT product_handle, row_number() OVER (ORDER BY {_o})::INTEGER AS rank FROM pl")
 register("pag1_cursor_page", lambda s, d: C.page(C.sort_products(placed(s, d), "PRICE"), first=7, after="Y3Vyc29yOjQ=").select("product_handle", "index", "cursor"), f"WITH {PLACED_SQL}, r AS (SELECT product_handle, (row_number() OVER (ORDER BY price, place) - 1)::INTEGER AS index FROM pl) SELECT product_handle, index, base64(('cursor:' || index)::BLOB) AS cursor FROM r WHERE index BETWEEN 5 AND 11")
 register("pag1_last_page", lambda s, d: C.page(C.sort_products(placed(s, d), "PRICE"), last=3, before="Y3Vyc29yOjEw").select("product_handle", "index"), f"WITH {PLACED_SQL}, r AS (SELECT product_handle, (row_number() OVER (ORDER BY price, place) - 1)::INTEGER AS index FROM pl) SELECT product_handle, index FROM r WHERE index BETWEEN 7 AND 9")
 register("pag2_predictive", lambda s, d: C.predictive(C.sort_products(placed(s, d), "PRICE").withColumn("kind_order", F.col("place") % 3), 4, each=True).select("kind_order", "product_handle"), f"WITH {PLACED_SQL} SELECT kind_order, product_handle FROM (SELECT place % 3 AS kind_order, product_handle, row_number() OVER (PARTITION BY place % 3 ORDER BY price, place) AS k FROM pl) WHERE k <= 4")
-register("top3_recommendations", lambda s, d: C.recommendations(placed(s, d), placed(s, d)), f"""WITH {PLACED_SQL}, t AS (SELECT product_handle AS target, product_type AS tt, list_transform(tags, lambda x : lower(x)) AS ttags FROM pl),
-s AS (SELECT target, product_handle, place, CASE WHEN product_type = tt THEN 1000 ELSE 0 END + len(list_filter(tags, lambda x : list_contains(ttags, lower(x)))) AS score FROM pl JOIN t ON product_handle <> target)
-SELECT target, rank, product_handle, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, place)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 4""")
+register("pag2_predictive_total", lambda s, d: C.predictive(C.sort_products(placed(s, d), "PRICE").withColumn("kind_order", F.col("place") % 3), 20.7).select("kind_order", "product_handle"), f"WITH {PLACED_SQL} SELECT kind_order, product_handle FROM (SELECT place % 3 AS kind_order, product_handle, row_number() OVER (ORDER BY place % 3, price, place) AS k FROM pl) WHERE k <= 20")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of which some have no type, and some no tag that another has."""
+    p = placed(spark, sf_dir)
+    return p.withColumns({"product_type": F.when(F.col("place") % 10 == 0, "").when(F.col("place") % 10 == 1, None).otherwise(F.col("product_type")), "tags": F.when(F.col("place") % 20 == 0, F.array(F.concat(F.lit("only "), "product_handle"))).otherwise(F.col("tags"))})
+
+
+register("top3_recommendations", lambda s, d: C.recommendations(_typed(s, d), _typed(s, d)), f"""WITH {PLACED_SQL.replace(", pl AS", ", raw_pl AS")}, pl AS (SELECT * REPLACE (CASE WHEN place % 10 < 2 THEN '' ELSE product_type END AS product_type, CASE WHEN place % 20 = 0 THEN ['only ' || product_handle] ELSE tags END AS tags) FROM raw_pl), t AS (SELECT product_handle AS target, product_type AS tt, list_transform(tags, lambda x : lower(x)) AS ttags FROM pl),
+s AS (SELECT target, product_handle, place, CASE WHEN product_type = tt AND tt <> '' THEN 1000 ELSE 0 END + len(list_filter(tags, lambda x : list_contains(ttags, lower(x)))) AS score FROM pl JOIN t ON product_handle <> target)
+SELECT target, rank, product_handle, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, place)::INTEGER AS rank FROM s) WHERE rank <= 4""")
 
 
 def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:

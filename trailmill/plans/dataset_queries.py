@@ -29,7 +29,7 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("flt4_score_gate", _gate, f"WITH {EVENTS_SQL}, l AS (SELECT session_id FROM ev WHERE price IS NOT NULL AND side = 1 GROUP BY session_id HAVING avg(price) < 60.0) SELECT session_id, seq FROM ev WHERE session_id NOT IN (SELECT session_id FROM l)")
 register("flt5_clean_actions", lambda s, d: D.clean_actions(table(s, d, "events").withColumn("action", F.when(F.col("event_type") == "view", "Type").otherwise(F.col("event_type")))).select("event_id"), "SELECT event_id FROM events WHERE event_type IN ('view', 'click')")
-register("flt6_add_to_cart", lambda s, d: table(s, d, "events").select("event_id", D.is_add_to_cart(F.when(F.col("event_id") % 3 == 0, "Add-To-Cart").otherwise("x"), F.when(F.col("event_id") % 5 == 0, "please ADD TO BAG")).alias("add")), "SELECT event_id, event_id % 3 = 0 OR event_id % 5 = 0 AS add FROM events")
+register("flt6_add_to_cart", lambda s, d: table(s, d, "events").select("event_id", D.is_add_to_cart(F.when(F.col("event_id") % 3 == 0, "btn.ADD_to_Bag").when(F.col("event_id") % 3 == 1, "Add-To-Cart"), F.when(F.col("event_id") % 5 == 0, "please ADD Item").when(F.col("event_id") % 5 == 1, "add_item")).alias("add")), "SELECT event_id, event_id % 3 = 0 OR event_id % 5 = 0 AS add FROM events")
 register("flt7_before_first_add", lambda s, d: D.truncate_before_add(provider_events(s, d), "session_id", "seq", F.col("event_name") == "product_added_to_cart").select("session_id", "seq"), f"WITH {EVENTS_SQL} SELECT session_id, seq FROM (SELECT *, min(CASE WHEN event_name = 'product_added_to_cart' THEN seq END) OVER (PARTITION BY session_id) AS f FROM ev) WHERE f IS NULL OR seq < f")
 register("flt8_drop_runs", lambda s, d: D.drop_runs_with(provider_events(s, d), "session_id", F.col("event_name") == "entity_impression").select("session_id", "seq"), f"WITH {EVENTS_SQL} SELECT session_id, seq FROM ev WHERE session_id NOT IN (SELECT session_id FROM ev WHERE event_name = 'entity_impression')")
 register("flt11_min_steps", lambda s, d: D.min_steps(provider_events(s, d), "session_id", 12).select("session_id", "seq"), f"WITH {EVENTS_SQL} SELECT session_id, seq FROM (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM ev) WHERE n >= 12")

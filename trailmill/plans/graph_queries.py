@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import crawl as W
 from ..operators import graph as G
 from ..operators import tasks as T
+from ..operators import validation as V
 from .catalog_queries import PLACED_SQL, placed
 from .fixtures import CATALOG_SQL, catalog, table
 from .registry import register
@@ -20,17 +22,18 @@ register("fn_fnv1a", lambda s, d: table(s, d, "pages").select("page_id", X.fnv1a
 register("fn_content_id", lambda s, d: table(s, d, "pages").select("page_id", X.content_id(F.col("html").cast("binary"), ".png").alias("h")), "SELECT page_id, substr(sha256(html), 1, 24) || '.png' AS h FROM pages")
 register("prj22_keyed_id", lambda s, d: table(s, d, "pages").select("page_id", F.length(X.keyed_id(b"key of a test")(F.col("url"))).alias("n")), "SELECT page_id, 36 AS n FROM pages")
 register("fn_url_parts", lambda s, d: table(s, d, "pages").select("page_id", X.url_path(F.col("url")).alias("path"), X.url_host(F.col("url")).alias("host"), X.query_parameter(F.col("url"), "id").alias("q")), r"SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_extract(url, '[?&]id=([^&#]*)', 1) AS q FROM pages")
-register("fn_slug_template", lambda s, d: catalog(s, d).select("product_handle", X.product_slug(F.concat(F.lit("https://x.test/a/Products/"), "product_handle", F.lit("/?v=1"))).alias("slug"), X.normal_handle(F.concat(F.lit(" A-"), "product_handle", F.lit("/#x"))).alias("handle"), X.template_path(F.concat(F.lit("/products/"), "product_handle", F.lit("/r"))).alias("template")), f"WITH {CATALOG_SQL} SELECT product_handle, product_handle AS slug, 'a-' || product_handle AS handle, '/products/<*>/r' AS template FROM cat")
+register("fn_slug_template", lambda s, d: catalog(s, d).select("product_handle", X.product_slug(F.concat(F.lit("https://x.test/a/Products/"), "product_handle", F.lit("/?v=1"))).alias("slug"), X.normal_handle(F.concat(F.lit(" A-"), "product_handle", F.lit("/#x"))).alias("handle"), X.template_path(F.concat(F.lit("/products/"), "product_handle", F.lit("/r"))).alias("template")), f"WITH {CATALOG_SQL} SELECT product_handle, product_handle AS slug, 'a-' || product_handle AS handle, '/products/<*>' AS template FROM cat")
 register("fn_clock", lambda s, d: table(s, d, "events").select("event_id", X.clock_ms(F.concat_ws(":", (F.col("event_id") % 60).cast("string"), F.when(F.col("event_id") % 9 == 0, "x").otherwise("07"))).alias("ms"), F.round(X.seconds_of(F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("2024-01-01T00:00:01Z")), 3).alias("sec")), "SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN ((event_id % 60) * 60 + 7) * 1000 END AS ms, CASE WHEN event_id % 2 = 0 THEN event_id::DOUBLE ELSE 1704067201 END AS sec FROM events")
 register("fn_strip_tags", lambda s, d: table(s, d, "pages").select("page_id", F.md5(X.strip_tags(F.col("html"))).alias("h")), r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM pages")
 register("fn_html_text", lambda s, d: table(s, d, "pages").select("page_id", F.length(X.html_text()(F.col("html"))).alias("n")))
 register("fn_links", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.links(F.col("html")), " ").alias("links")), "SELECT page_id, array_to_string(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), ' ') AS links FROM pages")
-register("flt16_admissible_links", lambda s, d: table(s, d, "pages").select("page_id", F.explode(X.links(F.col("html"))).alias("link")).where(X.admissible_link(F.col("link"), ["example.org"])).groupBy("page_id").agg(F.count("*").alias("n")), r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages), p AS (SELECT page_id, lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS h, regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM l)
-SELECT page_id, count(*) AS n FROM p WHERE s IN ('', 'http', 'https') AND h IN ('', 'example.org') AND NOT regexp_matches(p, '^/(cdn|assets|static)/|\.(png|jpe?g|gif|svg|css|js|ico|webp|pdf)$|:') GROUP BY page_id""")
+LINKS = ("../x?y=1", "#top", "//other.example/x", "b/./c/..", "?q", "mailto:a@b")
+register("flt16_admissible_links", lambda s, d: table(s, d, "pages").select("page_id", "url", F.explode(F.concat(X.links(F.col("html")), F.array(F.lit("/sitemap.xml"), F.lit("/fast-image/a"), F.lit("/A.JPG"), F.lit("/assets/x.js"), F.lit("/b:c"), F.lit("mailto:a@b")))).alias("link")).where(X.admissible_link(F.col("url"), F.col("link"))).groupBy("page_id").agg(F.count("*").alias("n")), r"""WITH l AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), ['/sitemap.xml', '/fast-image/a', '/A.JPG', '/assets/x.js', '/b:c', 'mailto:a@b'])) AS link FROM pages), p AS (SELECT page_id, host, lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS h, regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS p FROM l WHERE link <> '')
+SELECT page_id, count(*) AS n FROM p WHERE s IN ('', 'http', 'https') AND h IN ('', host) AND NOT regexp_matches(p, '^/(cdn|fast-image)/|:') AND NOT regexp_matches(lower(p), '\.(xml|json|txt|pdf|jpg|jpeg|png|gif|webp|svg|ico)$') GROUP BY page_id""")
 register("fn_click_text", lambda s, d: table(s, d, "events").select("event_id", X.click_text(F.concat(F.lit('button:attr="1"text="  '), F.col("event_type"), F.lit(' ";div'))).alias("t")), "SELECT event_id, event_type AS t FROM events")
 register("fn_semantic_ids", lambda s, d: table(s, d, "pages").select("page_id", F.array_join(X.semantic_ids(F.concat(F.lit("<a data-semantic-id='u"), F.col("page_id").cast("string"), F.lit("'></a>"), F.lit('<b data-semantic-id="x">'), F.col("html"))), "|").alias("ids")), "SELECT page_id, 'u' || page_id || '|x' AS ids FROM pages")
 register("fn_index_list", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.index_list(F.concat(F.lit("7, "), (F.col("p_partkey") % 5).cast("string"), F.lit("-"), F.col("p_size").cast("string"), F.lit(",,3"))), " ").alias("t")), "WITH n AS (SELECT p_partkey, list_concat(list_concat([7], range(p_partkey % 5, p_size + 1)), [3]) AS l FROM part) SELECT p_partkey, array_to_string(list_transform(list_filter(l, lambda x, i : list_position(l, x) = i), lambda x : x::VARCHAR), ' ') AS t FROM n")
-register("flt16_resolve_link", lambda s, d: table(s, d, "pages").select("page_id", X.resolve_link()(F.col("url"), F.lit("../x?y=1")).alias("u")))
+register("flt16_resolve_link", lambda s, d: table(s, d, "pages").select("page_id", "url", F.posexplode(F.concat(F.array(*map(F.lit, LINKS)), X.links(F.col("html")))).alias("pos", "link")).select("page_id", "pos", X.resolve_link(F.col("url"), F.col("link")).alias("u")))
 register("fn_tokens", lambda s, d: table(s, d, "documents").select("doc_id", F.size(X.tokens(F.col("text"), ["the", "and"])).alias("n")), "SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda w : length(w) >= 3 AND w NOT IN ('the', 'and')))::INTEGER AS n FROM documents")
 ANSWER = "CASE event_id % 4 WHEN 0 THEN '{\"action\":\"' || event_type || '\",\"target\":\"t\"}' WHEN 1 THEN '{\"action\":{\"action\":\"' || event_type || '\",\"target\":\"u\"}}' WHEN 2 THEN '{broken' ELSE '{\"action\":\"x\"}' END"
 register("prj20_generated_action", lambda s, d: table(s, d, "events").selectExpr("event_id", f"{ANSWER} AS t").select("event_id", X.generated_action(F.col("t")).alias("r"), X.has_exact_keys(F.col("t"), ["action"]).alias("only_action")).select("event_id", "r.action", "r.target", "only_action"), "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN event_type WHEN 3 THEN 'x' END AS action, CASE event_id % 4 WHEN 0 THEN 't' WHEN 1 THEN 'u' END AS target, event_id % 4 IN (1, 3) AS only_action FROM events")
@@ -46,8 +49,6 @@ ge AS (SELECT DISTINCT source, target FROM steps WHERE target IS NOT NULL AND so
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = emitted(spark, sf_dir).where("page <> ''")
     nxt = F.lead("page").over(Window.partitionBy("session_id").orderBy("ord"))
     return rows.select(F.col("page").alias("source"), nxt.alias("target")).where("target IS NOT NULL AND source <> target").distinct()
@@ -115,25 +116,85 @@ def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COLL_SQL = CATALOG_SQL + ", col AS (SELECT lower(replace(vendor, '#', '-')) AS collection, list_sort(list(product_handle)) AS product_handles FROM cat GROUP BY 1)"
-register("flt12_min_products", lambda s, d: T.with_min_products(collections(s, d).unionByName(collections(s, d).limit(1).withColumn("collection", F.lit("Frontpage"))), 6).select("collection", F.size("product_handles").alias("n")), f"WITH {COLL_SQL} SELECT collection, len(product_handles)::INTEGER AS n FROM col WHERE len(product_handles) >= 6")
-register("flt13_tsk2_pages_matching", lambda s, d: T.pages_matching(table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "Our Shipping").otherwise("Hardship").alias("title"), F.when(F.col("page_id") % 5 == 0, "all-ships").otherwise("x").alias("handle")), "ship").select("page_id"), "SELECT page_id FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0")
-register("flt14_candidates", lambda s, d: catalog(s, d).where(T.is_candidate(F.col("product_title"), F.col("product_type"), F.when(F.col("size") % 4 == 0, "draft"), F.col("size") % 3 != 0, 1)).select("product_handle"), f"WITH {CATALOG_SQL} SELECT product_handle FROM cat WHERE length(product_title) BETWEEN 1 AND 80 AND size % 4 <> 0 AND size % 3 <> 0")
-register("top4_diverse_pick", lambda s, d: T.diverse_pick(placed(s, d), 12).select("product_handle", "rank"), f"WITH {PLACED_SQL}, k AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY product_type ORDER BY place) = 1 THEN 0 ELSE 1 END AS k FROM pl) SELECT product_handle, rank FROM (SELECT *, row_number() OVER (ORDER BY k, place)::INTEGER AS rank FROM k) WHERE rank <= 12")
+TITLE_SQL = "CASE WHEN ends_with(collection, '1') THEN ' New Arrivals' WHEN ends_with(collection, '2') THEN 'Promo Eligible Products' WHEN ends_with(collection, '3') THEN 'Homepage Picks' ELSE collection END"
+register("flt12_min_products", lambda s, d: T.with_min_products(collections(s, d).withColumn("title", F.expr(TITLE_SQL.replace("ends_with", "endswith"))), 6).select("collection", F.size("product_handles").alias("n")), f"WITH {COLL_SQL} SELECT collection, len(product_handles)::INTEGER AS n FROM col WHERE len(product_handles) >= 6 AND NOT ends_with(collection, '1') AND NOT ends_with(collection, '2')")
+register("flt13_tsk2_pages_matching", lambda s, d: T.pages_matching(table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "Our Shipping").otherwise("Hardship (a.b)").alias("title"), F.when(F.col("page_id") % 5 == 0, "all-ships").when(F.col("page_id") % 7 == 0, "the-returns-page").otherwise("x").alias("handle")), "ship", "Return", "axb").select("page_id"), "SELECT page_id FROM pages WHERE page_id % 3 = 0 OR page_id % 5 = 0 OR page_id % 7 = 0")
+register("flt14_candidates", lambda s, d: catalog(s, d).where(T.is_candidate(F.col("product_title"), F.col("size") % 5 == 0, F.when(F.col("size") % 4 == 0, "draft"), F.col("size") % 3 != 0)).select("product_handle"), f"WITH {CATALOG_SQL} SELECT product_handle FROM cat WHERE length(product_title) BETWEEN 4 AND 120 AND size % 5 <> 0 AND size % 4 <> 0 AND size % 3 <> 0")
+register("top4_diverse_pick", lambda s, d: T.diverse_pick(placed(s, d).withColumn("product_type", F.when(F.col("place") % 3 == 0, " ").when(F.col("place") % 2 == 0, F.concat(F.upper("product_type"), F.lit(" "))).otherwise(F.col("product_type"))), 400).select("product_handle", "rank"), f"WITH {PLACED_SQL}, k AS (SELECT *, CASE WHEN place % 3 = 0 OR row_number() OVER (PARTITION BY lower(product_type), place % 3 = 0 ORDER BY place) = 1 THEN 0 ELSE 1 END AS k FROM pl) SELECT product_handle, rank FROM (SELECT *, row_number() OVER (ORDER BY k, place)::INTEGER AS rank FROM k) WHERE rank <= 400")
 register("tsk1_browse_tasks", lambda s, d: T.browse_tasks(collections(s, d), 8), f"WITH {COLL_SQL} SELECT collection, place FROM (SELECT collection, row_number() OVER (ORDER BY sha256('42|' || collection), collection)::INTEGER AS place FROM col) WHERE place <= 8")
 register("val2_filter_tasks", lambda s, d: T.filter_tasks(catalog(s, d).select(F.col("vendor").alias("collection"), F.when(F.col("size") % 2 == 0, "size").otherwise("type").alias("dimension"), F.col("product_type").alias("value")), ["size", "type"]), f"WITH {CATALOG_SQL}, r AS (SELECT vendor AS collection, CASE WHEN size % 2 = 0 THEN 'size' ELSE 'type' END AS dimension, product_type AS value FROM cat), m AS (SELECT collection, min(struct_pack(r := CASE dimension WHEN 'size' THEN 1 ELSE 2 END, d := dimension, v := value)) AS m FROM r GROUP BY collection) SELECT collection, m.d AS dimension, m.v AS value FROM m")
-register("join22_membership", lambda s, d: T.membership(catalog(s, d).select("product_handle", F.split(F.concat_ws(" ", F.concat(F.lit("s"), (F.col("size") % 9).cast("string")), F.concat(F.lit("t"), (F.col("product_id") % 13).cast("string"))), " ").alias("tokens")), collections(s, d).select("collection", F.array(F.concat(F.lit("s"), (F.length("collection") % 9).cast("string")), F.lit("t5")).alias("tokens"))), f"WITH {COLL_SQL} SELECT DISTINCT collection, product_handle FROM cat, col WHERE size % 9 = length(collection) % 9 OR product_id % 13 = 5")
+
+
+def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens s0 ... s8 by size, of which a few collections each have one; all have t5, which is generic; some have none that a product has."""
+    p = catalog(spark, sf_dir).select("product_handle", F.array(F.concat(F.lit("s"), (F.col("size") % 9).cast("string")), F.concat(F.lit("t"), (F.col("product_id") % 13).cast("string"))).alias("tokens"))
+    c = collections(spark, sf_dir).select("collection", F.array(F.concat(F.lit("s"), (F.regexp_extract("collection", r"(\d+)$", 1).cast("int") % 12).cast("string")), F.lit("t5")).alias("tokens"))
+    return T.membership(p, c)
+
+
+register("join22_membership", _membership, f"WITH {COLL_SQL}, c AS (SELECT collection, regexp_extract(collection, '(\\d+)$', 1)::INTEGER % 12 AS k FROM col), f AS (SELECT k, count(*) AS n FROM c GROUP BY k), d AS (SELECT c.* FROM c JOIN f USING (k) WHERE n = 1 OR n <= 0.4 * (SELECT count(*) FROM c)) SELECT c.collection, cat.product_handle FROM c LEFT JOIN d USING (collection, k) LEFT JOIN cat ON cat.size % 9 = d.k AND d.k < 9")
 register("join23_env10_mentions", lambda s, d: T.mentions(table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), s.createDataFrame([("the",), ("para",), ("zzzz",)], "name string")), "SELECT doc_id AS id, name FROM documents, (VALUES ('the'), ('para'), ('zzzz')) n(name) WHERE contains(lower(text), name)")
 register("join24_prefix_matches", lambda s, d: T.prefix_matches(s.createDataFrame([("p1",), ("p99",)], "prefix string"), catalog(s, d).select(F.col("product_handle").alias("name"))), f"WITH {CATALOG_SQL} SELECT prefix, product_handle AS name FROM cat, (VALUES ('p1'), ('p99')) w(prefix) WHERE starts_with(product_handle, prefix)")
 
 
+#: Tasks on customers: what they ask is a matter of their key, which SQL below repeats.
 def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task_id"), F.concat(F.lit("p"), (F.col("c_custkey") % 2300).cast("string")).alias("product_handle"), F.concat(F.lit("c"), (F.col("c_custkey") % 3).cast("string")).alias("collection"), F.when(F.col("c_custkey") % 6 == 0, F.concat(F.lit("Find P"), (F.col("c_custkey") % 2300).cast("string"))).otherwise("Find it").alias("intent"))
-
-
-register("val1_validate_tasks", lambda s, d: T.validate(_tasks(s, d), catalog(s, d), catalog(s, d).select(F.concat(F.lit("c"), (F.col("product_id") % 4).cast("string")).alias("collection"), "product_handle")), """WITH t AS (SELECT c_custkey AS id, c_custkey % 2300 AS p, 'c' || (c_custkey % 3) AS c FROM customer), k AS (SELECT t.*, p_partkey FROM t LEFT JOIN part ON p_partkey = p)
-SELECT 'unknown_product' AS rule, 'error' AS severity, id AS task_id FROM k WHERE p_partkey IS NULL UNION ALL SELECT 'answer_in_intent', 'warning', id FROM k WHERE id % 6 = 0 UNION ALL SELECT 'product_not_in_collection', 'error', id FROM k WHERE p_partkey IS NOT NULL AND c <> 'c' || (p_partkey % 4)""")
+    k = "c_custkey"
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"CASE WHEN {k} % 4 = 0 THEN concat('shop-filter-', {k}) ELSE concat('shop-exact-', {k}) END AS task_id",
+        f"CASE WHEN {k} % 4 = 0 THEN concat('/collections/brand-', {k} % 60) WHEN {k} % 4 = 1 THEN concat('/products/p', {k}, '?v=1') WHEN {k} % 4 = 2 THEN concat('/pages/a', {k} % 20) END AS url_contains",
+        f"CASE WHEN {k} % 4 = 0 AND {k} % 3 = 0 THEN 'Filter it' WHEN {k} % 4 = 0 THEN concat('Open it and use the ', CASE {k} % 5 WHEN 0 THEN 'Brand' WHEN 1 THEN 'Grosse' ELSE 'SIZE' END, ' filter (e.g. ', CASE {k} % 5 WHEN 0 THEN concat('brand#', {k} % 60) ELSE concat('size ', {k} % 50) END, ')') WHEN {k} % 4 = 1 THEN concat('Read title ', {k}, '! and select the Colour and Size options') WHEN {k} % 4 = 3 THEN concat('From Line ', {k} % 60, '; find title ', {k}, '! and select blue for the Shade option') ELSE 'Say YES now' END AS intent",
+        f"CASE WHEN {k} % 4 = 2 THEN array(' yes ', 'no', '') END AS response_contains",
+    )
+
+
+def _shop(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    c = catalog(spark, sf_dir)
+    opt = "array(named_struct('name', 'Size', 'values', array(concat('size ', size), 'L')), named_struct('name', CASE WHEN product_id % 3 = 0 THEN 'Shade' ELSE 'Title' END, 'values', array('Blue')))"
+    products = c.select("product_handle", F.concat(F.lit("title "), F.col("product_id").cast("string"), F.lit("!")).alias("product_title"), "vendor", "product_type", F.expr(opt).alias("options"))
+    own = collections(spark, sf_dir).withColumn("title", F.concat(F.lit("Line "), F.regexp_extract("collection", r"(\d+)$", 1), F.lit(";")))
+    pages = table(spark, sf_dir, "region").select(F.concat(F.lit("a"), F.col("r_regionkey").cast("string"), F.lit("-page")).alias("page"))
+    return products, own, pages
+
+
+def _val1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.validate(_tasks(spark, sf_dir), *_shop(spark, sf_dir))
+
+
+register("val1_validate_tasks", _val1, f"""WITH {COLL_SQL}, t AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'shop-filter-' ELSE 'shop-exact-' END || c_custkey AS task_id FROM customer),
+pre AS (SELECT k, task_id, 'brand-' || (k % 60) AS prefix FROM t WHERE k % 4 = 0), met AS (SELECT pre.k, col.collection FROM pre JOIN col ON starts_with(col.collection, prefix)),
+asked AS (SELECT k, task_id, CASE k % 5 WHEN 0 THEN 'Brand' WHEN 1 THEN 'Grosse' ELSE 'SIZE' END AS dim, CASE k % 5 WHEN 0 THEN 'brand#' || (k % 60) ELSE 'size ' || (k % 50) END AS value FROM pre WHERE k % 3 <> 0 AND k IN (SELECT k FROM met)),
+done AS (SELECT a.k FROM asked a JOIN met USING (k) JOIN cat ON lower(replace(vendor, '#', '-')) = met.collection WHERE (dim = 'Brand' AND lower(vendor) = value) OR (dim = 'SIZE' AND 'size ' || cat.size = value)),
+about AS (SELECT t.k, task_id, product_handle, vendor, product_id FROM t JOIN cat ON product_id = t.k WHERE t.k % 4 IN (1, 3))
+SELECT 'unknown-collection' AS rule, 'error' AS severity, task_id, prefix AS detail FROM pre WHERE k NOT IN (SELECT k FROM met)
+UNION ALL SELECT 'unknown-product', 'error', task_id, 'p' || k FROM t WHERE k % 4 = 1 AND NOT EXISTS (SELECT 1 FROM cat WHERE starts_with(product_handle, 'p' || k))
+UNION ALL SELECT 'unknown-page', 'warning', task_id, 'a' || (k % 20) FROM t WHERE k % 4 = 2 AND NOT EXISTS (SELECT 1 FROM region WHERE starts_with('a' || r_regionkey || '-page', 'a' || (k % 20)))
+UNION ALL SELECT 'filter-intent-malformed', 'warning', task_id, '' FROM pre WHERE k % 3 = 0 AND k IN (SELECT k FROM met)
+UNION ALL SELECT CASE dim WHEN 'Grosse' THEN 'filter-dim-unknown' ELSE 'infeasible-filter' END, CASE dim WHEN 'Grosse' THEN 'warning' ELSE 'error' END, task_id, dim || '=' || value FROM asked WHERE k NOT IN (SELECT k FROM done)
+UNION ALL SELECT 'intent-answer-leak', 'error', task_id, ' yes ' FROM t WHERE k % 4 = 2 UNION ALL SELECT 'intent-answer-leak', 'error', task_id, 'no' FROM t WHERE k % 4 = 2
+UNION ALL SELECT 'product-not-in-collection', 'warning', task_id, product_handle FROM about WHERE k % 4 = 3 AND 'brand-' || (k % 60) IN (SELECT collection FROM col) AND lower(replace(vendor, '#', '-')) <> 'brand-' || (k % 60)
+UNION ALL SELECT 'option-mismatch', 'warning', task_id, 'colour' FROM about WHERE k % 4 = 1
+UNION ALL SELECT 'option-mismatch', 'warning', task_id, 'shade' FROM about WHERE k % 4 = 3 AND product_id % 3 <> 0
+UNION ALL SELECT 'single-sku-value-selection', 'warning', task_id, 'Shade=Blue' FROM about WHERE k % 4 = 3 AND product_id % 3 = 0""")
+register("val3_rule_gate", lambda s, d: table(s, d, "pages").select("page_id", T.rule_gate(F.when(F.col("page_id") % 5 == 0, "infeasible"), F.col("page_id") % 10 == 0, F.when(F.col("page_id") % 2 == 0, "1"), F.array("url")).alias("verdict")), "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN page_id % 10 = 0 WHEN page_id % 2 = 0 AND NOT contains(url, '1') THEN false END AS verdict FROM pages")
 register("val3_url_gate", lambda s, d: table(s, d, "pages").select("page_id", T.url_gate(F.lit(True), F.array("url"), F.when(F.col("page_id") % 2 == 0, "1")).alias("ok")), "SELECT page_id, page_id % 2 <> 0 OR contains(url, '1') AS ok FROM pages")
 register("env7_gaps", lambda s, d: T.gaps(table(s, d, "documents").select(F.col("source").alias("area")), s.createDataFrame([("src1",), ("src2",)], "area string"), s.createDataFrame([("src3",)], "area string")), "SELECT DISTINCT source AS area FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')")
 register("env8_brand_leaks", lambda s, d: T.leaks(table(s, d, "documents").select("doc_id", "text"), ["the", "zzz"]).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\b(the|zzz)\b')")
 register("env6_latest", lambda s, d: T.latest(table(s, d, "orders"), "o_custkey", "o_orderstatus", "o_orderkey"), "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
 register("env9_unused_fields", lambda s, d: table(s, d, "documents").select(F.col("source").alias("f")).subtract(table(s, d, "documents").where("doc_id % 2 = 0 AND source < 'src4'").select(F.col("source").alias("f"))), "SELECT source AS f FROM documents EXCEPT SELECT source FROM documents WHERE doc_id % 2 = 0 AND source < 'src4'")
+
+
+def stored_site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages, links and seeds of a crawl: every page links to what its text names and to the next three pages of its host; some fail, some lead on."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html", F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("site"), X.canonical_link(F.col("url"), F.col("url")).alias("c"))
+    p = p.select("page_id", "html", "site", F.col("c.url").alias("url"), F.col("c.canonical").alias("canonical"), F.row_number().over(Window.partitionBy("c.url").orderBy("page_id")).alias("k")).where("k = 1 AND url IS NOT NULL")
+    order = Window.partitionBy("site").orderBy("page_id")
+    ahead = [F.lead("url", k).over(order) for k in (1, 2, 3)]
+    p = p.withColumns({"next": ahead[0], "near": F.array_compact(F.array(*[F.concat(a, F.lit("?from=list")) for a in ahead])), "place": F.row_number().over(order)})
+    pages = p.select("url", F.when(F.col("page_id") % 11 == 0, 404).when(F.col("page_id") % 2 == 0, 200).alias("status"), F.when(F.col("page_id") % 7 == 0, F.col("next")).alias("final_url"))
+    links = p.select("url", F.posexplode(F.concat("near", X.links(F.col("html")))).alias("pos", "href"))
+    return pages, links, p.where("place = 1").select("site", F.lit(0).alias("pos"), "canonical", "url")
+
+
+register("env4_stored_crawl", lambda s, d: W.crawl_log(W.bounded_crawl(*stored_site(s, d), hops=3, most=8)))
+register("env4_crawl_edges", lambda s, d: W.crawl_edges(W.bounded_crawl(*stored_site(s, d), hops=3, most=8)))
