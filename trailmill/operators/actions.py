@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .datasets import hash_places
+from .datasets import ADD_PHRASES, ADD_TARGETS, hash_places
 
 #: Parts of targets and descriptions that tell an action.
-ADD_TARGETS = ("add_to_cart", "add_to_bag", "add_item")
 CHECKOUT_TARGETS = ("buy_it_now", "buy_now", "checkout", "check_out")
-ADD_TEXTS = ("add to cart", "add to bag", "add item")
 CHECKOUT_TEXTS = ("buy it now", "buy now", "proceed to checkout", "checkout")
 
 
@@ -50,7 +48,7 @@ def classify_steps(steps: DataFrame) -> DataFrame:
         (F.contains(clicked, F.lit("/checkout")), "checkout"),
         (_has(target, ADD_TARGETS), "add"),
         (_has(target, CHECKOUT_TARGETS), "checkout"),
-        (_has(text, ADD_TEXTS), "add"),
+        (_has(text, ADD_PHRASES), "add"),
         (_has(text, CHECKOUT_TEXTS), "checkout"),
         ((kind == "type") & searches(url), "explore-search"),
         (stays, "explore-stay"),

@@ -7,16 +7,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fingerprints, nested, synthetic
 from ..sources import readers, writers
 from ..streaming import sessions as streams
-from .fixtures import item_events, table
+from .fixtures import catalog, item_events, table
 from .registry import register
 
 
 def place(spark: SparkSession, name: str) -> str:
     """A new path in the folder that executors share; on one machine without that setting, under its warehouse."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder}/trailmill-{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{folder or spark.conf.get('spark.sql.warehouse.dir')}/trailmill-{name}-{uuid.uuid4().hex}"
 
 
 def _flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,13 +178,76 @@ register("snk7_snk10_dataset", _dataset, "SELECT 'train' AS part, count(*) AS n,
 
 
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line a day of orders and status, in two batches, the second one written twice."""
     at = place(spark, "registry")
-    for k in ("a", "b", "a"):
-        writers.append_run({"run": k, "tables": sf_dir.split("/")[-1][:2]}, table(spark, sf_dir, "region"), at)
-    return spark.read.schema("run string, tables string").json(at)
+    lines = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("run"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    for batch, status in ((0, "status = 'O'"), (1, "status <> 'O'"), (1, "status <> 'O'")):
+        writers.append_batch(lines.where(status), batch, at)
+    return writers.read_registry(spark, at, "run string, status string, n long")
 
 
-register("snk12_run_registry", _registry, "SELECT unnest(['a', 'b', 'a']) AS run, 'sf' AS tables")
+register("snk12_run_registry", _registry, "SELECT strftime(o_orderdate, '%Y-%m-%d') AS run, o_orderstatus AS status, count(*) AS n, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END::BIGINT AS batch FROM orders GROUP BY ALL")
+
+
+def _registry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = place(spark, "registry-stream")
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("event_id", "event_type")
+    for _ in range(2):  # a second start finds nothing new
+        writers.registry_stream(stream, at, f"{at}-log").awaitTermination()
+    return writers.read_registry(spark, at, "event_id long, event_type string").select("event_id", "event_type")
+
+
+register("stream_registry", _registry_stream, "SELECT event_id, event_type FROM events")
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded steps on the events: kinds and pages by their keys."""
+    kind = "element_at(array('click', 'type', 'scroll', 'back', 'terminate', 'hover', 'type'), CAST(event_id % 7 + 1 AS INT))"
+    said = f"to_json(named_struct('action', {kind}, 'target', CASE WHEN event_id % 5 = 0 THEN 'add_to_cart' ELSE 'x' END, 'text', CASE WHEN event_id % 2 = 0 THEN ' lamp ' ELSE '' END))"
+    return table(spark, sf_dir, "events").selectExpr("CAST(user_id AS STRING) AS session_id", "CAST(ts AS STRING) AS timestamp", "event_id AS seq", f"CASE WHEN event_id % 29 = 0 THEN '{{broken' ELSE {said} END AS synthetic_action", "concat('https://x.test/p', event_id % 6, CASE WHEN event_id % 3 = 0 THEN '?q=1' ELSE '' END) AS url", "CASE event_id % 8 WHEN 0 THEN concat('https://x.test/products/p', event_id % 40, '?v=1') WHEN 1 THEN '/search?q=a' WHEN 2 THEN '/cart' WHEN 3 THEN '/collections/c' ELSE '' END AS clicked_url")
+
+
+register("src9_synthetic_sessions", lambda s, d: synthetic.synthetic_sessions(_steps(s, d), catalog(s, d)))
+FOLDERS = "element_at(array('persona/a', 'traj_cond/m__actsingle_fee0_per0_pla0_verno__n', 'traj_cond/m__actsingle_fee1_per1_pla1_verpre__n', 'traj_cond/m__other__n', 'traj_cond/plain', 'logs/x__y'), CAST(o_orderkey % 6 + 1 AS INT))"
+register("src18_method_folders", lambda s, d: synthetic.method_folders(table(s, d, "orders").selectExpr(f"concat({FOLDERS}, o_orderkey) AS path")), "SELECT method, min(path) AS path FROM (SELECT CASE o_orderkey % 6 WHEN 0 THEN 'persona' WHEN 1 THEN 'trajectory' WHEN 2 THEN 'Ours' END AS method, CASE o_orderkey % 6 WHEN 0 THEN 'persona/a' WHEN 1 THEN 'traj_cond/m__actsingle_fee0_per0_pla0_verno__n' ELSE 'traj_cond/m__actsingle_fee1_per1_pla1_verpre__n' END || o_orderkey AS path FROM orders WHERE o_orderkey % 6 < 3) GROUP BY method")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON document a customer: its orders as items, some with a field too many, some with one too few or of another kind."""
+    item = "named_struct('note', CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END, 'a', named_struct('status', o_orderstatus), 'x', CASE WHEN o_orderkey % 5 = 0 THEN 1 END, 'total', CASE WHEN o_orderkey % 7 = 0 THEN 'much' ELSE CAST(round(o_totalprice) AS STRING) END)"
+    o = table(spark, sf_dir, "orders").selectExpr("o_custkey", "o_orderkey", f"{item} AS item").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "item"))), lambda s: s["item"]).alias("items"))
+    text = F.regexp_replace(F.to_json(F.struct(F.col("o_custkey").alias("id"), "items")), '"total":"(\\d+)(\\.0)?"', '"total":$1')
+    return o.select("o_custkey", F.when(F.col("o_custkey") % 50 == 0, "{oops").otherwise(text).alias("doc"))
+
+
+ITEM_SQL = "ranked AS (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_custkey % 50 <> 0)"
+register("env8_first_leak", lambda s, d: nested.first_leaks(nested.nodes(_records(s, d), "o_custkey", "doc"), "o_custkey", ["URGENT", "high"], ["High"]), f"WITH {ITEM_SQL} SELECT o_custkey, 'items[' || min(i) || '].note' AS path, 'URGENT' AS token FROM ranked WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 11 <> 0 GROUP BY o_custkey")
+RECORD = {"": nested.Field(("OBJECT",)), "id": nested.Field(nested.WHOLE), "items": nested.Field(("ARRAY",)), "items[]": nested.Field(("OBJECT",)), "items[].note": nested.Field(nested.TEXT), "items[].a": nested.Field(("OBJECT",)), "items[].a.status": nested.Field(nested.TEXT), "items[].total": nested.Field(nested.NUMBER)}
+register("env11_schema_errors", lambda s, d: nested.schema_errors(nested.nodes(_records(s, d), "o_custkey", "doc"), "o_custkey", RECORD), f"""WITH {ITEM_SQL} SELECT DISTINCT o_custkey, '' AS path, 'not JSON' AS error FROM orders WHERE o_custkey % 50 = 0
+UNION ALL SELECT o_custkey, 'items[' || i || '].note', 'missing field' FROM ranked WHERE o_orderkey % 11 = 0 UNION ALL SELECT o_custkey, 'items[' || i || '].x', 'extra field' FROM ranked WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_custkey, 'items[' || i || '].total', 'expected BIGINT or DECIMAL or DOUBLE, got STRING' FROM ranked WHERE o_orderkey % 7 = 0""")
+
+
+def _menus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A menu a nation: its suppliers, and below each its first digits."""
+    entry = "named_struct('title', s_name, 'url', concat('/s/', s_suppkey), 'items', array(named_struct('title', concat('of ', s_suppkey), 'url', '/x')))"
+    m = table(spark, sf_dir, "supplier").selectExpr("s_nationkey", "s_suppkey", f"{entry} AS e").groupBy("s_nationkey").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "e"))), lambda s: s["e"]).alias("items"))).alias("menu"))
+    return nested.menu_entries(nested.nodes(m, "s_nationkey", "menu"), "s_nationkey").drop("place")
+
+
+register("src20_menus", _menus, "WITH r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier) SELECT s_nationkey, 'items[' || i || ']' AS path, 0 AS depth, s_name AS title, '/s/' || s_suppkey AS url FROM r UNION ALL SELECT s_nationkey, 'items[' || i || '].items[0]', 1, 'of ' || s_suppkey, '/x' FROM r")
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    record = fingerprints.protocol_record(F.col("o_orderkey"), F.lit("sf"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")), F.array("o_orderpriority", F.lit(""), F.lit('say "x"')))
+    return fingerprints.list_fingerprint(o.select("o_orderkey", record.alias("r")), "r", "o_orderkey", chunk=1_000)
+
+
+register("fn_list_fingerprint", _fingerprint, """WITH r AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, '{"actions":["' || o_orderpriority || '","say \\"x\\""],"outcome":' || CASE WHEN o_orderkey % 3 <> 0 THEN '"' || o_orderstatus || '"' ELSE 'null' END || ',"session_id":"' || o_orderkey || '","source":"sf"}' AS t FROM orders),
+a AS (SELECT i // 1000 AS i, sha256('[' || string_agg(t, ',' ORDER BY i) || ']') AS h FROM r GROUP BY i // 1000), b AS (SELECT i // 1000 AS i, count(*) AS n, min(h) AS h, sha256('[' || string_agg('"' || h || '"', ',' ORDER BY i) || ']') AS up FROM a GROUP BY i // 1000)
+SELECT (SELECT count(*) FROM r) AS n, CASE WHEN n = 1 THEN h ELSE up END AS fingerprint FROM b""")
 
 
 def _stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +265,10 @@ register("stream_deduplicated", _stream_once, "SELECT event_id, event_type FROM
 def _stream_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     at = place(spark, "running")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("value", F.col("value").cast("decimal(18,4)"))
     keep = lambda batch, _: batch.write.mode("overwrite").parquet(at)
     streams.running_statistics(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{at}-log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(at).select("event_type", "n", F.round("value", 4).alias("value"))
+    return spark.read.parquet(at).select("event_type", "n", F.col("value").cast("double").alias("value"))
 
 
-register("stream_running_statistics", _stream_statistics, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY event_type")
+register("stream_running_statistics", _stream_statistics, "SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS value FROM events GROUP BY event_type")

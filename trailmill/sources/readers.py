@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,3 +170,57 @@ def action_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The actions of a dataset of three tables (action, session, user) with their session's user and the user's persona; a user without a row has nulls."""
     action, session, user = (spark.read.parquet(f"{folder}/{name}") for name in ("action", "session", "user"))
     return require(action, ["session_id", "timestamp", "action"]).join(require(session, ["session_id", "user_id"]), "session_id").join(require(user, ["user_id"]), "user_id", "left")
+
+
+#: The text columns of a simulated shop's clickstream.
+SIMULATED_FIELDS = ["semantic_action", "raw_action", "url", "product_handle", "landing_url"]
+
+
+def simulated_clickstream(spark: SparkSession, path: str, store: str | None = None, sessions: int = 0) -> DataFrame:
+    """(session_id, ord, timestamp, the text columns) of a simulated shop's clickstream, of the first `sessions` sessions by id (all if not positive).
+
+    A time is whole milliseconds, cut off if it has decimals; what is no number is
+    0, and equal times keep the order of the file. Texts lose blanks around them,
+    a missing one is ''. Rows without a session are left out.
+    """
+    raw = require(spark.read.option("header", True).csv(path), ["session_id", "timestamp"])
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in raw.columns else F.lit("")
+    at = F.coalesce(F.trim("timestamp").try_cast("long"), F.trim("timestamp").try_cast("double").cast("long"), F.lit(0).cast("long"))
+    rows = raw.select(text("session_id").alias("session_id"), text("store_id").alias("store_id"), at.alias("timestamp"), *[(F.lower(text(c)) if c == "semantic_action" else text(c)).alias(c) for c in SIMULATED_FIELDS], F.monotonically_increasing_id().alias("__row"))
+    kept = store_sessions(rows.where("session_id <> ''"), sessions, store)
+    order = Window.partitionBy("session_id").orderBy("timestamp", "__row")
+    return kept.select("session_id", (F.row_number().over(order) - 1).alias("ord"), "timestamp", *SIMULATED_FIELDS)
+
+
+def shop_records(spark: SparkSession, path: str) -> DataFrame:
+    """(place, record: VARIANT) of a shop's JSON files: a row an element of an array, one row for an object. A file is read by one task, so large sets belong in many files."""
+    raw = spark.read.option("singleVariantColumn", "r").option("multiLine", True).json(path)
+    many = F.schema_of_variant("r").startswith("ARRAY")
+    return raw.select(F.explode(F.when(many, F.col("r").cast("array<variant>")).otherwise(F.array("r"))).alias("record")).select(F.monotonically_increasing_id().alias("place"), "record")
+
+
+IMAGE = "struct<id:long,src:string,alt:string,width:int,height:int,position:int>"
+
+
+def _image(raw: Column, owner: Column, position: Column) -> Column:
+    """An image of a feed; without an id it has its owner's, without a position its place."""
+    known = raw.cast(IMAGE)
+    return F.when(known.isNotNull(), F.struct(F.coalesce(known["id"], owner).alias("id"), known["src"].alias("src"), known["alt"].alias("alt"), known["width"].alias("width"), known["height"].alias("height"), F.coalesce(known["position"], position).alias("position")))
+
+
+def typed_products(records: DataFrame) -> DataFrame:
+    """Products of a feed with their types: a missing body or time is '', images have an id and a place."""
+    raw = "struct<id:long,title:string,handle:string,body_html:string,vendor:string,product_type:string,tags:array<string>,published_at:string,created_at:string,updated_at:string,options:array<struct<name:string,position:int,values:array<string>>>,variants:array<struct<id:long,title:string,sku:string,price:string,available:boolean,option1:string,option2:string,option3:string,position:int>>,images:array<IMAGE>>".replace("IMAGE", IMAGE)
+    p = records.select("place", F.col("record").cast(raw).alias("p")).select("place", "p.*")
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    images = F.transform("images", lambda x, i: _image(x, F.col("id"), (i + 1).cast("int"))).alias("images")
+    return p.select("place", "id", "title", "handle", F.coalesce("body_html", F.lit("")).alias("description_html"), "vendor", "product_type", "tags", blank("published_at"), blank("created_at"), blank("updated_at"), "options", "variants", images)
+
+
+def typed_collections(records: DataFrame, members: DataFrame) -> DataFrame:
+    """Collections of a feed with their types and the products of `members` (collection, product_handles); the feed's description is HTML."""
+    raw = f"struct<id:long,title:string,handle:string,description:string,image:{IMAGE},published_at:string,updated_at:string>"
+    c = records.select("place", F.col("record").cast(raw).alias("c")).select("place", "c.*")
+    m = members.select(F.col("collection").alias("handle"), "product_handles")
+    out = c.join(m, "handle", "left")
+    return out.select("place", "id", "title", "handle", F.lit(None).cast("string").alias("description"), F.col("description").alias("description_html"), _image(F.col("image"), F.col("id"), F.lit(1)).alias("image"), "published_at", "updated_at", F.lit(None).cast("string").alias("sort_order"), F.coalesce("product_handles", F.array().cast("array<string>")).alias("product_handles"))

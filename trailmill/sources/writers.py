@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .readers import EXTERNAL_FIELDS, RAW_FIELDS, require
 
@@ -68,6 +69,21 @@ def append_run(record: dict[str, str], df: DataFrame, path: str) -> None:
     df.sparkSession.createDataFrame([record]).coalesce(1).write.mode("append").json(path)
 
 
+def append_batch(lines: DataFrame, batch: int, path: str) -> None:
+    """The lines of a numbered batch in a registry; a batch that is written again replaces its own lines and no other's."""
+    lines.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
+def registry_stream(lines: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends a stream to a registry, each line once: a batch that is replayed after a failure has its old number."""
+    return lines.writeStream.foreachBatch(lambda df, batch: append_batch(df, batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All lines of a registry, with the number of their batch."""
+    return spark.read.schema(f"{schema}, batch long").json(path)
+
+
 def first_outcomes(dump: DataFrame) -> DataFrame:
     """Outcome rows once per example: of repeated ones the first to arrive. Metrics outside 0 to 1 raise."""
     metrics = ["hit10", "rr10", "hit5", "rr5"]
