@@ -62,6 +62,8 @@ class Powers:
 
 
 WORD_POWERS = Powers(WINDOW_BASE)
+SECOND_POWERS = Powers(0x0B4E0EF37BC32127)
+SECOND_SEED = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,7 +89,7 @@ def cut(text: bytes, most: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _chunk_words(parts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_words(parts: list[bytes], lower: bool, seed: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join([b"", *parts, b" " * 8]), np.uint8)
     if lower:
         data = _LOWER[data]
@@ -96,7 +98,7 @@ def _chunk_words(parts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarra
     starts, ends = edges[0::2], edges[1::2]
     size = ends - starts
     lanes = np.ndarray(len(data) - 7, np.dtype("<u8"), data, strides=(1,))
-    hashes = mix(mix(size.astype(np.uint64)) ^ (lanes[starts] & _MASK[np.minimum(size, 8)]))
+    hashes = mix(mix(size.astype(np.uint64) ^ np.uint64(seed)) ^ (lanes[starts] & _MASK[np.minimum(size, 8)]))
     left = np.flatnonzero(size > 8)
     for at in range(8, 8 * LANES, 8):
         if len(left) == 0:
@@ -104,15 +106,16 @@ def _chunk_words(parts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarra
         hashes[left] = mix(hashes[left] ^ (lanes[starts[left] + at] & _MASK[np.minimum(size[left] - at, 8)]))
         left = left[size[left] > at + 8]
     for i in left.tolist():
-        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     bounds = np.cumsum([1, *(len(p) + 1 for p in parts)])
     return hashes, np.diff(np.searchsorted(starts, bounds))
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of each text, one after the other, and the words of each text.
 
     Words are runs of bytes outside [\\x20\\x09-\\x0D]; with `lower`, A-Z count as a-z.
+    Hashes of different seeds are independent of each other.
     """
     hashes, counts = [], np.zeros(len(texts), np.int64)
     parts: list[bytes] = []
@@ -122,7 +125,7 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     def flush() -> None:
         nonlocal held
         if parts:
-            h, c = _chunk_words(parts, lower)
+            h, c = _chunk_words(parts, lower, seed)
             hashes.append(h)
             np.add.at(counts, owners, c)
             parts.clear()
@@ -140,13 +143,13 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
 
 
-def windows(hashes: np.ndarray, counts: np.ndarray, width: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(hashes: np.ndarray, counts: np.ndarray, width: int, short: bool = False, powers: Powers = WORD_POWERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text number and start word of each window of `width` words inside one text.
 
     With `short`, a text of 1 to width-1 words has its whole sequence as its one window.
     """
     n = len(hashes)
-    up, down = WORD_POWERS.to(max(n, width + 1))
+    up, down = powers.to(max(n, width + 1))
     terms = times(folded(hashes), up[:n])
     low, high = prefix_sums(terms & _M32), prefix_sums(terms >> np.uint64(32))
     ends = np.cumsum(counts)
@@ -167,8 +170,11 @@ def windows(hashes: np.ndarray, counts: np.ndarray, width: int, short: bool = Fa
     return value, text, at - begins[text]
 
 
-def text_windows(texts: list[bytes], width: int, lower: bool = False, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`windows` of whole texts, hashed about 1 MB of text at a time, so the working arrays do not grow with the block of texts."""
+def text_windows(texts: list[bytes], width: int, lower: bool = False, short: bool = False, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`windows` of whole texts, hashed about 1 MB of text at a time, so the working arrays do not grow with the block of texts.
+
+    With `second`, hashes of words and windows are others, independent of the first.
+    """
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
     at = 0
     while at < len(texts):
@@ -176,7 +182,7 @@ def text_windows(texts: list[bytes], width: int, lower: bool = False, short: boo
         while to < len(texts) and held + len(texts[to]) <= CHUNK_BYTES:
             held += len(texts[to])
             to += 1
-        value, text, place = windows(*word_hashes(texts[at:to], lower), width, short)
+        value, text, place = windows(*word_hashes(texts[at:to], lower, SECOND_SEED if second else 0), width, short, SECOND_POWERS if second else WORD_POWERS)
         out.append((value, (text + at).astype(np.int32), place.astype(np.int32)))
         at = to
     value, text, place = (np.concatenate(x) for x in zip(*out, strict=True))
