@@ -315,3 +315,24 @@ def test_windows_of_blocks_of_texts(monkeypatch):
             for a, b in zip(hashing.text_windows(texts, 3, lower, short), whole, strict=True):
                 assert a.tolist() == b.tolist()
     assert [len(x) for x in hashing.text_windows([], 3)] == [0, 0, 0]
+
+
+def test_lists_of_near_copies_stay_short():
+    """1,500 near copies of one text that is not there itself: a node stands in few lists of a range, of the dozens of signatures that it shares."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(1_500):
+        w = list(base)
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"x{k}"
+        texts.append(" ".join(w))
+    like = jaccard.Likeness(5, 80, 100)
+    sent = pa.Table.from_batches(list(jaccard._sign(iter([pa.record_batch([texts], names=["text"])]), like, 5)))
+    for b in range(5):
+        out = jaccard._propose(sent.filter(pa.compute.equal(sent.column("bucket"), b)).select(["data"]), like)
+        lists = out.column("members").drop_null().to_pylist()
+        heads = out.column("pivot").drop_null().to_pylist()
+        assert len(heads) == len(set(heads)) and sum(map(len, lists)) <= 8 * 16 * len(texts)

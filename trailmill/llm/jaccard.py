@@ -19,8 +19,9 @@ Copies (equal sets) are one node. Links are decided on whole sets in three steps
 1. every node with the one node that it shares most signatures with;
 2. the other pairs of small groups and of the stars of large ones, as far as
    their nodes are not in one component by then;
-3. large groups that are still in several components: the groups of one largest
-   component are taken together, and the nodes outside it meet all their nodes.
+3. large groups that are still in several components: the groups of one pivot,
+   and of one largest component, are taken together, and the nodes outside it
+   meet all their nodes.
 
 Pairs do not carry sets. A text (compressed) goes once to the group of its pivot,
 or to a block of a component, where a task holds one pivot or block and lets the
@@ -53,7 +54,7 @@ BROADCAST_ROWS = 1_000_000  # 16 MB at most
 HUB_SHARE = 1024  # a pivot with more than this share of all pairs is split; there are fewer than so many
 _DESCRIBED = "doc long, text_hash long, n long, fp long, signs long"
 _SIGNED = "bucket int, data binary"
-_PAIRS = "a long, b long, w int, members binary"
+_PAIRS = "a long, b long, w int, pivot long, members binary"
 _KEPT = "fp long, n long, sketch binary, size int, z binary"
 _LINKS = "a long, b long"
 
@@ -241,7 +242,7 @@ def _sign(batches: Iterator[pa.RecordBatch], like: Likeness, buckets: int) -> It
 
 
 def _propose(group: pa.Table, like: Likeness) -> pa.Table:
-    """Pairs (a, b, shared signatures) of one range of signatures that may link, and the members of its larger groups."""
+    """Pairs (a, b, shared signatures) of one range of signatures that may link, and the members of its larger groups, by pivot."""
     fps, sizes, nodes, sigs = [], [], [], []
     seen = 0
     for data in group.column("data"):
@@ -274,7 +275,7 @@ def _propose(group: pa.Table, like: Likeness) -> pa.Table:
                 left.append(rows[:, i])
                 right.append(rows[:, j])
     large = count > 4
-    members: dict[bytes, None] = {}
+    members: dict[int, np.ndarray] = {}
     if large.any():
         node = node[np.repeat(large, count)]
         count = count[large]
@@ -285,15 +286,19 @@ def _propose(group: pa.Table, like: Likeness) -> pa.Table:
         pivot = np.repeat(node[np.flatnonzero(rank[node] == np.repeat(np.maximum.reduceat(rank[node], start), count))], count)
         left.append(np.minimum(pivot, node))
         right.append(np.maximum(pivot, node))
-        for own in np.split(node, start[1:]):
-            members[own.tobytes()] = None
+        # All groups of a pivot are one list: it names a node once, however many signatures the node shares with the pivot.
+        both = np.unique((pivot.astype(np.uint64) << np.uint64(32)) | node.astype(np.uint64))
+        head, own = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(head)) + 1
+        members = {int(head[i]): part for i, part in zip([0, *cuts.tolist()], np.split(own, cuts), strict=True)}
     a, b = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
     use = (a != b) & like.sizes_fit(size[a], size[b])
     pair, w = np.unique((a[use].astype(np.uint64) << np.uint64(32)) | b[use].astype(np.uint64), return_counts=True)
     a, b = fp[(pair >> np.uint64(32)).astype(np.int64)], fp[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    lists = pa.array([fp[np.frombuffer(x, np.int32)].tobytes() for x in members], pa.binary())
+    heads, lists = pa.array(fp[list(members)], pa.int64()), pa.array([fp[x].tobytes() for x in members.values()], pa.binary())
     columns = [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(w.astype(np.int32))]
-    return pa.table({n: pa.concat_arrays([c, pa.nulls(len(lists), c.type)]) for n, c in zip("abw", columns, strict=True)} | {"members": pa.concat_arrays([pa.nulls(len(a), pa.binary()), lists])})
+    of_list = {n: pa.concat_arrays([pa.nulls(len(a), c.type), c]) for n, c in (("pivot", heads), ("members", lists))}
+    return pa.table({n: pa.concat_arrays([c, pa.nulls(len(lists), c.type)]) for n, c in zip("abw", columns, strict=True)} | of_list)
 
 
 def _keep(batches: Iterator[pa.RecordBatch], like: Likeness) -> Iterator[pa.RecordBatch]:
@@ -401,12 +406,11 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, node) of lists of members; a group is named by a hash of its members, so equal groups of different signatures are one."""
+    """(group, node) of lists of members; all groups of one pivot are one group, named by it."""
     for batch in batches:
-        lists = [np.frombuffer(x, np.int64) for x in batch.column(0).to_pylist()]
+        lists = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
         if lists:
-            gid = np.array([int(np.bitwise_xor.reduce(mix(x.view(np.uint64)))) for x in lists], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mix(gid).view(np.int64), [len(x) for x in lists])), pa.array(np.concatenate(lists))], names=["g", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in lists])), pa.array(np.concatenate(lists))], names=["g", "fp"])
 
 
 def _across(members: DataFrame, known: DataFrame, kept: DataFrame, like: Likeness) -> DataFrame:
@@ -518,7 +522,7 @@ def near_copies(docs: DataFrame, like: Likeness = Likeness(), id_column: str = "
     signed = keyed.select("text").mapInArrow(lambda x: _sign(x, like, buckets), _SIGNED)
     proposed = shared(signed.groupBy("bucket").applyInArrow(lambda x: _propose(x.select(["data"]), like), _PAIRS))
     pairs = shared(proposed.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("w").alias("w")))
-    members = proposed.where("members IS NOT NULL").select("members")
+    members = proposed.where("members IS NOT NULL").select("pivot", "members")
 
     wanted = shared(pairs.select(F.col("a").alias("fp")).unionAll(pairs.select("b")).distinct().join(classes, "fp").select("rep").distinct())
     chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
