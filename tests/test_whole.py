@@ -121,8 +121,8 @@ def test_recommendations_of_repeated_and_missing_tags(spark):
     want = []
     for h, _, kind, tags in given:
         own = {x.lower() for x in tags or []}
-        best = sorted((-1000 * (kind is not None and k == kind) - sum(x.lower() in own for x in g), p, n) for n, p, k, g in given if n != h and g is not None)
-        want += [(h, i + 1, n, -s) for i, (s, _, n) in enumerate([x for x in best if x[0] < 0][:2])]
+        best = sorted((-1000 * (bool(kind) and k == kind) - sum(x.lower() in own for x in g or []), p, n) for n, p, k, g in given if n != h)
+        want += [(h, i + 1, n, -s) for i, (s, _, n) in enumerate(best[:2])]
     assert sorted(map(tuple, catalog.recommendations(products, products, 2).collect())) == sorted(want)
 
 

@@ -276,6 +276,71 @@ def generated_action(text: Column) -> Column:
     return F.struct(F.coalesce(get("$.action.action"), F.when(F.try_variant_get(j, "$.action", "struct<action string>").isNull(), get("$.action"))).alias("action"), F.coalesce(get("$.action.target"), get("$.target")).alias("target"))
 
 
+def strict_json(text: Column) -> Column:
+    """A text that is one JSON value as VARIANT, else null. The parser passes over what follows a value, so the text must also stand inside a list and inside an object."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(listed.isNotNull() & keyed.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
+#: The actions that an answer may name, those that need a target, and directions of a scroll.
+ALLOWED_ACTIONS = ("click", "type", "hover", "move", "select", "clear", "key_press", "scroll", "goto_url", "back", "forward", "refresh", "new_tab", "switch_tab", "close_tab", "terminate")
+TARGET_ACTIONS = ("click", "type")
+DIRECTIONS = ("up", "down")
+
+
+def answer_field(answer: Column, name: str) -> Column:
+    """The text of a field of a JSON answer (VARIANT); null if it is missing or no text."""
+    v = F.try_variant_get(answer, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+
+
+def valid_answer(text: Column) -> Column:
+    """Whether a whole text is one JSON object of the next-action schema: a rationale, an allowed action, and the fields that the action needs, of their kinds.
+
+    Fields that the action does not ask for may be anything. A name that stands
+    twice makes the text no JSON.
+    """
+
+    def of(j: Column) -> Column:
+        kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(j, f"$.{name}", "variant")), F.lit("none"))
+        text_of = lambda name: kind(name) == "STRING"
+        free = lambda name, ok: (kind(name) == "none") | ok
+        whole = lambda name: kind(name) == "BIGINT"
+        number = lambda name: whole(name) | kind(name).startswith("DECIMAL") | (kind(name) == "DOUBLE")
+        action = F.coalesce(answer_field(j, "action"), F.lit(""))
+        needs = (
+            F.when(action == "type", text_of("target") & text_of("text") & free("enter", kind("enter") == "BOOLEAN"))
+            .when(action.isin(*TARGET_ACTIONS), text_of("target"))
+            .when(action == "select", text_of("value"))
+            .when(action == "key_press", text_of("key") & free("target", text_of("target")))
+            .when(action == "scroll", F.coalesce(answer_field(j, "direction").isin(*DIRECTIONS), F.lit(False)) & number("amount") & free("target", text_of("target")))
+            .when(action.isin("goto_url", "new_tab"), text_of("url"))
+            .when(action.isin("switch_tab", "close_tab"), whole("tab_id"))
+            .otherwise(True)
+        )
+        return F.schema_of_variant(j).startswith("OBJECT") & text_of("rationale") & action.isin(*ALLOWED_ACTIONS) & needs
+
+    return F.coalesce(let(strict_json(text), of), F.lit(False))
+
+
+def answer_components(text: Column, action: Column, target: Column, page: Column, similarity) -> Column:
+    """(format, action, target): what an answer earns against the true action and target on a page.
+
+    target is 0.6 times the similarity (a function of two columns) of both targets,
+    0.1 for one that the page has, 0.3 for the right one; missing texts are ''. A
+    text that is no JSON object has no action and no target.
+    """
+    j = strict_json(text)
+    obj = F.coalesce(F.schema_of_variant(j).startswith("OBJECT"), F.lit(False))
+    said = lambda name: F.when(obj, F.coalesce(F.try_variant_get(j, f"$.{name}", "string"), F.lit(""))).otherwise("")
+    true_action, true_target = (F.coalesce(c, F.lit("")) for c in (action, target))
+    aim = said("target")
+    there = (aim != "") & F.array_contains(semantic_ids(page), aim)
+    score = 0.6 * similarity(aim, true_target) + 0.1 * there.cast("int") + 0.3 * (aim == true_target).cast("int")
+    return F.struct(valid_answer(text).cast("double").alias("format"), ((true_action != "") & (said("action") == true_action)).cast("double").alias("action"), score.alias("target"))
+
+
 def has_exact_keys(text: Column, keys: list[str]) -> Column:
     """Whether a text is a JSON object with these keys and no others."""
     return F.coalesce(F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in sorted(keys)]), F.lit(False))

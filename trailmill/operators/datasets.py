@@ -132,6 +132,34 @@ def cap_ratio(keys: DataFrame, flag: Column, ratio: float, seed: int = 42, key:
     return keys.where(~flag).unionByName(kept)
 
 
+def control_adds(rows: DataFrame, key: str, order: str, is_add: Column, ratio: float, target: int | None = None, least: int = 2, seed: int = 42) -> DataFrame:
+    """Rows of all sessions without an add and of so many with one that they are at most `ratio` of the kept ones; up to `target` sessions in all are filled up with beginnings.
+
+    Sessions with an add stand in hash order: the first ones stay, and of the next
+    ones, where there are too few, what comes before their first add, if that is
+    `least` rows or more. A ratio of 1 or more keeps all; ratio and target count
+    sessions.
+    """
+    if ratio >= 1:
+        return rows
+    marked = rows.withColumn("__add", F.coalesce(is_add, F.lit(False)))
+    keys = marked.groupBy(key).agg(F.bool_or("__add").alias("__has"), F.min(F.when(F.col("__add"), F.col(order))).alias("__at"))
+    counts = keys.agg(F.count_if("__has").alias("adds"), F.count_if(~F.col("__has")).alias("others")).first()
+    cap = int(ratio * counts["others"] / (1 - ratio)) if ratio > 0 else 0
+    if counts["adds"] <= cap:
+        return rows
+    placed = hash_places(keys.where("__has"), seed, key, place="__k")
+    whole = keys.where("NOT __has").select(key).unionByName(placed.where(F.col("__k") <= cap).select(key))
+    out = rows.join(whole, key, "left_semi")
+    missing = 0 if target is None else target - counts["others"] - cap
+    if missing <= 0:
+        return out
+    cut = rows.join(placed.where(F.col("__k") > cap).select(key, "__at", "__k"), key).where(F.col(order) < F.col("__at"))
+    long = cut.groupBy(key).agg(F.count("*").alias("__n"), F.min("__k").alias("__k")).where(F.col("__n") >= least)
+    filled = long.orderBy("__k").limit(missing).select(key)
+    return out.unionByName(cut.select(*rows.columns).join(filled, key, "left_semi"))
+
+
 def split_groups(keys: DataFrame, share: float, seed: int = 42, key: str = "session") -> DataFrame:
     """Keys with `split`: round(share * n), one at least, by hash order are test; no key is in both."""
     n = keys.count()

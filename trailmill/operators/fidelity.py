@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .sessionize import SEMANTIC_ACTIONS
 
+#: Actions of a session that only browses.
 BROWSING = ("detail", "explore-search", "explore-goto", "explore-back", "explore-stay", "terminate")
 EPSILON = 1e-12
 
@@ -133,22 +134,29 @@ def matrix_distance(real: DataFrame, synth: DataFrame) -> DataFrame:
 
 
 def chi_square(real: DataFrame, synth: DataFrame) -> DataFrame:
-    """Chi-square statistic of the outcomes of both sides, and its degrees of freedom; no continuity correction above one."""
+    """(statistic, dof, p) of the outcomes of both sides: with one degree of freedom each difference is taken half nearer (at most to 0), with none p is 1."""
+    from .scoring import chi_square_tail
+
     rows = primary_outcomes(real).withColumn("side", F.lit(0)).unionByName(primary_outcomes(synth).withColumn("side", F.lit(1)))
     c = rows.groupBy("outcome").agg(F.count_if(F.col("side") == 0).alias("r"), F.count_if(F.col("side") == 1).alias("s"))
     whole = Window.partitionBy()
     n, r, s = F.col("r") + F.col("s"), F.sum("r").over(whole), F.sum("s").over(whole)
     er, es = n * r / (r + s), n * s / (r + s)
-    terms = c.select((F.pow(F.col("r") - er, F.lit(2)) / er + F.pow(F.col("s") - es, F.lit(2)) / es).alias("t"))
-    return terms.agg(F.sum("t").alias("statistic"), (F.count("*") - 1).cast("int").alias("dof"))
+    nearer = lambda e: F.when(F.count("*").over(whole) == 2, F.greatest(F.abs(e) - 0.5, F.lit(0.0))).otherwise(e)
+    terms = c.select((F.pow(nearer(F.col("r") - er), F.lit(2)) / er + F.pow(nearer(F.col("s") - es), F.lit(2)) / es).alias("t"))  # a row an outcome
+    found = terms.agg(F.sum("t").alias("statistic"), (F.count("*") - 1).cast("int").alias("dof"))
+    p = F.when(F.col("dof") == 2, chi_square_tail(F.col("statistic"), 2)).when(F.col("dof") == 1, chi_square_tail(F.col("statistic"), 1)).when(F.col("dof") == 0, 1.0)
+    return found.withColumn("p", p)
 
 
 def two_proportions(real: DataFrame, synth: DataFrame, flag: str = "has_checkout") -> DataFrame:
-    """z of the difference of a flag's rates, pooled."""
+    """(z, p) of the difference of a flag's rates, pooled; both null where no or every session has it."""
+    from .scoring import normal_tail
+
     a = session_flags(real).agg(F.count("*").alias("n1"), F.count_if(flag).alias("x1"))
     b = session_flags(synth).agg(F.count("*").alias("n2"), F.count_if(flag).alias("x2"))
     pool = (F.col("x1") + F.col("x2")) / (F.col("n1") + F.col("n2"))
-    return a.crossJoin(b).select(((F.col("x1") / F.col("n1") - F.col("x2") / F.col("n2")) / F.sqrt(pool * (1 - pool) * (1 / F.col("n1") + 1 / F.col("n2")))).alias("z"))  # one row each
+    return a.crossJoin(b).select(((F.col("x1") / F.col("n1") - F.col("x2") / F.col("n2")) / F.sqrt(F.nullif(pool * (1 - pool), F.lit(0.0)) * (1 / F.col("n1") + 1 / F.col("n2")))).alias("z")).withColumn("p", normal_tail(F.col("z")))  # one row each
 
 
 def arrays(steps: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def merge_aliases(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """Edges with both ends replaced by what they are an alias of, once each; loops that this makes go."""
     a = aliases.select(F.col("alias").alias("source"), F.col("canonical").alias("__s"))
     b = aliases.select(F.col("alias").alias("target"), F.col("canonical").alias("__t"))
-    return edges.join(F.broadcast(a), "source", "left").join(F.broadcast(b), "target", "left").select(F.coalesce("__s", "source").alias("source"), F.coalesce("__t", "target").alias("target")).where("source <> target").distinct()
+    return edges.join(a, "source", "left").join(b, "target", "left").select(F.coalesce("__s", "source").alias("source"), F.coalesce("__t", "target").alias("target")).where("source <> target").distinct()
 
 
 #: State nodes by the action that leads to them; other states are explored.
@@ -147,9 +147,32 @@ def role_counts(nodes: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 
 def fingerprints_differ(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(tree, differs): whether the histogram of roles of a tree changed."""
-    h = lambda df, c: df.groupBy("tree", "role").agg(F.count("*").alias(c))
-    return h(before, "a").join(h(after, "b"), ["tree", "role"], "full").groupBy("tree").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
+    """(tree, differs): whether the number of nodes, the histogram of roles or the set of ids of a tree changed. Rows are (tree, role, bid); blank roles and missing ids don't count as such."""
+
+    def marks(df: DataFrame, name: str) -> DataFrame:
+        role = F.when(F.coalesce("role", F.lit("")) != "", F.concat(F.lit("role:"), "role"))
+        bid = F.when(F.col("bid").isNotNull(), F.concat(F.lit("id:"), F.col("bid").cast("string")))
+        every = df.select("tree", F.explode(F.array_compact(F.array(F.lit("node"), role, bid))).alias("mark")).groupBy("tree", "mark").agg(F.count("*").alias("n"))
+        return every.select("tree", "mark", F.when(F.startswith("mark", F.lit("id:")), F.lit(1)).otherwise(F.col("n")).alias(name))
+
+    both = marks(before, "a").join(marks(after, "b"), ["tree", "mark"], "full")
+    return both.groupBy("tree").agg(F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
+
+
+#: Fixed value: the labels of pages that are one class.
+COLLAPSE_LABELS = ("marketing",)
+
+
+def merge_classifications(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(path, label, pos): known pages in their order, then those that are new, each by its first label. Rows are (path, label, pos)."""
+    rows = known.select("path", "label", F.struct(F.lit(0).alias("k"), "pos").alias("__o")).unionByName(fresh.select("path", "label", F.struct(F.lit(1).alias("k"), "pos").alias("__o")))
+    one = rows.groupBy("path").agg(F.min_by("label", "__o").alias("label"), F.min("__o").alias("__o"))
+    return sorted_places(one, "__o", "path", place="pos").select("path", "label", (F.col("pos") - 1).alias("pos"))
+
+
+def collapse_set(classified: DataFrame, labels: tuple[str, ...] = COLLAPSE_LABELS) -> DataFrame:
+    """(slug) of the pages whose label makes them one class."""
+    return classified.where(F.col("label").isin(*labels)).select(F.col("path").alias("slug")).distinct()
 
 
 def coherence(vectors: DataFrame, key: str, vector: str) -> DataFrame:

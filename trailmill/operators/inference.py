@@ -453,7 +453,8 @@ def contrast_table(contrasts: DataFrame, margin: float = MARGIN, relative_margin
     interval lies within it; with `relative_margin` the margin is that share of
     the baseline.
     """
-    drawn, d = F.col("replicate") >= 0, (F.col("arm") - F.col("base")) * 100
+    # Equal arms differ by the order of their sums at most: what is left of that counts as 0.
+    drawn, d = F.col("replicate") >= 0, F.round((F.col("arm") - F.col("base")) * 100, 9)
     of = F.when(drawn, d)
     point = lambda c: F.max(F.when(~drawn, F.col(c)))
     share = lambda c: F.count_if(drawn & c) / F.count(of)

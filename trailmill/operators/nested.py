@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import strict_json
 from .ordering import cut
 
 _PLACE = "array<struct<rank:int,pos:int,key:string>>"
@@ -35,7 +36,7 @@ def nodes(documents: DataFrame, key: str, document: str, order: tuple[str, ...]
     """
     spark = documents.sparkSession
     kind = documents.schema[document].dataType.typeName()
-    v = F.col(document) if kind == "variant" else F.try_parse_json(F.col(document).cast("string"))
+    v = F.col(document) if kind == "variant" else strict_json(F.col(document).cast("string"))
     start = documents.where(F.col(document).isNotNull()).select(F.col(key).alias("key"), v.alias("v"))
     known = F.array(*map(F.lit, order)) if order else F.array().cast("array<string>")
     level = start.select("key", F.lit("").alias("path"), F.lit("").alias("pattern"), F.lit(None).cast("string").alias("above"), F.lit(None).cast("string").alias("parent"), F.array().cast(_PLACE).alias("place"), F.coalesce(_kind(F.col("v")), F.lit("INVALID")).alias("kind"), "v")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,17 +114,32 @@ def interval(replicates: DataFrame, level: float = 0.95) -> DataFrame:
     return replicates.agg(F.round(F.percentile("value", F.lit(a)), 6).alias("low"), F.round(F.percentile("value", F.lit(1 - a)), 6).alias("high"), F.count("value").alias("n"))
 
 
+SERIES = 60  # terms of the series and levels of the fraction
+
+
+def erfc(z: Column) -> Column:
+    """The complementary error function of a number that is not negative, to about 11 digits: a series of positive terms up to 3, a continued fraction beyond."""
+    z = z.cast("double")
+    term = lambda acc, n: F.struct((acc["t"] * 2 * z * z / (2 * n + 1)).alias("t"), (acc["s"] + acc["t"] * 2 * z * z / (2 * n + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(SERIES)), F.struct(z.alias("t"), z.alias("s")), term, lambda acc: acc["s"])
+    fraction = F.aggregate(F.sequence(F.lit(SERIES), F.lit(1), F.lit(-1)), F.lit(1.0), lambda acc, n: 1 + n / (2 * z * z) / acc)
+    root = F.lit(math.sqrt(math.pi))
+    bell = F.exp(-z * z)
+    return F.when(z <= 3, 1 - 2 / root * bell * series).otherwise(bell / (z * root) / fraction)
+
+
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the normal distribution."""
+    return erfc(F.abs(z) / math.sqrt(2))
 
-    @F.pandas_udf("double")
-    def tail(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from math import erfc, sqrt
-
-        for v in values:
-            yield v.map(lambda x: erfc(abs(x) / sqrt(2)))
 
-    return tail(z)
+def chi_square_tail(x: Column, dof: int) -> Column:
+    """The share of a chi-square distribution of `dof` degrees of freedom above x."""
+    half = x.cast("double") / 2
+    if dof % 2 == 0:
+        return F.exp(-half) * sum((F.pow(half, F.lit(j)) / math.factorial(j) for j in range(dof // 2)), F.lit(0.0))
+    more = sum((F.pow(half, F.lit(j - 0.5)) / math.gamma(j + 0.5) for j in range(1, (dof + 1) // 2)), F.lit(0.0))
+    return erfc(F.sqrt(half)) + F.exp(-half) * more
 
 
 #: The outcomes that a selection is split over, in this order.

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import product_slug
 from .actions import classify_steps
+from .sequences import stay_runs
 
 #: Labels of a product's text, in order.
 PRODUCT_LABELS = {"product_type": "Product Type", "product_title": "Product Title", "product_description": "Product Description", "product_handle": "Product Handle"}
-NO_QUERY = "Failure"
 
 
 def synthetic_sessions(steps: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -27,17 +27,10 @@ def synthetic_sessions(steps: DataFrame, catalog: DataFrame | None = None) -> Da
     w = Window.partitionBy("session_id").orderBy("timestamp", "seq")
     rows = steps.where("session_id IS NOT NULL").withColumn("__a", payload).withColumns({"ord": F.row_number().over(w), "type": F.lower(F.coalesce("__a.action", F.lit("")))})
     kept = rows.where("type <> 'terminate'").select("session_id", "ord", "type", "timestamp", "url", "clicked_url", F.col("__a.target").alias("target"), F.col("__a.description").alias("description"), F.trim(F.coalesce("__a.text", F.lit(""))).alias("__text"))
-    named = classify_steps(kept).withColumn("__query", F.when((F.col("semantic") == "explore-search") & (F.col("type") == "type"), F.col("__text")).otherwise(""))
-    by = Window.partitionBy("session_id").orderBy("ord")
-    fresh = F.coalesce(F.lag("semantic").over(by) != F.col("semantic"), F.lit(True))
-    runs = named.withColumn("__first", fresh).withColumn("__run", F.count_if("__first").over(by))
-    asked = F.bool_or(F.col("__query") != "").over(Window.partitionBy("session_id", "__run"))
-    runs = runs.withColumn("__asked", asked)
-    stays, searches = F.col("semantic") == "explore-stay", F.col("semantic") == "explore-search"
-    left = runs.where(F.when(stays, F.col("__first")).when(searches, F.when(F.col("__asked"), F.col("__query") != "").otherwise(F.col("__first"))).otherwise(True))
-    query = F.when(searches & ~F.col("__asked"), NO_QUERY).otherwise(F.col("__query"))
+    named = classify_steps(kept).withColumn("query", F.when((F.col("semantic") == "explore-search") & (F.col("type") == "type"), F.col("__text")).otherwise(""))
+    left = stay_runs(named.withColumnRenamed("semantic", "action"))
     slug = lambda c: product_slug(F.coalesce(F.col(c), F.lit("")))
-    body = left.select("session_id", "ord", F.col("semantic").alias("action"), F.coalesce(F.nullif(slug("clicked_url"), F.lit("")), slug("url")).alias("product_handle"), "timestamp", F.coalesce("clicked_url", F.lit("")).alias("url"), query.alias("search_query"))
+    body = left.select("session_id", "ord", "action", F.coalesce(F.nullif(slug("clicked_url"), F.lit("")), slug("url")).alias("product_handle"), "timestamp", F.coalesce("clicked_url", F.lit("")).alias("url"), F.col("query").alias("search_query"))
     ends = rows.groupBy("session_id").agg((F.max("ord") + 1).alias("ord"), F.max(F.when(F.col("type") != "terminate", F.struct("ord", "timestamp"))).alias("__l"))
     last = ends.select("session_id", "ord", F.lit("terminate").alias("action"), F.lit("").alias("product_handle"), F.coalesce("__l.timestamp", F.lit("")).alias("timestamp"), F.lit("").alias("url"), F.lit("").alias("search_query"))
     out = body.unionByName(last)

@@ -69,7 +69,7 @@ def _buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUYERS_SQL = SESSIONS_SQL + ", buy AS (SELECT session_id, CASE WHEN session_id % 3 = 0 AND max(ord) > 1 THEN 'u' || (session_id % 5) WHEN session_id % 3 = 1 THEN (session_id // 10) || '-s1' ELSE session_id::VARCHAR END AS buyer FROM rows_ GROUP BY session_id)"
 register("join3_session_buyer", _buyers, f"WITH {BUYERS_SQL} SELECT session_id, buyer FROM buy")
-register("agg3_clickstream_features", lambda s, d: A.clickstream_features(emitted(s, d).join(F.broadcast(catalog(s, d).select("product_handle", "price")), "product_handle", "left"), _buyers(s, d), 5), f"""WITH {BUYERS_SQL}, {CATALOG_SQL}, r AS (SELECT rows_.*, coalesce(price, 0) AS price FROM rows_ LEFT JOIN cat USING (product_handle)),
+register("agg3_clickstream_features", lambda s, d: A.clickstream_features(emitted(s, d).join(catalog(s, d).select("product_handle", "price"), "product_handle", "left"), _buyers(s, d), 5), f"""WITH {BUYERS_SQL}, {CATALOG_SQL}, r AS (SELECT rows_.*, coalesce(price, 0) AS price FROM rows_ LEFT JOIN cat USING (product_handle)),
 s AS (SELECT buyer, session_id, (max(ts_ms) - min(ts_ms)) / 1000 AS d, count(*) FILTER (action = 'explore-search') AS se, count(*) FILTER (action = 'detail') AS v, bool_or(action = 'add') AS a, bool_or(action = 'checkout') AS b, sum(price) FILTER (action = 'add') AS cart, arg_max(price, ord) FILTER (action = 'detail') AS last FROM r JOIN buy USING (session_id) GROUP BY ALL)
 SELECT buyer, count(*) AS total_sessions, round(avg(d), 5) AS avg_duration, round(avg(se), 5) AS avg_searches, round(avg(v), 5) AS avg_views, round(avg(a::INTEGER), 5) AS add_rate, round(avg(b::INTEGER), 5) AS checkout_rate, round(coalesce(avg(cart) FILTER (a), 0), 5) AS avg_cart, round(coalesce(avg(coalesce(cart, last, 0)) FILTER (b), 0), 5) AS avg_order FROM s GROUP BY buyer""")
 register("agg14_coherence_stats", lambda s, d: fidelity.descriptive(vectors(s, d).select("g", F.col("v")[0].alias("x")), "x").select("mean", "std", "n"), "SELECT round(avg(embedding[1]), 6) AS mean, round(stddev_pop(embedding[1]), 6) AS std, count(*) AS n FROM embeddings")
@@ -94,9 +94,9 @@ register("sta7_random_prior", lambda s, d: A.random_prior(catalog(s, d).agg(F.co
 register("sta8_deviations", lambda s, d: A.deviations(catalog(s, d).select(F.col("product_handle").alias("name"), F.col("price").alias("value")), catalog(s, d).where("product_id % 7 <> 0").select(F.col("product_handle").alias("name"), (F.col("price") + F.when(F.col("product_id") % 5 == 0, 1.0).otherwise(1e-9)).alias("value")), 1e-6).select("name"), f"WITH {CATALOG_SQL} SELECT product_handle AS name FROM cat WHERE product_id % 7 = 0 OR product_id % 5 = 0")
 register("sta9_contrasts", lambda s, d: R.mean_and_deviation(_boot(s, d).withColumn("half", F.col("replicate") % 2), "value", "half"), f"WITH {BOOT_SQL} SELECT (replicate % 2)::INTEGER AS half, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM b GROUP BY 1")
 register("vec4_centroids", lambda s, d: A.centroid_similarity(vectors(s, d).where("id % 2 = 0"), vectors(s, d).where("id % 2 = 1")), "WITH e AS (SELECT vec_id % 2 AS s, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT i, avg(x::DOUBLE) FILTER (s = 0) AS p, avg(x::DOUBLE) FILTER (s = 1) AS q FROM e GROUP BY i) SELECT round(sum(p * q) / sqrt(sum(p * p) * sum(q * q)), 6) AS similarity FROM m")
-register("vec5_text_vectors", lambda s, d: A.hashed_text_vector(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).cast("long").alias("n")), r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w : w <> '')) AS n FROM documents WHERE trim(text) <> ''")
-register("vec6_principal_components", lambda s, d: A.principal_components(vectors(s, d), "id", "v", 70).select("id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 5).alias("square")), "WITH e AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM e GROUP BY i) SELECT id, 70 AS n, round(sum((x - m) ** 2), 5) AS square FROM e JOIN m USING (i) GROUP BY id")
-register("gra4_parallel_sequences", lambda s, d: item_events(s, d).join(F.broadcast(Q.price_levels(catalog(s, d)).select(F.col("product_id").alias("item"), "level")), "item").groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "level"))), lambda x: x["level"].cast("string")), ",").alias("levels")), "WITH p AS (SELECT p_partkey, CASE WHEN hi > lo THEN CAST(trunc((p_retailprice - lo) / (hi - lo) * 99) AS INTEGER) + 1 ELSE 1 END AS level FROM (SELECT *, min(p_retailprice) OVER (PARTITION BY p_type) AS lo, max(p_retailprice) OVER (PARTITION BY p_type) AS hi FROM part)), i AS (SELECT l_orderkey AS session, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS pos FROM lineitem) SELECT session, string_agg(level, ',' ORDER BY pos) AS levels FROM i JOIN p USING (l_partkey) GROUP BY session".replace("USING (l_partkey)", "ON p_partkey = l_partkey"))
+register("vec5_text_vectors", lambda s, d: A.hashed_text_vector(table(s, d, "documents"), "doc_id", "text").select("doc_id", F.posexplode("v").alias("i", "n")))
+register("vec6_principal_components", lambda s, d: A.principal_components(vectors(s, d), "id", "v", 16).select("id", F.posexplode("v").alias("i", "x")))
+register("gra4_parallel_sequences", lambda s, d: item_events(s, d).join(Q.price_levels(catalog(s, d)).select(F.col("product_id").alias("item"), "level"), "item").groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "level"))), lambda x: x["level"].cast("string")), ",").alias("levels")), "WITH p AS (SELECT p_partkey, CASE WHEN hi > lo THEN CAST(trunc((p_retailprice - lo) / (hi - lo) * 99) AS INTEGER) + 1 ELSE 1 END AS level FROM (SELECT *, min(p_retailprice) OVER (PARTITION BY p_type) AS lo, max(p_retailprice) OVER (PARTITION BY p_type) AS hi FROM part)), i AS (SELECT l_orderkey AS session, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS pos FROM lineitem) SELECT session, string_agg(level, ',' ORDER BY pos) AS levels FROM i JOIN p USING (l_partkey) GROUP BY session".replace("USING (l_partkey)", "ON p_partkey = l_partkey"))
 register("rwd2_4_constraint_reward", lambda s, d: table(s, d, "events").select("event_id", F.round(A.constraint_reward((F.col("event_id") % 2).cast("double"), (F.col("event_id") % 3 / 2).cast("double"), F.col("value") / 1000, (0.2, 0.3, 0.5)), 6).alias("reward")), "SELECT event_id, round(-0.2 * (1 - event_id % 2) + (event_id % 2) * (0.3 * (event_id % 3) / 2 + 0.5 * value / 1000), 6) AS reward FROM events")
 register("env11_extra_keys", lambda s, d: table(s, d, "events").select("event_id", F.array_join(A.extra_keys(F.col("props"), ["x"]), ",").alias("extra")), "SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS extra FROM events")
 register("env12_runtime", lambda s, d: table(s, d, "events").select("event_id", A.runtime_of(F.when(F.col("event_id") % 4 == 0, '{"type":1,"message":2}').when(F.col("event_id") % 4 == 1, '{"event":1}').when(F.col("event_id") % 4 == 2, '{"role":1}').otherwise("{oops")).alias("runtime")), "SELECT event_id, ['messages', 'events', 'chat', 'unknown'][event_id % 4 + 1] AS runtime FROM events")

@@ -90,7 +90,7 @@ register("join17_collection_products", _collections, f"WITH {CATALOG_SQL} SELECT
 
 def _cart(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cart"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").alias("quantity"))
-    return C.cart_totals(lines.join(F.broadcast(catalog(spark, sf_dir).where("product_id % 10 <> 3").select("product_id", "price")), "product_id"))
+    return C.cart_totals(lines.join(catalog(spark, sf_dir).where("product_id % 10 <> 3").select("product_id", "price"), "product_id"))
 
 
 register("agg33_join18_cart_totals", _cart, "SELECT l_orderkey AS cart, count(*) AS n_lines, sum(l_quantity::BIGINT)::BIGINT AS quantity, sum(round(p_retailprice * 100)::BIGINT * l_quantity::BIGINT)::BIGINT / 100 AS subtotal FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 10 <> 3 GROUP BY l_orderkey")

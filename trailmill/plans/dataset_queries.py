@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as X
 from ..operators import datasets as D
 from ..operators import features
 from ..operators import inference as I
@@ -185,14 +186,38 @@ sizes AS (SELECT session_id, count(*) AS n FROM ev GROUP BY session_id), {draws_
 weights AS (SELECT session_id, n, r, {POISSON_SQL} AS w FROM drawn UNION ALL SELECT session_id, n, -1, 1 FROM sizes),
 long AS (SELECT session_id, method, condition, metric, value FROM per UNPIVOT (value FOR metric IN (hit5, hit10, rr10))),
 arms AS (SELECT r, method, condition, metric, sum(value * w) / sum(n * w) AS mean FROM long JOIN weights USING (session_id) GROUP BY ALL),
-d AS (SELECT r, a.method, a.condition, a.metric, 100 * a.mean AS arm, 100 * b.mean AS base, 100 * (a.mean - b.mean) AS d FROM arms a JOIN arms b USING (r, method, metric) WHERE a.condition <> 'real_to_real' AND b.condition = 'real_to_real'),
+d AS (SELECT r, a.method, a.condition, a.metric, 100 * a.mean AS arm, 100 * b.mean AS base, round(100 * (a.mean - b.mean), 9) AS d FROM arms a JOIN arms b USING (r, method, metric) WHERE a.condition <> 'real_to_real' AND b.condition = 'real_to_real'),
 t AS (SELECT method, condition, metric, max(arm) FILTER (r < 0) AS arm, max(base) FILTER (r < 0) AS baseline, quantile_cont(d, 0.025) FILTER (r >= 0) AS ci_low, quantile_cont(d, 0.975) FILTER (r >= 0) AS ci_high, quantile_cont(d, 0.05) FILTER (r >= 0) AS lower_bound, stddev_samp(d) FILTER (r >= 0) AS se,
   least(1.0, 2 * least(count(*) FILTER (r >= 0 AND d <= 0), count(*) FILTER (r >= 0 AND d >= 0)) / 10000) AS p FROM d GROUP BY ALL),
 h AS (SELECT *, p * (count(*) OVER () - row_number() OVER (ORDER BY p, method || '|' || metric || '|' || condition) + 1) AS h FROM t)
 SELECT method, condition, metric, round(arm, 6) AS arm, round(baseline, 6) AS baseline, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, round(lower_bound, 6) AS lower_bound, round(se, 6) AS se, round(p, 6) AS p, round(arm - baseline, 6) AS delta, round((arm - baseline) / baseline, 6) AS relative, 2.0::DOUBLE AS margin,
   lower_bound > -2 AS non_inferior, ci_low > -2 AND ci_high < 2 AS equivalent, round(least(1.0, max(h) OVER (ORDER BY p, method || '|' || metric || '|' || condition ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM h""")
 register("sta3_seed_resample", lambda s, d: _contrasts(s, d, True, 0.1))
-register("sta_normal_tail", lambda s, d: table(s, d, "region").select("r_regionkey", F.round(R.normal_tail(F.col("r_regionkey") * 0.7), 9).alias("p")))
+register("sta_normal_tail", lambda s, d: table(s, d, "events").select("event_id", R.normal_tail((F.col("value") - 50) / 7).alias("p")))
+register("math_chi_square_tail", lambda s, d: table(s, d, "events").select("event_id", *[R.chi_square_tail(F.col("value") / 3, k).alias(f"p{k}") for k in (1, 2, 3, 4)]))
+
+
+def _controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = provider_events(spark, sf_dir).select("session_id", "seq", "event_name")
+    n = e.select("session_id").distinct().count()
+    return D.control_adds(e, "session_id", "seq", F.col("event_name") == "product_added_to_cart", 0.2, target=n * 3 // 4).select("session_id", "seq")
+
+
+register("smp4_salvaged_sessions", _controlled, f"""WITH {EVENTS_SQL}, k AS (SELECT session_id, bool_or(event_name = 'product_added_to_cart') AS has, min(CASE WHEN event_name = 'product_added_to_cart' THEN seq END) AS first_add FROM ev GROUP BY session_id),
+c AS (SELECT trunc(0.2 * count(*) FILTER (NOT has) / (1 - 0.2)) AS cap, count(*) FILTER (NOT has) AS others, count(*) * 3 // 4 AS target FROM k), p AS (SELECT session_id, first_add, row_number() OVER (ORDER BY sha256('42|' || session_id), session_id) AS place FROM k WHERE has),
+b AS (SELECT ev.session_id, place, count(*) AS n FROM ev JOIN p USING (session_id), c WHERE place > cap AND seq < first_add GROUP BY ALL), f AS (SELECT session_id FROM (SELECT session_id, row_number() OVER (ORDER BY place) AS r FROM b WHERE n >= 2), c WHERE r <= target - others - cap)
+SELECT session_id, seq FROM ev WHERE session_id IN (SELECT session_id FROM k WHERE NOT has UNION ALL SELECT session_id FROM p, c WHERE place <= cap) UNION ALL SELECT ev.session_id, seq FROM ev JOIN p USING (session_id) WHERE seq < first_add AND ev.session_id IN (SELECT session_id FROM f)""")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of every kind on the events: fields too few, of other kinds, broken texts."""
+    texts = ['{"rationale":"r","action":"click","target":"%"}', '{"rationale":"r","action":"type","target":"t","text":"x","enter":true}', '{"rationale":"r","action":"type","target":"t","text":"x","enter":1}', '{"rationale":"r","action":"scroll","direction":"up","amount":2.5}', '{"rationale":"r","action":"scroll","direction":"left","amount":2}', '{"rationale":1,"action":"back"}', '{"rationale":"r","action":"back","extra":[1]} ', '[1]', 'no', '{"rationale":"r","action":"switch_tab","tab_id":3}', '{"rationale":"r","action":"switch_tab","tab_id":true}', '{"rationale":"r","action":"dance"}']
+    pick = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts) + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.replace(pick, F.lit("%"), F.col("event_type")).alias("answer"), "event_type")
+
+
+register("rwd2_valid_answers", lambda s, d: _answers(s, d).select("event_id", X.valid_answer(F.col("answer")).alias("valid")), "SELECT event_id, event_id % 12 IN (0, 1, 3, 6, 9) AS valid FROM events")
+register("rwd2_components", lambda s, d: _answers(s, d).select("event_id", X.answer_components(F.col("answer"), F.lit("click"), F.when(F.col("event_id") % 24 == 0, F.col("event_type")).otherwise(""), F.concat(F.lit("<a data-semantic-id='"), "event_type", F.lit("'>")), lambda a, b: F.when((a == "") & (b == ""), 1.0).when(a == b, 1.0).otherwise(0.0)).alias("c")).select("event_id", "c.format", "c.action", F.round("c.target", 6).alias("target")), "SELECT event_id, (event_id % 12 IN (0, 1, 3, 6, 9))::INTEGER::DOUBLE AS format, (event_id % 12 = 0)::INTEGER::DOUBLE AS action, CASE WHEN event_id % 24 = 0 THEN 1.0 WHEN event_id % 12 = 0 THEN 0.1 WHEN event_id % 12 IN (1, 2) THEN 0 ELSE 0.9 END::DOUBLE AS target FROM events")
 
 
 def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:

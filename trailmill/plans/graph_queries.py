@@ -87,8 +87,27 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE_SQL = "tr AS (SELECT p_partkey % 7 AS tree, p_partkey AS node, CASE WHEN p_partkey >= 14 THEN (p_partkey // 14) * 7 + p_partkey % 7 END AS parent, p_type AS role FROM part)"
 register("gra7_tree_statistics", lambda s, d: G.tree_statistics(tree(s, d), ("TYPE0", "TYPE1")), f"WITH RECURSIVE {TREE_SQL}, w(tree, node, depth, sd) AS (SELECT tree, node, 0, 0 FROM tr WHERE parent IS NULL UNION ALL SELECT w.tree, tr.node, w.depth + 1, w.sd + CASE WHEN tr.role IN ('TYPE0', 'TYPE1') THEN 0 ELSE 1 END FROM w JOIN tr ON tr.tree = w.tree AND tr.parent = w.node) SELECT tree, count(*) AS n_nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM tr c WHERE c.tree = w.tree AND c.parent = w.node)) AS n_leaves, max(depth)::INTEGER AS depth, max(sd)::INTEGER AS semantic_depth FROM w GROUP BY tree")
 register("agg34_35_role_counts", lambda s, d: G.role_counts(tree(s, d), {"a": ["TYPE0", "TYPE1"], "b": ["TYPE1"]}), f"WITH {TREE_SQL} SELECT tree, count(*) AS n, count(*) FILTER (role IN ('TYPE0', 'TYPE1')) AS a, count(*) FILTER (role = 'TYPE1') AS b FROM tr GROUP BY tree")
-register("env2_signatures", lambda s, d: tree(s, d).agg(F.countDistinct("tree", "role").alias("n")), f"WITH {TREE_SQL} SELECT count(*) AS n FROM (SELECT DISTINCT tree, role FROM tr)")
-register("env3_fingerprints", lambda s, d: G.fingerprints_differ(tree(s, d), tree(s, d).where("NOT (tree = 3 AND node % 5 = 0)")), f"WITH {TREE_SQL} SELECT tree, tree = 3 AS differs FROM tr GROUP BY tree")
+register("env2_signatures", lambda s, d: tree(s, d).select("tree", "role").distinct(), f"WITH {TREE_SQL} SELECT DISTINCT tree, role FROM tr")
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree 3 loses nodes, of tree 4 an id changes, of tree 5 a role, of tree 6 nothing but an id that is there twice."""
+    t = tree(spark, sf_dir).select("tree", "role", F.col("node").alias("bid"))
+    after = t.where("NOT (tree = 3 AND bid % 5 = 0)").select("tree", F.when(F.col("tree") == 5, F.lower("role")).otherwise(F.col("role")).alias("role"), F.when((F.col("tree") == 4) & (F.col("bid") % 100 == 4), -F.col("bid")).otherwise(F.col("bid")).alias("bid"))
+    return G.fingerprints_differ(t, after)
+
+
+register("env3_fingerprints", _fingerprints, f"WITH {TREE_SQL} SELECT tree, tree = 3 OR tree = 5 OR (tree = 4 AND bool_or(node % 100 = 4)) AS differs FROM tr GROUP BY tree")
+
+
+def _merged_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("page_id") % 3 == 0, "marketing").otherwise("info")
+    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 150).cast("string").alias("path"), label.alias("label"), F.col("page_id").alias("pos"))
+    return G.merge_classifications(p.where("pos % 2 = 0"), p.where("pos % 2 = 1"))
+
+
+register("env6_merged_classes", _merged_labels, "WITH r AS (SELECT (page_id % 150)::VARCHAR AS path, CASE WHEN page_id % 3 = 0 THEN 'marketing' ELSE 'info' END AS label, page_id % 2 AS k, page_id FROM pages), o AS (SELECT path, arg_min(label, k * 1000000000 + page_id) AS label, min(k * 1000000000 + page_id) AS o FROM r GROUP BY path) SELECT path, label, row_number() OVER (ORDER BY o, path) - 1 AS pos FROM o")
+register("env6_collapse_set", lambda s, d: G.collapse_set(_merged_labels(s, d)), "WITH r AS (SELECT (page_id % 150)::VARCHAR AS path, CASE WHEN page_id % 3 = 0 THEN 'marketing' ELSE 'info' END AS label, page_id % 2 AS k, page_id FROM pages) SELECT path AS slug FROM r GROUP BY path HAVING arg_min(label, k * 1000000000 + page_id) = 'marketing'")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

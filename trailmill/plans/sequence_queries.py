@@ -44,8 +44,8 @@ def _cold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("join12_cold_items", _cold, f"""WITH {CLEAN_SQL}, v AS (SELECT item, row_number() OVER (ORDER BY min(struct_pack(s := session, p := pos))) AS id FROM m3 WHERE session % 2 = 0 GROUP BY item),
 k AS (SELECT session, pos, id AS item, count(*) OVER (PARTITION BY session) AS n FROM m3 JOIN v USING (item) WHERE session % 2 = 1) SELECT session, pos, item FROM k WHERE n > 1""")
-register("agg17_counters", lambda s, d: Q.counters(Q.prefixes(clean(s, d)), clean(s, d)).groupBy("kind").agg(F.count("*").alias("n_keys"), F.sum("n").alias("n"), F.max("n").alias("most")), f"""WITH {EX_SQL}, c AS (SELECT 'item' AS kind, item::VARCHAR AS key, count(*) AS n FROM m3 GROUP BY ALL UNION ALL SELECT 'label', label::VARCHAR, count(*) FROM ex GROUP BY ALL
-UNION ALL SELECT 'transition', item || '>' || nx, count(*) FROM (SELECT item, lead(item) OVER (PARTITION BY session ORDER BY pos) AS nx FROM m3) WHERE nx IS NOT NULL GROUP BY ALL) SELECT kind, count(*) AS n_keys, sum(n)::BIGINT AS n, max(n) AS most FROM c GROUP BY kind""")
+register("agg17_counters", lambda s, d: Q.counters(Q.prefixes(clean(s, d)), clean(s, d)).select("kind", F.col("key").cast("string").alias("key"), "n"), f"""WITH {EX_SQL}, c AS (SELECT 'item' AS kind, item::VARCHAR AS key, count(*) AS n FROM m3 GROUP BY ALL UNION ALL SELECT 'label', label::VARCHAR, count(*) FROM ex GROUP BY ALL
+UNION ALL SELECT 'transition', item || '>' || nx, count(*) FROM (SELECT item, lead(item) OVER (PARTITION BY session ORDER BY pos) AS nx FROM m3) WHERE nx IS NOT NULL GROUP BY ALL) SELECT kind, key, n FROM c""")
 
 
 def _distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,22 +69,19 @@ SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 9) AS h
 register("gra1_cooccurrence", lambda s, d: Q.cooccurrence(clean(s, d)), f"WITH {CO_SQL} SELECT i, j, n FROM co")
 register("gra2_adjacency", lambda s, d: Q.adjacency(Q.cooccurrence(clean(s, d))).select("i", "j", "w"), f"WITH {CO_SQL} SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 9) AS w FROM co")
 register("win19_top_neighbours", lambda s, d: Q.top_neighbours(Q.cooccurrence(clean(s, d))), f"WITH {CO_SQL} SELECT * FROM (SELECT i, j, n, CAST(row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS INTEGER) AS rank FROM co) WHERE rank <= 10")
-register("gra3_neighbour_flags", lambda s, d: Q.neighbour_flags(Q.prefixes(clean(s, d)), Q.top_neighbours(Q.cooccurrence(clean(s, d)))).groupBy("flag").agg(F.count("*").alias("n")), f"""WITH {CO_SQL}, t AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS rank FROM co) WHERE rank <= 10),
+register("gra3_neighbour_flags", lambda s, d: Q.neighbour_flags(Q.prefixes(clean(s, d)), Q.top_neighbours(Q.cooccurrence(clean(s, d)))).select("session", "length", "flag"), f"""WITH {CO_SQL}, t AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS rank FROM co) WHERE rank <= 10),
 s AS (SELECT session, list(item ORDER BY pos) AS items FROM m3 GROUP BY session), ex AS (SELECT session, len, items[1:len] AS prefix, items[len + 1] AS label FROM (SELECT session, items, unnest(range(1, len(items))) AS len FROM s)),
-u AS (SELECT session, len, label, unnest(prefix) AS i FROM ex), h AS (SELECT session, len, max(CASE WHEN t.j IS NOT NULL THEN 1 ELSE -1 END) AS flag FROM u LEFT JOIN t ON t.i = u.i AND t.j = u.label GROUP BY session, len) SELECT flag, count(*) AS n FROM h GROUP BY flag""")
+u AS (SELECT session, len, label, unnest(prefix) AS i FROM ex), h AS (SELECT session, len, max(CASE WHEN t.j IS NOT NULL THEN 1 ELSE -1 END) AS flag FROM u LEFT JOIN t ON t.i = u.i AND t.j = u.label GROUP BY session, len) SELECT session, len AS length, flag FROM h""")
 register("math_price_level", lambda s, d: Q.price_levels(catalog(s, d)).select("product_handle", "level"), "SELECT 'p' || p_partkey AS product_handle, CASE WHEN hi > lo THEN CAST(trunc((p_retailprice - lo) / (hi - lo) * 99) AS INTEGER) + 1 ELSE 1 END AS level FROM (SELECT *, min(p_retailprice) OVER (PARTITION BY p_type) AS lo, max(p_retailprice) OVER (PARTITION BY p_type) AS hi FROM part)")
 register("win18_first_seen_codes", lambda s, d: Q.first_seen_codes(catalog(s, d), "product_type", "product_id"), "SELECT p_type AS product_type, row_number() OVER (ORDER BY min(p_partkey), p_type) AS code FROM part GROUP BY p_type")
 
 
 def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = clean(spark, sf_dir)
-    pairs = Q.cooccurrence(rows)
-    out = Q.negatives(rows.select("item").distinct(), pairs)
-    bad = out.join(pairs.select(F.col("i").alias("item"), F.col("j").alias("negative")), ["item", "negative"]).agg(F.count("*").alias("clashes"))
-    return out.agg(F.count("*").alias("n"), F.countDistinct("item").alias("items"), F.count_if(F.col("item") == F.col("negative")).alias("own"), F.max("rank").alias("most")).crossJoin(bad)
+    return Q.negatives(rows.select("item").distinct(), Q.cooccurrence(rows)).select("item", "negative", "rank")
 
 
-register("smp8_negatives", _negatives, f"WITH {CLEAN_SQL} SELECT count(DISTINCT item) * 10 AS n, count(DISTINCT item) AS items, 0::BIGINT AS own, 10 AS most, 0::BIGINT AS clashes FROM m3")
+register("smp8_negatives", _negatives)
 register("join8_held_out", lambda s, d: halves(clean(s, d))[1].join(item_events(s, d).where("session % 3 = 0").select("session").distinct(), "session", "left_anti").select("session", "pos", "item"), f"WITH {CLEAN_SQL} SELECT session, pos, item FROM m3 WHERE session % 2 = 1 AND session NOT IN (SELECT session FROM items WHERE session % 3 = 0)")
 register("join9_paired_ids", lambda s, d: clean(s, d).select("session").distinct().join(item_events(s, d).where("store = 1").select("session").distinct(), "session", "left_semi"), f"WITH {CLEAN_SQL} SELECT DISTINCT session FROM m3 WHERE session IN (SELECT session FROM items WHERE store = 1)")
 register("set1_shared_items", lambda s, d: halves(clean(s, d))[0].select("item").intersect(halves(clean(s, d))[1].select("item")), f"WITH {CLEAN_SQL} SELECT item FROM m3 WHERE session % 2 = 0 INTERSECT SELECT item FROM m3 WHERE session % 2 = 1")
@@ -92,15 +89,14 @@ register("srt7_sessions_by_date", lambda s, d: sorted_places(item_events(s, d).g
 
 
 def _handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items by id, or by the handle where the id is blank; what maps to nothing is counted and dropped."""
+    """Items by id, or by the handle where the id is blank; what maps to nothing is null."""
     rows = item_events(spark, sf_dir).select("session", "pos", F.when(F.col("item") % 3 == 0, "").otherwise(F.col("item").cast("string")).alias("product_id"), F.concat(F.lit("p"), (F.col("item") + F.when(F.col("item") % 50 == 0, 10**9).otherwise(0)).cast("string")).alias("product_handle"))
-    mapped = rows.join(F.broadcast(catalog(spark, sf_dir).select("product_handle", F.col("product_id").cast("string").alias("by_handle"))), "product_handle", "left")
-    item = F.coalesce(F.nullif(F.col("product_id"), F.lit("")), F.col("by_handle"))
-    return mapped.withColumn("item", item).agg(F.count("*").alias("n"), F.count("item").alias("mapped"), F.count_if(F.col("item").isNull()).alias("unmapped"), F.countDistinct("item").alias("items"))
+    mapped = rows.join(catalog(spark, sf_dir).select("product_handle", F.col("product_id").cast("string").alias("by_handle")), "product_handle", "left")
+    return mapped.select("session", "pos", F.coalesce(F.nullif(F.col("product_id"), F.lit("")), F.col("by_handle")).alias("item"))
 
 
-register("join10_11_item_by_handle", _handles, f"""WITH {ITEMS_SQL}, r AS (SELECT CASE WHEN item % 3 = 0 THEN NULL ELSE item::VARCHAR END AS id, 'p' || (item + CASE WHEN item % 50 = 0 THEN 1000000000 ELSE 0 END) AS h FROM items),
-m AS (SELECT coalesce(id, p_partkey::VARCHAR) AS item FROM r LEFT JOIN part ON 'p' || p_partkey = h) SELECT count(*) AS n, count(item) AS mapped, count(*) - count(item) AS unmapped, count(DISTINCT item) AS items FROM m""")
+register("join10_11_item_by_handle", _handles, f"""WITH {ITEMS_SQL}, r AS (SELECT session, pos, CASE WHEN item % 3 = 0 THEN NULL ELSE item::VARCHAR END AS id, 'p' || (item + CASE WHEN item % 50 = 0 THEN 1000000000 ELSE 0 END) AS h FROM items)
+SELECT session, pos, coalesce(id, p_partkey::VARCHAR) AS item FROM r LEFT JOIN part ON 'p' || p_partkey = h""")
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:

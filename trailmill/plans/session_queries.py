@@ -181,9 +181,9 @@ SELECT r.session_id, levenshtein(r.w, s.w) AS distance, round(levenshtein(r.w, s
 register("math_matrix_distance", lambda s, d: fidelity.matrix_distance(*sides(s, d)), f"""WITH {STEPS_SQL}, n AS (SELECT *, lead(action) OVER (PARTITION BY side, session_id ORDER BY ord) AS nxt FROM steps),
 c AS (SELECT n.side, a.idx AS i, b.idx AS j, count(*) AS c FROM n JOIN dom a ON a.action = n.action JOIN dom b ON b.action = n.nxt GROUP BY ALL), p AS (SELECT side, i, j, c / sum(c) OVER (PARTITION BY side, i) AS p FROM c),
 x AS (SELECT coalesce(a.p, 0) - coalesce(b.p, 0) AS e FROM (SELECT * FROM p WHERE side = 0) a FULL JOIN (SELECT * FROM p WHERE side = 1) b USING (i, j)) SELECT round(sum(abs(e)), 9) AS l1, round(sqrt(sum(e * e)), 9) AS frobenius FROM x""")
-register("math_chi_square", lambda s, d: fidelity.chi_square(*sides(s, d)).select(F.round("statistic", 6).alias("statistic"), "dof"), f"""WITH {STEPS_SQL}, o AS (SELECT side, session_id, {PRIMARY} AS o FROM steps GROUP BY ALL), c AS (SELECT side, o, count(*) AS n FROM o GROUP BY ALL),
+register("math_chi_square", lambda s, d: fidelity.chi_square(*sides(s, d)).select(F.round("statistic", 6).alias("statistic"), "dof", F.round("p", 9).alias("p")), f"""WITH {STEPS_SQL}, o AS (SELECT side, session_id, {PRIMARY} AS o FROM steps GROUP BY ALL), c AS (SELECT side, o, count(*) AS n FROM o GROUP BY ALL),
 g AS (SELECT s.side, k.o, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT side FROM c) s CROSS JOIN (SELECT DISTINCT o FROM c) k LEFT JOIN c ON c.side = s.side AND c.o = k.o),
-e AS (SELECT n, sum(n) OVER (PARTITION BY side) * sum(n) OVER (PARTITION BY o) / sum(n) OVER () AS x, o FROM g) SELECT round(sum((n - x) ** 2 / x), 6) AS statistic, CAST(count(DISTINCT o) - 1 AS INTEGER) AS dof FROM e""")
+e AS (SELECT n, sum(n) OVER (PARTITION BY side) * sum(n) OVER (PARTITION BY o) / sum(n) OVER () AS x, o FROM g) SELECT round(sum((n - x) ** 2 / x), 6) AS statistic, CAST(count(DISTINCT o) - 1 AS INTEGER) AS dof, round(exp(-sum((n - x) ** 2 / x) / 2), 9) AS p FROM e""")
 register("math_two_proportions", lambda s, d: fidelity.two_proportions(*sides(s, d)).select(F.round("z", 6).alias("z")), f"""WITH {STEPS_SQL}, f AS (SELECT side, session_id, bool_or(action = 'checkout') AS c FROM steps GROUP BY ALL), g AS (SELECT count(*) FILTER (side = 0) AS n1, count(*) FILTER (side = 1) AS n2, count(*) FILTER (side = 0 AND c) AS x1, count(*) FILTER (side = 1 AND c) AS x2 FROM f)
 SELECT round((x1 / n1 - x2 / n2) / sqrt((x1 + x2) / (n1 + n2) * (1 - (x1 + x2) / (n1 + n2)) * (1 / n1 + 1 / n2)), 6) AS z FROM g""")
 register("flt3_valid_sessions", lambda s, d: fidelity.valid_sessions(fidelity.arrays(steps(s, d).where("side = 0"))).select("session_id", "n"), f"WITH {STEPS_SQL} SELECT session_id, CAST(count(*) AS INTEGER) AS n FROM steps WHERE side = 0 GROUP BY session_id")

@@ -155,7 +155,7 @@ def store_sessions(rows: DataFrame, cap: int, store: str | None = None) -> DataF
     chosen = rows if store is None else rows.where(F.col("store_id") == store)
     if cap <= 0:
         return chosen
-    return chosen.join(F.broadcast(chosen.select("session_id").distinct().orderBy("session_id").limit(cap)), "session_id", "left_semi")
+    return chosen.join(chosen.select("session_id").distinct().orderBy("session_id").limit(cap), "session_id", "left_semi")
 
 
 def distinct_runs(paths: DataFrame, path: str, order: str) -> DataFrame:
