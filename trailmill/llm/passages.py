@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from .common import bucket_count, importable, release, shared, text_bytes
 from .hashing import mix, text_windows
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 12 << 20
 PART_BYTES = 96 << 20
 BROADCAST_BYTES = 32 << 20  # runs of repeated windows that are sent to the texts; more of them meet the texts in a shuffle
@@ -130,9 +130,12 @@ def _send_block(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], runs: lis
     # Texts ascend by doc_id and sorts are stable, so the first of equal windows is of the smallest.
     sort = np.argsort(value, kind="stable") if second is None else np.lexsort((second, value))
     fresh = np.ones(len(sort), bool)
-    fresh[1:] = value[sort][1:] != value[sort][:-1]
+    here = value[sort]
+    fresh[1:] = here[1:] != here[:-1]
     if second is not None:
-        fresh[1:] |= second[sort][1:] != second[sort][:-1]
+        here = second[sort]
+        fresh[1:] |= here[1:] != here[:-1]
+    del here
     start = np.flatnonzero(fresh)
     count = np.diff(np.append(start, len(sort)))
     owner = np.repeat(ids[text[sort]][start], count)
