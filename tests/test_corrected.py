@@ -174,3 +174,19 @@ def test_sort_orders(spark):
     assert order("TITLE") == [5, 3, 4, 1, 2] and order("TITLE", True) == [2, 1, 4, 3, 5]
     assert order("UPDATED_AT") == [1, 5, 3, 2, 4] and order("PRICE") == [2, 3, 4, 1, 5]
     assert order("BEST_SELLING") == [1, 2, 3, 4, 5] and order("RELEVANCE", True) == [5, 4, 3, 2, 1]
+
+
+def test_text_of_html(spark):
+    """Worked pages, and the pages of the tables against a plain cut with regular expressions."""
+    import os
+    import re
+
+    cases = {"<p>a&amp;b <b>c</b></p>\n<style>x{}</style>d": "a&b c d", "<script>var t='</p>';</script>x<br>y": "x y", "a<!-- no -->b": "a b", "&lt;i&gt; &eacute;": "<i> é", "": "", "plain": "plain", "<p title='a>b'>t": "t"}
+    assert column(spark, [*cases, None], "string", lambda c: X.html_text()(c)) == [*cases.values(), None]
+    data = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test data here")
+    rows = spark.read.parquet(data).select("html", X.html_text()(F.col("html")).alias("t")).collect()
+    for r in rows:
+        plain = re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ", r.html)
+        assert r.t == " ".join(unescape(plain).split())

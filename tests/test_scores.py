@@ -157,3 +157,40 @@ def test_negatives_of_the_query(spark):
         free = len(items) - 1 - sum((i, j) in met for j in items if j != i)
         assert sorted(own) == list(range(1, min(10, free) + 1)) and len(set(own.values())) == len(own)
         assert all(j in items and j != i and (i, j) not in met for j in own.values())
+
+
+def test_catalog_axes_and_tasks(spark):
+    from trailmill.operators import catalog, tasks
+
+    opts = "place int, options array<struct<name:string>>, variants array<int>"
+    p = spark.createDataFrame([(2, [("Color",), (" size ",)], [1, 2]), (1, [("SIZE",), ("",), (None,)], [1]), (3, None, None), (4, [("Fit",), ("color",)], [])], opts)
+    assert [r.axis for r in catalog.option_axes(p).orderBy("place").collect()] == ["size", "color", "fit"]
+    assert tuple(catalog.multi_variant_share(p).first()) == (4, 0.25) and tuple(catalog.multi_variant_share(p.limit(0)).first()) == (0, 0.0)
+    pages = spark.createDataFrame([(3, "Ship", "b"), (1, "x", "shipping"), (2, "about", "a")], "place int, title string, handle string")
+    assert [r.url for r in tasks.policy_task(pages, "/policies/p", "ship").orderBy("pos").collect()] == ["/pages/shipping", "/pages/b", "/policies/p"]
+    assert [r.url for r in tasks.policy_task(pages, "/pages/b", "ship").orderBy("pos").collect()] == ["/pages/shipping", "/pages/b"]
+    assert [r.url for r in tasks.policy_task(pages, "/policies/p", "return").collect()] == ["/policies/p"]
+    assert [r.title for r in catalog.point_lookup(pages.withColumn("k", F.lit("v")), "k", "v").collect()] == ["x"]
+
+
+def test_carved_sessions(spark):
+    keys = spark.range(40).withColumnRenamed("id", "session")
+    order = sorted(range(40), key=lambda i: hashlib.sha256(f"42|{i}".encode()).hexdigest())
+    for most in (None, 0, 7, 36):
+        got = {r.session: r.split for r in datasets.carve(keys, 0.1, most).collect()}
+        assert got == {i: "val" if k < 4 else "train" for k, i in enumerate(order[: 40 if most is None else 4 + most])}
+    with pytest.raises(ValueError):
+        datasets.carve(keys, 0.1, 37)
+    assert datasets.carve(keys.limit(0), 0.1).count() == 0 and datasets.carve(keys.limit(1), 0.1).first().split == "val"
+
+
+def test_action_space_and_corpus_similarity(spark):
+    rows = [(1, "button", False), (1, "link", None), (1, "radio", False), (1, "searchbox", False), (1, "combobox", False), (1, "slider", False), (1, "button", True), (2, None, False)]
+    got = {(r.tree, r.action): r.n for r in graph.action_space(spark.createDataFrame(rows, "tree int, role string, hidden boolean")).collect()}
+    assert got == {(1, a): n for a, n in {"click": 3, "dblclick": 3, "hover": 3, "clear": 1, "fill": 1, "press": 1, "select_option": 1, "choice": 2}.items()}
+    frame = lambda rows: spark.createDataFrame(rows, "text string, v array<double>")
+    real = frame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("a", [1.0, 0.0]), (" ", [1.0, 1.0])])
+    synth = frame([("x", [2.0, 0.0]), ("x", [2.0, 0.0]), ("y", [1.0, 1.0]), (None, [5.0, 5.0])])
+    r = graph.corpus_similarity(synth, real).first()
+    assert (r.similarity, r.n_real, r.n_synth) == (pytest.approx((1 + math.sqrt(0.5)) / 2, abs=1e-6), 2, 2)
+    assert tuple(graph.corpus_similarity(synth.limit(0), real).first()) == (0.0, 2, 0)

@@ -210,6 +210,24 @@ def catalog_statistics(catalog: DataFrame) -> DataFrame:
     return sizes.crossJoin(prices)  # one row each
 
 
+def option_axes(products: DataFrame) -> DataFrame:
+    """(axis, place): names of the options of all products, in small letters without blanks around, in the order in which they first come up; from 0. Rows are (place, options: array of (name, ...))."""
+    named = products.select("place", F.posexplode("options").alias("pos", "o")).select(F.lower(F.trim("o.name")).alias("axis"), F.struct("place", "pos").alias("__at")).where("axis <> ''")
+    first = named.groupBy("axis").agg(F.min("__at").alias("__at"))
+    return sorted_places(first, "__at", "axis", place="place").select("axis", (F.col("place") - 1).alias("place"))
+
+
+def multi_variant_share(products: DataFrame) -> DataFrame:
+    """(n, share): products, and the share of those that have more than one variant; 0 without products."""
+    many = F.count_if(F.coalesce(F.size("variants"), F.lit(0)) > 1)
+    return products.agg(F.count("*").alias("n"), F.when(F.count("*") > 0, many / F.count("*")).otherwise(0.0).alias("share"))
+
+
+def point_lookup(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """The first row by place whose column is the value: a product, collection, page, blog, article, menu or policy by its handle."""
+    return rows.where(F.col(column) == value).orderBy("place").limit(1)
+
+
 def encoded_variants(variants: DataFrame) -> DataFrame:
     """(product, code): the combinations of option values that exist, from (product, places) rows, places being one index an option.
 

@@ -167,6 +167,20 @@ def split_groups(keys: DataFrame, share: float, seed: int = 42, key: str = "sess
     return hash_places(keys, seed, key, place="__k").withColumn("split", F.when(F.col("__k") <= test, "test").otherwise("train")).drop("__k")
 
 
+def carve(keys: DataFrame, share: float, most: int | None = None, seed: int = 42, key: str = "session") -> DataFrame:
+    """Keys with `split`: the whole part of share * n by hash order, one at least, is val, the rest train; of train at most `most`, the next ones in that order.
+
+    The cap comes after the split, so val is the same whatever the cap; a cap above
+    the number of train keys raises.
+    """
+    n = keys.count()
+    val = max(1, int(share * n)) if n else 0
+    if most is not None and most > n - val:
+        raise ValueError(f"{most} sessions are asked for, {n - val} are there")
+    placed = hash_places(keys, seed, key, place="__k").withColumn("split", F.when(F.col("__k") <= val, "val").otherwise("train"))
+    return (placed if most is None else placed.where(F.col("__k") <= val + most)).drop("__k")
+
+
 def leaks(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Keys in both parts: empty in a sound split."""
     return train.select(key).intersect(test.select(key))

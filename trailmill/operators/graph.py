@@ -146,6 +146,19 @@ def role_counts(nodes: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return nodes.groupBy("tree").agg(F.count("*").alias("n"), *[F.count_if(F.col("role").isin(*roles)).alias(name) for name, roles in groups.items()])
 
 
+#: What can be done with a node by its role, and the roles that are a choice.
+CLICKED = ("button", "link", "menuitem", "menuitemcheckbox", "menuitemradio", "tab", "checkbox", "radio", "switch")
+ROLE_ACTIONS = {"click": CLICKED, "dblclick": CLICKED, "hover": CLICKED, "clear": ("textbox", "searchbox"), "fill": ("textbox", "searchbox"), "press": ("textbox", "searchbox"), "select_option": ("combobox", "listbox", "option")}
+CHOICES = ("checkbox", "combobox", "listbox", "option", "radio")
+
+
+def action_space(nodes: DataFrame) -> DataFrame:
+    """(tree, action, n): how many visible nodes of a tree each action has, and under `choice` how many are a choice by their role; actions without a node have no row. Rows are (tree, role, hidden)."""
+    verbs = F.array_compact(F.array(*[F.when(F.col("role").isin(*roles), verb) for verb, roles in {**ROLE_ACTIONS, "choice": CHOICES}.items()]))
+    shown = nodes.where(~F.coalesce("hidden", F.lit(False)))
+    return shown.select("tree", F.explode(verbs).alias("action")).groupBy("tree", "action").agg(F.count("*").alias("n"))
+
+
 def fingerprints_differ(before: DataFrame, after: DataFrame) -> DataFrame:
     """(tree, differs): whether the number of nodes, the histogram of roles or the set of ids of a tree changed. Rows are (tree, role, bid); blank roles and missing ids don't count as such."""
 
@@ -217,6 +230,16 @@ def nearest_in_group(synth: DataFrame, real: DataFrame, key: str, block: int = 4
     return best.groupBy(key).agg(F.round(F.avg("m"), 6).alias("similarity"), F.count("*").alias("n"))
 
 
+def corpus_similarity(synth: DataFrame, real: DataFrame) -> DataFrame:
+    """(similarity, n_real, n_synth): mean over the distinct synthetic texts of the greatest cosine with a real one; 0 where a side has none. Rows are (text, v); blank texts don't count."""
+    distinct = lambda df: df.where("trim(text) <> ''").groupBy("text").agg(F.min_by("v", F.to_json("v")).alias("v"))
+    a, b = cut(distinct(synth)), cut(distinct(real))
+    keyed = lambda df: df.select(F.lit("all").alias("g"), F.col("text").alias("id"), "v")
+    counts = b.agg(F.count("*").alias("n_real")).crossJoin(a.agg(F.count("*").alias("n_synth")))  # one row each
+    near = nearest_in_group(keyed(a), keyed(b), "g").agg(F.max("similarity").alias("similarity"))
+    return near.crossJoin(counts).select(F.coalesce("similarity", F.lit(0.0)).alias("similarity"), "n_real", "n_synth")  # one row each
+
+
 def retrieve(memory: DataFrame, query: list[float], now: float, n: int, recent: dict[str, float] | None = None) -> DataFrame:
     """(id, part, rank, score): first all recent pieces of the kinds in `recent` (kind -> greatest age), by time; then the n best.
 

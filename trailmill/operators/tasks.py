@@ -65,6 +65,14 @@ def filter_tasks(values: DataFrame, priority: list[str]) -> DataFrame:
     return values.where(rank > 0).groupBy("collection").agg(F.min(F.struct(rank.alias("r"), F.col("dimension"), F.col("value"))).alias("m")).select("collection", "m.dimension", "m.value")
 
 
+def policy_task(pages: DataFrame, fallback: str, *words: str) -> DataFrame:
+    """(pos, url): where a policy can be found: the pages that the words begin words of, by place, then the fallback unless it is among them. The first one is what a task asks for."""
+    found = pages_matching(pages, *words).select(F.concat(F.lit("/pages/"), "handle").alias("url"), F.col("place").cast("long").alias("__p"))
+    last = pages.sparkSession.range(1).select(F.lit(fallback).alias("url"), F.lit(None).cast("long").alias("__p"))
+    every = found.unionByName(last.join(found.select("url"), "url", "left_anti"))
+    return every.select((F.row_number().over(Window.orderBy(F.asc_nulls_last("__p"), "url")) - 1).alias("pos"), "url")  # a shop's pages about one policy
+
+
 GENERIC_SHARE = 0.4
 
 

@@ -112,3 +112,13 @@ _VARIANTS = "transform(sequence(0, 3), i -> named_struct('options', map('size',
 register("fn_select_variant", lambda s, d: table(s, d, "part").selectExpr("p_partkey", f"{_VARIANTS} AS v", "CASE WHEN p_partkey % 5 = 0 THEN map() ELSE map('size', CAST(p_partkey % 4 AS STRING)) END AS o").select("p_partkey", C.select_variant(F.col("v"), F.col("o"))["id"].alias("chosen")), """WITH v AS (SELECT p_partkey, i, (p_size + i) % 3 AS size, (p_partkey + i) % 4 = 0 AS sold FROM part, range(4) r(i))
 SELECT p_partkey, coalesce(min(i) FILTER (p_partkey % 5 <> 0 AND size = p_partkey % 4), min(i) FILTER (sold), 0)::INTEGER AS chosen FROM v GROUP BY p_partkey""")
 register("fn_metafield", lambda s, d: table(s, d, "part").selectExpr("p_partkey", "array(named_struct('namespace', 'a', 'key', p_type, 'value', 'x'), named_struct('namespace', 'b', 'key', p_type, 'value', p_name)) AS f").select("p_partkey", C.metafield(F.col("f"), "b", "TYPE1").alias("value")), "SELECT p_partkey, CASE WHEN p_type = 'TYPE1' THEN p_name END AS value FROM part")
+
+
+def _optioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opts = "CASE product_id % 4 WHEN 0 THEN array(named_struct('name', ' Size '), named_struct('name', product_type)) WHEN 1 THEN array(named_struct('name', 'SIZE')) WHEN 2 THEN array(named_struct('name', '')) END"
+    return placed(spark, sf_dir).select("place", F.expr(opts).alias("options"), F.expr("sequence(1, CAST(product_id % 3 AS INT) + 1)").alias("variants"))
+
+
+register("agg30_option_axes", lambda s, d: C.option_axes(_optioned(s, d)), f"WITH {PLACED_SQL}, o AS (SELECT 'size' AS axis, place * 10 AS spot FROM pl WHERE product_id % 4 < 2 UNION ALL SELECT lower(trim(product_type)), place * 10 + 1 FROM pl WHERE product_id % 4 = 0), f AS (SELECT axis, min(spot) AS spot FROM o GROUP BY axis) SELECT axis, row_number() OVER (ORDER BY spot, axis) - 1 AS place FROM f")
+register("agg30_multi_variant_share", lambda s, d: C.multi_variant_share(_optioned(s, d)), f"WITH {PLACED_SQL} SELECT count(*) AS n, count(*) FILTER (product_id % 3 > 0) / count(*) AS share FROM pl")
+register("tsk4_first_of_handle", lambda s, d: C.point_lookup(placed(s, d).withColumn("handle", F.lower("product_type")), "handle", "promo").select("product_handle"), f"WITH {PLACED_SQL} SELECT product_handle FROM pl WHERE lower(product_type) = 'promo' ORDER BY place LIMIT 1")

@@ -227,3 +227,5 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("smp1_greedy_coverage", _greedy)
+register("smp7_carved_sessions", lambda s, d: D.carve(_actions(s, d).select("session").distinct(), 0.1, 50).select("session", "split"), f"""WITH {ACTIONS_SQL}, k AS (SELECT session, row_number() OVER (ORDER BY sha256('42|' || session), session) AS place, greatest(1, trunc(0.1 * count(*) OVER ())) AS val FROM (SELECT DISTINCT session FROM act))
+SELECT session, CASE WHEN place <= val THEN 'val' ELSE 'train' END AS split FROM k WHERE place <= val + 50""")

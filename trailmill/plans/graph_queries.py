@@ -217,3 +217,32 @@ def stored_site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 
 register("env4_stored_crawl", lambda s, d: W.crawl_log(W.bounded_crawl(*stored_site(s, d), hops=3, most=8)))
 register("env4_crawl_edges", lambda s, d: W.crawl_edges(W.bounded_crawl(*stored_site(s, d), hops=3, most=8)))
+
+
+def _action_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles by the key of a part; every ninth node is hidden."""
+    roles = ("button", "textbox", "option", "generic", "radio", "link")
+    role = F.element_at(F.array(*map(F.lit, roles)), (F.col("node") % 6 + 1).cast("int"))
+    return G.action_space(tree(spark, sf_dir).select("tree", role.alias("role"), (F.col("node") % 9 == 0).alias("hidden")))
+
+
+register("agg35_action_space", _action_space, f"""WITH {TREE_SQL}, n AS (SELECT tree, node % 6 AS k FROM tr WHERE node % 9 <> 0), v AS (SELECT tree, unnest(CASE k WHEN 0 THEN ['click', 'dblclick', 'hover'] WHEN 1 THEN ['clear', 'fill', 'press'] WHEN 2 THEN ['select_option', 'choice'] WHEN 4 THEN ['click', 'dblclick', 'hover', 'choice'] WHEN 5 THEN ['click', 'dblclick', 'hover'] ELSE [] END) AS action FROM n) SELECT tree, action, count(*) AS n FROM v GROUP BY ALL""")
+
+
+def _policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.when(F.col("page_id") % 90 == 7, "Shipping").otherwise("Hardship").alias("title"), F.concat(F.lit("h-"), "page_id").alias("handle"))
+    return T.policy_task(p, "/policies/shipping-policy", "ship", "deliver")
+
+
+register("tsk2_policy_task", _policy, "WITH h AS (SELECT '/pages/h-' || page_id AS url, page_id AS p FROM pages WHERE page_id % 90 = 7 UNION ALL SELECT '/policies/shipping-policy', NULL) SELECT (row_number() OVER (ORDER BY p NULLS LAST, url) - 1)::INTEGER AS pos, url FROM h")
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that repeat: a text is a vector's label and its id by hundreds, its vector that of the smallest of them."""
+    v = vectors(spark, sf_dir).withColumn("text", F.concat_ws("-", "g", (F.col("id") % 100).cast("string")))
+    first = v.groupBy("text").agg(F.min_by("v", "id").alias("v"))
+    same = v.select("id", "text").join(first, "text")
+    return G.corpus_similarity(same.where("id % 2 = 1"), same.where("id % 2 = 0 AND id % 100 < 60"))
+
+
+register("vec2_corpus_similarity", _corpus, "WITH t AS (SELECT label || '-' || (vec_id % 100) AS text, arg_min(embedding, vec_id)::DOUBLE[] AS v, min(vec_id % 100) AS k FROM embeddings GROUP BY 1), m AS (SELECT a.text, max(list_cosine_similarity(a.v, b.v)) AS m FROM t a, t b WHERE a.k % 2 = 1 AND b.k % 2 = 0 AND b.k < 60 GROUP BY a.text) SELECT round(avg(m), 6) AS similarity, (SELECT count(*) FROM t WHERE k % 2 = 0 AND k < 60) AS n_real, count(*) AS n_synth FROM m")
