@@ -34,7 +34,7 @@ def odd(tmp_path_factory):
     at = tmp_path_factory.mktemp("odd")
     texts = [None, "", " ", "a b", "same text of some words here now", "x" * 70_000, "tok " * 30_000, *[" ".join(r.choices(["alpha", "beta", "gamma", "delta"], k=40)) for _ in range(40)]]
     ids = [None, *range(len(texts) - 3), 7, 7]
-    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "n_tokens": ["x"] * len(ids), "score": ["x"] * len(ids), "size": ["x"] * len(ids), "offset": ["x"] * len(ids), "lang": ["en", None] * (len(ids) // 2) + ["en"] * (len(ids) % 2), "source": [None, "s", "t"] * (len(ids) // 3) + ["s"] * (len(ids) % 3)})
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "n_tokens": ["x"] * len(ids), "score": ["x"] * len(ids), "size": ["x"] * len(ids), "offset": ["x"] * len(ids), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64()), "lang": ["en", None] * (len(ids) // 2) + ["en"] * (len(ids) % 2), "source": [None, "s", "t"] * (len(ids) // 3) + ["s"] * (len(ids) % 3)})
     pq.write_table(docs, at / "documents.parquet")
     pq.write_table(pa.table({"item_id": pa.array([1, 1, None, 3], pa.int64()), "text": ["alpha beta", "tok", None, " "], "n_words": ["x"] * 4}), at / "benchmark.parquet")
     pq.write_table(pa.table({"doc_id": pa.array([1, 1, None, 900, 2], pa.int64()), "quality": pa.array([1, 0, 1, None, 0], pa.int32())}), at / "labels.parquet")
@@ -136,3 +136,20 @@ def test_op10(spark):
         assert all(abs(s - score[np.flatnonzero(ids == i)[0]]) < 1e-9 for i, s in own.values())
         hit, total = hit + len(set(want) & {i for i, _ in own.values()}), total + len(want)
     assert hit >= 0.9 * total
+
+
+def test_pipeline_on_odd_tables(spark, odd, tmp_path):
+    """All stages in a row on rows of any kind: every piece is of a row that was there, each row's pieces are whole; empty tables give an empty result."""
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, odd).collect()
+    ids = [d["doc_id"] for d in rows("documents", odd)]
+    assert {r["doc_id"] for r in got} <= set(ids) and all(1 <= r["length"] <= 1024 for r in got)
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()]
+    for name in ("documents", "labels"):
+        pq.write_table(pq.read_table(f"{odd}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
