@@ -92,7 +92,7 @@ def membership(products: DataFrame, collections: DataFrame, generic_share: float
 
 
 FEW_NAMES = 64
-GRAM = 5
+GRAM = 12  # names often begin alike, so short heads would bring most of them together
 
 
 def mentions(texts: DataFrame, names: DataFrame, exact_case: bool = False) -> DataFrame:

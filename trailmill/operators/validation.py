@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import cut
 from .tasks import literal, mentions, prefix_matches
 
 #: Titles up to this length are too common to count as mentioned.
@@ -143,7 +144,7 @@ def validate(tasks: DataFrame, products: DataFrame, collections: DataFrame, page
     filter-dim-unknown, product-not-in-collection, option-mismatch,
     single-sku-value-selection. Null fields count as empty. Handles are unique.
     """
-    about = mentioned(tasks, products, "product_handle", "product_title", SHORT_TITLE)
+    about = cut(mentioned(tasks, products, "product_handle", "product_title", SHORT_TITLE))  # three rules read it
     parts = [
         unknown_handles(tasks, products, collections, pages),
         filter_findings(tasks, products, collections),
