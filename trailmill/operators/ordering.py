@@ -18,6 +18,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The frame for a join that deals both sides out by key.
+
+    Spark would send a side whole to the driver and every task if its files are
+    small, but they tell nothing of the rows that exploding or unpacking makes.
+    """
+    return df.hint("merge")
+
+
 def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
     """Rows with `__part`, the number of their range in the order.
 

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import apart
+
 #: Titles of collections, and parts of them, that name no theme.
 GENERIC_TITLES = ("all", "sale", "new arrival", "new arrivals", "gift card", "gift cards", "best seller", "best sellers", "featured")
 GENERIC_PARTS = ("promo", "eligible", "test collection", "internal", "staff only", "wholesale", "draft", "automation")
@@ -111,7 +113,7 @@ def mentions(texts: DataFrame, names: DataFrame, exact_case: bool = False) -> Da
     runs = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - (n - 1), F.lit(1))), lambda i: F.substr(F.col("__t"), i, F.lit(n))))
     folded = texts.select("id", "text", fold(F.col("text")).alias("__t")).where("text IS NOT NULL")
     grams = folded.select("id", "text", F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in sizes])))).alias("gram"))
-    return grams.join(keyed.select("name", "gram"), "gram").where(F.contains(fold(F.col("text")), fold(F.col("name")))).select("id", "name").distinct()
+    return grams.join(apart(keyed.select("name", "gram")), "gram").where(F.contains(fold(F.col("text")), fold(F.col("name")))).select("id", "name").distinct()
 
 
 def prefix_matches(wanted: DataFrame, names: DataFrame) -> DataFrame:
@@ -121,7 +123,7 @@ def prefix_matches(wanted: DataFrame, names: DataFrame) -> DataFrame:
     if not sizes:
         return asked.withColumn("name", F.lit(None).cast("string")).where(F.lit(False))
     heads = F.explode(F.array(*[F.when(F.length("name") >= n, F.substring("name", 1, n)) for n in sizes]))
-    return names.select("name", heads.alias("prefix")).where("prefix IS NOT NULL").join(asked, "prefix").select("prefix", "name")
+    return names.select("name", heads.alias("prefix")).where("prefix IS NOT NULL").join(apart(asked), "prefix").select("prefix", "name")
 
 
 def rule_gate(expected: Column, refused: Column, wanted: Column, urls: Column) -> Column:
