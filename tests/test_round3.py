@@ -2,7 +2,7 @@
 
 import re
 
-from trailmill.operators import tasks, validation
+from trailmill.operators import datasets, tasks, validation
 
 
 def plan(df) -> str:
@@ -28,3 +28,11 @@ def test_strays_start_from_the_mentioned_products(spark):
     # The collections' products meet the mentioned ones by handle; no join on the collection alone lists them for each task.
     assert not re.search(r"SortMergeJoin \[collection#\d+\], \[collection#\d+\], Inner|BroadcastHashJoin \[collection#\d+\], \[collection#\d+\], Inner", plan(lost))
     assert [tuple(r) for r in lost.collect()] == [("product-not-in-collection", "warning", 2, "p2")]
+
+
+def test_a_mean_at_the_threshold_is_not_below_it(spark):
+    prices = [39.61, 88.91, 51.48]  # 180 in all, but not when added in this order
+    rows = spark.createDataFrame([("at",), ("below",), ("none",)], "k string")
+    scores = spark.createDataFrame([("at", p) for p in prices] + [("below", 59.99)], "k string, score double").coalesce(1)
+    kept = datasets.gate_by_score(rows, scores, 60.0, "k")
+    assert sorted(r["k"] for r in kept.collect()) == ["at", "none"]

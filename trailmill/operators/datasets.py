@@ -46,8 +46,12 @@ def base_session(id_column: Column) -> Column:
 
 
 def gate_by_score(rows: DataFrame, scores: DataFrame, threshold: float, key: str) -> DataFrame:
-    """Rows whose mean verifier score (key, criterion, score) is not below the threshold; rows without one stay."""
-    low = scores.groupBy(key).agg(F.avg("score").alias("m")).where(F.col("m") < threshold)
+    """Rows whose mean verifier score (key, criterion, score) is not below the threshold; rows without one stay.
+
+    The last bits of a sum of doubles depend on the order in which a run adds them, so means
+    are compared at nine decimals: one that is the threshold is never below it.
+    """
+    low = scores.groupBy(key).agg(F.round(F.avg("score"), 9).alias("m")).where(F.col("m") < threshold)
     return rows.join(low.select(key), key, "left_anti")
 
 
