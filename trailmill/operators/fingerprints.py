@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def protocol_record(session: Column, source: Column, outcome: Column, actions: C
     return F.concat(F.lit('{"actions":['), F.array_join(kept, ","), F.lit('],"outcome":'), json_text(outcome), F.lit(',"session_id":'), json_text(blank(session)), F.lit(',"source":'), json_text(blank(source)), F.lit("}"))
 
 
-def list_fingerprint(records: DataFrame, text: str, *order: str, chunk: int = CHUNK) -> DataFrame:
+def list_fingerprint(records: DataFrame, text: str, *order: str, chunk: int = CHUNK, levels: int | None = None) -> DataFrame:
     """(n, fingerprint): SHA-256 of the JSON list of the record texts in the given order.
 
     A list of up to `chunk` records is hashed as it is. Of a longer one each run of
@@ -36,16 +38,24 @@ def list_fingerprint(records: DataFrame, text: str, *order: str, chunk: int = CH
     of JSON strings, and so on up to one; so no task ever holds more than one
     run. Rows that are equal in the whole order must have equal texts. An empty
     list is [].
+
+    With `levels` the folding ends after so many. There is a row for each hash that
+    is left then, none for an empty list, and a run of one hash stays that hash.
     """
     level = cut(sorted_places(records.select(F.col(text).alias("text"), *order), *order).select((F.col("place") - 1).alias("i"), "text"))
     n = level.count()
     left = n
-    while True:
+    for done in count(1):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), ",")
-        level = level.groupBy(F.expr(f"i div {chunk}").alias("i")).agg(F.sha2(F.concat(F.lit("["), joined, F.lit("]")), 256).alias("h"))
+        hashed = F.sha2(F.concat(F.lit("["), joined, F.lit("]")), 256)
+        if levels is not None and done > 1:
+            hashed = F.when(F.count("*") == 1, F.btrim(F.min("text"), F.lit('"'))).otherwise(hashed)
+        level = level.groupBy(F.expr(f"i div {chunk}").alias("i")).agg(hashed.alias("h"))
         left = -(-left // chunk)
-        if left <= 1:
+        if left <= 1 or done == levels:
             break
         level = cut(level.select("i", F.concat(F.lit('"'), "h", F.lit('"')).alias("text")))
+    if levels is not None:
+        return level.select(F.lit(n).cast("long").alias("n"), F.col("h").alias("fingerprint"))
     one = level.agg(F.max("h").alias("h"))
     return one.select(F.lit(n).cast("long").alias("n"), F.coalesce("h", F.sha2(F.lit("[]"), 256)).alias("fingerprint"))
