@@ -3,7 +3,9 @@
 import hashlib
 import re
 
-from trailmill.operators import datasets, fingerprints, tasks, validation
+from pyspark.sql import functions as F
+
+from trailmill.operators import datasets, fingerprints, sequences, tasks, validation
 
 
 def plan(df) -> str:
@@ -48,3 +50,24 @@ def test_folding_ends_after_the_levels_asked_for(spark):
     assert of(5) == [(5, sha(f'"{two}"', '"' + sha(f'"{a[2]}"') + '"'))]
     assert of(2, levels=2) == of(2) == [(2, a[0])]
     assert of(0, levels=2) == [] and of(0) == [(0, sha())]
+
+
+def test_pairs_go_into_parts_that_grow_with_the_rows(spark):
+    rows = spark.range(900_000).selectExpr("id div 2 AS session", "id % 2 AS pos", "id % 2 + 5 AS item")
+    for by in ((), ("i",)):
+        pairs = sequences.cooccurrence(rows, *by)
+        assert re.findall(r"hashpartitioning\(session#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan(pairs)) and set(re.findall(r"hashpartitioning\(session#\d+L?, (\d+)\)", plan(pairs))) == {"5"}
+        assert sorted(tuple(r) for r in pairs.collect()) == [(5, 6, 450_000), (6, 5, 450_000)]
+
+
+def test_tries_that_hit_no_neighbour_are_not_joined(spark):
+    items = spark.range(40).select(F.col("id").alias("item"))
+    pairs = items.alias("a").join(items.alias("b"), F.expr("a.item <> b.item AND (a.item = 0 OR b.item = 0)")).selectExpr("a.item AS i", "b.item AS j")
+    out = sequences.negatives(items, pairs, k=3)
+    assert "LeftAnti" not in plan(out)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["item"], []).append((r["rank"], r["negative"]))
+    assert 0 not in got and len(got) == 39
+    for item, ranks in got.items():
+        assert sorted(r for r, _ in ranks) == [1, 2, 3] and not {0, item} & {x for _, x in ranks}

@@ -27,6 +27,11 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def shares(df: DataFrame, rows: int = 200_000) -> int:
+    """Into how many parts a table goes for about so many rows each; never fewer than the session shuffles into. Counts the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def ranged(df: DataFrame, *order: str | Column) -> DataFrame:
     """Rows with `__part`, the number of their range in the order.
 

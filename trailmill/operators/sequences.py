@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import before_range, ranged, sorted_places
+from .ordering import apart, before_range, cut, ranged, shares, sorted_places
 
 
 def collapse_repeats(rows: DataFrame) -> DataFrame:
@@ -134,11 +134,22 @@ def popularity_range(train: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return one.select(rate("by_id").alias("hr_by_id"), rate("fewest").alias("hr_min"), rate("most").alias("hr_max"), "n_tied", "n_slots")
 
 
-def cooccurrence(rows: DataFrame) -> DataFrame:
-    """(i, j, n): over all pairs of positions of a session with different items, both directions."""
-    a = rows.select("session", F.col("pos").alias("p"), F.col("item").alias("i"))
-    b = rows.select("session", F.col("pos").alias("q"), F.col("item").alias("j"))
-    return a.join(b, "session").where("p <> q AND i <> j").groupBy("i", "j").agg(F.count("*").alias("n"))
+def cooccurrence(rows: DataFrame, *by: str) -> DataFrame:
+    """(i, j, n): over all pairs of positions of a session with different items, both directions.
+
+    Sessions and pairs go into parts that grow with the rows, which are counted
+    first; keep them (`cut`) if they are costly. Pairs are dealt out by `by`, both items
+    if not given; what goes on by item gives "i".
+    """
+    parts = shares(rows)
+    dealt = rows.select("session", "pos", "item").repartition(parts, "session")
+    a = dealt.select("session", F.col("pos").alias("p"), F.col("item").alias("i"))
+    b = dealt.select("session", F.col("pos").alias("q"), F.col("item").alias("j"))
+    once = a.join(apart(b), "session").where("p <> q AND i < j").select("i", "j")
+    ways = lambda df, *more: df.select(F.inline(F.array(F.struct("i", "j", *more), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), *more))))
+    if by:
+        return ways(once).repartition(parts, *by).groupBy("i", "j").agg(F.count("*").alias("n"))
+    return ways(once.repartition(parts, "i", "j").groupBy("i", "j").agg(F.count("*").alias("n")), "n")
 
 
 def adjacency(pairs: DataFrame) -> DataFrame:
@@ -175,21 +186,27 @@ def negatives(items: DataFrame, pairs: DataFrame, k: int = 10, seed: int = 42) -
     """k items per item that it never occurs with, by hash order: its candidates are a rotation of the vocabulary, so no item meets all others.
 
     Of the vocabulary in hash order, the items after an item's own place are
-    tried; those that co-occur are skipped. Each item tries k more than it has
-    neighbours, so k are found whenever so many exist, and all tries together are
-    k an item and one a pair.
+    tried; those that co-occur are skipped. Each item tries k more than tries of it
+    would hit a neighbour, so k are found whenever so many exist. `items` are
+    distinct, and so are the pairs.
     """
     headed = items.withColumn("__h", F.xxhash64("item", F.lit(seed))).withColumn("__head", F.shiftright("__h", 52))
     upto = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows
     before = headed.groupBy("__head").agg(F.count("*").alias("__n")).select("__head", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__head").orderBy("__h", "item"))
     placed = headed.join(F.broadcast(before), "__head").select("item", (inside + F.col("__before")).alias("p"))
-    n = items.count()
-    degree = pairs.groupBy(F.col("i").alias("item")).agg(F.count("*").alias("__d"))
-    most = F.least(F.lit(n - 1), F.coalesce("__d", F.lit(0)) + k)
-    tries = placed.join(degree, "item", "left").where(most > 0).select("item", F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("step"), "p").withColumn("q", (F.col("p") + F.col("step") - 1) % n + 1)
-    cand = tries.join(placed.select(F.col("item").alias("negative"), F.col("p").alias("q")), "q").join(pairs.select(F.col("i").alias("item"), F.col("j").alias("negative")), ["item", "negative"], "left_anti")
-    return cand.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("step"))).where(F.col("rank") <= k).select("item", "negative", "rank")
+    placed = cut(placed)
+    n = placed.count()
+    # What a try of an item would hit is told by the places of its neighbours, so only hits are kept and only k tries an item go on.
+    met = pairs.select("i", "j").join(apart(placed.select(F.col("item").alias("i"), F.col("p").alias("__p"))), "i").withColumn("__most", F.count("*").over(Window.partitionBy("i")) + k)
+    hits = met.join(apart(placed.select(F.col("item").alias("j"), F.col("p").alias("__q"))), "j").withColumn("step", F.pmod(F.col("__q") - F.col("__p"), F.lit(n))).where("step <= __most")
+    hit = hits.groupBy(F.col("i").alias("item")).agg(F.collect_set("step").alias("__hit"))
+    tried = placed.join(apart(hit), "item", "left").withColumn("__hit", F.coalesce("__hit", F.array().cast("array<bigint>")))
+    last = F.least(F.lit(n - 1), F.size("__hit") + k).cast("long")
+    free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), last), "__hit"), 1, k)
+    steps = tried.where(last > 0).select("item", "p", F.posexplode(free).alias("__r", "step"))
+    wanted = steps.select("item", (F.col("__r") + 1).alias("rank"), ((F.col("p") + F.col("step") - 1) % n + 1).alias("q"))
+    return wanted.join(apart(placed.select(F.col("item").alias("negative"), F.col("p").alias("q"))), "q").select("item", "negative", "rank")
 
 
 def stay_runs(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequences as Q
-from ..operators.ordering import sorted_places
+from ..operators.ordering import cut, sorted_places
 from .fixtures import ITEMS_SQL, catalog, item_events
 from .registry import register
 from .session_queries import SESSIONS_SQL, emitted
@@ -25,6 +25,11 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.min_frequency(Q.collapse_repeats(item_events(spark, sf_dir)), LEAST)
 
 
+def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned rows computed once, for what counts them and uses them twice."""
+    return cut(clean(spark, sf_dir).select("session", "pos", "item"))
+
+
 def halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("session % 2 = 0"), rows.where("session % 2 = 1")
 
@@ -66,10 +71,15 @@ pr AS (SELECT h, row_number() OVER (ORDER BY item) AS a, row_number() OVER (ORDE
 SELECT round((any_value(sure) + coalesce(sum(h) FILTER (a <= slots), 0)) / any_value(pn.n), 9) AS hr_by_id, round((any_value(sure) + coalesce(sum(h) FILTER (b <= slots), 0)) / any_value(pn.n), 9) AS hr_min, round((any_value(sure) + coalesce(sum(h) FILTER (c <= slots), 0)) / any_value(pn.n), 9) AS hr_max, any_value(tied)::BIGINT AS n_tied, any_value(slots)::BIGINT AS n_slots FROM pr, pk, pn""")
 register("agg26_hr_mrr", lambda s, d: Q.score_ranking(Q.prefixes(clean(s, d)).select("label"), Q.popularity(clean(s, d), 20), 10), f"""WITH {EX_SQL}, r AS (SELECT item, row_number() OVER (ORDER BY count(*) DESC, item) AS rank FROM m3 GROUP BY item)
 SELECT count(*) AS n, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 9) AS hr, round(avg(CASE WHEN rank <= 10 THEN 1 / rank ELSE 0 END), 9) AS mrr FROM ex LEFT JOIN r ON r.item = ex.label""")
-register("gra1_cooccurrence", lambda s, d: Q.cooccurrence(clean(s, d)), f"WITH {CO_SQL} SELECT i, j, n FROM co")
-register("gra2_adjacency", lambda s, d: Q.adjacency(Q.cooccurrence(clean(s, d))).select("i", "j", "w"), f"WITH {CO_SQL} SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 9) AS w FROM co")
-register("win19_top_neighbours", lambda s, d: Q.top_neighbours(Q.cooccurrence(clean(s, d))), f"WITH {CO_SQL} SELECT * FROM (SELECT i, j, n, CAST(row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS INTEGER) AS rank FROM co) WHERE rank <= 10")
-register("gra3_neighbour_flags", lambda s, d: Q.neighbour_flags(Q.prefixes(clean(s, d)), Q.top_neighbours(Q.cooccurrence(clean(s, d)))).select("session", "length", "flag"), f"""WITH {CO_SQL}, t AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS rank FROM co) WHERE rank <= 10),
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept(spark, sf_dir)
+    return Q.neighbour_flags(Q.prefixes(rows), Q.top_neighbours(Q.cooccurrence(rows, "i"))).select("session", "length", "flag")
+
+
+register("gra1_cooccurrence", lambda s, d: Q.cooccurrence(kept(s, d)), f"WITH {CO_SQL} SELECT i, j, n FROM co")
+register("gra2_adjacency", lambda s, d: Q.adjacency(Q.cooccurrence(kept(s, d), "i")).select("i", "j", "w"), f"WITH {CO_SQL} SELECT i, j, round(n / sum(n) OVER (PARTITION BY i), 9) AS w FROM co")
+register("win19_top_neighbours", lambda s, d: Q.top_neighbours(Q.cooccurrence(kept(s, d), "i")), f"WITH {CO_SQL} SELECT * FROM (SELECT i, j, n, CAST(row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS INTEGER) AS rank FROM co) WHERE rank <= 10")
+register("gra3_neighbour_flags", _flags, f"""WITH {CO_SQL}, t AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY n DESC, j) AS rank FROM co) WHERE rank <= 10),
 s AS (SELECT session, list(item ORDER BY pos) AS items FROM m3 GROUP BY session), ex AS (SELECT session, len, items[1:len] AS prefix, items[len + 1] AS label FROM (SELECT session, items, unnest(range(1, len(items))) AS len FROM s)),
 u AS (SELECT session, len, label, unnest(prefix) AS i FROM ex), h AS (SELECT session, len, max(CASE WHEN t.j IS NOT NULL THEN 1 ELSE -1 END) AS flag FROM u LEFT JOIN t ON t.i = u.i AND t.j = u.label GROUP BY session, len) SELECT session, len AS length, flag FROM h""")
 register("math_price_level", lambda s, d: Q.price_levels(catalog(s, d)).select("product_handle", "level"), "SELECT 'p' || p_partkey AS product_handle, CASE WHEN hi > lo THEN CAST(trunc((p_retailprice - lo) / (hi - lo) * 99) AS INTEGER) + 1 ELSE 1 END AS level FROM (SELECT *, min(p_retailprice) OVER (PARTITION BY p_type) AS lo, max(p_retailprice) OVER (PARTITION BY p_type) AS hi FROM part)")
@@ -77,8 +87,8 @@ register("win18_first_seen_codes", lambda s, d: Q.first_seen_codes(catalog(s, d)
 
 
 def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = clean(spark, sf_dir)
-    return Q.negatives(rows.select("item").distinct(), Q.cooccurrence(rows)).select("item", "negative", "rank")
+    rows = kept(spark, sf_dir)
+    return Q.negatives(rows.select("item").distinct(), Q.cooccurrence(rows, "i")).select("item", "negative", "rank")
 
 
 register("smp8_negatives", _negatives)
