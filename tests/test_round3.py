@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from trailmill.operators import datasets, fingerprints, sequences, tasks, validation
+from trailmill.operators import datasets, fingerprints, graph, sequences, tasks, validation
 
 
 def plan(df) -> str:
@@ -71,3 +71,10 @@ def test_tries_that_hit_no_neighbour_are_not_joined(spark):
     assert 0 not in got and len(got) == 39
     for item, ranks in got.items():
         assert sorted(r for r, _ in ranks) == [1, 2, 3] and not {0, item} & {x for _, x in ranks}
+
+
+def test_levels_of_trees_are_dealt_out_by_key(spark):
+    nodes = spark.createDataFrame([(1, 0, None, "a"), (1, 1, 0, "b"), (1, 2, 1, "a")], "tree int, node int, parent int, role string")
+    out = graph.tree_statistics(nodes, ("b",))
+    assert "Broadcast" not in plan(out)
+    assert [tuple(r) for r in out.collect()] == [(1, 3, 1, 2, 1)]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
-from .ordering import cut, sorted_places
+from .ordering import apart, cut, sorted_places
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
@@ -134,11 +134,11 @@ def tree_statistics(nodes: DataFrame, unseen: tuple[str, ...] = UNSEEN_ROLES) ->
     level = cut(nodes.where("parent IS NULL").select("tree", "node", F.lit(0).alias("depth"), F.lit(0).alias("semantic_depth")).distinct())
     every = level
     while not level.isEmpty():
-        level = level.join(children, ["tree", "node"]).groupBy("tree", F.col("child").alias("node")).agg((F.max("depth") + 1).alias("depth"), F.max(F.col("semantic_depth") + F.col("step")).alias("semantic_depth"))
-        level = cut(level.join(every, ["tree", "node"], "left_anti"))
+        level = level.join(apart(children), ["tree", "node"]).groupBy("tree", F.col("child").alias("node")).agg((F.max("depth") + 1).alias("depth"), F.max(F.col("semantic_depth") + F.col("step")).alias("semantic_depth"))
+        level = cut(level.join(apart(every), ["tree", "node"], "left_anti"))
         every = cut(every.unionByName(level))
     inner = children.select("tree", "node").distinct().withColumn("__p", F.lit(1))
-    return every.join(inner, ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("__p").isNull()).alias("n_leaves"), F.max("depth").alias("depth"), F.max("semantic_depth").alias("semantic_depth"))
+    return every.join(apart(inner), ["tree", "node"], "left").groupBy("tree").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("__p").isNull()).alias("n_leaves"), F.max("depth").alias("depth"), F.max("semantic_depth").alias("semantic_depth"))
 
 
 def role_counts(nodes: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
