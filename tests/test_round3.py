@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from trailmill.operators import datasets, fingerprints, graph, sequences, tasks, validation
+from trailmill.operators import catalog, datasets, fingerprints, graph, sequences, tasks, validation
 
 
 def plan(df) -> str:
@@ -78,3 +78,11 @@ def test_levels_of_trees_are_dealt_out_by_key(spark):
     out = graph.tree_statistics(nodes, ("b",))
     assert "Broadcast" not in plan(out)
     assert [tuple(r) for r in out.collect()] == [(1, 3, 1, 2, 1)]
+
+
+def test_products_are_dealt_out_before_they_are_ranked(spark):
+    c = spark.range(60).selectExpr("concat('p', id) AS product_handle", "id AS place", "'t' AS product_type", "array('x') AS tags")
+    out = catalog.recommendations(c, c)
+    assert re.search(r"hashpartitioning\(product_handle#\d+, \d+\), REPARTITION_BY_NUM", plan(out))
+    assert out.where("target = 'p1' AND rank = 1 AND product_handle = 'p0' AND score = 1001").count() == 1
+    assert out.count() == 240

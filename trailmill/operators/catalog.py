@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import sorted_places
+from .ordering import shares, sorted_places
 
 BINS = 5
 NO_TYPE = "<unknown>"
@@ -156,6 +156,8 @@ def recommendations(catalog: DataFrame, target: DataFrame, k: int = 4) -> DataFr
     """
     tags = F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)
     kind = F.coalesce("product_type", F.lit(""))
+    parts = shares(catalog, 50_000)  # files of few bytes a row would leave one task with millions
+    catalog, target = catalog.repartition(parts, "product_handle"), target.repartition(parts, "product_handle")
     c = catalog.select("product_handle", "place", kind.alias("product_type"), F.array_sort(tags).alias("__ctags")).withColumn("__ckind", F.to_json(F.struct("product_type", "__ctags")))
     t = target.select(F.col("product_handle").alias("target"), kind.alias("__type"), F.array_sort(tags).alias("__tags")).withColumn("__kind", F.to_json(F.struct("__type", "__tags")))
     of = lambda kind, own: F.explode(F.concat(F.when(F.col(kind) != "", F.array(F.concat(F.lit("type:"), F.col(kind)))).otherwise(F.array().cast("array<string>")), F.array_distinct(F.transform(own, lambda x: F.concat(F.lit("tag:"), x))))).alias("__token")
@@ -170,7 +172,7 @@ def recommendations(catalog: DataFrame, target: DataFrame, k: int = 4) -> DataFr
     front = c.orderBy("place").limit(2 * k + 1).select("product_handle", "place")
     row = front.agg(F.array_sort(F.collect_list(F.struct("place", "product_handle"))).alias("__front"))  # one row of 2 * k + 1 places
     rest = t.select("target").crossJoin(F.broadcast(row)).select("target", F.inline("__front")).where("product_handle <> target").select("target", "product_handle", "place", F.lit(0).alias("score"))
-    both = likely.unionByName(rest).groupBy("target", "product_handle").agg(F.max("place").alias("place"), F.max("score").alias("score"))
+    both = likely.unionByName(rest).repartition(parts, "target").groupBy("target", "product_handle").agg(F.max("place").alias("place"), F.max("score").alias("score"))
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy(*order))).where(F.col("rank") <= k).select("target", "rank", "product_handle", "score")
 
 
