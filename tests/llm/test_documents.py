@@ -168,6 +168,44 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def tasks_of(spark, group, work):
+    """The result of some work, and the number of tasks that Spark ran for it without merging shuffle partitions."""
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup(group, group)
+        out = work()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
+    return out, sum(info.numCompletedTasks for i in stages if (info := tracker.getStageInfo(i)))
+
+
+@pytest.mark.parametrize("most", [0, components.BROADCAST_LINKS])
+def test_components_of_few_and_many_links(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "BROADCAST_LINKS", most)
+    r = random.Random(5)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(1000, k) for k in range(1001, 1100)]
+    links += links[:50]
+    root = {k: k for pair in links for k in pair}
+    for _ in links:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {x.node: x.root for x in got} == {k: v for k, v in root.items() if any(k in (a, b) and a != b for a, b in links)} and len(got) == len({x.node for x in got})
+
+
+def test_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(0, 300, 3)] + [(k, k + 2) for k in range(0, 300, 3)], "a long, b long").coalesce(1)
+    got, tasks = tasks_of(spark, "few links", lambda: components.components(links).count())
+    assert got == 300 and tasks < 180, tasks
+
+
 def test_shards(spark):
     r = random.Random(1)
     rows = [(i, "x" * r.randint(0, 50)) for i in range(500)] + [(7, "same")] * 200 + [(None, None), (600, "é" * 3000)]
