@@ -145,3 +145,12 @@ def test_texts_of_two_letters():
         assert byte_bpe.loaded(BYTE).counts(own).tolist() == [len(byte_bpe.loaded(BYTE).tokenizer.encode(t, add_special_tokens=False).ids) for t in own]
         codec = pieces.loaded(PIECE)
         assert [x.tolist() for x in codec.ids_of(own)] == [codec.library.encode(t, add_bos=True, add_eos=True) for t in own]
+
+
+def test_pieces_are_cut_where_no_piece_joins_two_characters():
+    codec = pieces.PieceCodec(PIECE)
+    words, marks = [f"{a}{b}" for a in ("the", "tion", "ing", "qu", "zx") for b in ("er", "al", "oo", "k", "v")], "中文字语言模型数据处理"
+    texts = [f"{w}{c}{w}" for w in words for c in marks] + ["aaaa" * 300, "中" * 300, " " * 50 + "a", "a\u2581b", "\u0000é😀e\u0301", ""]
+    for text, ids in zip(texts, codec.ids_of(texts), strict=True):
+        assert ids.tolist() == [codec.bos, *codec.library.encode(text), codec.eos], text
+    assert len(codec.table.new) < 2 * len(words) + len(marks) + 20

@@ -4,15 +4,16 @@ A sequence of pieces is the result of the merges exactly when every two
 neighbours are compatible, that is, when re-merging the text of both gives the
 same two again: the first merge across a border would also happen in the pair
 alone, because the order of merges (best score, then leftmost) is total. So the
-encoder walks the text once: an Aho-Corasick automaton gives the longest piece
-that starts at each place, shorter ones follow by going down the places where a
-piece ends, a piece is taken if it is compatible with the one before, and a
-place from which the end can't be reached is struck out of a bitfield so that
-none is tried twice.
-
-Characters outside the vocabulary never merge; they become byte pieces. No
-piece has a visible character before a blank, so texts are encoded by segments
-(blanks, then all up to the next blank), each distinct one once per cache.
+encoder walks the text once: a trie of the pieces gives the longest path from
+each place that it comes to, the sizes of the pieces on a path are known, a
+piece is taken if it is compatible with the one before, and a place from which
+the end can't be reached is struck out of a bitfield so that none is tried
+twice.
+
+Characters outside the vocabulary never merge; they become byte pieces. No merge
+crosses two neighbouring characters that no piece has side by side, so texts are
+cut there and encoded by segments, each distinct one once per cache. One such
+place is before a blank: no piece has a visible character before one.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ from .common import importable
 
 BLANK = "▁"
 PAIRS = 2_000_000
+NEIGHBOUR_BITS = 20
+
+
+def neighbour_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A key of NEIGHBOUR_BITS bits of each pair of code points; other pairs may share it, which only leaves a text uncut there."""
+    return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA6B)) >> np.uint32(32 - NEIGHBOUR_BITS)
 
 
 class PieceCodec:
@@ -57,10 +64,18 @@ class PieceCodec:
             raise ValueError("a piece has a blank after a visible character; segments would not be independent")
         if lib.decode(lib.encode("  a  b ")) != "  a  b ":
             raise ValueError("only models with identity normalisation and one added blank are supported")
-        self.backward = ahocorasick.Automaton()
-        for p in self.ids:
-            self.backward.add_word(p[::-1], len(p))
-        self.backward.make_automaton()
+        self.trie = ahocorasick.Automaton()
+        self.longest = max(map(len, self.ids), default=1)
+        self.sizes: dict[str, tuple[int, ...]] = {"": (1,)}  # of the pieces on each path of the trie, longest first; a character alone always is one
+        for p in sorted(self.ids, key=len):
+            self.trie.add_word(p, len(p))
+            for to in range(1, len(p) + 1):
+                if (path := p[:to]) not in self.sizes:
+                    self.sizes[path] = self.sizes[path[:-1]] if to > 1 else (1,)
+            if len(p) > 1:
+                self.sizes[p] = (len(p), *self.sizes[p])
+        self.neighbours = np.zeros(1 << NEIGHBOUR_BITS, bool)
+        self.neighbours[neighbour_keys(*(np.array([ord(c) for p in self.ids for c in p[k : len(p) - 1 + k]], np.uint32) for k in (0, 1)))] = True
         self.compatible: dict[tuple[str, str], bool] = {}
         self.table = SpanTable()
 
@@ -101,19 +116,13 @@ class PieceCodec:
     def split(self, text: str) -> list[str]:
         """The pieces of a segment (characters outside the vocabulary alone), by backtracking."""
         n = len(text)
-        ending: list[list[int] | None] = [None] * n
-        last = n - 1
-        for end, size in self.backward.iter(text[::-1]):  # of those that end at one place the longest comes first
-            if (sizes := ending[last - end]) is None:
-                ending[last - end] = [size]
-            else:
-                sizes.append(size)
+        reach, sizes, longest = self.trie.longest_prefix, self.sizes, self.longest
+        at = 0
         failed = bytearray((n + 8) // 8)
         known, fits = self.compatible.get, self.fits
         taken: list[str] = []
         before = None
-        left = [iter(ending[0] or (1,))]
-        at = 0
+        left = [iter(sizes[text[: reach(text[:longest])]])]
         while at < n:
             for size in left[-1]:
                 to = at + size
@@ -128,7 +137,7 @@ class PieceCodec:
                 before = piece
                 at = to
                 if at < n:
-                    left.append(iter(ending[at] or (1,)))
+                    left.append(iter(sizes[text[at : at + reach(text[at : at + longest])]]))
                 break
             else:
                 failed[at >> 3] |= 1 << (at & 7)
@@ -169,6 +178,7 @@ class PieceCodec:
         blank = points == ord(BLANK)
         start = blank.copy()
         start[1:] &= ~blank[:-1]
+        start[1:] |= ~self.neighbours[neighbour_keys(points[:-1], points[1:])]
         start[bounds[:-1]] = True
         begins = np.flatnonzero(start)
         rows, sizes = self.table.look_up(text, points, begins, np.append(begins[1:], len(points)), self.encode_segment)
